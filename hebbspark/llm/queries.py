@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hebbspark.llm import cooccur, neardup, terms
+from hebbspark.llm import ann, cooccur, neardup, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,8 +49,21 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("a", "b", "n_ab", "n_a", "n_b", exact("lift"), exact("conviction"))
 
 
+SIMILAR_MEMORIES = ann.AnnParams(k=5, probes=5, least=0.85)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = ann.similar_vectors(_table(spark, folder, "memories"), SIMILAR_MEMORIES)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p4_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar memories of every memory whose id is divisible by 20, among all."""
+    return ann.similar_vectors(_table(spark, folder, "memories"), ann.AnnParams(k=10, probes=12), asking=F.col("id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar)}
 
 
 # The stop words of the token rule, as a DuckDB list.
@@ -107,5 +120,14 @@ round(CASE WHEN n_ab < n_a THEN (1 - n_b::DOUBLE / t) / (1 - n_ab::DOUBLE / n_a)
 )
 
 
+_P4 = """
+WITH m AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM memories WHERE len(embedding) = 128),
+u AS (SELECT id, v::DOUBLE[128] AS v FROM m WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT x.id AS a, y.id AS b, round(array_cosine_similarity(x.v, y.v), 6) AS s FROM u x JOIN u y ON x.id <> y.id),
+k AS (SELECT a, b, s FROM s WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS}
+    return {"p1_found": _P1, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4}
