@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hebbspark.llm import ann, cooccur, neardup, terms
+from hebbspark.llm import ann, bpe, cooccur, neardup, packing, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,8 +62,17 @@ def p4_similar(spark: SparkSession, folder: str) -> DataFrame:
     return ann.similar_vectors(_table(spark, folder, "memories"), ann.AnnParams(k=10, probes=12), asking=F.col("id") % 20 == 0)
 
 
+def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(_table(spark, folder, "documents"))
+
+
+def p6_packets(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = bpe.encoded(_table(spark, folder, "documents"), only_size=True)
+    return packing.packed(sizes, packing.PackParams(capacity=2048))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets)}
 
 
 # The stop words of the token rule, as a DuckDB list.
