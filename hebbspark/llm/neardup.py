@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ class NearDupParams:
     similarity: float = 0.8
     shingle: int = 5
     least_terms: int = 1
-    bands: int = 48
+    bands: int = 40
     rows: int = 4
     #: Candidates below this weighted similarity are dropped before the exact check.
     weighted: float = 0.3
@@ -71,48 +72,57 @@ def icws_keys(hashes: np.ndarray, weights: np.ndarray, samples: int, seed: int)
     return (np.log(-np.log(u[2] * u[3])) - r * (t - u[4]) - r).astype(np.float32), t.astype(np.int32)
 
 
-def icws_bands(lists: list[np.ndarray], weights: list[np.ndarray], bands: int, rows: int, seed: int) -> np.ndarray:
-    """(records, bands) int64 hashes of the samples of each record; records must not be empty."""
-    sizes = np.array([len(x) for x in lists])
-    flat, w = np.concatenate(lists).astype(np.int64), np.concatenate(weights).astype(np.float64)
-    pairs = np.empty(len(flat), dtype=[("h", np.int64), ("w", np.float64)])
-    pairs["h"], pairs["w"] = flat, w
-    distinct, where = np.unique(pairs, return_inverse=True)
+def icws_bands(flat: np.ndarray, weights: np.ndarray, sizes: np.ndarray, bands: int, rows: int, seed: int) -> np.ndarray:
+    """(records, bands) int64 hashes of the samples; record i owns the next sizes[i] >= 1 elements of flat and weights."""
+    flat, weights = flat.astype(np.int64), weights.astype(np.float32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out = np.empty((len(lists), bands), dtype=np.int64)
-    names = distinct["h"].view(np.uint64)
-    # Band by band: the tables of one band are all that is in memory.
-    group = max(1, 16 // rows)
-    for first in range(0, bands, group):
-        width = min(group, bands - first) * rows
-        low, t = icws_keys(distinct["h"], distinct["w"], width, seed + first * rows * 7)
+    with np.errstate(over="ignore"):
+        joint = flat.view(np.uint64) * np.uint64(0xD1342543DE82EF95) ^ weights.view(np.uint32).astype(np.uint64) * np.uint64(0xAF251AF3B0F025B5)
+    _, first, where = np.unique(joint, return_index=True, return_inverse=True)
+    h, w = flat[first], weights[first].astype(np.float64)
+    names = h.view(np.uint64)[:, None]
+    out = np.empty((len(sizes), bands), dtype=np.int64)
+    step = max(1, 16 // rows)
+    for at in range(0, bands, step):
+        width = min(step, bands - at) * rows
+        low, t = icws_keys(h, w, width, seed + at * rows * 7)
         with np.errstate(over="ignore"):
-            code = (names[:, None] ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))) * np.uint64(0xC4CEB9FE1A85EC53)
-        values = low[where]
-        least = np.minimum.reduceat(values, starts, axis=0)
-        hit = values == np.repeat(least, sizes, axis=0)
-        # Of equal minima, which float rounding makes possible, the smallest code is taken: the order of terms has no say.
-        picked = np.minimum.reduceat(np.where(hit, code[where], np.uint64(0xFFFFFFFFFFFFFFFF)), starts, axis=0)
+            code = (names ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))) * np.uint64(0xC4CEB9FE1A85EC53)
+        bits = low.view(np.uint32)
+        # Floats in the order of their values, above the code: one minimum finds the sample, and equal floats fall to the smaller code.
+        ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
+        key = (ordered << np.uint64(32)) | (code >> np.uint64(32))
+        picked = np.minimum.reduceat(key[where], starts, axis=0) & np.uint64(0xFFFFFFFF)
         with np.errstate(over="ignore"):
             for b in range(width // rows):
-                mix = np.full(len(lists), np.uint64(first + b + 1))
+                mix = np.full(len(sizes), np.uint64(at + b + 1))
                 for k in range(rows):
                     mix = (mix ^ picked[:, b * rows + k]) * np.uint64(0x9E3779B97F4A7C15)
                     mix ^= mix >> np.uint64(29)
-                out[:, first + b] = mix.view(np.int64)
+                out[:, at + b] = mix.view(np.int64)
     return out
 
 
-def _bands_udf(p: NearDupParams):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def bands(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hs, ws in parts:
-            done = []
-            for at in range(0, len(hs), 2000):
-                done += list(icws_bands(list(hs.iloc[at : at + 2000]), list(ws.iloc[at : at + 2000]), p.bands, p.rows, p.seed))
-            yield pd.Series(done, index=hs.index, dtype=object)
+_BANDED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("k", T.LongType()), T.StructField("m", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
+
+
+def band_buckets(sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """(rep, k, m, buckets): the bucket of each band, from (rep, k, hs, ws)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hs, ws = batch.column("hs"), batch.column("ws")
+            sizes = np.diff(hs.offsets.to_numpy())
+            v = icws_bands(hs.flatten().to_numpy(), ws.flatten().to_numpy(), sizes, p.bands, p.rows, p.seed)
+            k = batch.column("k").to_numpy().view(np.uint64)[:, None]
+            with np.errstate(over="ignore"):
+                v = ((v.view(np.uint64) ^ (k * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+            ends = pa.array((np.arange(len(v) + 1) * p.bands).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("k"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], _BANDED.names)
 
-    return bands
+    return sets.select("rep", "k", "hs", "ws").mapInArrow(run, _BANDED)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -133,54 +143,55 @@ def _weighted_jaccard(ha: pd.Series, wa: pd.Series, hb: pd.Series, wb: pd.Series
 
 
 def shingled(records: DataFrame, p: NearDupParams, id_col: str = "id", text_col: str = "text", key: Column | None = None) -> DataFrame:
-    """(id, key, terms): the sorted shingles, repeats kept, of each record with a key; one row per id."""
+    """(id, k, terms): the sorted shingles, repeats kept, one row per id; k is a hash of the key, null without one."""
     key = F.lit("") if key is None else key
-    rows = records.select(F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).dropDuplicates(["id"])
-    return rows.select("id", "key", F.array_sort(shingles("text", p.shingle)).alias("terms"))
+    rows = records.select(F.col(id_col).alias("id"), F.when(key.isNotNull(), F.xxhash64(key)).alias("k"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    return rows.select("id", "k", F.array_sort(shingles("text", p.shingle)).alias("terms"))
 
 
 def classes(rows: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, class, key, print): records of one key with the same shingles and counts are one class, named by its smallest id."""
-    able = rows.where(F.col("key").isNotNull() & (F.size(F.array_distinct("terms")) >= p.least_terms))
-    prints = able.select("id", "key", F.xxhash64("key").alias("_k"), F.sha2(F.array_join("terms", "\n"), 256).alias("print"))
-    heads = prints.groupBy("key", "print").agg(F.min("id").alias("class"))
-    return prints.join(heads, ["key", "print"]).select("id", "class", "key")
+    """(id, class): records of one key with the same shingles and counts are one class, named by its smallest id."""
+    able = rows.where(F.col("k").isNotNull() & (F.size(F.array_distinct("terms")) >= p.least_terms))
+    text = F.array_join("terms", "\n")
+    prints = able.select("id", "k", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    heads = prints.groupBy("k", "h1", "h2").agg(F.min("id").alias("class"))
+    return prints.join(heads, ["k", "h1", "h2"]).select("id", "class")
 
 
-def weighted_sets(rows: DataFrame, representatives: DataFrame, p: NearDupParams) -> DataFrame:
-    """(rep, key, hs, ws): hashes and TF-IDF weights of each representative's shingles, heaviest first.
+def weighted_sets(rows: DataFrame, members: DataFrame, p: NearDupParams) -> DataFrame:
+    """(rep, k, hs, ws): hashes and TF-IDF weights of each representative's shingles, heaviest first.
 
     The weight is (1 + ln n) ln(1 + N / d); N and d are of all rows.
     """
     every = rows.select("id", F.explode(F.array_distinct("terms")).alias("term"))
     total = rows.where(F.size("terms") > 0).agg(F.count(F.lit(1)).alias("n")).scalar()
     spread = every.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + total / F.col("df")))
-    mine = rows.join(representatives.select(F.col("rep").alias("id")), "id", "left_semi")
-    counted = mine.select("id", "key", F.explode("terms").alias("term")).groupBy("id", "key", "term").agg(F.count(F.lit(1)).alias("n"))
+    mine = rows.join(members.where(F.col("id") == F.col("class")).select("id"), "id", "left_semi")
+    counted = mine.select("id", "k", F.explode("terms").alias("term")).groupBy("id", "k", "term").agg(F.count(F.lit(1)).alias("n"))
     weighed = lookup_join(counted, spread, "term", "df", p.head_limit)
-    one = weighed.select(F.col("id").alias("rep"), "key", F.struct(((1 + F.log("n")) * F.col("idf")).cast("float").alias("w"), F.xxhash64("term").alias("h")).alias("e"))
-    sets = one.groupBy("rep", "key").agg(F.sort_array(F.collect_list("e"), asc=False).alias("es"))
-    return sets.select("rep", "key", F.col("es.h").alias("hs"), F.col("es.w").alias("ws"))
+    one = weighed.select(F.col("id").alias("rep"), "k", F.struct(((1 + F.log("n")) * F.col("idf")).cast("float").alias("w"), F.xxhash64("term").alias("h")).alias("e"))
+    sets = one.groupBy("rep", "k").agg(F.sort_array(F.collect_list("e"), asc=False).alias("es"))
+    return sets.select("rep", "k", F.col("es.h").alias("hs"), F.col("es.w").alias("ws"))
 
 
 def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b), distinct, a < b: pairs of representatives of one key that may be similar enough."""
-    banded = sets.select(
-        "rep", F.size("hs").alias("m"), F.xxhash64("key").alias("k"), F.posexplode(_bands_udf(p)("hs", "ws")).alias("band", "v")
-    ).select("rep", "m", F.xxhash64("k", "band", "v").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    small = banded.join(sizes.where((F.col("size") > 1) & (F.col("size") <= p.bucket_limit)).select("bucket"), "bucket")
-    full = sizes.where(F.col("size") > p.bucket_limit)
+    banded = band_buckets(sets, p).persist()
+    each = banded.select("rep", "m", F.explode("buckets").alias("bucket"))
+    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    met = each.join(sizes, "bucket").persist()
     # Sets of sizes m and n have a similarity of at most min / max.
     fits = lambda m, n: (F.least(m, n) >= p.similarity * F.greatest(m, n) - 1e-9)
+    small = met.where(F.col("size") <= p.bucket_limit).select("bucket", "rep", "m")
     x, y = small.alias("x"), small.alias("y")
     near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.m"), F.col("y.m")))
     near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    crowded = banded.join(full.select("bucket"), "bucket", "left_semi").select("rep").distinct()
+    crowded = met.where(F.col("size") > p.bucket_limit).select("rep").distinct()
     # Any two sets at the similarity share one of their first m - ceil(s m) + 1 elements in a common order.
     head = F.size("hs") - F.ceil(p.similarity * F.size("hs") - 1e-9) + 1
-    ordered = sets.join(crowded, "rep", "left_semi").select("rep", F.xxhash64("key").alias("k"), F.size("hs").alias("m"), F.explode(F.slice("hs", F.lit(1), head.cast("int"))).alias("h"))
+    ordered = sets.join(crowded, "rep", "left_semi").select("rep", "k", F.size("hs").alias("m"), F.explode(F.slice("hs", F.lit(1), head.cast("int"))).alias("h"))
     x, y = ordered.alias("x"), ordered.alias("y")
     rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.m"), F.col("y.m")))
     return near.unionByName(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
@@ -198,7 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
 
 @dataclass
 class NearDuplicates:
-    """members: (id, class, key) of every record that takes part; links: (a, b, weighted, jaccard) between classes."""
+    """members: (id, class) of every record that takes part; links: (a, b, weighted, jaccard) between classes."""
 
     members: DataFrame
     links: DataFrame
@@ -232,7 +243,7 @@ def near_duplicates(records: DataFrame, p: NearDupParams = NearDupParams(), id_c
     """
     rows = shingled(records, p, id_col, text_col, key).persist()
     members = classes(rows, p).persist()
-    sets = weighted_sets(rows, members.select(F.col("class").alias("rep")).distinct(), p).persist()
+    sets = weighted_sets(rows, members, p).persist()
     return NearDuplicates(members, verified(candidates(sets, p), sets, p))
 
 

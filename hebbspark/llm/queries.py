@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hebbspark.llm import ann, bpe, cooccur, neardup, packing, terms
+from hebbspark.llm import ann, bpe, cooccur, neardup, packing, subjects, terms
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,8 +71,24 @@ def p6_packets(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(sizes, packing.PackParams(capacity=2048))
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    rules = subjects.mine(documents, _table(spark, folder, "subject_labels"), _table(spark, folder, "subjects"))
+    return subjects.document_subjects(documents, rules)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each subject has, and which share of all rows of the result."""
+    counts = _subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    return counts.withColumn("share", F.round(F.col("documents") / F.sum("documents").over(Window.partitionBy()), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets, p7_found, p7_composition)}
 
 
 # The stop words of the token rule, as a DuckDB list.
