@@ -48,12 +48,19 @@ class SubjectParams:
     evidence: float = 1.0
     neutral_subjects: int = 3
     neutral_share: float = 0.6
+    #: A sentence in so many documents without a subject has none, whatever the others are about.
+    neutral_documents: int = 2
     glued: int = 24
 
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Co}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _BROKEN = regex.compile(r"[ÃÂâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
-_VALUE = regex.compile(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"?')
+_VALUE = regex.compile(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"?', regex.IGNORECASE)
+_COUNTER = regex.compile(r"\w+=\d+")
+_LINK = regex.compile(r"\w+://\S+")
+_FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.DOTALL)
+_TABLE = regex.compile(r"(?m)^\s*\|.*$")
+_SPEAKER = regex.compile(r"^\p{Lu}[\p{L}'’-]{1,24}:\s*")
 _MARK = regex.compile(r"^\s*(?:(?:[-*•·–—>#]+|\d+[.)])\s*)*(?:\[[^\]\n]{3,24}\]\s*)?")
 _END = regex.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=\p{Ll}[.!?)])(?=[¿¡]?(?:\d+)?\p{Lu})")
 _WORD = regex.compile(r"\p{L}+")
@@ -86,7 +93,8 @@ def sentences(text: str | None) -> list[list[str]]:
     for line in text.splitlines():
         lines.append(_repaired(line))
     text = unicodedata.normalize("NFC", "\n".join(lines))
-    if '"text"' in text:
+    text = _COUNTER.sub(" ", _LINK.sub(" ", _TABLE.sub("", _FENCE.sub("\n", text))))
+    if _VALUE.search(text):
         lines = []
         for m in _VALUE.finditer(text):
             try:
@@ -97,7 +105,7 @@ def sentences(text: str | None) -> list[list[str]]:
         lines = text.split("\n")
     out = []
     for line in lines:
-        line = html.unescape(_MARK.sub("", line)) if "&" in line else _MARK.sub("", line)
+        line = _SPEAKER.sub("", _MARK.sub("", html.unescape(line)))
         for s in _END.split(line):
             words = _WORD.findall(s.lower()) if s else []
             if words:
@@ -212,8 +220,9 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Subjec
     names = sorted(r.s for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s IS NOT NULL").distinct().collect())
     rows = transactions(labelled(documents, labels, subjects, p), p).persist()
     per = rows.groupBy("form", "subject").agg(F.countDistinct("doc_id").alias("n"))
-    flat = per.groupBy("form").agg(F.sum("n").alias("n"), F.max(F.when(F.col("subject") != "", F.col("n")).otherwise(0)).alias("most"), F.count(F.lit(1)).alias("k"))
-    flat = flat.where((F.col("k") >= p.neutral_subjects) & (F.col("most") <= p.neutral_share * F.col("n")))
+    flat = per.groupBy("form").agg(F.sum("n").alias("n"), F.max(F.when(F.col("subject") != "", F.col("n")).otherwise(0)).alias("most"), F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("subject") == "", F.col("n")).otherwise(0)).alias("none"))
+    spread = (F.col("k") >= p.neutral_subjects) & (F.col("most") <= p.neutral_share * F.col("n"))
+    flat = flat.where(spread | (F.col("none") >= p.neutral_documents))
     neutral = {r.form for r in flat.select("form").collect()}
     kept = rows.join(F.broadcast(flat.select("form")), "form", "left_anti").where(F.col("subject") != "").persist()
     # Words that lean to a subject; the others are in no rule, and would only multiply the patterns.
