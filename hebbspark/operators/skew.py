@@ -1,6 +1,6 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-``bounded_head`` splits a dictionary table (one row per key, with the number
+``lookup_join`` splits a dictionary table (one row per key, with the number
 of rows the key has on the other side) into a head that may be broadcast and a
 tail.  A key is in the head if it holds at least 1/limit of all rows, so at
 most ``limit`` keys can be: the size of the broadcast is bounded by a
@@ -10,36 +10,26 @@ rows, so the shuffled part has no hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAD_LIMIT = 16_384
 
 
-def bounded_head(counts: DataFrame, weight: str, limit: int = HEAD_LIMIT) -> Column:
-    """Condition that holds for the at most ``limit`` keys with 1/limit of the total weight or more."""
-    total = counts.select(F.sum(weight)).scalar()
-    return F.col(weight) * F.lit(limit) >= total
-
-
 def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, limit: int = HEAD_LIMIT) -> DataFrame:
     """Inner join of ``left`` with the dictionary ``right`` on ``key``.
 
     ``right`` has one row per key; ``weight`` is its column with the key's
     number of rows in ``left``.  Head keys are looked up in a broadcast table
     of at most ``limit`` rows and never shuffled; the rest is an equi-join.
-    Null keys match nothing.
+    Null keys match nothing.  The dictionary is computed once and kept, and
+    its total weight is read first, as one number.
     """
     names = [c for c in left.columns if c != key] + [key] + [c for c in right.columns if c != key]
-    hot = bounded_head(right, weight, limit)
+    right = right.persist()
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * F.lit(limit) >= F.lit(total)
     head, tail = right.where(hot), right.where(~hot)
     in_head = left.join(F.broadcast(head), key).select(*names)
     rest = left.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key).select(*names)
     return in_head.unionByName(rest)
-
-
-def semi_lookup(left: DataFrame, keys: DataFrame, key: str, limit: int = HEAD_LIMIT) -> DataFrame:
-    """Rows of ``left`` whose ``key`` is in the one-column table ``keys``; hot keys of ``left`` are not shuffled."""
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    known = counts.join(keys.select(key).distinct(), key, "left_semi")
-    return lookup_join(left, known, key, "_rows", limit).drop("_rows").select(*left.columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory: str = "6g") -> SparkSession:
@@ -45,3 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
     folder = os.path.join(tempfile.gettempdir(), "hebbspark-checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage is cut, and lost executors cost nothing that was computed.
+
+    The table is removed when the session's program ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/hebbspark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
