@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hebbspark.operators.skew import HEAD_LIMIT, lookup_join
+from hebbspark.session import written
 
 BLOCK = 256
 
@@ -78,11 +79,13 @@ def cooccurring(events: DataFrame, items: DataFrame, min_count: int = 5, min_lif
     a basket do not count; repeated rows count once; an empty table gives an
     empty result.  ``columns`` renames a, b, basket, item_id.
     """
-    member = basket_items(valid_events(events, items, **columns)).persist()
-    total = member.agg(F.countDistinct("basket").alias("t")).scalar()
-    counts = member.groupBy("x").agg(F.count(F.lit(1)).alias("n_x")).withColumn("baskets", total)
+    member = written(basket_items(valid_events(events, items, **columns)), "baskets")
+    total = member.select("basket").distinct().count()
+    counts = member.groupBy("x").agg(F.count(F.lit(1)).alias("n_x")).withColumn("baskets", F.lit(total).cast("long"))
     flagged = counts.withColumn("keep", (F.col("n_x") >= min_count) & (F.col("n_x") * F.lit(min_lift) <= F.col("baskets")))
+    flagged = written(flagged, "items")
     kept = lookup_join(member, flagged, "x", "n_x", head_limit).where("keep").select("basket", "x")
+    kept = written(kept, "kept")
     often = collapsed_pairs(kept, block).where(F.col("n") >= min_count)
     of = flagged.where("keep")
     out = often.join(of.select(F.col("x").alias("a"), F.col("n_x").alias("n_a"), "baskets"), "a").join(of.select(F.col("x").alias("b"), F.col("n_x").alias("n_b")), "b")
