@@ -17,14 +17,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hebbspark.functions.text import tokens
 from hebbspark.operators.skew import HEAD_LIMIT, lookup_join
+from hebbspark.session import written
 
 
 @dataclass(frozen=True)
@@ -110,11 +110,10 @@ def band_buckets(sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(rep, k, m, buckets): the bucket of each band, from (rep, k, hs, ws)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # Small slices: a worker that waits for its next task holds little memory.
+        for batch in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
             hs, ws = batch.column("hs"), batch.column("ws")
-            sizes = np.diff(hs.offsets.to_numpy())
+            sizes = hs.value_lengths().to_numpy()
             v = icws_bands(hs.flatten().to_numpy(), ws.flatten().to_numpy(), sizes, p.bands, p.rows, p.seed)
             k = batch.column("k").to_numpy().view(np.uint64)[:, None]
             with np.errstate(over="ignore"):
@@ -125,62 +124,74 @@ def band_buckets(sets: DataFrame, p: NearDupParams) -> DataFrame:
     return sets.select("rep", "k", "hs", "ws").mapInArrow(run, _BANDED)
 
 
-@F.pandas_udf(T.DoubleType())
-def _weighted_jaccard(ha: pd.Series, wa: pd.Series, hb: pd.Series, wb: pd.Series) -> pd.Series:
+def _weighted_jaccards(ha: pa.Array, wa: pa.Array, hb: pa.Array, wb: pa.Array) -> np.ndarray:
     """Sum of the smaller weights over the sum of the larger; both sides have distinct hashes."""
-    if not len(ha):
-        return pd.Series([], dtype=float)
     n = len(ha)
-    pair = np.concatenate([np.repeat(np.arange(n), ha.str.len().to_numpy()), np.repeat(np.arange(n), hb.str.len().to_numpy())])
-    h = np.concatenate([*ha, *hb]).astype(np.int64)
-    w = np.concatenate([*wa, *wb]).astype(np.float64)
+    pair = np.concatenate([np.repeat(np.arange(n), x.value_lengths().to_numpy()) for x in (ha, hb)])
+    h = np.concatenate([x.flatten().to_numpy() for x in (ha, hb)])
+    w = np.concatenate([x.flatten().to_numpy() for x in (wa, wb)]).astype(np.float64)
     order = np.lexsort((h, pair))
     pair, h, w = pair[order], h[order], w[order]
     same = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
     both = np.bincount(pair[1:][same], np.minimum(w[1:], w[:-1])[same], n)
-    total = np.bincount(pair, w, n)
-    return pd.Series(both / np.maximum(total - both, 1e-300))
+    return both / np.maximum(np.bincount(pair, w, n) - both, 1e-300)
+
+
+_COMPARED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("weighted", T.DoubleType()), T.StructField("jaccard", T.DoubleType())])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
+        ha, wa, hb, wb = (batch.column(c) for c in ("ha", "wa", "hb", "wb"))
+        ones = [pa.ListArray.from_arrays(x.offsets, pa.array(np.ones(len(x.values)))) for x in (ha, hb)]
+        plain = _weighted_jaccards(ha, ones[0], hb, ones[1])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(_weighted_jaccards(ha, wa, hb, wb)), pa.array(plain)], _COMPARED.names)
 
 
 def shingled(records: DataFrame, p: NearDupParams, id_col: str = "id", text_col: str = "text", key: Column | None = None) -> DataFrame:
-    """(id, k, terms): the sorted shingles, repeats kept, one row per id; k is a hash of the key, null without one."""
+    """(id, k, hs): hashes of the shingles in order, repeats kept, one row per id; k is a hash of the key, null without one."""
     key = F.lit("") if key is None else key
     rows = records.select(F.col(id_col).alias("id"), F.when(key.isNotNull(), F.xxhash64(key)).alias("k"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("id").isNotNull()).dropDuplicates(["id"])
-    return rows.select("id", "k", F.array_sort(shingles("text", p.shingle)).alias("terms"))
+    return rows.select("id", "k", F.array_sort(F.transform(shingles("text", p.shingle), lambda t: F.xxhash64(t))).alias("hs"))
+
+
+def able(rows: DataFrame, p: NearDupParams) -> DataFrame:
+    return rows.where(F.col("k").isNotNull() & (F.size(F.array_distinct("hs")) >= p.least_terms))
 
 
 def classes(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """(id, class): records of one key with the same shingles and counts are one class, named by its smallest id."""
-    able = rows.where(F.col("k").isNotNull() & (F.size(F.array_distinct("terms")) >= p.least_terms))
-    text = F.array_join("terms", "\n")
-    prints = able.select("id", "k", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    prints = able(rows, p).select("id", "k", F.xxhash64("hs").alias("h1"), F.xxhash64(F.lit(1), "hs").alias("h2"))
     heads = prints.groupBy("k", "h1", "h2").agg(F.min("id").alias("class"))
     return prints.join(heads, ["k", "h1", "h2"]).select("id", "class")
 
 
 def weighted_sets(rows: DataFrame, members: DataFrame, p: NearDupParams) -> DataFrame:
-    """(rep, k, hs, ws): hashes and TF-IDF weights of each representative's shingles, heaviest first.
+    """(rep, k, hs, idfs, ws): hashes and TF-IDF weights of each representative's shingles.
 
-    The weight is (1 + ln n) ln(1 + N / d); N and d are of all rows.
+    The weight is (1 + ln n) ln(1 + N / d); N and d are of all rows, and a count n over 32,767 weighs as that.
     """
-    every = rows.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    total = rows.where(F.size("terms") > 0).agg(F.count(F.lit(1)).alias("n")).scalar()
-    spread = every.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + total / F.col("df")))
-    mine = rows.join(members.where(F.col("id") == F.col("class")).select("id"), "id", "left_semi")
-    counted = mine.select("id", "k", F.explode("terms").alias("term")).groupBy("id", "k", "term").agg(F.count(F.lit(1)).alias("n"))
-    weighed = lookup_join(counted, spread, "term", "df", p.head_limit)
-    one = weighed.select(F.col("id").alias("rep"), "k", F.struct(((1 + F.log("n")) * F.col("idf")).cast("float").alias("w"), F.xxhash64("term").alias("h")).alias("e"))
-    sets = one.groupBy("rep", "k").agg(F.sort_array(F.collect_list("e"), asc=False).alias("es"))
-    return sets.select("rep", "k", F.col("es.h").alias("hs"), F.col("es.w").alias("ws"))
+    total = rows.where(F.size("hs") > 0).count()
+    every = rows.select(F.explode(F.array_distinct("hs")).alias("h"))
+    spread = every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + F.lit(float(total)) / F.col("df")).cast("float"))
+    mine = able(rows, p).join(members.where(F.col("id") == F.col("class")).select("id"), "id", "left_semi")
+    counted = mine.select("id", "k", F.explode("hs").alias("h")).groupBy("id", "k", "h").agg(F.least(F.count(F.lit(1)), F.lit(32767)).cast("short").alias("n"))
+    weighed = lookup_join(counted, spread, "h", "df", p.head_limit)
+    # Grouped by id alone, so that joins on it need no further exchange; the lists are filled row by row and stay aligned.
+    sets = weighed.groupBy("id").agg(F.first("k").alias("k"), F.collect_list("h").alias("hs"), F.collect_list("idf").alias("idfs"), F.collect_list("n").alias("ns"))
+    weigh = F.zip_with("idfs", "ns", lambda i, n: ((1 + F.log(n.cast("double"))) * i).cast("float"))
+    return sets.select(F.col("id").alias("rep"), "k", "hs", "idfs", weigh.alias("ws"))
 
 
 def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b), distinct, a < b: pairs of representatives of one key that may be similar enough."""
-    banded = band_buckets(sets, p).persist()
-    each = banded.select("rep", "m", F.explode("buckets").alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    met = each.join(sizes, "bucket").persist()
+    each = band_buckets(sets, p).select("rep", "m", F.explode("buckets").alias("bucket")).persist()
+    # Buckets that a 64th of the rows already shows to be crowded are set apart before the exchange, at most 65,536 of them.
+    seen = each.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(64)) == 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    hot = seen.where(F.col("c") >= max(8, p.bucket_limit // 16)).orderBy(F.col("c").desc()).limit(65_536).select("bucket").persist()
+    in_bucket = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
+    met = written(each.join(F.broadcast(hot), "bucket", "left_anti").withColumn("size", in_bucket).where(F.col("size") > 1), "buckets")
     # Sets of sizes m and n have a similarity of at most min / max.
     fits = lambda m, n: (F.least(m, n) >= p.similarity * F.greatest(m, n) - 1e-9)
     small = met.where(F.col("size") <= p.bucket_limit).select("bucket", "rep", "m")
@@ -188,10 +199,12 @@ def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
     near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.m"), F.col("y.m")))
     near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    crowded = met.where(F.col("size") > p.bucket_limit).select("rep").distinct()
+    crowded = met.where(F.col("size") > p.bucket_limit).select("rep").unionByName(each.join(F.broadcast(hot), "bucket", "left_semi").select("rep")).distinct()
     # Any two sets at the similarity share one of their first m - ceil(s m) + 1 elements in a common order.
     head = F.size("hs") - F.ceil(p.similarity * F.size("hs") - 1e-9) + 1
-    ordered = sets.join(crowded, "rep", "left_semi").select("rep", "k", F.size("hs").alias("m"), F.explode(F.slice("hs", F.lit(1), head.cast("int"))).alias("h"))
+    rarest = F.sort_array(F.arrays_zip(F.col("idfs").alias("i"), F.col("hs").alias("h")), asc=False)
+    ordered = sets.join(crowded, "rep", "left_semi").select("rep", "k", F.size("hs").alias("m"), F.explode(F.slice(rarest, F.lit(1), head.cast("int"))).alias("e"))
+    ordered = ordered.select("rep", "k", "m", F.col("e.h").alias("h"))
     x, y = ordered.alias("x"), ordered.alias("y")
     rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.m"), F.col("y.m")))
     return near.unionByName(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
@@ -199,12 +212,12 @@ def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b, weighted, jaccard) of the candidates whose sets of shingles are at least as similar as asked for."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = sets.select("rep", "hs", "ws").join(needed, "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha"), F.col("ws").alias("wa"))
     right = sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("weighted", _weighted_jaccard("ha", "wa", "hb", "wb")).where(F.col("weighted") >= p.weighted)
-    both = F.size(F.array_intersect("ha", "hb"))
-    union = F.size("ha") + F.size("hb") - both
-    return met.select("a", "b", "weighted", (both / union).alias("jaccard")).where(F.col("jaccard") >= p.similarity)
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compared, _COMPARED)
+    return met.where((F.col("weighted") >= p.weighted) & (F.col("jaccard") >= p.similarity))
 
 
 @dataclass
@@ -241,10 +254,11 @@ def near_duplicates(records: DataFrame, p: NearDupParams = NearDupParams(), id_c
     count once; other columns are ignored; an empty table gives empty results.
     Equal texts of one key are one class with a similarity of 1.
     """
-    rows = shingled(records, p, id_col, text_col, key).persist()
-    members = classes(rows, p).persist()
-    sets = weighted_sets(rows, members, p).persist()
-    return NearDuplicates(members, verified(candidates(sets, p), sets, p))
+    rows = written(shingled(records, p, id_col, text_col, key), "shingles")
+    members = written(classes(rows, p), "classes")
+    sets = written(weighted_sets(rows, members, p), "sets")
+    pairs = written(candidates(sets, p), "candidates")
+    return NearDuplicates(members, verified(pairs, sets, p))
 
 
 def band_recall(similarity: float, p: NearDupParams) -> float:
