@@ -59,7 +59,7 @@ def fused(queries: DataFrame, docs: DataFrame, c: Components, p: SearchParams, s
     if c.association is not None:
         rows = rows.unionByName(c.association.select(*key, "id", F.lit(0.0).alias("lexical"), "association"))
     if not positive_only:
-        first = queries.select(*key, F.explode(F.sequence(F.lit(1), F.lit(2 * p.budget))).cast("long").alias("id"))
+        first = queries.select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2 * p.budget).cast("long"))).alias("id"))
         fill = first.join(docs.select(*scope, "id"), [*scope, "id"], "left_semi")
         rows = rows.unionByName(fill.select(*key, "id", F.lit(0.0).alias("lexical"), F.lit(0.0).alias("association")))
     both = rows.groupBy(*key, "id").agg(F.sum("lexical").alias("lexical"), F.sum("association").alias("association"))

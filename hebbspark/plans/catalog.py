@@ -1,15 +1,649 @@
-"""The catalogue of queries and their SQL."""
+"""The catalogue of queries: each takes (spark, folder of tables) and returns a DataFrame.
+
+``sql`` holds the same queries for DuckDB, where SQL can express them.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from hebbspark import tables
+from hebbspark.functions.text import tokens
+from hebbspark.operators import activate as A
+from hebbspark.operators import edges as E
+from hebbspark.operators import entity as N
+from hebbspark.operators import evalops as B
+from hebbspark.operators import evidence as Q
+from hebbspark.operators import lexical as L
+from hebbspark.operators import lifecycle as M
+from hebbspark.operators import ranking as K
+from hebbspark.operators import retrieve as R
+from hebbspark.operators import vectors as V
+from hebbspark.params import EdgeParams, SearchParams
+from hebbspark.plans import sql
+from hebbspark.session import shared_folder
+from hebbspark.sources.snapshot import is_folder
+from hebbspark.streaming.fold import FoldSink, run_available, window_pairs
+
+SCOPE = ["corpus"]
+#: Logical time at which the graphs of the conversations are read.
+NOW = sql.NOW
+EDGES = EdgeParams()
+SEARCH = SearchParams()
+
+REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    REGISTERED[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.QUERIES.items() if k in REGISTERED}
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Measures rounded for comparison; adding 0.0 turns -0.0 into 0.0."""
+    for n in names:
+        df = df.withColumn(n, F.round(F.col(n), digits) + F.lit(0.0))
+    return df
+
+
+# Text and lexical search
+
+
+@query
+def tokenize_terms(spark, folder):
+    d = tables.table(spark, folder, "documents").select("doc_id", F.explode(tokens("text")).alias("term"))
+    return d.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query
+def corpus_stats(spark, folder):
+    d = L.documents(tables.table(spark, folder, "documents"), text="text", id_col="doc_id")
+    return rounded(L.corpus_stats(d), "avg")
+
+
+def _docs(spark, folder) -> DataFrame:
+    return L.documents(tables.turns(spark, folder), SCOPE)
+
+
+@query
+def bm25_topk(spark, folder):
+    scored = L.bm25(tables.questions(spark, folder), _docs(spark, folder), SCOPE)
+    top = K.stable_topk(scored, ["query_id", "corpus"], "lexical", 10)
+    return rounded(top.select("query_id", "corpus", "id", "lexical", "rank"), "lexical")
+
+
+@query
+def prefix_bm25_top3(spark, folder):
+    return rounded(L.prefix_bm25(_docs(spark, folder), SCOPE, 3).select("corpus", "id", "other", "lexical", "rank"), "lexical")
+
+
+# Edges
+
+
+def _policy(spark, folder, policy: str) -> DataFrame:
+    t = tables.turns(spark, folder)
+    if policy == "adjacent":
+        return E.adjacent_pairs(t, SCOPE)
+    near = L.prefix_bm25(L.documents(t, SCOPE), SCOPE, 3).select("corpus", "id", "other")
+    return (E.star_pairs if policy == "star" else E.combined_pairs)(t, near, SCOPE)
+
+
+def _pairs(events: DataFrame) -> DataFrame:
+    return E.canonical(events).select("corpus", "seq", "a", "b", "tick").distinct()
+
+
+@query
+def edges_adjacent(spark, folder):
+    return _pairs(_policy(spark, folder, "adjacent"))
+
+
+@query
+def edges_star(spark, folder):
+    return _pairs(_policy(spark, folder, "star"))
+
+
+@query
+def edges_combined(spark, folder):
+    return _pairs(_policy(spark, folder, "combined"))
+
+
+@query
+def coactivation_pairs(spark, folder):
+    return E.clique_pairs(tables.baskets(spark, folder), ["basket", "tick"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("baskets"))
+
+
+@query
+def edge_fold(spark, folder):
+    pairs = E.clique_pairs(tables.baskets(spark, folder), ["basket", "tick"]).withColumnRenamed("basket", "seq")
+    return rounded(E.fold(pairs, EDGES), "weight")
+
+
+def _log_edges(spark, folder) -> DataFrame:
+    return E.fold(tables.assoc_events(spark, folder), EDGES)
+
+
+def _log_now(spark, folder) -> int:
+    """The latest tick of the association log, at which its graph is read."""
+    return tables.assoc_events(spark, folder).agg(F.max("tick")).first()[0] or 0
+
+
+@query
+def edge_fold_late_ticks(spark, folder):
+    return rounded(_log_edges(spark, folder), "weight")
+
+
+@query
+def edge_fold_live(spark, folder):
+    events = M.with_live_ends(tables.assoc_events(spark, folder), tables.records(spark, folder))
+    return rounded(E.fold(events, EDGES), "weight")
+
+
+@query
+def edge_decay_at_tick(spark, folder):
+    return rounded(E.at_tick(_log_edges(spark, folder), _log_now(spark, folder), EDGES).select("a", "b", "now"), "now")
+
+
+@query
+def edge_snapshot_pruned(spark, folder):
+    return rounded(E.freeze(_log_edges(spark, folder), _log_now(spark, folder), EDGES), "weight")
+
+
+@query
+def edge_peek_vs_snapshot(spark, folder):
+    """What a read of the live state sees beyond a snapshot published before the last tenth of the log."""
+    events = tables.assoc_events(spark, folder)
+    cut = events.agg(F.floor(F.max("seq") * 9 / 10)).first()[0] or 0
+    live = E.at_tick(E.fold(events, EDGES), _log_now(spark, folder), EDGES).select("a", "b", F.col("now").alias("peek"))
+    old = E.freeze(E.fold(events.where(F.col("seq") <= cut), EDGES), _log_now(spark, folder), EDGES)
+    seen = E.at_tick(old, _log_now(spark, folder), EDGES).select("a", "b", F.col("now").alias("snapshot"))
+    both = live.join(seen, ["a", "b"], "left").withColumn("snapshot", F.coalesce("snapshot", F.lit(0.0)))
+    return rounded(both, "peek", "snapshot").where("peek <> snapshot")
+
+
+def _log_adjacency(spark, folder) -> DataFrame:
+    return E.adjacency(E.freeze(_log_edges(spark, folder), _log_now(spark, folder), EDGES))
+
+
+@query
+def adjacency_degree(spark, folder):
+    return E.degree(_log_adjacency(spark, folder))
+
+
+@query
+def neighbors_cap(spark, folder):
+    return rounded(E.neighbors(_log_adjacency(spark, folder), _log_now(spark, folder), EDGES, 1e-3, 16), "now")
+
+
+@query
+def pair_weights(spark, folder):
+    """Weights between consecutive records of each tick."""
+    pairs = E.adjacent_pairs(tables.records(spark, folder)).select("a", "b", "tick")
+    snap = E.freeze(_log_edges(spark, folder), _log_now(spark, folder), EDGES)
+    return rounded(E.pair_weights(pairs, snap, _log_now(spark, folder), EDGES), "pair_weight")
+
+
+@query
+def edge_mass_along(spark, folder):
+    """The edge mass along the records of each tick, in order of id."""
+    paths = tables.records(spark, folder).where("tick IS NOT NULL").select(F.col("tick").alias("path_id"), F.col("id").alias("pos"), F.col("id").alias("node"))
+    snap = E.freeze(_log_edges(spark, folder), _log_now(spark, folder), EDGES)
+    return rounded(E.mass_along(paths, snap, _log_now(spark, folder), EDGES, ["path_id"]), "mass")
+
+
+@query
+def graph_stats(spark, folder):
+    return rounded(E.stats(_log_edges(spark, folder), _log_now(spark, folder), EDGES, 1 << 20), "load_factor")
+
+
+@query
+def edge_provenance(spark, folder):
+    """Which policies make each edge of the conversations, as one text."""
+    both = _policy(spark, folder, "adjacent").withColumn("origin", F.lit("adjacent")).unionByName(_policy(spark, folder, "star").withColumn("origin", F.lit("star")))
+    return E.provenance(both.select("corpus", "a", "b", "origin"), SCOPE).select("corpus", "a", "b", F.array_join("origins", ",").alias("origins"))
+
+
+@query
+def shuffled_graph(spark, folder):
+    return rounded(E.shuffled(_log_edges(spark, folder), 11, groups=64), "weight")
+
+
+# Activation
+
+
+def _graph(spark, folder, policy: str = "adjacent") -> DataFrame:
+    edges = E.freeze(E.fold(_policy(spark, folder, policy), EDGES, SCOPE), NOW, EDGES)
+    return A.transitions(E.adjacency(edges, SCOPE), NOW, EDGES, SCOPE)
+
+
+def _seeded(spark, folder) -> tuple[DataFrame, DataFrame]:
+    lexical = L.bm25(tables.questions(spark, folder), _docs(spark, folder), SCOPE)
+    return R.seeds_of(lexical, SEARCH.seeds, SCOPE), _graph(spark, folder)
+
+
+def _activation(spark, folder, hops: int, cutoff: float, cap: int | None = 64) -> DataFrame:
+    seeds, trans = _seeded(spark, folder)
+    return rounded(A.activate(seeds, trans, hops, cutoff, cap, SCOPE).scores, "score")
+
+
+@query
+def activation_1hop(spark, folder):
+    return _activation(spark, folder, 1, 1e-3)
+
+
+@query
+def activation_2hop(spark, folder):
+    return _activation(spark, folder, 2, 1e-3)
+
+
+@query
+def activation_cutoff(spark, folder):
+    return _activation(spark, folder, 2, 0.05, None)
+
+
+@query
+def activation_arcs(spark, folder):
+    seeds, trans = _seeded(spark, folder)
+    return rounded(A.activate(seeds, trans, 2, 1e-3, None, SCOPE).all_arcs(), "contribution")
+
+
+@query
+def activation_profile(spark, folder):
+    seeds, trans = _seeded(spark, folder)
+    return A.profile(seeds, A.activate(seeds, trans, 2, 1e-3, None, SCOPE), trans, SCOPE)
+
+
+# Retrieval
+
+
+def _hits(spark, folder, weight: float = 0.4, policy: str = "adjacent") -> DataFrame:
+    trans = _graph(spark, folder, policy) if weight else None
+    p = SearchParams(graph_weight=weight)
+    return R.search(tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder), trans, p, SCOPE)
+
+
+def _published(hits: DataFrame) -> DataFrame:
+    return rounded(hits.select("query_id", "corpus", "id", "lexical", "association", "score", "rank"), "lexical", "association", "score")
+
+
+@query
+def retrieve_lexical(spark, folder):
+    return _published(_hits(spark, folder, 0))
+
+
+@query
+def retrieve_associative(spark, folder):
+    return _published(_hits(spark, folder))
+
+
+def _explained(spark, folder) -> DataFrame:
+    q = tables.questions(spark, folder).select("query_id", "corpus", "query")
+    return R.explain(q, _docs(spark, folder), _graph(spark, folder), SEARCH, SCOPE)
+
+
+@query
+def retrieve_added_by_graph(spark, folder):
+    return rounded(_explained(spark, folder).where("added_by_graph").select("query_id", "corpus", "id", "score", "rank"), "score")
+
+
+@query
+def retrieve_witness_paths(spark, folder):
+    return _explained(spark, folder).where("path IS NOT NULL").select("query_id", "corpus", "id", "hop", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query
+def retrieve_connected(spark, folder):
+    q = tables.questions(spark, folder).select("query_id", "corpus", "query")
+    return R.connected(q, _docs(spark, folder), _graph(spark, folder), SEARCH, SCOPE)
+
+
+@query
+def retrieve_ablation_variants(spark, folder):
+    """The ten best hits of each question without a graph, and with the graph of either policy."""
+    out = None
+    for variant, weight, policy in (("lexical", 0.0, "adjacent"), ("adjacent", 0.4, "adjacent"), ("star", 0.4, "star")):
+        part = _hits(spark, folder, weight, policy).where("rank <= 10").select(F.lit(variant).alias("variant"), "query_id", "id", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def mixed_packet(spark, folder):
+    """Eight lexical hits, filled by associative ones to twelve and by ids to sixteen."""
+    hits = _hits(spark, folder)
+    lex = _hits(spark, folder, 0)
+    first = lex.select("query_id", "corpus", "id", F.row_number().over(Window.partitionBy("query_id", "corpus").orderBy("id")).alias("rank"))
+    return K.merged_quotas([(lex, 8), (hits, 12), (first, 16)], ["query_id", "corpus"]).select("query_id", "corpus", "id", "rank")
+
+
+# Vectors
+
+
+def _vectors(spark, folder) -> DataFrame:
+    v = tables.table(spark, folder, "embeddings")
+    return v.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def _asking(vectors: DataFrame) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20."""
+    return vectors.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vec")
+
+
+def _label_edges(spark, folder) -> DataFrame:
+    """Edges between consecutive vectors of one label."""
+    v = _vectors(spark, folder).select("id", F.col("label").cast("long").alias("tick"))
+    return E.fold(E.adjacent_pairs(v).select("seq", "a", "b", "tick"), EdgeParams(lam=0.0))
+
+
+@query
+def vector_seed_topk(spark, folder):
+    v = _vectors(spark, folder)
+    return rounded(V.seed_topk(_asking(v), v.select("id", "vec"), 8).select("query_id", "id", "similarity", "rank"), "similarity")
+
+
+@query
+def vector_recall(spark, folder):
+    v, p = _vectors(spark, folder), EdgeParams(lam=0.0)
+    trans = A.transitions(E.adjacency(_label_edges(spark, folder)), 0, p)
+    return rounded(V.recall(_asking(v), v.select("id", "vec"), trans), "score")
+
+
+@query
+def structural_holes(spark, folder):
+    v = _vectors(spark, folder)
+    nodes = v.where(F.col("id") % 20 == 0)
+    return rounded(V.unexplored(nodes, v.select("id", "vec"), _label_edges(spark, folder), 0, EdgeParams(lam=0.0)).select("a", "b", "similarity"), "similarity")
+
+
+@query
+def walk_directional(spark, folder):
+    v = _vectors(spark, folder)
+    starts = v.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.col("vec").alias("direction"))
+    paths = V.walk(starts, E.adjacency(_label_edges(spark, folder)), v.select("id", "vec"), 0, EdgeParams(lam=0.0))
+    return paths.select("query_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query
+def axis_order(spark, folder):
+    v = _vectors(spark, folder)
+    return rounded(V.axis(v.select(F.col("label").cast("long").alias("group_id"), "id", "vec")), "projection")
+
+
+@query
+def sector_histogram(spark, folder):
+    v = _vectors(spark, folder)
+    adj = E.neighbors(E.adjacency(_label_edges(spark, folder)), 0, EdgeParams(lam=0.0))
+    near = V.seed_topk(_asking(v), v.select("id", "vec"), 24).where("query_id <> id")
+    members = near.select(F.col("query_id").alias("group_id"), "id").unionByName(adj.join(_asking(v).select(F.col("query_id").alias("src")), "src").select(F.col("src").alias("group_id"), F.col("dst").alias("id"))).distinct()
+    return V.sectors(_asking(v).withColumnRenamed("query_id", "group_id"), members.join(v.select("id", "vec"), "id"))
+
+
+@query
+def hash_embedding(spark, folder):
+    e = V.embed(tables.records(spark, folder).select("id", "content"), V.HashEmbedder(128))
+    return rounded(e.select("id", F.posexplode("vec").alias("place", "value")).where("value <> 0").withColumn("value", F.col("value").cast("double")), "value")
+
+
+# Entities
+
+
+def _names(turns: DataFrame) -> DataFrame:
+    return N.names(turns.select("corpus", F.col("speaker").alias("entity"), F.col("speaker").alias("alias")), SCOPE)
+
+
+@query
+def entity_links(spark, folder):
+    t = tables.turns(spark, folder)
+    return N.links(t, _names(t))
+
+
+@query
+def entity_route(spark, folder):
+    t = tables.turns(spark, folder)
+    known = _names(t)
+    q = tables.questions(spark, folder).select("query_id", "corpus", "query")
+    return N.route(q, known, N.links(t, known)).select("query_id", "corpus", "mode", "entity", "candidate_count")
+
+
+@query
+def entity_gated_topk(spark, folder):
+    t = tables.turns(spark, folder)
+    known = _names(t)
+    roles = N.links(t, known)
+    routed = N.route(tables.questions(spark, folder).select("query_id", "corpus", "query"), known, roles)
+    hits = N.entity_search(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), _graph(spark, folder), roles)
+    return rounded(hits.select("query_id", "corpus", "id", "score", "rank", "mode", F.array_join("link_types", ",").alias("link_types")), "score")
+
+
+# Lifecycle
+
+
+@query
+def supersede_history(spark, folder):
+    """Records of one writer in one text form a history: each is superseded by the next."""
+    r = tables.records(spark, folder).withColumn("key", F.when(F.col("content").isNotNull() & F.col("writer").isNotNull(), F.sha2(F.concat_ws("\n", "writer", "content"), 256)))
+    return M.versions(r, "key").select("id", "valid_from", "valid_to", "supersedes")
+
+
+@query
+def live_records(spark, folder):
+    r = tables.records(spark, folder).withColumn("key", F.when(F.col("content").isNotNull() & F.col("writer").isNotNull(), F.sha2(F.concat_ws("\n", "writer", "content"), 256)))
+    return M.live(M.versions(r, "key")).select("id", "tick")
+
+
+def _sized(spark, folder) -> DataFrame:
+    r = tables.records(spark, folder)
+    return r.withColumn("bytes", F.coalesce(F.octet_length("content"), F.lit(0)) + F.coalesce(F.octet_length("writer"), F.lit(0)))
+
+
+@query
+def ttl_expired(spark, folder):
+    r = _sized(spark, folder)
+    now = r.agg(F.max("tick")).first()[0] or 0
+    return M.expired(r, now, max(1, now // 2)).select("id", "tick")
+
+
+@query
+def evict_oldest(spark, folder):
+    r = _sized(spark, folder)
+    totals = M.quota_totals(r).first()
+    return M.evicted(r, totals.records * 3 // 4, totals.bytes // 2).select("id", "bytes")
+
+
+@query
+def forget_cascade(spark, folder):
+    """The association log without the records of the busiest writer's key ``id % 10 = 0``."""
+    r = tables.records(spark, folder)
+    _, events = M.forget(r, tables.assoc_events(spark, folder), r.where("id % 10 = 0"))
+    return events.select("seq", "a", "b", "tick")
+
+
+@query
+def quota_totals(spark, folder):
+    return M.quota_totals(_sized(spark, folder))
+
+
+# Evidence
+
+
+@query
+def evidence_bytes(spark, folder):
+    t = tables.turns(spark, folder).select("corpus", F.col("dia_id").alias("id"), F.col("content").alias("text"))
+    return Q.evidence_bytes(t, ["corpus"])
+
+
+@query
+def fit_records(spark, folder):
+    hits = _hits(spark, folder).select("query_id", "corpus", "id", "rank")
+    texts = tables.turns(spark, folder).select("corpus", "id", F.col("content").alias("text"))
+    return Q.fit_records(hits.join(texts, ["corpus", "id"]), ["query_id"], 1200, 8).select("query_id", "id", "rank")
+
+
+@query
+def oracle_packet(spark, folder):
+    gold, hits = _gold_turns(spark, folder), _hits(spark, folder, 0)
+    return Q.oracle_packet(gold, hits, ["query_id", "corpus"], 8)
+
+
+# Evaluation
+
+
+def _gold(spark, folder) -> DataFrame:
+    return tables.questions(spark, folder).select("query_id", "corpus", "category", B.evidence_ids("evidence").alias("gold"))
+
+
+def _gold_turns(spark, folder) -> DataFrame:
+    ids = _gold(spark, folder).select("query_id", "corpus", F.explode("gold").alias("dia_id"))
+    return ids.join(tables.turns(spark, folder).select("corpus", "id", "dia_id"), ["corpus", "dia_id"]).select("query_id", "corpus", "id")
+
+
+@query
+def gold_evidence(spark, folder):
+    return _gold(spark, folder).select("query_id", F.array_join("gold", ",").alias("gold"))
+
+
+def _arm(spark, folder, arm: str, weight: float) -> DataFrame:
+    hits = _hits(spark, folder, weight).join(tables.turns(spark, folder).select("corpus", "id", "dia_id"), ["corpus", "id"])
+    got = hits.groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
+    scored = _gold(spark, folder).join(got, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    measures = B.evidence_recall("found", "gold")
+    return scored.select(F.lit(arm).alias("arm"), "query_id", "corpus", "category", *(c.alias(n) for n, c in measures.items()))
+
+
+def _arms(spark, folder) -> DataFrame:
+    return _arm(spark, folder, "lexical", 0.0).unionByName(_arm(spark, folder, "associative", 0.4))
+
+
+@query
+def evidence_recall(spark, folder):
+    return rounded(_arms(spark, folder).select("arm", "query_id", "recall", "any_found", "all_found"), "recall")
+
+
+@query
+def recall_summary(spark, folder):
+    return B.recall_summary(_arms(spark, folder), ["arm", "category"])
+
+
+@query
+def recall_percentiles(spark, folder):
+    return B.distribution(_arms(spark, folder).where("recall IS NOT NULL"), ["arm"], "recall")
+
+
+def _recall_pairs(spark, folder) -> DataFrame:
+    return B.paired(_arms(spark, folder).where("recall IS NOT NULL"), ["query_id", "corpus", "category"], "arm", ["associative", "lexical"], "recall")
+
+
+@query
+def paired_outcomes(spark, folder):
+    return B.outcomes(_recall_pairs(spark, folder), "associative", "lexical", ["category"])
+
+
+@query
+def sign_test(spark, folder):
+    o = B.outcomes(_recall_pairs(spark, folder), "associative", "lexical", ["category"])
+    return o.select("category", "wins", "losses", F.round(B.sign_test("wins", "losses"), 6).alias("p"))
+
+
+@query
+def holm_adjust(spark, folder):
+    tests = sign_test(spark, folder).select(F.col("category").alias("test"), "p")
+    return rounded(B.holm(tests).select("test", "p", "adjusted"), "adjusted")
+
+
+@query
+def abstention_transitions(spark, folder):
+    """Questions with no evidence found, before and after the graph takes part."""
+    a = _arms(spark, folder).where("recall IS NOT NULL").withColumn("none", ~F.col("any_found"))
+    wide = a.groupBy("query_id").pivot("arm", ["associative", "lexical"]).agg(F.first("none").alias("none"), F.first("recall").alias("recall"))
+    wide = wide.withColumn("delta", F.col("associative_recall") - F.col("lexical_recall"))
+    return B.transitions(wide, "lexical_none", "associative_none", "delta")
+
+
+@query
+def cluster_bootstrap(spark, folder):
+    pairs = _recall_pairs(spark, folder).withColumn("delta", F.col("associative") - F.col("lexical"))
+    return rounded(B.cluster_bootstrap(pairs, "corpus", "delta"), "mean", "low", "high")
+
+
+@query
+def token_f1(spark, folder):
+    """Each answer against the best hit's body, by category rules."""
+    hits = _hits(spark, folder).where("rank = 1").join(tables.turns(spark, folder).select("corpus", "id", "body"), ["corpus", "id"])
+    q = tables.questions(spark, folder).select("query_id", "answer", "category").join(hits.select("query_id", "body"), "query_id")
+    return q.select("query_id", F.round(B.token_f1(B.answer_tokens("body"), B.answer_tokens("answer")), 6).alias("f1"))
+
+
+@query
+def category_f1(spark, folder):
+    hits = _hits(spark, folder).where("rank = 1").join(tables.turns(spark, folder).select("corpus", "id", "body"), ["corpus", "id"])
+    q = tables.questions(spark, folder).select("query_id", "answer", "category").join(hits.select("query_id", "body"), "query_id")
+    return q.select("query_id", F.round(B.category_f1("body", "answer", "category"), 6).alias("f1"))
+
+
+@query
+def missing_source_audit(spark, folder):
+    lexical = K.ranked(_lexical(spark, folder), ["query_id", "corpus"], "lexical")
+    out = B.missing_sources(_gold_turns(spark, folder), _hits(spark, folder), lexical, tables.turns(spark, folder))
+    return out.select("query_id", "corpus", "id", "lexical_rank", "tick", "prev_id", "next_id")
+
+
+def _lexical(spark, folder) -> DataFrame:
+    return L.bm25(tables.questions(spark, folder), _docs(spark, folder), SCOPE)
+
+
+@query
+def stratified_questions(spark, folder):
+    return B.stratified_sample(tables.questions(spark, folder), ["category"], "query_id", 20).select("query_id", "category")
+
+
+@query
+def best_graph_weight(spark, folder):
+    """The graph weight with the best mean recall, ties to the smaller."""
+    out = None
+    for w in (0.0, 0.1, 0.4):
+        part = _arm(spark, folder, "w", w).agg(F.round(F.avg("recall"), 6).alias("mean_recall")).select(F.lit(w).alias("weight"), "mean_recall")
+        out = part if out is None else out.unionByName(part)
+    return B.best_weight(out)
+
+
+# Streams
+
+
+@query
+def coactivation_windows(spark, folder):
+    return window_pairs(tables.table(spark, folder, "events")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("windows"))
+
+
+def _stream(spark, folder: str, name: str) -> DataFrame:
+    """The files of a table as a stream, whether the table is one file or a folder of files."""
+    reader = spark.readStream.schema(tables.table(spark, folder, name).schema)
+    path = f"{folder}/{name}.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+@query
+def stream_association_fold(spark, folder):
+    """The association log as a stream of files, folded batch by batch into the same state as edge_fold_late_ticks."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    prepare = lambda df: df.where("id IS NOT NULL").select(F.col("id").alias("seq"), "a", "b", "tick").distinct()
+    return rounded(run_available(_stream(spark, folder, "associations"), FoldSink(spark, place, EDGES), f"{place}/offsets", prepare), "weight")
+
+
+@query
+def stream_coactivation_fold(spark, folder):
+    """Users active in the same ten minutes, folded from a stream of the event table."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return rounded(run_available(_stream(spark, folder, "events"), FoldSink(spark, place, EDGES), f"{place}/offsets", window_pairs), "weight")
