@@ -38,8 +38,8 @@ class AnnParams:
     least: float | None = None
     sample: int = 16_384
     part_rows: int = 2048
-    index_block: int = 4096
-    query_block: int = 8192
+    index_block: int = 8192
+    query_block: int = 32_768
     extra: int = 5
     margin: float = 0.02
 
@@ -66,20 +66,22 @@ def vector_classes(vectors: DataFrame, p: AnnParams, id_col: str, vector_col: st
     """(rep, vec) of every distinct usable vector, and (rep, id) of all ids that have it."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & usable("vec", p.dim))
     # -0.0 and 0.0 are one value.
-    rows = rows.withColumn("h1", F.xxhash64(F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))).withColumn("h2", F.xxhash64(F.lit(1), F.transform("vec", lambda x: x + F.lit(0.0).cast("float"))))
-    reps = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")).persist()
-    members = rows.select("id", "h1", "h2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id")
-    return reps.select("rep", "vec"), members
+    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast("float"))
+    # One exchange of the vectors, by the id that later joins use.
+    one = rows.dropDuplicates(["id"]).withColumn("h1", F.xxhash64(plain)).withColumn("h2", F.xxhash64(F.lit(1), plain)).persist()
+    named = one.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    members = one.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("rep", "id").persist()
+    reps = one.select(F.col("id").alias("rep"), "vec").join(members.where(F.col("rep") == F.col("id")).select("rep"), "rep", "left_semi")
+    return reps, members
 
 
 def fit(reps: DataFrame, rows: int, p: AnnParams) -> Router:
     """A router from at most ``p.sample`` vectors, taken by the order of a hash of their id."""
-    share = min(1.0, 1.25 * p.sample / max(rows, 1))
-    cut = int(share * (1 << 62)) * 2 - (1 << 62) * 1
+    share = min(1.0, 0.95 * p.sample / max(rows, 1))
     hashed = reps.withColumn("o", F.shiftright(F.xxhash64("rep"), 1))
     if share < 1:
-        hashed = hashed.where(F.col("o") < F.lit(cut))
-    batch = hashed.orderBy("o", "rep").limit(p.sample).select("vec").toArrow()
+        hashed = hashed.where(F.col("o") < F.lit(int(share * (1 << 63)) - (1 << 62)))
+    batch = hashed.select("o", "rep", "vec").toArrow().sort_by([("o", "ascending"), ("rep", "ascending")]).slice(0, p.sample)
     x = _unit(batch.column("vec").combine_chunks(), p.dim).astype(np.float32) if batch.num_rows else np.zeros((0, p.dim), dtype=np.float32)
     return fit_router(x, min(-(-rows // p.part_rows), p.sample // 32))
 
