@@ -99,12 +99,12 @@ def record_terms(records: DataFrame, id_col: str = "id", text_col: str = "text")
 
 def collection_stats(postings: DataFrame) -> DataFrame:
     """(term, df, cf, records, total): one row per term; records and total are of the whole collection."""
-    sizes = postings.groupBy("id").agg(F.first("draws").alias("draws")).agg(F.count(F.lit(1)).alias("records"), F.sum("draws").alias("total"))
+    sizes = postings.groupBy("id").agg(F.first("draws").alias("draws")).agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("draws"), F.lit(0)).alias("total")).first()
     return (
         postings.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
-        .withColumn("records", sizes.select("records").scalar())
-        .withColumn("total", sizes.select("total").scalar())
+        .withColumn("records", F.lit(sizes.records).cast("long"))
+        .withColumn("total", F.lit(sizes.total).cast("long"))
     )
 
 
