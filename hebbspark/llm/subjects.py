@@ -44,8 +44,8 @@ class SubjectParams:
     word_share: float = 0.35
     longest: int = 2
     smoothing: float = 2.0
-    #: Least evidence of one rule, in natural logarithms over the prior, for a sentence to have a subject.
-    evidence: float = 1.0
+    #: Least evidence of one rule for a sentence to have a subject, as a part of the most its subject can have.
+    evidence: float = 0.45
     neutral_subjects: int = 3
     neutral_share: float = 0.6
     #: A sentence in so many documents without a subject has none, whatever the others are about.
@@ -125,6 +125,8 @@ class Rules:
     antecedents: dict[tuple[str, ...], np.ndarray]
     neutral: set[str]
     params: SubjectParams
+    #: Prior share of each subject.
+    prior: np.ndarray
     words: set[str] = field(default_factory=set)
     _finder: object = None
 
@@ -138,13 +140,15 @@ class Rules:
         """Known words inside runs of letters without spaces, longest first from the left."""
         if max(map(len, words)) <= self.params.glued:
             return words
+        long = [w for w in self.words if len(w) > 3]
+        if not long:
+            return [w for w in words if len(w) <= self.params.glued]
         if self._finder is None:
             import ahocorasick
 
             self._finder = ahocorasick.Automaton()
-            for w in self.words:
-                if len(w) > 3:
-                    self._finder.add_word(w, w)
+            for w in long:
+                self._finder.add_word(w, w)
             self._finder.make_automaton()
         out = []
         for w in words:
@@ -169,7 +173,7 @@ class Rules:
                 covered.update(itertools.combinations(h, n))
             e = self.antecedents[h]
             total += e
-            best = max(best, float(e.max()))
+            best = max(best, float((e / -np.log(self.prior)).max()))
         return total if best >= self.params.evidence else None
 
     def document(self, text: str | None) -> tuple[np.ndarray, int]:
@@ -231,7 +235,7 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Subjec
     prior = {r.subject: r.n for r in kept.groupBy("subject").agg(F.countDistinct("doc_id").alias("n")).collect()}
     total = sum(prior.values())
     if not total:
-        return Rules(names, {}, neutral, p)
+        return Rules(names, {}, neutral, p, np.full(len(names), 1 / max(len(names), 2)))
     base = kept.withColumn("row", F.xxhash64("doc_id", "form"))
     items = base.select("row", "subject", F.explode("words").alias("word")).join(F.broadcast(lean.select("word")), "word").groupBy("row", "subject").agg(F.collect_set("word").alias("words"))
     baskets = items.select(F.array_append("words", F.concat(F.lit("#"), "subject")).alias("items")).persist()
@@ -261,7 +265,7 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Subjec
         rules[a] = value
     for d in (rows, kept, baskets):
         d.unpersist()
-    return Rules(names, rules, neutral, p)
+    return Rules(names, rules, neutral, p, np.minimum(share, 0.99))
 
 
 def document_subjects(documents: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
