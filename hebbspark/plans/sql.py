@@ -227,8 +227,8 @@ QUERIES: dict[str, str] = {
         "a1 AS MATERIALIZED (SELECT query_id, dst AS node, sum(score * share) AS score FROM vs JOIN tr ON node = src WHERE score * share >= 0.001e0 GROUP BY query_id, dst)",
         "a2 AS MATERIALIZED (SELECT query_id, dst AS node, sum(score * share) AS score FROM a1 JOIN tr ON node = src WHERE score * share >= 0.001e0 GROUP BY query_id, dst)",
         "ac AS MATERIALIZED (SELECT query_id, node, round(sum(score), 12) AS score FROM (SELECT * FROM vs UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2) GROUP BY query_id, node)",
-        "at AS (SELECT * FROM ac QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) <= 64)",
-        "be AS (SELECT query_id, id, round(max(score), 9) AS score FROM (SELECT query_id, id, greatest(similarity, 0) AS score FROM nk UNION ALL SELECT query_id, node, score FROM at WHERE score >= 0.001e0) GROUP BY query_id, id)",
+        "aq AS (SELECT * FROM ac QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) <= 64)",
+        "be AS (SELECT query_id, id, round(max(score), 9) AS score FROM (SELECT query_id, id, greatest(similarity, 0) AS score FROM nk UNION ALL SELECT query_id, node, score FROM aq WHERE score >= 0.001e0) GROUP BY query_id, id)",
         final="SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id) AS rank FROM be QUALIFY rank <= 16",
     ),
     "entity_links": chain(TURNS, NAMES, LINKS, final="SELECT * FROM li"),
