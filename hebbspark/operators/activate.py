@@ -64,8 +64,8 @@ def activate(seeds: DataFrame, trans: DataFrame, hops: int = 2, cutoff: float =
     for hop in range(1, hops + 1):
         met = front.withColumnRenamed("node", "src").join(trans, [*scope, "src"])
         step = met.select(*key, F.lit(hop).alias("hop"), "src", "dst", (F.col("score") * F.col("share")).alias("contribution")).where(F.col("contribution") >= cutoff)
-        if hops > 2:
-            step = step.persist()
+        # Kept: the next hop, the sums and the paths all read them.
+        step = step.persist()
         arcs.append(step)
         front = step.select(*key, F.col("dst").alias("node"), F.col("contribution").alias("score"))
         if merge:

@@ -35,12 +35,13 @@ class Components:
 
 def components(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> Components:
     """Lexical scores, and what the graph adds to them beyond the seeds' own weight."""
-    lexical = bm25(queries, docs, scope)
-    seeds = seeds_of(lexical, p.seeds, scope)
+    lexical = bm25(queries, docs, scope).persist()
+    seeds = seeds_of(lexical, p.seeds, scope).persist()
     if trans is None or p.graph_weight == 0:
         return Components(lexical, seeds, None, None)
     act = activate(seeds, trans, p.hops, p.cutoff, None, scope)
     key = ["query_id", *scope, "node"]
+    act.scores = act.scores.persist()
     more = act.scores.join(act.seeds.withColumnRenamed("score", "_own"), key, "left")
     gain = F.greatest(F.col("score") - F.coalesce("_own", F.lit(0.0)), F.lit(0.0))
     return Components(lexical, seeds, act, more.select("query_id", *scope, F.col("node").alias("id"), gain.alias("association")))

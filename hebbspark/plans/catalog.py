@@ -74,7 +74,7 @@ def corpus_stats(spark, folder):
 
 
 def _docs(spark, folder) -> DataFrame:
-    return L.documents(tables.turns(spark, folder), SCOPE)
+    return L.documents(tables.turns(spark, folder), SCOPE).persist()
 
 
 @query
@@ -224,7 +224,7 @@ def shuffled_graph(spark, folder):
 
 def _graph(spark, folder, policy: str = "adjacent") -> DataFrame:
     edges = E.freeze(E.fold(_policy(spark, folder, policy), EDGES, SCOPE), NOW, EDGES)
-    return A.transitions(E.adjacency(edges, SCOPE), NOW, EDGES, SCOPE)
+    return A.transitions(E.adjacency(edges, SCOPE), NOW, EDGES, SCOPE).persist()
 
 
 def _seeded(spark, folder) -> tuple[DataFrame, DataFrame]:
