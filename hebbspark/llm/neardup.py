@@ -34,7 +34,7 @@ class NearDupParams:
     similarity: float = 0.8
     shingle: int = 5
     least_terms: int = 1
-    bands: int = 40
+    bands: int = 64
     rows: int = 4
     #: Candidates below this weighted similarity are dropped before the exact check.
     weighted: float = 0.3
