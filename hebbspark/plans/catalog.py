@@ -21,6 +21,7 @@ from hebbspark.operators import evidence as Q
 from hebbspark.operators import lexical as L
 from hebbspark.operators import lifecycle as M
 from hebbspark.operators import ranking as K
+from hebbspark.operators import replay as P
 from hebbspark.operators import retrieve as R
 from hebbspark.operators import vectors as V
 from hebbspark.params import EdgeParams, SearchParams
@@ -602,6 +603,48 @@ def _lexical(spark, folder) -> DataFrame:
     return L.bm25(tables.questions(spark, folder), _docs(spark, folder), SCOPE)
 
 
+@query
+def retrieval_diagnosis(spark, folder):
+    """Where each evidence turn of a question is lost or found on its way to the result."""
+    q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    c = R.components(q, docs, _graph(spark, folder), SEARCH, SCOPE)
+    lexical = K.ranked(c.lexical, ["query_id", "corpus"], "lexical")
+    out = P.diagnosis(_gold_turns(spark, folder), lexical, c.seeds, c.activation.all_arcs(), c.association, R.fused(q, docs, c, SEARCH, SCOPE), SCOPE)
+    return rounded(out, "association")
+
+
+@query
+def policy_grid(spark, folder):
+    """Mean recall and complete answers of each edge policy and retrieval mode."""
+    out = None
+    gold = _gold(spark, folder)
+    ids = tables.turns(spark, folder).select("corpus", "id", "dia_id")
+    q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    for policy in ("star", "combined"):
+        trans = _graph(spark, folder, policy)
+        for mode, hits in (("associative", R.search(q, docs, trans, SEARCH, SCOPE)), ("connected", R.connected(q, docs, trans, SEARCH, SCOPE))):
+            got = hits.join(ids, ["corpus", "id"]).groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
+            scored = gold.join(got, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+            measures = scored.select(*(c.alias(n) for n, c in B.evidence_recall("found", "gold").items()))
+            part = measures.agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.count_if("all_found").alias("complete")).select(F.lit(policy).alias("policy"), F.lit(mode).alias("mode"), "mean_recall", "complete")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def longitudinal_curve(spark, folder):
+    """Mean recall after 0 to 3 sweeps in which every result links its records."""
+    q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    ids, gold = tables.turns(spark, folder).select("corpus", "id", "dia_id"), _gold(spark, folder)
+    edges = E.fold(_policy(spark, folder, "adjacent"), EDGES, SCOPE)
+    out = None
+    for sweep, hits, _ in P.replay(q, docs, edges, 3, NOW, SEARCH, EDGES, SCOPE):
+        got = hits.join(ids, ["corpus", "id"]).groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
+        part = gold.join(got, "query_id").agg(F.round(F.avg(B.evidence_recall("found", "gold")["recall"]), 6).alias("mean_recall")).select(F.lit(sweep).alias("sweep"), "mean_recall")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def stratified_questions(spark, folder):
     return B.stratified_sample(tables.questions(spark, folder), ["category"], "query_id", 20).select("query_id", "category")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from hebbspark.functions.text import STOP_WORDS
 
 NOW = 32
@@ -102,6 +104,11 @@ def fuse(name: str = "hi", weight: str = "0.4e0", budget: int = 16, an: str = "a
     UNION ALL SELECT q.query_id, q.corpus, t.id, 0.0e0, 0.0e0 FROM qu q JOIN tu t ON t.corpus = q.corpus) GROUP BY query_id, corpus, id))) WHERE rank <= {budget})"""
 
 
+def renamed(text: str, names: str, prefix: str = "x_") -> str:
+    """The same tables under other names, for a second graph in one query."""
+    return re.sub(r"\b(" + "|".join(names.split()) + r")\b(?=\W)", lambda m: prefix + m[1], text)
+
+
 LEXICAL = [TURNS, QUESTIONS, index(), lexical()]
 GRAPH = [ADJACENT, fold("ed", "ea", "corpus"), spread("ed")]
 ACTIVATION = [*LEXICAL, *GRAPH, SEEDS, hops()]
@@ -257,6 +264,68 @@ QUERIES: dict[str, str] = {
         "ar2 AS (SELECT corpus, id, tick, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM tu WINDOW w AS (PARTITION BY corpus ORDER BY id))",
         final="SELECT g.query_id, g.corpus, g.id, l.rank AS lexical_rank, r.tick, r.prev_id, r.next_id FROM (SELECT DISTINCT * FROM gt) g LEFT JOIN lr l ON l.query_id = g.query_id AND l.id = g.id JOIN ar2 r ON r.corpus = g.corpus AND r.id = g.id WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.query_id = g.query_id AND hi.id = g.id)",
     ),
+    "retrieve_ablation_variants": chain(
+        *LEXICAL,
+        PREFIX,
+        ADJACENT,
+        STAR,
+        *GRAPH[1:],
+        SEEDS,
+        hops(),
+        ASSOCIATION,
+        fuse(),
+        "az AS (SELECT * FROM an WHERE false)",
+        fuse("hp", "0.0e0", an="az"),
+        renamed(",\n".join([fold("ed", "es", "corpus"), spread("ed"), SEEDS, hops(), ASSOCIATION]), "ed al ad tr sd vs a1 f1 a2 f2 ac an"),
+        fuse("hs", an="x_an"),
+        final="SELECT variant, query_id, id, rank FROM (SELECT 'lexical' AS variant, * FROM hp UNION ALL SELECT 'adjacent', * FROM hi UNION ALL SELECT 'star', * FROM hs) WHERE rank <= 10",
+    ),
+    "entity_gated_topk": chain(
+        *ACTIVATION,
+        ASSOCIATION,
+        fuse(),
+        NAMES,
+        LINKS,
+        ROUTE,
+        "tq AS (SELECT query_id, corpus, array_to_string(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+|[^a-z0-9]+'), lambda w: w <> entity), ' ') AS query FROM ro WHERE entity IS NOT NULL)",
+        index("b", "tu", "body"),
+        lexical("lb", "b", "tq"),
+        "ca AS (SELECT r.query_id, r.corpus, l.id, string_agg(DISTINCT l.role, ',' ORDER BY l.role) AS link_types FROM ro r JOIN li l ON l.corpus = r.corpus AND l.entity = r.entity GROUP BY ALL)",
+        """cs AS (SELECT query_id, corpus, id, link_types, round(x / greatest(max(x) OVER q, 1e-12) + 0.4e0 * (y / greatest(max(y) OVER q, 1e-12)), 9) AS score
+ FROM (SELECT c.*, coalesce(b.lexical, 0.0e0) AS x, coalesce(a.association, 0.0e0) AS y FROM ca c LEFT JOIN lb b ON b.query_id = c.query_id AND b.id = c.id LEFT JOIN an a ON a.query_id = c.query_id AND a.id = c.id) WINDOW q AS (PARTITION BY query_id, corpus))""",
+        "ce AS (SELECT query_id, corpus, id, score, row_number() OVER (PARTITION BY query_id, corpus ORDER BY score DESC, id) AS rank, link_types FROM cs QUALIFY rank <= 16)",
+        final="SELECT query_id, corpus, id, round(score, 6) AS score, rank, 'entity' AS mode, link_types FROM ce UNION ALL SELECT h.query_id, h.corpus, h.id, round(h.score, 6), h.rank, 'adjacency', '' FROM hi h JOIN ro r ON r.query_id = h.query_id WHERE r.entity IS NULL",
+    ),
+    "fit_records": (
+        "WITH RECURSIVE "
+        + ",\n".join(
+            [
+                *SEARCH,
+                "sz AS MATERIALIZED (SELECT h.query_id, h.id, h.rank, octet_length(encode(to_json({'id': h.id::VARCHAR, 'text': t.content})::VARCHAR)) + 3 AS b FROM hi h JOIN tu t ON t.corpus = h.corpus AND t.id = h.id)",
+                """ft AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS id, 2::BIGINT AS used, 0 AS kept, false AS took FROM (SELECT DISTINCT query_id FROM sz)
+ UNION ALL SELECT f.query_id, s.rank, s.id, CASE WHEN f.used + s.b + CASE WHEN f.kept > 0 THEN 2 ELSE 0 END <= 1200 AND f.kept < 8 THEN f.used + s.b + CASE WHEN f.kept > 0 THEN 2 ELSE 0 END ELSE f.used END,
+ f.kept + CASE WHEN f.used + s.b + CASE WHEN f.kept > 0 THEN 2 ELSE 0 END <= 1200 AND f.kept < 8 THEN 1 ELSE 0 END, f.used + s.b + CASE WHEN f.kept > 0 THEN 2 ELSE 0 END <= 1200 AND f.kept < 8 FROM ft f JOIN sz s ON s.query_id = f.query_id AND s.rank = f.rank + 1)""",
+            ]
+        )
+        + "\nSELECT query_id, id, rank FROM ft WHERE took"
+    ),
+    "mixed_packet": chain(
+        *BOTH,
+        "mo AS (SELECT query_id, id, 0 AS l, rank AS r FROM hp WHERE rank <= 8)",
+        "m1 AS (SELECT query_id, id, 1 AS l, rank AS r FROM hi h WHERE NOT EXISTS (SELECT 1 FROM mo WHERE mo.query_id = h.query_id AND mo.id = h.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) + (SELECT count(*) FROM mo WHERE mo.query_id = h.query_id) <= 12)",
+        "m2 AS (SELECT * FROM mo UNION ALL SELECT * FROM m1)",
+        "m3 AS (SELECT query_id, id, 2 AS l, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM hp h WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.query_id = h.query_id AND m2.id = h.id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) + (SELECT count(*) FROM m2 WHERE m2.query_id = h.query_id) <= 16)",
+        "m4 AS (SELECT * FROM m2 UNION ALL SELECT * FROM m3)",
+        final="SELECT m.query_id, q.corpus, m.id, row_number() OVER (PARTITION BY m.query_id ORDER BY l, r, m.id) AS rank FROM m4 m JOIN qu q ON q.query_id = m.query_id",
+    ),
+    "retrieval_diagnosis": chain(
+        *SEARCH,
+        GOLD,
+        GOLD_TURNS,
+        "lr AS (SELECT query_id, corpus, id, row_number() OVER (PARTITION BY query_id, corpus ORDER BY lexical DESC, id) AS rank FROM lx)",
+        "fh AS (SELECT query_id, corpus, dst, min(hop) AS hop FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2) GROUP BY ALL)",
+        final="SELECT g.query_id, g.corpus, g.id, s.node IS NOT NULL AS is_seed, l.rank AS lexical_rank, round(coalesce(a.association, 0), 6) AS association, f.hop AS first_hop, h.rank AS final_rank FROM (SELECT DISTINCT * FROM gt) g LEFT JOIN sd s ON s.query_id = g.query_id AND s.node = g.id LEFT JOIN lr l ON l.query_id = g.query_id AND l.id = g.id LEFT JOIN an a ON a.query_id = g.query_id AND a.id = g.id LEFT JOIN fh f ON f.query_id = g.query_id AND f.dst = g.id LEFT JOIN hi h ON h.query_id = g.query_id AND h.id = g.id",
+    ),
     "coactivation_windows": chain(WINDOWS, final="SELECT a, b, count(*) AS windows FROM wp GROUP BY a, b"),
     "stream_association_fold": chain(*LOG_EDGES, final=f"SELECT {_EDGE} FROM ed"),
     "stream_coactivation_fold": chain(WINDOWS, fold("ed", "wp"), final=f"SELECT {_EDGE} FROM ed"),
