@@ -135,14 +135,17 @@ def _tile(p: AnnParams, keep: int):
         for at in range(0, len(qi) if len(ii) else 0, 512):
             s = q[at : at + 512] @ x.T
             names = qi[at : at + 512]
-            if least is not None:
-                r, c = np.nonzero(s >= least)
+            near = None if least is None else s >= least
+            if near is not None and np.count_nonzero(near) <= 8 * keep * len(names):
+                r, c = np.nonzero(near)
             elif len(ii) > keep + 1:
                 c = np.argpartition(s, len(ii) - keep - 1, axis=1)[:, len(ii) - keep - 1 :]
                 r, c = np.repeat(np.arange(len(names)), c.shape[1]), c.ravel()
             else:
                 r, c = (v.ravel() for v in np.indices(s.shape))
             other = names[r] != ii[c]
+            if near is not None:
+                other &= near[r, c]
             r, c = r[other], c[other]
             v = s[r, c]
             order = np.lexsort((ii[c], -v, r))
