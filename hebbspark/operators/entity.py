@@ -51,6 +51,13 @@ def links(records: DataFrame, known: DataFrame, scope: Sequence[str] = ("corpus"
     return wrote.unionByName(said).distinct()
 
 
+def out_of_step(docs: DataFrame, body_docs: DataFrame, scope: Sequence[str] = ("corpus",)) -> DataFrame:
+    """Records that only one of the two indexes has: none if they are in step."""
+    key = [*scope, "id"]
+    left, right = docs.select(*key), body_docs.select(*key)
+    return left.join(right, key, "left_anti").unionByName(right.join(left, key, "left_anti"))
+
+
 def route(queries: DataFrame, known: DataFrame, roles: DataFrame, scope: Sequence[str] = ("corpus",)) -> DataFrame:
     """``queries`` with mode, entity, topic_query and candidate_count.
 

@@ -114,6 +114,12 @@ PLAN = {"selected": list, "queries": list}
 CHECK = {"supported": bool}
 
 
+def plan_schema(reviewed: Sequence[str], queries: int = 2) -> dict:
+    """JSON schema of a plan: ids of the reviewed records only, and at most two new queries."""
+    ids = {"type": "array", "items": {"type": "string", "enum": list(reviewed)}, "uniqueItems": True} if reviewed else {"type": "array", "maxItems": 0}
+    return {"type": "object", "additionalProperties": False, "required": list(PLAN), "properties": {"selected": ids, "queries": {"type": "array", "items": {"type": "string"}, "maxItems": queries}}}
+
+
 def parse_json(text: str, schema: dict[str, type]) -> dict:
     """One JSON object, in a code fence or bare, with exactly these keys and types."""
     fenced = re.fullmatch(r"\s*```(?:json)?\s*(.*?)\s*```\s*", text, re.DOTALL)

@@ -97,6 +97,12 @@ def recall_events(hits: DataFrame, tick: int) -> DataFrame:
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_set("id")).alias("nodes")).where(F.size("nodes") > 1).withColumn("tick", F.lit(tick).cast("long"))
 
 
+def recall(queries: DataFrame, docs: DataFrame, records: DataFrame, trans: DataFrame | None, tick: int, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The live hits of a search, and the events that recalling them adds to the log; searching itself changes nothing."""
+    hits = live_only(search(queries, docs, trans, p, scope), records, scope)
+    return hits, recall_events(hits, tick)
+
+
 def connected(queries: DataFrame, docs: DataFrame, trans: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, scope, id, position): one root per query, and whole witness paths admitted in order of the fused score.
 

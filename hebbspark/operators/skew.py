@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEAD_LIMIT = 16_384
+#: Bytes of a text key that may be in the head, so that its size is bounded as well as its rows.
+LONGEST_KEY = 256
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, limit: int = HEAD_LIMIT) -> DataFrame:
@@ -29,6 +32,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, limit:
     right = right.persist()
     total = right.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) * F.lit(limit) >= F.lit(total)
+    if isinstance(right.schema[key].dataType, T.StringType):
+        hot = hot & (F.octet_length(key) <= LONGEST_KEY)
     head, tail = right.where(hot), right.where(~hot)
     in_head = left.join(F.broadcast(head), key).select(*names)
     rest = left.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key).select(*names)

@@ -21,7 +21,7 @@ from hebbspark.operators.evidence import fit_records
 from hebbspark.operators.ranking import stable_topk
 from hebbspark.operators.retrieve import components, explain, fused
 from hebbspark.params import MemoryConfig, SearchParams
-from hebbspark.sources.snapshot import load_checkpoint, read_text, remove, save_checkpoint, write_text
+from hebbspark.sources.snapshot import StorageError, load_checkpoint, read_text, remove, save_checkpoint, write_text
 
 RECORDS = "id long, content string, writer string, tick long, bytes long"
 EVENTS = "seq long, a long, b long, tick long"
@@ -80,7 +80,10 @@ class ManagedMemory:
         return meta
 
     def _commit(self, meta: dict) -> None:
+        """Publish what was prepared on one revision; if another writer was faster, nothing changes."""
         old = meta.pop("_old", [])
+        if self._meta()["revision"] != meta["revision"]:
+            raise StorageError("another writer changed the memory")
         self._save({**meta, "revision": meta["revision"] + 1})
         for part in old:
             remove(self.spark, f"{self.folder}/{part}")

@@ -189,3 +189,25 @@ def test_merged_quotas(spark):
     two = spark.createDataFrame([(1, 11, 1), (1, 12, 2), (1, 13, 3)], "q long, id long, rank int")
     got = [r.id for r in K.merged_quotas([(one, 2), (two, 4)], ["q"]).orderBy("rank").collect()]
     assert got == [10, 11, 12, 13]
+
+
+def test_recall_filters_after_the_budget_and_returns_events(spark):
+    d = docs(spark, ["alpha amber", "alpha", "gamma", "alpha beta"])
+    records = spark.createDataFrame([("c", 1, None, 0), ("c", 2, 5, 0), ("c", 3, None, 0), ("c", 4, None, 1)], "corpus string, id long, valid_to long, layer int")
+    hits, events = R.recall(asked(spark, "alpha gamma"), d, records, None, 7, SearchParams(budget=4, graph_weight=0), SCOPE)
+    assert {r.id for r in hits.collect()} == {1, 3}
+    e = events.first()
+    assert e.nodes == [1, 3] and e.tick == 7
+    assert N.out_of_step(d, d.where("id <> 2"), SCOPE).count() == 1
+
+
+def test_one_edge_over_time(spark):
+    """An edge reinforced at ticks 1, 39 and 61 links a seed to a record that no word finds."""
+    p = EdgeParams()
+    log = spark.createDataFrame([(i, 1, 2, t) for i, t in enumerate((1, 39, 61))], "seq long, a long, b long, tick long")
+    e = E.fold(log, p)
+    assert e.first().weight == pytest.approx(0.95**60 + 0.95**22 + 1)
+    trans = A.transitions(E.adjacency(E.freeze(e, 61, p)), 61, p)
+    seed = spark.createDataFrame([(1, 1, 0.82)], "query_id long, node long, weight double")
+    reach = lambda hops: {r.node: r.score for r in A.activate(seed, trans, hops).scores.collect()}
+    assert reach(0) == {1: 0.82} and reach(1) == {1: 0.82, 2: 0.82}

@@ -105,6 +105,15 @@ def test_damaged_checkpoint_is_not_used(spark, tmp_path):
     assert m._checkpoint_state() is None and m.edges().count() == 1
 
 
+def test_the_slower_writer_fails(spark, tmp_path):
+    m = ManagedMemory(spark, config(tmp_path))
+    stale = m._meta()
+    m.remember("first")
+    with pytest.raises(snapshot.StorageError):
+        m._commit(stale)
+    assert m.stats()["records"] == 1
+
+
 def test_eviction_and_ttl(spark, tmp_path):
     m = ManagedMemory(spark, config(tmp_path, limits={"max_nodes": 2}, retention={"overflow": "oldest", "ttl_ticks": 2}))
     m.remember_all([("a", None), ("b", None)])

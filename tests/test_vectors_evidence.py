@@ -140,6 +140,12 @@ def test_pipeline_abstains(controller, answerer):
     assert ask(controller, answerer).abstained
 
 
+def test_plan_schema():
+    s = Q.plan_schema(["1", "2"])
+    assert s["properties"]["selected"]["items"]["enum"] == ["1", "2"] and s["properties"]["queries"]["maxItems"] == 2
+    assert Q.plan_schema([])["properties"]["selected"]["maxItems"] == 0
+
+
 def test_parse_and_prompt():
     assert Q.parse_json('```json\n{"supported": true}\n```', Q.CHECK) == {"supported": True}
     for bad in ("no", "[]", '{"supported": 1}', '{"supported": true, "x": 1}'):
