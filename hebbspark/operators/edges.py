@@ -61,24 +61,30 @@ def combined_pairs(records: DataFrame, context: DataFrame, scope: Sequence[str]
     return clique_pairs(own, [*scope, "seq", "tick"])
 
 
-def fold(events: DataFrame, p: EdgeParams = EdgeParams(), scope: Sequence[str] = (), block: int | None = SEQ_BLOCK) -> DataFrame:
+def fold(events: DataFrame, p: EdgeParams = EdgeParams(), scope: Sequence[str] = (), block: int | None = SEQ_BLOCK, once: bool = False) -> DataFrame:
     """(scope, a, b, weight, last_tick, events) from (scope, seq, a, b, tick); late ticks count at the latest tick so far.
 
     With ``block``, events of one edge are first folded by blocks of ``seq``
     and equal ticks become counts, so that an edge that holds a large share of
     all events is not one task's work.  Null ticks and invalid pairs are
-    dropped; equal ``seq`` are ordered by tick.
+    dropped; equal ``seq`` are ordered by tick.  With ``once``, rows that are
+    equal in all columns count once; they meet in the exchange that the fold
+    needs anyway.
     """
     keys = [*scope, "a", "b"]
     valid = canonical(events.where(F.col("tick").isNotNull()))
     up_to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     if block:
         valid = valid.withColumn("_block", F.floor(F.col("seq") / block))
+        if once:
+            valid = valid.repartition(*keys, "_block").dropDuplicates([*keys, "_block", "seq", "tick"])
         local = Window.partitionBy(*keys, "_block").orderBy("seq", "tick")
         counted = valid.withColumn("_e", F.max("tick").over(up_to_here(local))).groupBy(*keys, "_block", "_e").agg(F.count(F.lit(1)).alias("_n"))
         order = Window.partitionBy(*keys).orderBy("_block", "_e")
         settled = counted.withColumn("_e", F.max("_e").over(up_to_here(order)))
     else:
+        if once:
+            valid = valid.repartition(*keys).dropDuplicates([*keys, "seq", "tick"])
         order = Window.partitionBy(*keys).orderBy("seq", "tick")
         settled = valid.withColumn("_e", F.max("tick").over(up_to_here(order))).withColumn("_n", F.lit(1))
     last = F.max("_e").over(Window.partitionBy(*keys))

@@ -81,9 +81,9 @@ def kept_suffix(records: DataFrame, max_records: int, max_bytes: int, size: str
     for r in sorted(per, key=lambda r: -r["_g"]):
         after[r["_g"]] = (count, total)
         count, total = count + r["_c"], total + r["_t"]
-    look = F.create_map(*(x for g, (c, t) in after.items() for x in (F.lit(g), F.struct(F.lit(c).cast("long").alias("c"), F.lit(t).cast("long").alias("t")))))
+    look = records.sparkSession.createDataFrame([(g, c, t) for g, (c, t) in after.items()], "_g int, _ac long, _at long")
     inside = Window.partitionBy("_g").orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = sized.withColumn("_n", F.count(F.lit(1)).over(inside) + look[F.col("_g")]["c"]).withColumn("_b", F.sum("_s").over(inside) + look[F.col("_g")]["t"])
+    run = sized.join(F.broadcast(look), "_g").withColumn("_n", F.count(F.lit(1)).over(inside) + F.col("_ac")).withColumn("_b", F.sum("_s").over(inside) + F.col("_at"))
     return run.where(((F.col("_n") <= max_records) & (F.col("_b") <= max_bytes)) | (F.col("id") == span.hi)).select(*records.columns)
 
 

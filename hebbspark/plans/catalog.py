@@ -132,12 +132,12 @@ def edge_fold(spark, folder):
 
 
 def _log_edges(spark, folder) -> DataFrame:
-    return E.fold(tables.assoc_events(spark, folder), EDGES)
+    return E.fold(tables.assoc_log(spark, folder), EDGES, once=True)
 
 
 def _log_now(spark, folder) -> int:
     """The latest tick of the association log, at which its graph is read."""
-    return tables.assoc_events(spark, folder).agg(F.max("tick")).first()[0] or 0
+    return tables.assoc_log(spark, folder).agg(F.max("tick")).first()[0] or 0
 
 
 @query
@@ -147,8 +147,8 @@ def edge_fold_late_ticks(spark, folder):
 
 @query
 def edge_fold_live(spark, folder):
-    events = M.with_live_ends(tables.assoc_events(spark, folder), tables.records(spark, folder))
-    return rounded(E.fold(events, EDGES), "weight")
+    events = M.with_live_ends(tables.assoc_log(spark, folder), tables.record_ticks(spark, folder))
+    return rounded(E.fold(events, EDGES, once=True), "weight")
 
 
 @query
@@ -164,10 +164,10 @@ def edge_snapshot_pruned(spark, folder):
 @query
 def edge_peek_vs_snapshot(spark, folder):
     """What a read of the live state sees beyond a snapshot published before the last tenth of the log."""
-    events = tables.assoc_events(spark, folder)
+    events = tables.assoc_log(spark, folder)
     cut = events.agg(F.floor(F.max("seq") * 9 / 10)).first()[0] or 0
-    live = E.at_tick(E.fold(events, EDGES), _log_now(spark, folder), EDGES).select("a", "b", F.col("now").alias("peek"))
-    old = E.freeze(E.fold(events.where(F.col("seq") <= cut), EDGES), _log_now(spark, folder), EDGES)
+    live = E.at_tick(E.fold(events, EDGES, once=True), _log_now(spark, folder), EDGES).select("a", "b", F.col("now").alias("peek"))
+    old = E.freeze(E.fold(events.where(F.col("seq") <= cut), EDGES, once=True), _log_now(spark, folder), EDGES)
     seen = E.at_tick(old, _log_now(spark, folder), EDGES).select("a", "b", F.col("now").alias("snapshot"))
     both = live.join(seen, ["a", "b"], "left").withColumn("snapshot", F.coalesce("snapshot", F.lit(0.0)))
     return rounded(both, "peek", "snapshot").where("peek <> snapshot")
@@ -190,7 +190,7 @@ def neighbors_cap(spark, folder):
 @query
 def pair_weights(spark, folder):
     """Weights between consecutive records of each tick."""
-    pairs = E.adjacent_pairs(tables.records(spark, folder)).select("a", "b", "tick")
+    pairs = E.adjacent_pairs(tables.record_ticks(spark, folder)).select("a", "b", "tick")
     snap = E.freeze(_log_edges(spark, folder), _log_now(spark, folder), EDGES)
     return rounded(E.pair_weights(pairs, snap, _log_now(spark, folder), EDGES), "pair_weight")
 
@@ -198,7 +198,7 @@ def pair_weights(spark, folder):
 @query
 def edge_mass_along(spark, folder):
     """The edge mass along the records of each tick, in order of id."""
-    paths = tables.records(spark, folder).where("tick IS NOT NULL").select(F.col("tick").alias("path_id"), F.col("id").alias("pos"), F.col("id").alias("node"))
+    paths = tables.record_ticks(spark, folder).where("tick IS NOT NULL").select(F.col("tick").alias("path_id"), F.col("id").alias("pos"), F.col("id").alias("node"))
     snap = E.freeze(_log_edges(spark, folder), _log_now(spark, folder), EDGES)
     return rounded(E.mass_along(paths, snap, _log_now(spark, folder), EDGES, ["path_id"]), "mass")
 
@@ -443,21 +443,16 @@ def live_records(spark, folder):
     return M.live(M.versions(r, "key")).select("id", "tick")
 
 
-def _sized(spark, folder) -> DataFrame:
-    r = tables.records(spark, folder)
-    return r.withColumn("bytes", F.coalesce(F.octet_length("content"), F.lit(0)) + F.coalesce(F.octet_length("writer"), F.lit(0)))
-
-
 @query
 def ttl_expired(spark, folder):
-    r = _sized(spark, folder)
+    r = tables.record_sizes(spark, folder)
     now = r.agg(F.max("tick")).first()[0] or 0
     return M.expired(r, now, max(1, now // 2)).select("id", "tick")
 
 
 @query
 def evict_oldest(spark, folder):
-    r = _sized(spark, folder)
+    r = tables.record_sizes(spark, folder)
     totals = M.quota_totals(r).first()
     return M.evicted(r, totals.records * 3 // 4, totals.bytes // 2).select("id", "bytes")
 
@@ -465,14 +460,14 @@ def evict_oldest(spark, folder):
 @query
 def forget_cascade(spark, folder):
     """The association log without the records of the busiest writer's key ``id % 10 = 0``."""
-    r = tables.records(spark, folder)
+    r = tables.record_ticks(spark, folder)
     _, events = M.forget(r, tables.assoc_events(spark, folder), r.where("id % 10 = 0"))
     return events.select("seq", "a", "b", "tick")
 
 
 @query
 def quota_totals(spark, folder):
-    return M.quota_totals(_sized(spark, folder))
+    return M.quota_totals(tables.record_sizes(spark, folder))
 
 
 # Evidence

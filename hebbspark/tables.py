@@ -29,6 +29,22 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def record_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, tick) of the records: their texts are neither read nor moved."""
+    return table(spark, folder, "memories").where("id IS NOT NULL").select("id", "tick").distinct()
+
+
+def record_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, tick, bytes): the size is taken where the text is read."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("writer"), F.lit(0))
+    return table(spark, folder, "memories").where("id IS NOT NULL").select("id", "tick", size.alias("bytes")).distinct()
+
+
+def assoc_log(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq, a, b, tick) as delivered, repeated rows included."""
+    return table(spark, folder, "associations").where("id IS NOT NULL").select(F.col("id").alias("seq"), "a", "b", "tick")
+
+
 def assoc_events(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, a, b, tick) from associations."""
     return table(spark, folder, "associations").where("id IS NOT NULL").select(F.col("id").alias("seq"), "a", "b", "tick").distinct()

@@ -55,6 +55,12 @@ def test_nulls_self_loops_and_repeats(spark):
     assert state(E.fold(log(spark, rows), HALF)) == {(1, 2): (2.0, 1)}
 
 
+@pytest.mark.parametrize("block", [None, 2])
+def test_rows_delivered_twice(spark, block):
+    e = spark.createDataFrame([(1, 1, 2, 0), (1, 1, 2, 0), (2, 2, 1, 0), (3, 1, 2, 1)], EVENTS)
+    assert state(E.fold(e, EdgeParams(lam=0.0), block=block, once=True)) == {(1, 2): (3.0, 1)}
+
+
 def test_empty_log(spark):
     edges = E.fold(spark.createDataFrame([], EVENTS), HALF)
     assert edges.count() == 0 and E.stats(edges, 5, HALF).first().edge_count == 0
