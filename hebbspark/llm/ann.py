@@ -3,9 +3,12 @@
 A router fitted on a bounded sample (``partition``) sends every vector to the
 part it most probably belongs to, where it is indexed, and as a query to the
 ``probes`` most probable parts.  Inside a part, queries meet the index in tiles
-of bounded size on eight-bit copies of the vectors; the best of these meetings
-are computed again from the stored values in double precision.  Equal vectors
-are one class that is indexed once.
+of bounded size on eight-bit copies of the vectors.  Each copy carries its
+distance from the vector, so that a meeting has proven bounds; every meeting
+that these do not exclude is computed again from the stored values in double
+precision, pair by pair where a query has few in a tile, else in a second tile
+of the stored vectors.  Vectors that differ by a factor only are one class that
+is indexed once.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ class AnnParams:
     """sample: most vectors the router is fitted on; part_rows: wanted vectors in a part.
 
     The parts number the vectors divided by part_rows, at most a 32nd of the
-    sample.  index_block and query_block bound a tile; extra is how many more
-    than k neighbours are computed exactly; margin is the slack that a limit on
-    the similarity gets on the eight-bit copies.
+    sample.  index_block and query_block bound a tile; a query with more than
+    k + extra possible neighbours in a tile meets the tile's stored vectors.
     """
 
     dim: int = 128
@@ -41,7 +43,6 @@ class AnnParams:
     index_block: int = 8192
     query_block: int = 32_768
     extra: int = 5
-    margin: float = 0.02
 
 
 def usable(vector: Column | str, dim: int) -> Column:
@@ -63,12 +64,13 @@ def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def vector_classes(vectors: DataFrame, p: AnnParams, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rep, vec) of every distinct usable vector, and (rep, id) of all ids that have it."""
+    """(rep, vec) of every usable vector that is no multiple of another, and (rep, id) of all ids that have it or a multiple."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & usable("vec", p.dim))
-    # -0.0 and 0.0 are one value.
-    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast("float"))
+    # Quotients of floats are equal as doubles only where they are equal, so vectors share them just if one is a multiple of the other.  -0.0 and 0.0 are one value.
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x).cast("double")))
+    plain = F.transform("vec", lambda x: x.cast("double") / F.col("top") + F.lit(0.0))
     # One exchange of the vectors, by the id that later joins use.
-    one = rows.dropDuplicates(["id"]).withColumn("h1", F.xxhash64(plain)).withColumn("h2", F.xxhash64(F.lit(1), plain)).persist()
+    one = rows.dropDuplicates(["id"]).withColumn("top", top).withColumn("h1", F.xxhash64(plain)).withColumn("h2", F.xxhash64(F.lit(1), plain)).drop("top").persist()
     named = one.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     members = one.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("rep", "id").persist()
     reps = one.select(F.col("id").alias("rep"), "vec").join(members.where(F.col("rep") == F.col("id")).select("rep"), "rep", "left_semi")
@@ -86,11 +88,11 @@ def fit(reps: DataFrame, rows: int, p: AnnParams) -> Router:
     return fit_router(x, min(-(-rows // p.part_rows), p.sample // 32))
 
 
-_ROUTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
+_ROUTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("e", T.FloatType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
 
 
 def routed(reps: DataFrame, router: Router, p: AnnParams) -> DataFrame:
-    """(rep, v, parts): an eight-bit copy of each vector, and its most probable parts."""
+    """(rep, v, e, parts): an eight-bit copy of each vector, how far their directions are apart at most, and its most probable parts."""
     spark = reps.sparkSession
     model = spark.sparkContext.broadcast(router)
 
@@ -101,60 +103,104 @@ def routed(reps: DataFrame, router: Router, p: AnnParams) -> DataFrame:
                 some = batch.slice(at, 2048)
                 x = _unit(some.column("vec"), p.dim)
                 small = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+                copy = small.astype(np.float64)
+                e = np.linalg.norm(x - copy / np.linalg.norm(copy, axis=1, keepdims=True), axis=1) + 1e-6
                 raw = pa.py_buffer(small.tobytes())
                 ends = pa.py_buffer((np.arange(len(x) + 1) * p.dim).astype(np.int32).tobytes())
                 v = pa.Array.from_buffers(pa.binary(), len(x), [None, ends, raw])
                 top = r.top(x.astype(np.float32), p.probes).astype(np.int32)
                 parts = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * top.shape[1]).astype(np.int32)), pa.array(top.ravel()))
-                yield pa.RecordBatch.from_arrays([some.column("rep"), v, parts], ["rep", "v", "parts"])
+                yield pa.RecordBatch.from_arrays([some.column("rep"), v, pa.array(e.astype(np.float32)), parts], _ROUTED.names)
 
     return reps.select("rep", "vec").mapInArrow(run, _ROUTED)
 
 
-_MET = T.StructType([T.StructField("q", T.LongType()), T.StructField("i", T.LongType()), T.StructField("near", T.FloatType())])
+#: More than what single precision adds to a similarity of two copies.
+_FLOAT = 5e-5
+#: Similarities that are equal after rounding are no further apart.
+_ROUND = 1e-6
 
+#: A pair with bounds of its similarity, or where ib >= 0 a query that must meet all stored vectors of a tile, none of them nearer than high.
+_MET = T.StructType([T.StructField(c, t) for c, t in (("q", T.LongType()), ("i", T.LongType()), ("low", T.FloatType()), ("high", T.FloatType()), ("part", T.IntegerType()), ("ib", T.IntegerType()), ("qb", T.IntegerType()))])
 
-def _tile(p: AnnParams, keep: int):
-    least = None if p.least is None else p.least - p.margin
 
-    def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _own(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the meetings of a vector with itself; ids are in order."""
+    c = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+    r = np.flatnonzero(ids[c] == names)
+    return r, c[r]
+
+
+def _tile(p: AnnParams, keep: int):
+    def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = table.column("v").combine_chunks()
         a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
         if not len(a):
-            return np.zeros(0, np.int64), np.zeros((0, p.dim), np.float32)
+            return np.zeros(0, np.int64), np.zeros((0, p.dim), np.float32), np.zeros(0, np.float32)
         _, ends, raw = a.buffers()
         ends = np.frombuffer(ends, np.int32)[a.offset : a.offset + len(a) + 1]
         x = np.frombuffer(raw, np.int8)[ends[0] : ends[-1]].reshape(-1, p.dim).astype(np.float32)
-        return table.column("rep").to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True)
+        return table.column("rep").to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True), table.column("e").to_numpy()
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        qi, q = vectors(table.take(np.flatnonzero(asks)))
-        ii, x = vectors(table.take(np.flatnonzero(~asks)))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        qi, q, qe = vectors(table.take(np.flatnonzero(asks)))
+        stored = table.take(np.flatnonzero(~asks))
+        ii, x, xe = vectors(stored.sort_by("rep"))
+        part, ib, qb = (k.as_py() for k in key)
+        found: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(qi) if len(ii) else 0, 512):
             s = q[at : at + 512] @ x.T
+            names, slack = qi[at : at + 512], qe[at : at + 512] + np.float32(_FLOAT)
+            s[_own(names, ii)] = -9
+            may = s >= (-2 if p.least is None else p.least - _ROUND) - slack[:, None] - xe
+            many = np.flatnonzero(np.count_nonzero(may, axis=1) > keep)
+            if len(many):
+                # The k-th highest lower bound; what cannot reach it is not among the k nearest.
+                low = s[many] - xe
+                kth = np.partition(low, len(ii) - p.k, axis=1)[:, len(ii) - p.k]
+                may[many] &= s[many] + xe >= (kth - 2 * slack[many] - np.float32(_ROUND))[:, None]
+                still = np.count_nonzero(may[many], axis=1) > keep
+                many, low = many[still], low[still]
+            if len(many):
+                high = np.where(may[many], s[many] + xe, np.float32(-9)).max(axis=1) + slack[many]
+                n, none = len(many), np.full(len(many), -9, np.float32)
+                found.append((names[many], np.zeros(n, np.int64), none, high, np.full(n, ib, np.int32)))
+                # Their k best still tell other tiles what is near enough.
+                may[many] = False
+                may[many[:, None], np.argpartition(low, len(ii) - p.k, axis=1)[:, len(ii) - p.k :]] = True
+            r, c = np.nonzero(may)
+            v, e = s[r, c], xe[c] + slack[r]
+            found.append((names[r], ii[c], v - e, v + e, np.full(len(r), -1, np.int32)))
+        types = (np.int64, np.int64, np.float32, np.float32, np.int32)
+        cols = [np.concatenate(z).astype(t) for z, t in zip(zip(*found), types)] if found else [np.zeros(0, t) for t in types]
+        here = [np.full(len(cols[0]), k, np.int32) for k in (part, qb)]
+        return pa.table(dict(zip(_MET.names, [*cols[:4], here[0], cols[4], here[1]])))
+
+    return run
+
+
+_PAIR = T.StructType([T.StructField("q", T.LongType()), T.StructField("i", T.LongType())])
+
+
+def _stored_tile(p: AnnParams):
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        stored, asking = table.take(np.flatnonzero(~asks)).sort_by("rep"), table.take(np.flatnonzero(asks))
+        ii, qi = stored.column("rep").to_numpy(), asking.column("rep").to_numpy()
+        x, asked = (_unit(t.column("vec").combine_chunks(), p.dim) if t.num_rows else np.zeros((0, p.dim)) for t in (stored, asking))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(qi) if len(ii) else 0, 512):
+            s = np.round(asked[at : at + 512] @ x.T, 6)
             names = qi[at : at + 512]
-            near = None if least is None else s >= least
-            if near is not None and np.count_nonzero(near) <= 8 * keep * len(names):
-                r, c = np.nonzero(near)
-            elif len(ii) > keep + 1:
-                c = np.argpartition(s, len(ii) - keep - 1, axis=1)[:, len(ii) - keep - 1 :]
-                r, c = np.repeat(np.arange(len(names)), c.shape[1]), c.ravel()
-            else:
-                r, c = (v.ravel() for v in np.indices(s.shape))
-            other = names[r] != ii[c]
-            if near is not None:
-                other &= near[r, c]
-            r, c = r[other], c[other]
-            v = s[r, c]
-            order = np.lexsort((ii[c], -v, r))
-            r, c, v = r[order], c[order], v[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-            first = rank < keep
-            found.append((names[r[first]], ii[c[first]], v[first]))
-        parts = [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-        return pa.table({"q": parts[0], "i": parts[1], "near": parts[2].astype(np.float32)})
+            s[_own(names, ii)] = -9
+            kth = np.partition(s, max(0, len(ii) - p.k), axis=1)[:, max(0, len(ii) - p.k)][:, None]
+            above, equal = s > kth, s == kth
+            # The columns are in the order of the ids: of equal similarities the first ones.
+            near = above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= p.k - np.count_nonzero(above, axis=1)[:, None]))
+            r, c = np.nonzero(near & (s >= (-2 if p.least is None else p.least)))
+            found.append((names[r], ii[c]))
+        return pa.table({"q": np.concatenate([f[0] for f in found]), "i": np.concatenate([f[1] for f in found])})
 
     return run
 
@@ -178,12 +224,20 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     blocks = {"i": of(stored, p.index_block), "q": of(asked, p.query_block)}
     own = {k: F.pmod(F.xxhash64(F.lit(7), "rep"), n).cast("int") for k, n in blocks.items()}
     spread = {k: F.explode(F.sequence(F.lit(0), n - 1)) for k, n in blocks.items()}
-    index = placed.select("rep", "v", F.element_at("parts", 1).alias("part")).select("rep", "v", F.lit(False).alias("asks"), "part", own["i"].alias("ib"), spread["q"].alias("qb"))
-    query = ask.select("rep", "v", F.explode("parts").alias("part")).select("rep", "v", F.lit(True).alias("asks"), "part", spread["i"].alias("ib"), own["q"].alias("qb"))
-    keep = p.k + p.extra
-    met = index.unionByName(query).groupBy("part", "ib", "qb").applyInArrow(_tile(p, keep), _MET)
-    best = Window.partitionBy("q").orderBy(F.col("near").desc(), "i")
-    chosen = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).select("q", "i")
+    index = placed.select("rep", "v", "e", F.element_at("parts", 1).alias("part")).select("rep", "v", "e", F.lit(False).alias("asks"), "part", own["i"].alias("ib"), spread["q"].alias("qb"))
+    query = ask.select("rep", "v", "e", F.explode("parts").alias("part")).select("rep", "v", "e", F.lit(True).alias("asks"), "part", spread["i"].alias("ib"), own["q"].alias("qb"))
+    met = index.unionByName(query).groupBy("part", "ib", "qb").applyInArrow(_tile(p, p.k + p.extra), _MET)
+    per = Window.partitionBy("q")
+    met = met.withColumn("r", F.row_number().over(per.orderBy(F.col("low").desc()))).withColumn("kth", F.max(F.when(F.col("r") == p.k, F.col("low"))).over(per))
+    met = met.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth") - F.lit(_ROUND))).drop("r", "kth").persist()
+    chosen = met.where(F.col("ib") < 0).select("q", "i")
+    crowded = met.where(F.col("ib") >= 0).select(F.col("q").alias("rep"), "part", "ib", "qb")
+    if not crowded.isEmpty():
+        tiles = crowded.select("part", "ib", "qb").distinct()
+        held = placed.select("rep", F.element_at("parts", 1).alias("part")).select("rep", "part", own["i"].alias("ib")).join(F.broadcast(tiles), ["part", "ib"])
+        both = held.withColumn("asks", F.lit(False)).unionByName(crowded.withColumn("asks", F.lit(True)))
+        stored = both.join(reps, "rep").groupBy("part", "ib", "qb").applyInArrow(_stored_tile(p), _PAIR)
+        chosen = chosen.unionByName(stored)
     # Each unordered pair is computed once; the vectors that no pair needs stay where they are.
     pairs = chosen.select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y"), (F.col("q") < F.col("i")).alias("up"))
     pairs = pairs.groupBy("x", "y").agg(F.max("up").alias("up"), F.max(~F.col("up")).alias("down"))

@@ -74,3 +74,21 @@ def test_parts_are_balanced_and_cut_few_edges():
 @pytest.mark.parametrize("rows", [0, 1, 5])
 def test_tiny_samples_make_one_part(rows):
     assert P.fit_router(np.ones((rows, 4), dtype=np.float32), 10).parts == 1
+
+
+@pytest.mark.parametrize("least", [None, 0.85])
+def test_dense_group_of_which_the_copies_tell_nothing(spark, least):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(DIM)
+    x = np.concatenate([centre + 0.003 * rng.standard_normal((400, DIM)), centre * rng.uniform(0.5, 2, (300, 1)), clouds(7, 5, 8)])
+    ids = [int(i) for i in rng.permutation(len(x)) + 1]
+    p = N.AnnParams(dim=DIM, k=5, probes=1, least=least, index_block=200, query_block=300)
+    got = {(r.id, r.neighbour) for r in N.similar_vectors(frame(spark, ids, x), p).collect()}
+    assert got == brute(ids, x, 5, least)
+
+
+def test_multiples_are_one_class(spark):
+    x = np.random.default_rng(8).integers(-99, 100, (3, DIM)).astype(np.float32)
+    rows = np.concatenate([x, 3 * x, 0.25 * x, -x])
+    reps, members = N.vector_classes(frame(spark, range(1, 13), rows), N.AnnParams(dim=DIM), "id", "embedding")
+    assert {(r.rep, r.id) for r in members.collect()} == {(i if k < 3 else i + 9, i + 3 * k) for i in (1, 2, 3) for k in range(4)} and reps.count() == 6
