@@ -2,7 +2,9 @@
 
 Improved consistent weighted sampling (Ioffe 2010) gives every record one
 sample per hash function, such that two records agree in a sample with the
-probability of their weighted Jaccard similarity.  Records with equal shingle
+probability of their weighted Jaccard similarity.  As that can be far below the
+set similarity where rare shingles differ, as many samples are taken with all
+weights equal; the exact set similarity alone decides.  Records with equal shingle
 counts are one class, and only class representatives are hashed and compared.
 Samples are banded; a band bucket of up to ``bucket_limit`` representatives
 gives its pairs as candidates.  Larger buckets do not: of their members the
@@ -29,15 +31,13 @@ from hebbspark.session import written
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """shingle: terms per shingle; least_terms: distinct shingles a record must have to take part."""
+    """shingle: terms per shingle; least_terms: distinct shingles a record must have to take part; bands: of either kind of samples."""
 
     similarity: float = 0.8
     shingle: int = 5
     least_terms: int = 1
     bands: int = 64
     rows: int = 4
-    #: Candidates below this weighted similarity are dropped before the exact check.
-    weighted: float = 0.3
     bucket_limit: int = 256
     seed: int = 20240711
     head_limit: int = HEAD_LIMIT
@@ -114,11 +114,13 @@ def band_buckets(sets: DataFrame, p: NearDupParams) -> DataFrame:
         for batch in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
             hs, ws = batch.column("hs"), batch.column("ws")
             sizes = hs.value_lengths().to_numpy()
-            v = icws_bands(hs.flatten().to_numpy(), ws.flatten().to_numpy(), sizes, p.bands, p.rows, p.seed)
+            flat, weights = hs.flatten().to_numpy(), ws.flatten().to_numpy()
+            plain = icws_bands(flat, np.ones_like(weights), sizes, p.bands, p.rows, p.seed + 1_000_003)
+            v = np.concatenate([icws_bands(flat, weights, sizes, p.bands, p.rows, p.seed), ~plain], axis=1)
             k = batch.column("k").to_numpy().view(np.uint64)[:, None]
             with np.errstate(over="ignore"):
                 v = ((v.view(np.uint64) ^ (k * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
-            ends = pa.array((np.arange(len(v) + 1) * p.bands).astype(np.int32))
+            ends = pa.array((np.arange(len(v) + 1) * v.shape[1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("k"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], _BANDED.names)
 
     return sets.select("rep", "k", "hs", "ws").mapInArrow(run, _BANDED)
@@ -217,7 +219,7 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha"), F.col("ws").alias("wa"))
     right = sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb"), F.col("ws").alias("wb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compared, _COMPARED)
-    return met.where((F.col("weighted") >= p.weighted) & (F.col("jaccard") >= p.similarity))
+    return met.where(F.col("jaccard") >= p.similarity)
 
 
 @dataclass
@@ -262,5 +264,5 @@ def near_duplicates(records: DataFrame, p: NearDupParams = NearDupParams(), id_c
 
 
 def band_recall(similarity: float, p: NearDupParams) -> float:
-    """The probability that a pair of this weighted similarity shares a band."""
+    """The probability that a pair of this similarity, weighted or of the sets, shares a band of that kind."""
     return 1 - math.pow(1 - similarity**p.rows, p.bands)

@@ -85,3 +85,11 @@ def test_samples_agree_as_often_as_the_weights_do():
 def test_band_recall():
     p = D.NearDupParams()
     assert D.band_recall(0.8, p) > 0.999999 and D.band_recall(0.6, p) > 0.99
+
+
+@pytest.mark.parametrize("limit", [4, 256])
+def test_rare_terms_that_differ_lose_no_pair(spark, limit):
+    rows = [(i, " ".join([*WORDS[:18], f"x{i}", f"y{i}", f"z{i}"]), "ann") for i in range(1, 201)]
+    df = spark.createDataFrame(rows, "id long, text string, writer string")
+    p = D.NearDupParams(similarity=0.7, shingle=1, least_terms=18, bucket_limit=limit)
+    assert found(df, p) == truth(rows, 0.7, 18) and len(truth(rows, 0.7, 18)) == 19_900
