@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector, through a learned partition.
 
-A router fitted on a bounded sample (``partition``) sends every vector to the
-part it most probably belongs to, where it is indexed, and as a query to the
-``probes`` most probable parts.  Inside a part, queries meet the index in tiles
+Routers in two levels, each fitted on a bounded sample (``partition``), send
+every vector to the part it most probably belongs to, where it is indexed, and
+as a query to the ``probes`` most probable parts.  The parts number the vectors
+divided by a constant, so the work for a vector does not grow with the table.  Inside a part, queries meet the index in tiles
 of bounded size on eight-bit copies of the vectors.  Each copy carries its
 distance from the vector, so that a meeting has proven bounds; every meeting
 that these do not exclude is computed again from the stored values in double
@@ -13,6 +14,8 @@ is indexed once.
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +25,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hebbspark.llm.partition import Router, fit_router
+from hebbspark.llm.partition import TwoLevels, best, fit_router
 
 
 @dataclass(frozen=True)
 class AnnParams:
-    """sample: most vectors the router is fitted on; part_rows: wanted vectors in a part.
-
-    The parts number the vectors divided by part_rows, at most a 32nd of the
-    sample.  index_block and query_block bound a tile; a query with more than
-    k + extra possible neighbours in a tile meets the tile's stored vectors.
+    """sample: most vectors a router is fitted on; part_rows: wanted vectors in a part.
+
+    The parts number the vectors divided by part_rows, in about as many regions
+    as a region has parts.  most_parts bounds the routers that are broadcast, at
+    2 * (dim + 1) bytes a part: 17 MB, reached at 134 million vectors, from where
+    on a larger table has larger parts unless it is raised.  index_block and
+    query_block bound a tile; a query with more than k + extra possible
+    neighbours in a tile meets the tile's stored vectors.
     """
 
     dim: int = 128
@@ -39,7 +45,9 @@ class AnnParams:
     probes: int = 5
     least: float | None = None
     sample: int = 16_384
+    region_sample: int = 4096
     part_rows: int = 2048
+    most_parts: int = 65_536
     index_block: int = 8192
     query_block: int = 32_768
     extra: int = 5
@@ -52,12 +60,6 @@ def usable(vector: Column | str, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def cosine(a: str, b: str) -> Column:
-    """Cosine of two columns with arrays of one length, computed in double precision."""
-    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> double(p) * double(q)), 0D, (s, v) -> s + v)"
-    return F.expr(f"{dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)}))")
-
-
 def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
@@ -77,21 +79,70 @@ def vector_classes(vectors: DataFrame, p: AnnParams, id_col: str, vector_col: st
     return reps, members
 
 
-def fit(reps: DataFrame, rows: int, p: AnnParams) -> Router:
-    """A router from at most ``p.sample`` vectors, taken by the order of a hash of their id."""
-    share = min(1.0, 0.95 * p.sample / max(rows, 1))
-    hashed = reps.withColumn("o", F.shiftright(F.xxhash64("rep"), 1))
-    if share < 1:
-        hashed = hashed.where(F.col("o") < F.lit(int(share * (1 << 63)) - (1 << 62)))
-    batch = hashed.select("o", "rep", "vec").toArrow().sort_by([("o", "ascending"), ("rep", "ascending")]).slice(0, p.sample)
+_BASE = 1 << 62
+#: How the routers inside the regions are trained: one linear layer, longer than the regions' router.
+_LOW = {"hidden": 0, "epochs": 40, "rate": 1e-2}
+
+
+def _order(seed: int) -> Column:
+    """A whole number from -2^62 to 2^62 - 1 that depends on rep alone."""
+    return F.shiftright(F.xxhash64(F.lit(seed), F.col("rep")), 1)
+
+
+def _limit(share: float) -> int:
+    """What _order is below for this share of all rows."""
+    return int(min(max(share, 0.0), 1.0) * 2 * _BASE) - _BASE
+
+
+_FITTED = T.StructType([T.StructField("region", T.IntegerType()), T.StructField("model", T.BinaryType())])
+
+
+def fit(reps: DataFrame, rows: int, p: AnnParams) -> TwoLevels:
+    """The routers.  That of the regions is fitted on the driver, those of the parts by one task for each region.
+
+    No router sees more than ``sample`` or ``region_sample`` vectors, taken by
+    the order of a hash of their id.
+    """
+    chosen = reps.withColumn("o", _order(0)).where(F.col("o") < F.lit(_limit(0.95 * p.sample / max(rows, 1))))
+    batch = chosen.select("o", "rep", "vec").toArrow().sort_by([("o", "ascending"), ("rep", "ascending")]).slice(0, p.sample)
     x = _unit(batch.column("vec").combine_chunks(), p.dim).astype(np.float32) if batch.num_rows else np.zeros((0, p.dim), dtype=np.float32)
-    return fit_router(x, min(-(-rows // p.part_rows), p.sample // 32))
+    wanted = max(1, min(-(-rows // p.part_rows), p.most_parts))
+    regions = fit_router(x, min(math.isqrt(wanted - 1) + 1, p.sample // 32))
+    seen = np.bincount(best(regions.logits(x), 1)[:, 0], minlength=regions.parts) if len(x) else np.zeros(1)
+    about = (seen + 1) * (rows / (len(x) + regions.parts))
+    parts = np.maximum(1, np.minimum(np.ceil(about * wanted / max(rows, 1)), p.region_sample // 32)).astype(int)
+    limits = [_limit(0.95 * p.region_sample / n) for n in np.maximum(about, 1)]
+    model = reps.sparkSession.sparkContext.broadcast((regions, limits, parts))
+    drawn = T.StructType([T.StructField("region", T.IntegerType()), T.StructField("o", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("vec", T.ArrayType(T.FloatType()))])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router, limit, _ = model.value
+        limit = np.array(limit)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                own = best(router.logits(_unit(some.column("vec"), p.dim).astype(np.float32)), 1)[:, 0]
+                keep = pa.array(np.flatnonzero(some.column("o").to_numpy() < limit[own]))
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)).take(keep), *(some.column(c).take(keep) for c in ("o", "rep", "vec"))], drawn.names)
+
+    def learn(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, _, wish = model.value
+        region = key[0].as_py()
+        table = table.sort_by([("o", "ascending"), ("rep", "ascending")]).slice(0, p.region_sample)
+        router = fit_router(_unit(table.column("vec").combine_chunks(), p.dim).astype(np.float32), int(wish[region]), **_LOW)
+        return pa.table({"region": pa.array([region], pa.int32()), "model": pa.array([pickle.dumps(router.packed())], pa.binary())})
+
+    most = max(limits)
+    some = reps.withColumn("o", _order(1)).where(F.col("o") < F.lit(most)).select("o", "rep", "vec").mapInArrow(assign, drawn)
+    fitted = {r.region: pickle.loads(r.model).unpacked() for r in some.groupBy("region").applyInArrow(learn, _FITTED).toLocalIterator()}
+    one = fit_router(np.zeros((0, p.dim), dtype=np.float32), 1, **_LOW)
+    return TwoLevels(regions, [fitted.get(i, one) for i in range(regions.parts)])
 
 
 _ROUTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("e", T.FloatType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
 
 
-def routed(reps: DataFrame, router: Router, p: AnnParams) -> DataFrame:
+def routed(reps: DataFrame, router: TwoLevels, p: AnnParams) -> DataFrame:
     """(rep, v, e, parts): an eight-bit copy of each vector, how far their directions are apart at most, and its most probable parts."""
     spark = reps.sparkSession
     model = spark.sparkContext.broadcast(router)
@@ -99,17 +150,18 @@ def routed(reps: DataFrame, router: Router, p: AnnParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
                 x = _unit(some.column("vec"), p.dim)
                 small = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
                 copy = small.astype(np.float64)
                 e = np.linalg.norm(x - copy / np.linalg.norm(copy, axis=1, keepdims=True), axis=1) + 1e-6
                 raw = pa.py_buffer(small.tobytes())
-                ends = pa.py_buffer((np.arange(len(x) + 1) * p.dim).astype(np.int32).tobytes())
-                v = pa.Array.from_buffers(pa.binary(), len(x), [None, ends, raw])
+                places = pa.py_buffer((np.arange(len(x) + 1) * p.dim).astype(np.int32).tobytes())
+                v = pa.Array.from_buffers(pa.binary(), len(x), [None, places, raw])
                 top = r.top(x.astype(np.float32), p.probes).astype(np.int32)
-                parts = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * top.shape[1]).astype(np.int32)), pa.array(top.ravel()))
+                ends = pa.array(np.concatenate([[0], np.cumsum((top >= 0).sum(axis=1))]).astype(np.int32))
+                parts = pa.ListArray.from_arrays(ends, pa.array(top[top >= 0]))
                 yield pa.RecordBatch.from_arrays([some.column("rep"), v, pa.array(e.astype(np.float32)), parts], _ROUTED.names)
 
     return reps.select("rep", "vec").mapInArrow(run, _ROUTED)
@@ -205,6 +257,19 @@ def _stored_tile(p: AnnParams):
     return run
 
 
+_SIMS = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType()), T.StructField("up", T.BooleanType()), T.StructField("down", T.BooleanType()), T.StructField("sim", T.DoubleType())])
+
+
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosines of vx and vy in double precision."""
+    for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+        n = batch.num_rows
+        x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c in ("vx", "vy"))
+        dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+        sim = dot(x, y) / (np.sqrt(dot(x, x)) * np.sqrt(dot(y, y)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "up", "down")), pa.array(sim)], _SIMS.names)
+
+
 def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> DataFrame:
     """(q, i, sim): of each asking representative the most similar others, sim exact and rounded to 6 decimals.
 
@@ -214,18 +279,15 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     router = fit(reps, rows, p)
     placed = routed(reps, router, p).persist()
     ask = placed if asking is None else placed.join(asking, "rep", "left_semi")
-    # Two counts per part: as many rows as there are parts.
-    stored, asked = [0] * router.parts, [0] * router.parts
-    for part, n in placed.groupBy(F.element_at("parts", 1)).count().toLocalIterator():
-        stored[part] = n
-    for part, n in ask.select(F.explode("parts").alias("part")).groupBy("part").count().toLocalIterator():
-        asked[part] = n
-    of = lambda counts, block: F.element_at(F.array(*(F.lit(max(1, -(-n // block))) for n in counts)), F.col("part") + 1)
-    blocks = {"i": of(stored, p.index_block), "q": of(asked, p.query_block)}
-    own = {k: F.pmod(F.xxhash64(F.lit(7), "rep"), n).cast("int") for k, n in blocks.items()}
-    spread = {k: F.explode(F.sequence(F.lit(0), n - 1)) for k, n in blocks.items()}
-    index = placed.select("rep", "v", "e", F.element_at("parts", 1).alias("part")).select("rep", "v", "e", F.lit(False).alias("asks"), "part", own["i"].alias("ib"), spread["q"].alias("qb"))
-    query = ask.select("rep", "v", "e", F.explode("parts").alias("part")).select("rep", "v", "e", F.lit(True).alias("asks"), "part", spread["i"].alias("ib"), own["q"].alias("qb"))
+    # How many blocks a part has: one row for each part, at most most_parts.
+    home = F.element_at("parts", 1).alias("part")
+    heard = ask.select(F.explode("parts").alias("part"), F.lit(0).alias("s"), F.lit(1).alias("a"))
+    many = lambda name, block: F.greatest(F.ceil(F.sum(name) / block), F.lit(1)).cast("int")
+    blocks = placed.select(home, F.lit(1).alias("s"), F.lit(0).alias("a")).unionByName(heard).groupBy("part").agg(many("s", p.index_block).alias("ni"), many("a", p.query_block).alias("nq")).persist()
+    own = {k: F.pmod(F.xxhash64(F.lit(7), "rep"), F.col(f"n{k}")).cast("int") for k in "iq"}
+    spread = {k: F.explode(F.sequence(F.lit(0), F.col(f"n{k}") - 1)) for k in "iq"}
+    index = placed.select("rep", "v", "e", home).join(F.broadcast(blocks), "part").select("rep", "v", "e", F.lit(False).alias("asks"), "part", own["i"].alias("ib"), spread["q"].alias("qb"))
+    query = ask.select("rep", "v", "e", F.explode("parts").alias("part")).join(F.broadcast(blocks), "part").select("rep", "v", "e", F.lit(True).alias("asks"), "part", spread["i"].alias("ib"), own["q"].alias("qb"))
     met = index.unionByName(query).groupBy("part", "ib", "qb").applyInArrow(_tile(p, p.k + p.extra), _MET)
     per = Window.partitionBy("q")
     met = met.withColumn("r", F.row_number().over(per.orderBy(F.col("low").desc()))).withColumn("kth", F.max(F.when(F.col("r") == p.k, F.col("low"))).over(per))
@@ -234,7 +296,7 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     crowded = met.where(F.col("ib") >= 0).select(F.col("q").alias("rep"), "part", "ib", "qb")
     if not crowded.isEmpty():
         tiles = crowded.select("part", "ib", "qb").distinct()
-        held = placed.select("rep", F.element_at("parts", 1).alias("part")).select("rep", "part", own["i"].alias("ib")).join(F.broadcast(tiles), ["part", "ib"])
+        held = placed.select("rep", home).join(F.broadcast(blocks), "part").select("rep", "part", own["i"].alias("ib")).join(tiles, ["part", "ib"])
         both = held.withColumn("asks", F.lit(False)).unionByName(crowded.withColumn("asks", F.lit(True)))
         stored = both.join(reps, "rep").groupBy("part", "ib", "qb").applyInArrow(_stored_tile(p), _PAIR)
         chosen = chosen.unionByName(stored)
@@ -242,7 +304,8 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     pairs = chosen.select(F.least("q", "i").alias("x"), F.greatest("q", "i").alias("y"), (F.col("q") < F.col("i")).alias("up"))
     pairs = pairs.groupBy("x", "y").agg(F.max("up").alias("up"), F.max(~F.col("up")).alias("down"))
     left, right = reps.select(F.col("rep").alias("x"), F.col("vec").alias("vx")), reps.select(F.col("rep").alias("y"), F.col("vec").alias("vy"))
-    sims = pairs.join(left, "x").join(right, "y").select("x", "y", "up", "down", F.round(cosine("vx", "vy"), 6).alias("sim"))
+    sims = pairs.join(left, "x").join(right, "y").select("x", "y", "up", "down", "vx", "vy").mapInArrow(_similarities, _SIMS)
+    sims = sims.withColumn("sim", F.round("sim", 6))
     ways = F.array(F.when(F.col("up"), F.struct(F.col("x").alias("q"), F.col("y").alias("i"))), F.when(F.col("down"), F.struct(F.col("y").alias("q"), F.col("x").alias("i"))))
     out = sims.select("sim", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.q", "w.i", "sim")
     return out if p.least is None else out.where(F.col("sim") >= p.least)

@@ -1,10 +1,12 @@
-"""A learned partition of vectors: balanced graph partitioning, then a small classifier.
+"""A learned partition of vectors in two levels: balanced graph partitioning, then a small classifier.
 
 Follows the scheme of neural locality-sensitive hashing (Dong, Indyk, Razenshteyn,
 Wagner 2020): a k-nearest-neighbour graph of a sample is cut into parts of equal
 size with few edges between them, and a classifier learns to tell the parts of a
-vector and of its neighbours from the vector alone.  All of it works on a
-bounded sample, in numpy.
+vector and of its neighbours from the vector alone.  A first router tells the
+regions apart, and each region has a router of its own for its parts, so that
+the number of parts can follow the number of vectors while every router is
+fitted on a bounded sample, in numpy.
 """
 
 from __future__ import annotations
@@ -102,12 +104,57 @@ class Router:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + x @ self.w3 + self.b2
 
-    def top(self, x: np.ndarray, m: int) -> np.ndarray:
-        """(n, m) parts, most probable first."""
+    def log_shares(self, x: np.ndarray) -> np.ndarray:
+        """(n, parts) logarithms of the probabilities of the parts."""
         z = self.logits(x)
-        m = min(m, z.shape[1])
-        at = np.argpartition(-z, m - 1, axis=1)[:, :m]
-        return np.take_along_axis(at, np.argsort(-np.take_along_axis(z, at, axis=1), axis=1, kind="stable"), axis=1)
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def packed(self) -> "Router":
+        """The same in half the bytes, for a broadcast."""
+        return Router(*(t.astype(np.float16) for t in (self.w1, self.b1, self.w2, self.b2, self.w3)))
+
+    def unpacked(self) -> "Router":
+        return Router(*(t.astype(np.float32) for t in (self.w1, self.b1, self.w2, self.b2, self.w3)))
+
+
+def best(z: np.ndarray, m: int) -> np.ndarray:
+    """(n, m) columns with the largest values of each row, largest first."""
+    m = min(m, z.shape[1])
+    at = np.argpartition(-z, m - 1, axis=1)[:, :m]
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(z, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+class TwoLevels:
+    """A router to regions and one router in each region; parts are numbered region by region.
+
+    A part is weighed by the probability of its region times its own in the
+    region; the parts of the ``wide`` most probable regions are weighed.
+    """
+
+    def __init__(self, regions: Router, low: list[Router], wide: int = 4):
+        self.regions, self.low, self.wide = regions, [r.packed() for r in low], wide
+        self.first = np.concatenate([[0], np.cumsum([r.parts for r in low])])
+
+    @property
+    def parts(self) -> int:
+        return int(self.first[-1])
+
+    def top(self, x: np.ndarray, m: int) -> np.ndarray:
+        """(n, m) parts, most probable first; -1 where a row's regions have fewer than m."""
+        z = self.regions.log_shares(x)
+        seen = best(z, self.wide)
+        m = min(m, self.parts)
+        share = np.full((len(x), seen.shape[1], m), -np.inf, dtype=np.float32)
+        part = np.full((len(x), seen.shape[1], m), -1, dtype=np.int64)
+        for region in np.unique(seen):
+            row, place = np.nonzero(seen == region)
+            s = self.low[region].unpacked().log_shares(x[row])
+            cols = best(s, m)
+            share[row, place, : cols.shape[1]] = np.take_along_axis(s, cols, axis=1) + z[row, region][:, None]
+            part[row, place, : cols.shape[1]] = cols + self.first[region]
+        share, part = share.reshape(len(x), -1), part.reshape(len(x), -1)
+        return np.take_along_axis(part, best(share, m), axis=1)
 
 
 def train_router(x: np.ndarray, graph: np.ndarray, own: np.ndarray, parts: int, hidden: int = 128, epochs: int = 12, batch: int = 256, rate: float = 3e-3, seed: int = 11) -> Router:
@@ -116,8 +163,8 @@ def train_router(x: np.ndarray, graph: np.ndarray, own: np.ndarray, parts: int,
     n, dim = x.shape
     near = np.concatenate([own[:, None], own[graph]], axis=1) if graph.size else own[:, None]
     shapes = [(dim, hidden), (hidden,), (hidden, parts), (parts,), (dim, parts)]
-    theta = [(rng.standard_normal(s) * (1 / np.sqrt(s[0]) if len(s) > 1 else 0)).astype(np.float32) for s in shapes]
-    theta[0] *= np.float32(np.sqrt(dim))
+    theta = [(rng.standard_normal(s) * (1 / np.sqrt(max(s[0], 1)) if len(s) > 1 else 0)).astype(np.float32) for s in shapes]
+    theta[0] *= np.float32(np.sqrt(dim))  # with hidden = 0 only the linear layer is left
     m1, m2, step = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta], 0
     rows = np.arange(batch)[:, None]
     for epoch in range(epochs):
@@ -144,7 +191,7 @@ def train_router(x: np.ndarray, graph: np.ndarray, own: np.ndarray, parts: int,
     return Router(theta[0], theta[1], theta[2], theta[3], theta[4])
 
 
-def fit_router(x: np.ndarray, parts: int, k: int = 10) -> Router:
+def fit_router(x: np.ndarray, parts: int, k: int = 10, **training) -> Router:
     """Fit on unit vectors; one part if the sample is too small for more."""
     parts = max(1, min(parts, len(x) // 8))
     if parts == 1:
@@ -152,4 +199,4 @@ def fit_router(x: np.ndarray, parts: int, k: int = 10) -> Router:
         zero = lambda *s: np.zeros(s, dtype=np.float32)
         return Router(zero(dim, 1), zero(1), zero(1, 1), zero(1), zero(dim, 1))
     graph = neighbour_graph(x, k)
-    return train_router(x, graph, balanced_parts(x, graph, parts), parts)
+    return train_router(x, graph, balanced_parts(x, graph, parts), parts, **training)

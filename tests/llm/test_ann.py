@@ -68,7 +68,27 @@ def test_parts_are_balanced_and_cut_few_edges():
     assert np.bincount(own, minlength=8).max() <= np.ceil(len(x) / 8 * 1.1)
     assert (own[g] == own[:, None]).mean() > 0.7
     r = P.train_router(x, g, own, 8)
-    assert (r.top(x, 2) == own[:, None]).any(axis=1).mean() > 0.9
+    assert (P.best(r.logits(x), 2) == own[:, None]).any(axis=1).mean() > 0.9
+
+
+def test_parts_follow_the_rows_in_two_levels(spark):
+    x = clouds(5, 300, 20)
+    p = N.AnnParams(dim=DIM, probes=3, sample=1024, region_sample=512, part_rows=60)
+    reps = frame(spark, range(1, len(x) + 1), x).withColumnsRenamed({"id": "rep", "embedding": "vec"})
+    router = N.fit(reps, len(x), p)
+    assert 60 <= router.parts <= 200 and len(router.low) == 10
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    top = router.top(u, 3)
+    sizes = np.bincount(top[:, 0], minlength=router.parts)
+    assert sizes.max() < 8 * 60 and top.min() >= 0 and (np.sort(top, axis=1)[:, 1:] != np.sort(top, axis=1)[:, :-1]).all()
+    assert N.fit(reps, len(x), N.AnnParams(dim=DIM, sample=1024, region_sample=512, part_rows=60, most_parts=16)).parts <= 24
+
+
+def test_regions_with_few_parts_leave_places_open():
+    one = P.fit_router(np.zeros((0, 4), dtype=np.float32), 1, hidden=0)
+    two = P.TwoLevels(P.Router(*(np.zeros(s, dtype=np.float32) for s in ((4, 1), 1, (1, 3), 3, (4, 3)))), [one] * 3, wide=2)
+    got = two.top(np.eye(4, dtype=np.float32), 3)
+    assert got.shape == (4, 3) and (got[:, 2] == -1).all() and (got[:, :2] >= 0).all()
 
 
 @pytest.mark.parametrize("rows", [0, 1, 5])
