@@ -9,6 +9,7 @@ the first.  Only words with a failing pair go through the exact merges.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import json
@@ -30,6 +31,7 @@ WORDS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words of more bytes are cut by a table of the longest match at every place instead of in waves.
 _LONG = 64
 _CACHE = 300_000
 
@@ -44,9 +46,8 @@ def _byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Tokens, merges and the tables that the vectorised steps look up."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, text: str | bytes):
+        model = json.loads(text)["model"]
         letters = _byte_letters()
         ids: dict[str, int] = model["vocab"]
         spelled = {t: bytes(letters[c] for c in t) for t in ids if all(c in letters for c in t)}
@@ -65,10 +66,12 @@ class Vocabulary:
         self.pair_ranks = np.array([r for r, _ in self.merges.values()], np.int64)[order]
         # Tokens that no merge makes and that are not single bytes can't come out of the exact merges, so none is proposed.
         usable = {b: ids[t] for t, b in spelled.items() if len(b) == 1 or self.rank[ids[t]] >= 0}
-        self.bytes_ids = np.zeros(256, np.int64)
+        self.bytes_ids = np.full(256, -1, np.int64)
         for b, i in usable.items():
             if len(b) == 1:
                 self.bytes_ids[b[0]] = i
+        if (self.bytes_ids < 0).any():
+            raise ValueError(f"the vocabulary lacks a token for the bytes {np.flatnonzero(self.bytes_ids < 0).tolist()}")
         self.ids = usable
         self.longest = max(map(len, usable))
         names = list(usable)
@@ -102,8 +105,49 @@ def _spans(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.nda
         return (prefix[0][end] - prefix[0][start]) * prefix[1][start]
 
 
+def longest_matches(v: Vocabulary, word: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(token, size) of the longest token that starts at each byte of the word."""
+    flat = np.frombuffer(word, np.uint8)
+    prefix, n = _prefix(flat), len(flat)
+    got, length = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    open_ = np.arange(n)
+    for s in sorted(v.by_size, reverse=True):
+        try_ = open_[open_ + s <= n]
+        known, numbers = v.by_size[s]
+        h = _spans(prefix, try_, try_ + s)
+        k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[k] == h
+        got[try_[hit]], length[try_[hit]] = numbers[k[hit]], s
+        open_ = open_[got[open_] < 0]
+    return got, length
+
+
 def propose(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy longest-match tokens of all words: (tokens, word of each token), in order of word and place."""
+    """Greedy longest-match tokens of all words, none empty: (tokens, word of each token), in order of word and place.
+
+    Short words advance together, one token a wave.  A long word would need as
+    many waves as it has tokens, so it follows the table of its longest matches.
+    """
+    sizes = np.array([len(w) for w in words])
+    short = np.flatnonzero(sizes <= _LONG)
+    tokens, owners = _waves(v, [words[i] for i in short]) if len(short) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(short) == len(words):
+        return tokens, owners
+    parts, of = [tokens], [short[owners]]
+    for i in np.flatnonzero(sizes > _LONG):
+        got, length = longest_matches(v, words[i])
+        step, at, path = length.tolist(), 0, []
+        while at < len(step):
+            path.append(at)
+            at += step[at]
+        parts.append(got[path])
+        of.append(np.full(len(path), i))
+    t, o = np.concatenate(parts), np.concatenate(of)
+    order = np.argsort(o, kind="stable")
+    return t[order], o[order]
+
+
+def _waves(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(words), np.uint8)
     end = np.cumsum([len(w) for w in words])
     at = np.concatenate([[0], end[:-1]])
@@ -209,43 +253,38 @@ def merge_exactly(v: Vocabulary, word: bytes) -> list[int]:
 class Encoder:
     """Ids of texts; words that were met before are looked up."""
 
-    def __init__(self, path: str):
-        self.v = Vocabulary(path)
+    def __init__(self, text: str | bytes):
+        self.v = Vocabulary(text)
         self.words = regex.compile(WORDS)
         self.known: dict[str, list[int]] = {}
         self.merged = 0
 
+    @classmethod
+    def read(cls, path: str) -> "Encoder":
+        with open(path, "rb") as f:
+            return cls(f.read())
+
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words that are not known yet."""
         new = [w for w in words if w not in self.known]
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        short = [i for i, b in enumerate(raw) if len(b) <= _LONG]
-        for i, b in enumerate(raw):
-            if len(b) > _LONG:
-                self.known[new[i]] = merge_exactly(self.v, b)
-        if not short:
+        if not new:
             return
-        own = [raw[i] for i in short]
-        tokens, of = propose(self.v, own)
-        good = np.ones(len(own), bool)
-        if (tokens < 0).any():
-            good[of[tokens < 0]] = False
-        joined = spelled(self.v, np.maximum(tokens, 0))
-        if good.all() and len(joined) == sum(map(len, own)):
-            byte_of = np.repeat(np.arange(len(own)), [len(b) for b in own])
-            good[byte_of[joined != np.frombuffer(b"".join(own), np.uint8)]] = False
-        else:  # a clash of hashes: nothing of this batch is trusted
-            good[:] = False
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        tokens, of = propose(self.v, raw)
+        good = np.ones(len(raw), bool)
+        # Equal hashes of unequal bytes would show here.
+        byte_of = np.repeat(np.arange(len(raw)), [len(b) for b in raw])
+        good[byte_of[spelled(self.v, tokens) != np.frombuffer(b"".join(raw), np.uint8)]] = False
         side = np.flatnonzero(of[1:] == of[:-1])
         good[of[side[~compatible(self.v, tokens[side], tokens[side + 1])]]] = False
-        cuts = np.searchsorted(of, np.arange(len(own) + 1))
+        cuts = np.searchsorted(of, np.arange(len(raw) + 1))
         listed = tokens.tolist()
-        for k, i in enumerate(short):
+        for k, word in enumerate(new):
             if good[k]:
-                self.known[new[i]] = listed[cuts[k] : cuts[k + 1]]
+                self.known[word] = listed[cuts[k] : cuts[k + 1]]
             else:
                 self.merged += 1
-                self.known[new[i]] = merge_exactly(self.v, own[k])
+                self.known[word] = merge_exactly(self.v, raw[k])
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text as it is stored; a null or empty text has none."""
@@ -257,6 +296,17 @@ class Encoder:
         return [list(itertools.chain.from_iterable([known[w] for w in words])) for words in cut]
 
 
+#: The encoder of this worker process, kept from task to task.
+_KEPT: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, text: bytes) -> Encoder:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Encoder(text)
+    return _KEPT[name]
+
+
 def _characters(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most about ``most`` bytes of text, one row at least."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -271,8 +321,12 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, ids) of every row, or (id, n) with ``only_size``; special tokens are never added, their spellings are plain text.
 
     A null or an empty text has an empty list.  Rows are neither dropped nor
-    merged, whatever their id; other columns are ignored.
+    merged, whatever their id; other columns are ignored.  The vocabulary file
+    is read by the driver and goes to the workers by broadcast, a few MB.
     """
+    with open(path, "rb") as f:
+        held = f.read()
+    name, vocabulary = hashlib.sha256(held).hexdigest(), documents.sparkSession.sparkContext.broadcast(held)
     kept = documents.select(F.col(id_col), F.col(text_col).alias("_text"))
     name = documents.schema[id_col]
     value = T.StructField("n", T.LongType()) if only_size else T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -280,7 +334,7 @@ def encoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        encoder = Encoder(path)
+        encoder = _encoder(name, vocabulary.value)
         for batch in batches:
             for some in _characters(batch, "_text"):
                 found = encoder.encode(some.column("_text").to_pylist())

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from hebbspark.llm import bpe as T
 
 PATH = os.path.join(T.TOKENIZERS, "byte_bpe_50k.json")
-ENCODER = T.Encoder(PATH)
+ENCODER = T.Encoder.read(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,24 @@ def test_table(spark, library):
     sizes = T.encoded(df, only_size=True)
     assert sorted((r.doc_id or 0, r.n) for r in sizes.collect()) == sorted((r.doc_id or 0, len(r.ids)) for r in out)
     assert T.encoded(df.limit(0)).count() == 0
+
+
+def test_long_words_are_speculated_too(library):
+    word = "the quick".replace(" ", "") * 30 + "zq" * 40 + "information" * 12
+    e = T.Encoder.read(PATH)
+    e.learn([word, "short", "x" * 64, "x" * 65, "abc" * 2000])
+    assert all(e.known[w] == library.encode(w, add_special_tokens=False).ids for w in e.known)
+    tokens, of = T.propose(e.v, [word.encode(), b"short"])
+    assert of.tolist() == sorted(of.tolist()) and T.spelled(e.v, tokens).tobytes() == word.encode() + b"short"
+    clean = "information" * 12
+    f = T.Encoder.read(PATH)
+    f.learn([clean])
+    assert f.merged == 0 and f.known[clean] == library.encode(clean, add_special_tokens=False).ids
+
+
+def test_a_vocabulary_without_some_byte_is_an_error():
+    import json
+
+    model = {"vocab": {chr(c): i for i, c in enumerate(range(0x21, 0x7F))}, "merges": []}
+    with pytest.raises(ValueError, match="lacks a token"):
+        T.Vocabulary(json.dumps({"model": model}))
