@@ -132,10 +132,10 @@ def distinctive_terms(records: DataFrame, id_col: str = "id", text_col: str = "t
 def top_terms(scored: DataFrame, k: int = 3) -> DataFrame:
     """Of each record the k terms with the highest n ln(N/d), rounded to 6 decimals, ties by term: (id, term, n, df, score, weight).
 
-    An exact ranking over the rows of ``distinctive_terms``; rows without a
-    score take no part.
+    An exact ranking over the rows of ``distinctive_terms`` by the stated
+    weight; the score comes along and has no part in the ranking.
     """
     weight = F.round(F.col("n") * F.log(F.col("records") / F.col("df")), 6)
     order = Window.partitionBy("id").orderBy(F.col("weight").desc(), F.col("term"))
-    rows = scored.where(F.col("score").isNotNull() & ~F.isnan("score")).withColumn("weight", weight)
-    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("id", "term", "n", "df", "score", "weight")
+    ranked = scored.withColumn("weight", weight).withColumn("_k", F.row_number().over(order))
+    return ranked.where(F.col("_k") <= k).select("id", "term", "n", "df", "score", "weight")
