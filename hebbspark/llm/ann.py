@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hebbspark.llm.partition import TwoLevels, best, fit_router
+from hebbspark.session import written
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,8 @@ class AnnParams:
     2 * (dim + 1) bytes a part: 17 MB, reached at 134 million vectors, from where
     on a larger table has larger parts unless it is raised.  index_block and
     query_block bound a tile; a query with more than k + extra possible
-    neighbours in a tile meets the tile's stored vectors.
+    neighbours in a tile meets the tile's stored vectors, unless all such
+    queries of the tile have no more pairs than it has stored vectors.
     """
 
     dim: int = 128
@@ -74,7 +76,7 @@ def vector_classes(vectors: DataFrame, p: AnnParams, id_col: str, vector_col: st
     # One exchange of the vectors, by the id that later joins use.
     one = rows.dropDuplicates(["id"]).withColumn("top", top).withColumn("h1", F.xxhash64(plain)).withColumn("h2", F.xxhash64(F.lit(1), plain)).drop("top").persist()
     named = one.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = one.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("rep", "id").persist()
+    members = written(one.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("rep", "id"), "members")
     reps = one.select(F.col("id").alias("rep"), "vec").join(members.where(F.col("rep") == F.col("id")).select("rep"), "rep", "left_semi")
     return reps, members
 
@@ -201,6 +203,7 @@ def _tile(p: AnnParams, keep: int):
         ii, x, xe = vectors(stored.sort_by("rep"))
         part, ib, qb = (k.as_py() for k in key)
         found: list[tuple[np.ndarray, ...]] = []
+        room = len(ii)
         for at in range(0, len(qi) if len(ii) else 0, 512):
             s = q[at : at + 512] @ x.T
             names, slack = qi[at : at + 512], qe[at : at + 512] + np.float32(_FLOAT)
@@ -212,7 +215,10 @@ def _tile(p: AnnParams, keep: int):
                 low = s[many] - xe
                 kth = np.partition(low, len(ii) - p.k, axis=1)[:, len(ii) - p.k]
                 may[many] &= s[many] + xe >= (kth - 2 * slack[many] - np.float32(_ROUND))[:, None]
-                still = np.count_nonzero(may[many], axis=1) > keep
+                # As many pairs of such queries as there are stored vectors cost no more than those would.
+                count = np.count_nonzero(may[many], axis=1)
+                still = (count > keep) & (np.cumsum(np.where(count > keep, count, 0)) > room)
+                room -= int(count[(count > keep) & ~still].sum())
                 many, low = many[still], low[still]
             if len(many):
                 high = np.where(may[many], s[many] + xe, np.float32(-9)).max(axis=1) + slack[many]
@@ -277,13 +283,14 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     """
     rows = reps.count()
     router = fit(reps, rows, p)
-    placed = routed(reps, router, p).persist()
+    placed = written(routed(reps, router, p), "placed")
     ask = placed if asking is None else placed.join(asking, "rep", "left_semi")
     # How many blocks a part has: one row for each part, at most most_parts.
     home = F.element_at("parts", 1).alias("part")
     heard = ask.select(F.explode("parts").alias("part"), F.lit(0).alias("s"), F.lit(1).alias("a"))
     many = lambda name, block: F.greatest(F.ceil(F.sum(name) / block), F.lit(1)).cast("int")
-    blocks = placed.select(home, F.lit(1).alias("s"), F.lit(0).alias("a")).unionByName(heard).groupBy("part").agg(many("s", p.index_block).alias("ni"), many("a", p.query_block).alias("nq")).persist()
+    blocks = placed.select(home, F.lit(1).alias("s"), F.lit(0).alias("a")).unionByName(heard).groupBy("part").agg(many("s", p.index_block).alias("ni"), many("a", p.query_block).alias("nq"))
+    blocks = written(blocks, "blocks")
     own = {k: F.pmod(F.xxhash64(F.lit(7), "rep"), F.col(f"n{k}")).cast("int") for k in "iq"}
     spread = {k: F.explode(F.sequence(F.lit(0), F.col(f"n{k}") - 1)) for k in "iq"}
     index = placed.select("rep", "v", "e", home).join(F.broadcast(blocks), "part").select("rep", "v", "e", F.lit(False).alias("asks"), "part", own["i"].alias("ib"), spread["q"].alias("qb"))
@@ -291,7 +298,8 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     met = index.unionByName(query).groupBy("part", "ib", "qb").applyInArrow(_tile(p, p.k + p.extra), _MET)
     per = Window.partitionBy("q")
     met = met.withColumn("r", F.row_number().over(per.orderBy(F.col("low").desc()))).withColumn("kth", F.max(F.when(F.col("r") == p.k, F.col("low"))).over(per))
-    met = met.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth") - F.lit(_ROUND))).drop("r", "kth").persist()
+    met = met.where(F.col("kth").isNull() | (F.col("high") >= F.col("kth") - F.lit(_ROUND))).drop("r", "kth")
+    met = written(met, "met")
     chosen = met.where(F.col("ib") < 0).select("q", "i")
     crowded = met.where(F.col("ib") >= 0).select(F.col("q").alias("rep"), "part", "ib", "qb")
     if not crowded.isEmpty():

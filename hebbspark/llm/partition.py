@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def neighbour_graph(x: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     """(n, k) indices of the most similar rows of unit vectors, by brute force in blocks."""
     n = len(x)
     k = min(k, n - 1)
