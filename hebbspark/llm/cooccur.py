@@ -18,15 +18,16 @@ from hebbspark.session import written
 BLOCK = 256
 
 
-def valid_events(events: DataFrame, items: DataFrame, a: str = "a", b: str = "b", basket: str = "tick", item_id: str = "id") -> DataFrame:
+def valid_events(events: DataFrame, items: DataFrame, a: str = "a", b: str = "b", basket: str = "tick", item_id: str = "id", head_limit: int = HEAD_LIMIT) -> DataFrame:
     """(a, b, basket) of the rows whose two items differ, are above 0 and are both listed; null baskets are dropped."""
     rows = events.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(basket).alias("basket"))
     rows = rows.where((F.col("a") > 0) & (F.col("b") > 0) & (F.col("a") != F.col("b")) & F.col("basket").isNotNull())
-    listed = items.select(F.col(item_id).alias("x")).where(F.col("x").isNotNull()).distinct()
-    unknown = rows.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(listed, "x", "left_anti")
+    ends = rows.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    known = written(ends.join(items.select(F.col(item_id).alias("x")).distinct(), "x", "left_semi"), "known")
+    # One item may be an end of a large share of all rows: such are looked up.
     for end in ("a", "b"):
-        rows = rows.join(unknown.select(F.col("x").alias(end)), end, "left_anti")
-    return rows
+        rows = lookup_join(rows, known.withColumnRenamed("x", end), end, "n", head_limit).drop("n")
+    return rows.select("a", "b", "basket")
 
 
 def basket_items(events: DataFrame) -> DataFrame:
@@ -34,17 +35,17 @@ def basket_items(events: DataFrame) -> DataFrame:
     return events.select("basket", F.explode(F.array("a", "b")).alias("x")).distinct()
 
 
-def collapsed_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
+def collapsed_pairs(items: DataFrame, block: int = BLOCK, head_limit: int = HEAD_LIMIT) -> DataFrame:
     """(a, b, n): in how many baskets each pair a < b is, of (basket, x) rows that are distinct.
 
     Baskets of up to ``block`` items become sorted arrays, equal arrays one row
     with a weight.  Larger baskets are never gathered: equal ones are found by
     count and two hash sums, and one of each is enumerated block against block,
-    so that no task holds more than two blocks of about ``block`` items.
+    so that no task holds more than two blocks of about ``block`` items, and
+    their sizes and weights are looked up, so that no task gets a whole basket.
     """
-    sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") > block)
-    arrays = items.join(large.select("basket"), "basket", "left_anti").groupBy("basket").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    sized = lookup_join(items, items.groupBy("basket").agg(F.count(F.lit(1)).alias("size")), "basket", "size", head_limit)
+    arrays = sized.where(F.col("size") <= block).groupBy("basket").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     weighed = arrays.where(F.size("xs") > 1).groupBy("xs").agg(F.count(F.lit(1)).alias("w"))
     pairs = (
         weighed.select("w", "xs", F.posexplode("xs").alias("i", "a"))
@@ -52,14 +53,15 @@ def collapsed_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("w", "a", F.explode(F.expr("slice(xs, i + 2, size(xs))")).alias("b"))
     )
 
-    members = items.join(large, "basket").withColumn("g", F.pmod(F.xxhash64("x"), F.ceil(F.col("size") / block)))
+    members = sized.where(F.col("size") > block).withColumn("g", F.pmod(F.xxhash64("x"), F.ceil(F.col("size") / block)))
     prints = members.groupBy("basket").agg(
         F.first("size").alias("size"),
         F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("h1"),
         F.sum(F.xxhash64(F.lit(1), "x").cast("decimal(38,0)")).alias("h2"),
     )
-    chosen = prints.groupBy("size", "h1", "h2").agg(F.min("basket").alias("basket"), F.count(F.lit(1)).alias("w")).select("basket", "w")
-    blocks = members.join(chosen, "basket").groupBy("basket", "w", "size", "g").agg(F.collect_list("x").alias("xs"))
+    chosen = prints.groupBy("size", "h1", "h2").agg(F.min("basket").alias("basket"), F.count(F.lit(1)).alias("w"))
+    chosen = chosen.select("basket", "w", F.col("size").alias("rows"))
+    blocks = lookup_join(members, chosen, "basket", "rows", head_limit).groupBy("basket", "w", "size", "g").agg(F.collect_list("x").alias("xs"))
     met = blocks.select("basket", "w", "xs", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)).alias("other"))
     keyed = met.select("basket", "w", F.least("g", "other").alias("g1"), F.greatest("g", "other").alias("g2"), "g", "xs")
     left = keyed.where(F.col("g") == F.col("g1")).select("basket", "w", "g1", "g2", F.col("xs").alias("ys"))
@@ -79,14 +81,14 @@ def cooccurring(events: DataFrame, items: DataFrame, min_count: int = 5, min_lif
     a basket do not count; repeated rows count once; an empty table gives an
     empty result.  ``columns`` renames a, b, basket, item_id.
     """
-    member = written(basket_items(valid_events(events, items, **columns)), "baskets")
+    member = written(basket_items(valid_events(events, items, head_limit=head_limit, **columns)), "baskets")
     total = member.select("basket").distinct().count()
     counts = member.groupBy("x").agg(F.count(F.lit(1)).alias("n_x")).withColumn("baskets", F.lit(total).cast("long"))
     flagged = counts.withColumn("keep", (F.col("n_x") >= min_count) & (F.col("n_x") * F.lit(min_lift) <= F.col("baskets")))
     flagged = written(flagged, "items")
     kept = lookup_join(member, flagged, "x", "n_x", head_limit).where("keep").select("basket", "x")
     kept = written(kept, "kept")
-    often = collapsed_pairs(kept, block).where(F.col("n") >= min_count)
+    often = collapsed_pairs(kept, block, head_limit).where(F.col("n") >= min_count)
     of = flagged.where("keep")
     out = often.join(of.select(F.col("x").alias("a"), F.col("n_x").alias("n_a"), "baskets"), "a").join(of.select(F.col("x").alias("b"), F.col("n_x").alias("n_b")), "b")
     out = out.where(F.col("n") * F.col("baskets") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
