@@ -164,21 +164,21 @@ def able(rows: DataFrame, p: NearDupParams) -> DataFrame:
 
 def classes(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """(id, class): records of one key with the same shingles and counts are one class, named by its smallest id."""
-    prints = able(rows, p).select("id", "k", F.xxhash64("hs").alias("h1"), F.xxhash64(F.lit(1), "hs").alias("h2"))
-    heads = prints.groupBy("k", "h1", "h2").agg(F.min("id").alias("class"))
-    return prints.join(heads, ["k", "h1", "h2"]).select("id", "class")
+    prints = able(rows, p).select("id", F.struct("k", F.xxhash64("hs").alias("h1"), F.xxhash64(F.lit(1), "hs").alias("h2")).alias("print"))
+    heads = prints.groupBy("print").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
+    return lookup_join(prints, heads, "print", "n", p.head_limit).select("id", "class")
 
 
 def weighted_sets(rows: DataFrame, members: DataFrame, p: NearDupParams) -> DataFrame:
     """(rep, k, hs, idfs, ws): hashes and TF-IDF weights of each representative's shingles.
 
-    The weight is (1 + ln n) ln(1 + N / d); N and d are of all rows, and a count n over 32,767 weighs as that.
+    The weight is (1 + ln n) ln(1 + N / d); N and d are of all rows.
     """
     total = rows.where(F.size("hs") > 0).count()
     every = rows.select(F.explode(F.array_distinct("hs")).alias("h"))
     spread = every.groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + F.lit(float(total)) / F.col("df")).cast("float"))
     mine = able(rows, p).join(members.where(F.col("id") == F.col("class")).select("id"), "id", "left_semi")
-    counted = mine.select("id", "k", F.explode("hs").alias("h")).groupBy("id", "k", "h").agg(F.least(F.count(F.lit(1)), F.lit(32767)).cast("short").alias("n"))
+    counted = mine.select("id", "k", F.explode("hs").alias("h")).groupBy("id", "k", "h").agg(F.count(F.lit(1)).cast("int").alias("n"))
     weighed = lookup_join(counted, spread, "h", "df", p.head_limit)
     # Grouped by id alone, so that joins on it need no further exchange; the lists are filled row by row and stay aligned.
     sets = weighed.groupBy("id").agg(F.first("k").alias("k"), F.collect_list("h").alias("hs"), F.collect_list("idf").alias("idfs"), F.collect_list("n").alias("ns"))
@@ -186,12 +186,18 @@ def weighted_sets(rows: DataFrame, members: DataFrame, p: NearDupParams) -> Data
     return sets.select(F.col("id").alias("rep"), "k", "hs", "idfs", weigh.alias("ws"))
 
 
+#: One over the share of all rows from which a bucket is set apart.
+_HOT = 65_536
+
+
 def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b), distinct, a < b: pairs of representatives of one key that may be similar enough."""
     each = band_buckets(sets, p).select("rep", "m", F.explode("buckets").alias("bucket")).persist()
-    # Buckets that a 64th of the rows already shows to be crowded are set apart before the exchange, at most 65,536 of them.
-    seen = each.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(64)) == 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    hot = seen.where(F.col("c") >= max(8, p.bucket_limit // 16)).orderBy(F.col("c").desc()).limit(65_536).select("bucket").persist()
+    # Buckets with a 65,536th of the rows of a 64th of the table are set apart before the exchange.  There can be no more than
+    # 65,536 of them, and of what is left no bucket is a large share of the exchange.
+    seen = each.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(64)) == 0).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).persist()
+    rows = seen.agg(F.sum("c")).first()[0] or 0
+    hot = seen.where(F.col("c") >= max(8, p.bucket_limit // 16, -(-rows // _HOT))).select("bucket").persist()
     in_bucket = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     met = written(each.join(F.broadcast(hot), "bucket", "left_anti").withColumn("size", in_bucket).where(F.col("size") > 1), "buckets")
     # Sets of sizes m and n have a similarity of at most min / max.
@@ -222,6 +228,33 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
     return met.where(F.col("jaccard") >= p.similarity)
 
 
+def connected(links: DataFrame, head_limit: int = HEAD_LIMIT) -> DataFrame:
+    """(node, group) of every node with a link: the smallest node that a chain of links leads to.
+
+    Alternating large and small stars (Kiveris and others 2014): each step hangs
+    a node's neighbours below its smallest one, first the larger, then the
+    smaller, until nothing changes; the steps grow with the logarithm of the
+    longest chain.  Every step is a table, and the smallest neighbours of hubs
+    are looked up, so neither lineage nor a hub's links meet in one place.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    print_ = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    was = print_(edges)
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        edges = written(lookup_join(both, least, "u", "n", head_limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        # Every edge now leads from a larger to a smaller node.
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = lookup_join(edges, least, "u", "n", head_limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        now = print_(edges)
+        if now == was:
+            break
+        was = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("group")).distinct())
+
+
 @dataclass
 class NearDuplicates:
     """members: (id, class) of every record that takes part; links: (a, b, weighted, jaccard) between classes."""
@@ -229,13 +262,19 @@ class NearDuplicates:
     members: DataFrame
     links: DataFrame
 
-    def groups(self) -> DataFrame:
-        """(id, class, copies, links): one row per record; links counts the other records that it is similar to."""
+    def groups(self, head_limit: int = HEAD_LIMIT) -> DataFrame:
+        """(id, class, copies, links, group): one row per record.
+
+        links counts the other records that it is similar to; records that a
+        chain of links connects have one group, the smallest id among them.
+        """
         size = self.members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
         both = self.links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(self.links.select(F.col("b").alias("class"), F.col("a").alias("other")))
         far = both.join(size.select(F.col("class").alias("other"), "copies"), "other").groupBy("class").agg(F.sum("copies").alias("far"))
-        per = size.join(far, "class", "left").select("class", "copies", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
-        return self.members.select("id", "class").join(per, "class").select("id", "class", "copies", "links")
+        grouped = connected(self.links.select("a", "b"), head_limit)
+        per = size.join(far, "class", "left").join(grouped.withColumnRenamed("node", "class"), "class", "left")
+        per = per.select("class", "copies", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"), F.coalesce("group", "class").alias("group"))
+        return lookup_join(self.members.select("id", "class"), per, "class", "copies", head_limit).select("id", "class", "copies", "links", "group")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: every pair of records, copies expanded."""

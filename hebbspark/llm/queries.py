@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hebbspark.functions.text import STOP_WORDS
 from hebbspark.llm import ann, bpe, cooccur, neardup, packing, subjects, terms
 
 
@@ -19,6 +20,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.top_terms(scored, 3).select("id", "term")
 
 
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every term of every memory by which it marks out the memory."""
+    scored = terms.distinctive_terms(_table(spark, folder, "memories"))
+    return scored.select("id", "term", "n", (F.round("log_p", 4) + F.lit(0.0)).alias("log_p"), (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
 NEAR_MEMORIES = neardup.NearDupParams(similarity=0.7, shingle=1, least_terms=18)
 
 
@@ -88,14 +95,10 @@ def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets, p7_found, p7_composition)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets, p7_found, p7_composition)}
 
 
-# The stop words of the token rule, as a DuckDB list.
-_STOP = (
-    "['a','an','the','is','are','was','were','be','been','to','of','and','or','in','on','at','for','with','it','its','that','this',"
-    "'did','does','do','what','when','where','who','how','which','would','could','should']"
-)
+_STOP = str(STOP_WORDS)
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: NOT list_contains({_STOP}, t))"
 
 _P1 = f"""
@@ -107,6 +110,23 @@ s AS (SELECT n.id, n.term, round(n.n * ln((SELECT count(DISTINCT id) FROM n)::DO
 SELECT id, term FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, term) <= 3
 """
 
+# The upper tail is summed as it stands: of L terms of a memory n are the term, which stands K times among all M terms.
+_P1_SCORES = f"""
+WITH m AS (SELECT DISTINCT id, text FROM memories WHERE id IS NOT NULL),
+t AS (SELECT id, unnest({_TERMS}) AS term FROM m),
+n AS (SELECT id, term, count(*) AS n FROM t GROUP BY id, term),
+l AS (SELECT id, sum(n)::BIGINT AS l FROM n GROUP BY id),
+d AS (SELECT term, count(*) AS d, sum(n)::BIGINT AS k FROM n GROUP BY term),
+u AS (SELECT count(*) AS m FROM t),
+f AS (SELECT n.id, n.term, n.n, l.l, d.k, u.m FROM n JOIN l USING (id) JOIN d USING (term), u WHERE d.d >= 2),
+q AS (SELECT *, least(0, ln(list_sum(list_transform(range(n, least(l, k) + 1), lambda j: exp(
+  lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(m - k + 1) - lgamma(l - j + 1) - lgamma(m - k - l + j + 1)
+  - lgamma(m + 1) + lgamma(l + 1) + lgamma(m - l + 1)))))) AS p FROM f),
+r AS (SELECT *, count(*) OVER (PARTITION BY id) AS c, row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, term) AS r FROM q),
+s AS (SELECT *, least(0, min(p + ln(c) - ln(c - r + 1)) OVER (PARTITION BY id ORDER BY r)) AS lq FROM r)
+SELECT id, term, n, round(p, 4) + 0.0e0 AS log_p, round(-lq, 4) + 0.0e0 AS score FROM s
+"""
+
 _P2_PAIRS = f"""
 WITH m AS (SELECT DISTINCT id, text, writer FROM memories WHERE id IS NOT NULL),
 t AS (SELECT id, lower(trim(writer)) AS w, list_distinct({_TERMS}) AS s FROM m WHERE trim(writer) <> ''),
@@ -118,13 +138,14 @@ p AS (SELECT x.id AS id_a, y.id AS id_b, x.c + y.c AS c, count(*) AS both_n FROM
 _P2 = _P2_PAIRS + "SELECT id_a, id_b FROM p WHERE both_n >= 0.7::DOUBLE * (c - both_n)"
 
 _P2_GROUPS = (
-    _P2_PAIRS
+    _P2_PAIRS.replace("WITH", "WITH RECURSIVE", 1)
     + f"""
 , z AS (SELECT id, lower(trim(writer)) AS w, list_sort({_TERMS}) AS s FROM m WHERE trim(writer) <> '' AND len(list_distinct({_TERMS})) >= 18),
 l AS (SELECT id_a AS id, id_b AS o FROM p WHERE both_n >= 0.7::DOUBLE * (c - both_n) UNION ALL SELECT id_b, id_a FROM p WHERE both_n >= 0.7::DOUBLE * (c - both_n)),
-c AS (SELECT id, count(*) AS links FROM l GROUP BY id)
-SELECT z.id, min(z.id) OVER v AS "class", count(*) OVER v AS copies, coalesce(c.links, 0) AS links
-FROM z LEFT JOIN c ON c.id = z.id WINDOW v AS (PARTITION BY z.w, z.s)
+c AS (SELECT id, count(*) AS links FROM l GROUP BY id),
+g AS (SELECT id, id AS at FROM z UNION SELECT g.id, l.o FROM g JOIN l ON l.id = g.at)
+SELECT z.id, min(z.id) OVER v AS "class", count(*) OVER v AS copies, coalesce(c.links, 0) AS links, r."group"
+FROM z LEFT JOIN c ON c.id = z.id JOIN (SELECT id, min(at) AS "group" FROM g GROUP BY id) r ON r.id = z.id WINDOW v AS (PARTITION BY z.w, z.s)
 """
 )
 
@@ -155,4 +176,4 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4}
+    return {"p1_found": _P1, "p1_scores": _P1_SCORES, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4}

@@ -56,8 +56,8 @@ def test_crowded_buckets_lose_nothing(spark):
 
 def test_groups_count_links(spark):
     rows = [(1, "a b c d e f g h", "w"), (2, "a b c d e f g h", "w"), (3, "a b c d e f g z", "w"), (4, "q r s t", "w")]
-    out = {r.id: (r["class"], r.copies, r.links) for r in D.near_duplicates(spark.createDataFrame(rows, "id long, text string, writer string"), SETS, key=writer_key()).groups().collect()}
-    assert out == {1: (1, 2, 2), 2: (1, 2, 2), 3: (3, 1, 2), 4: (4, 1, 0)}
+    out = {r.id: (r["class"], r.copies, r.links, r.group) for r in D.near_duplicates(spark.createDataFrame(rows, "id long, text string, writer string"), SETS, key=writer_key()).groups().collect()}
+    assert out == {1: (1, 2, 2, 1), 2: (1, 2, 2, 1), 3: (3, 1, 2, 1), 4: (4, 1, 0, 4)}
 
 
 def test_five_word_shingles_by_default(spark):
@@ -93,3 +93,43 @@ def test_rare_terms_that_differ_lose_no_pair(spark, limit):
     df = spark.createDataFrame(rows, "id long, text string, writer string")
     p = D.NearDupParams(similarity=0.7, shingle=1, least_terms=18, bucket_limit=limit)
     assert found(df, p) == truth(rows, 0.7, 18) and len(truth(rows, 0.7, 18)) == 19_900
+
+
+@pytest.mark.parametrize("head_limit", [1, 16_384])
+def test_connected_groups(spark, head_limit):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(i, 300) for i in range(200, 210)] + [(400, 401), (401, 400), (400, 400)]
+    links += [(b, a) for a, b in rng.sample(links, 20)]
+    want: dict[int, int] = {}
+    for nodes in (range(1, 41), range(100, 160), [*range(200, 210), 300], (400, 401)):
+        want.update({n: min(nodes) for n in nodes})
+    got = D.connected(spark.createDataFrame(links, "a long, b long"), head_limit).collect()
+    assert {r.node: r.group for r in got} == want and len(got) == len(want)
+    assert D.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_very_frequent_terms_keep_their_counts(spark):
+    rows = [(1, "q " * 40_000 + "x b", "w"), (2, "q " * 90_000 + "x b", "w"), (3, "q " * 5 + "x b", "w")]
+    df = spark.createDataFrame(rows, "id long, text string, writer string")
+    p = D.NearDupParams(similarity=0.7, shingle=1, least_terms=3)
+    links = {(r.a, r.b): r.weighted for r in D.near_duplicates(df, p, key=writer_key()).links.collect()}
+    idf = np.log(1 + 1)
+    weight = lambda n: (1 + np.log(n)) * idf
+    assert links[1, 2] == pytest.approx((weight(40_000) + 2 * idf) / (weight(90_000) + 2 * idf), rel=1e-5)
+
+
+def test_more_crowded_buckets_than_are_set_apart_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "_HOT", 1)
+    rng = random.Random(9)
+    base = rng.sample(WORDS, 30)
+    rows = [(i, " ".join([*base, f"x{i}", f"y{i % 9}"]), "ann") for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "id long, text string, writer string")
+    assert found(df, D.NearDupParams(similarity=0.7, shingle=1, least_terms=3, bucket_limit=4)) == truth(rows, 0.7, 3)
+
+
+def test_one_text_in_a_third_of_all_rows(spark):
+    rng = random.Random(12)
+    rows = [(i, "same words here now again", "ann") for i in range(1, 41)] + [(100 + i, " ".join(rng.sample(WORDS, 6)), "ann") for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, text string, writer string")
+    out = D.near_duplicates(df, SETS, key=writer_key()).groups(head_limit=2).collect()
+    assert len(out) == 120 and {(r["class"], r.copies, r.links) for r in out if r.id < 100} == {(1, 40, 39)}
