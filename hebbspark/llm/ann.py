@@ -4,7 +4,7 @@ Routers in two levels, each fitted on a bounded sample (``partition``), send
 every vector to the part it most probably belongs to, where it is indexed, and
 as a query to the ``probes`` most probable parts.  The parts number the vectors
 divided by a constant, so the work for a vector does not grow with the table.  Inside a part, queries meet the index in tiles
-of bounded size on eight-bit copies of the vectors.  Each copy carries its
+of bounded size on twelve-bit copies of the vectors.  Each copy carries its
 distance from the vector, so that a meeting has proven bounds; every meeting
 that these do not exclude is computed again from the stored values in double
 precision, pair by pair where a query has few in a tile, else in a second tile
@@ -144,8 +144,21 @@ def fit(reps: DataFrame, rows: int, p: AnnParams) -> TwoLevels:
 _ROUTED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("e", T.FloatType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
 
 
+def _pack(x: np.ndarray) -> np.ndarray:
+    """Numbers of twelve bits as bytes: the upper eight bits of all, then the lower four of two in one byte."""
+    low = np.zeros((len(x), -(-x.shape[1] // 2) * 2), np.uint8)
+    low[:, : x.shape[1]] = x & 15
+    return np.concatenate([(x >> 4).astype(np.int8).view(np.uint8), low[:, ::2] | low[:, 1::2] << 4], axis=1)
+
+
+def _unpack(raw: np.ndarray, dim: int) -> np.ndarray:
+    high, low = raw[:, :dim].view(np.int8).astype(np.float32), raw[:, dim:]
+    both = np.stack([low & 15, low >> 4], axis=2).reshape(len(raw), -1)[:, :dim]
+    return high * np.float32(16) + both.astype(np.float32)
+
+
 def routed(reps: DataFrame, router: TwoLevels, p: AnnParams) -> DataFrame:
-    """(rep, v, e, parts): an eight-bit copy of each vector, how far their directions are apart at most, and its most probable parts."""
+    """(rep, v, e, parts): a twelve-bit copy of each vector, how far their directions are apart at most, and its most probable parts."""
     spark = reps.sparkSession
     model = spark.sparkContext.broadcast(router)
 
@@ -155,11 +168,12 @@ def routed(reps: DataFrame, router: TwoLevels, p: AnnParams) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
                 x = _unit(some.column("vec"), p.dim)
-                small = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+                small = np.rint(x * (2047 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16)
                 copy = small.astype(np.float64)
                 e = np.linalg.norm(x - copy / np.linalg.norm(copy, axis=1, keepdims=True), axis=1) + 1e-6
-                raw = pa.py_buffer(small.tobytes())
-                places = pa.py_buffer((np.arange(len(x) + 1) * p.dim).astype(np.int32).tobytes())
+                packed = _pack(small)
+                raw = pa.py_buffer(packed.tobytes())
+                places = pa.py_buffer((np.arange(len(x) + 1) * packed.shape[1]).astype(np.int32).tobytes())
                 v = pa.Array.from_buffers(pa.binary(), len(x), [None, places, raw])
                 top = r.top(x.astype(np.float32), p.probes).astype(np.int32)
                 ends = pa.array(np.concatenate([[0], np.cumsum((top >= 0).sum(axis=1))]).astype(np.int32))
@@ -193,7 +207,7 @@ def _tile(p: AnnParams, keep: int):
             return np.zeros(0, np.int64), np.zeros((0, p.dim), np.float32), np.zeros(0, np.float32)
         _, ends, raw = a.buffers()
         ends = np.frombuffer(ends, np.int32)[a.offset : a.offset + len(a) + 1]
-        x = np.frombuffer(raw, np.int8)[ends[0] : ends[-1]].reshape(-1, p.dim).astype(np.float32)
+        x = _unpack(np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]].reshape(len(a), -1), p.dim)
         return table.column("rep").to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True), table.column("e").to_numpy()
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

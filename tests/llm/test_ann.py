@@ -112,3 +112,9 @@ def test_multiples_are_one_class(spark):
     rows = np.concatenate([x, 3 * x, 0.25 * x, -x])
     reps, members = N.vector_classes(frame(spark, range(1, 13), rows), N.AnnParams(dim=DIM), "id", "embedding")
     assert {(r.rep, r.id) for r in members.collect()} == {(i if k < 3 else i + 9, i + 3 * k) for i in (1, 2, 3) for k in range(4)} and reps.count() == 6
+
+
+@pytest.mark.parametrize("dim", [7, 16])
+def test_twelve_bit_copies_come_back(dim):
+    x = np.random.default_rng(3).integers(-2047, 2048, (50, dim)).astype(np.int16)
+    assert (N._unpack(N._pack(x), dim) == x).all() and N._pack(x).shape[1] == dim + -(-dim // 2)
