@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hebbspark.operators.edges import at_tick
 from hebbspark.operators.ranking import stable_topk
+from hebbspark.operators.skew import hot_keys, salted_join
 from hebbspark.params import EdgeParams
 
 DIGITS = 12
@@ -23,8 +24,9 @@ DIGITS = 12
 def transitions(adj: DataFrame, tick: int | Column, p: EdgeParams, scope: Sequence[str] = ()) -> DataFrame:
     """(scope, src, dst, share): the share of a node's mass that each neighbour gets at the tick."""
     read = at_tick(adj, tick, p).where(F.col("now") > 0).select(*scope, "src", "dst", "now")
-    mass = read.groupBy(*scope, "src").agg(F.sum("now").alias("mass"))
-    return read.join(mass, [*scope, "src"]).select(*scope, "src", "dst", (F.col("now") / F.col("mass")).alias("share"))
+    mass = read.groupBy(*scope, "src").agg(F.sum("now").alias("mass"), F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(mass, [*scope, "src"], "_n")
+    return salted_join(read, mass.drop("_n"), [*scope, "src"], hot).select(*scope, "src", "dst", (F.col("now") / F.col("mass")).alias("share"))
 
 
 @dataclass
@@ -51,18 +53,25 @@ def valid_seeds(seeds: DataFrame, trans: DataFrame, scope: Sequence[str] = ()) -
     return sound.where(F.col("node") <= F.col("_top")).groupBy("query_id", *scope, "node").agg(F.sum("weight").alias("score"))
 
 
-def activate(seeds: DataFrame, trans: DataFrame, hops: int = 2, cutoff: float = 1e-3, cap: int | None = 64, scope: Sequence[str] = (), merge: bool = True) -> Activation:
+def hubs(trans: DataFrame, scope: Sequence[str] = (), least: int | None = None) -> list[int]:
+    """The nodes whose rows hold a large share of all transitions, for ``activate``."""
+    return hot_keys(trans.groupBy(*scope, "src").agg(F.count(F.lit(1)).alias("_n")), [*scope, "src"], "_n", least=least)
+
+
+def activate(seeds: DataFrame, trans: DataFrame, hops: int = 2, cutoff: float = 1e-3, cap: int | None = 64, scope: Sequence[str] = (), merge: bool = True, hot: Sequence[int] | None = None) -> Activation:
     """Spread seeds (query_id, scope, node, weight) over ``trans``.
 
     Scores are the sums over all hops, the seeds' own weight included; the
     ``cap`` best of each query stay, and of them those at the cutoff or above.
-    Without ``merge`` every path is followed on its own.
+    Without ``merge`` every path is followed on its own.  The rows of hubs
+    (``hot``, found by ``hubs`` if not given) are spread over several tasks.
     """
+    hot = hubs(trans, scope) if hot is None else hot
     key = ["query_id", *scope]
     front = valid_seeds(seeds, trans, scope)
     fronts, arcs = [front], []
     for hop in range(1, hops + 1):
-        met = front.withColumnRenamed("node", "src").join(trans, [*scope, "src"])
+        met = salted_join(trans, front.withColumnRenamed("node", "src"), [*scope, "src"], hot)
         step = met.select(*key, F.lit(hop).alias("hop"), "src", "dst", (F.col("score") * F.col("share")).alias("contribution")).where(F.col("contribution") >= cutoff)
         # Kept: the next hop, the sums and the paths all read them.
         step = step.persist()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hebbspark.functions.decay import decayed, factor
+from hebbspark.operators.ranking import numbered
 from hebbspark.params import EdgeParams
 
 SEQ_BLOCK = 1 << 20
@@ -33,11 +34,28 @@ def other_end(node: Column) -> Column:
     return F.when(F.col("a") == node, F.col("b")).otherwise(F.col("a"))
 
 
-def clique_pairs(sets: DataFrame, group: Sequence[str], node: str = "node") -> DataFrame:
-    """All pairs a < b of the distinct nodes of each group; groups of fewer than two give none."""
-    one = sets.select(*group, node).where(F.col(node) > 0).distinct()
-    x, y = one.withColumnRenamed(node, "a"), one.withColumnRenamed(node, "b")
-    return x.join(y, list(group)).where("a < b").select(*group, "a", "b")
+#: Nodes of a group that are enumerated against each other in one place.
+CLIQUE_BLOCK = 256
+
+
+def clique_pairs(sets: DataFrame, group: Sequence[str], node: str = "node", block: int = CLIQUE_BLOCK) -> DataFrame:
+    """All pairs a < b of the distinct nodes of each group; groups of fewer than two give none.
+
+    A group of up to ``block`` nodes is one array, whose pairs need no join.  A
+    larger one is cut into blocks of about that size, which meet two by two, so
+    no task holds more than two of them.
+    """
+    keys = list(group)
+    one = sets.select(*keys, F.col(node).alias("_x")).where("_x > 0").distinct()
+    large = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_of")).where("_of > 1")
+    cut = one.join(large, keys, "left").withColumn("_of", F.coalesce("_of", F.lit(1))).withColumn("_g", F.pmod(F.xxhash64("_x"), F.col("_of")).cast("int"))
+    blocks = cut.groupBy(*keys, "_of", "_g").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    inside = blocks.select(*keys, "_xs", F.posexplode("_xs").alias("_i", "a")).select(*keys, "a", F.explode(F.slice("_xs", F.col("_i") + 2, F.size("_xs"))).alias("b"))
+    met = blocks.where("_of > 1").select(*keys, "_g", "_xs", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_o")).where("_g <> _o")
+    lower = met.where("_g < _o").select(*keys, F.col("_g").alias("_l"), F.col("_o").alias("_r"), F.col("_xs").alias("_ys"))
+    upper = met.where("_g > _o").select(*keys, F.col("_o").alias("_l"), F.col("_g").alias("_r"), "_xs")
+    across = lower.join(upper, [*keys, "_l", "_r"]).select(*keys, "_xs", F.explode("_ys").alias("_y")).select(*keys, "_y", F.explode("_xs").alias("_x"))
+    return inside.unionByName(across.select(*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
 
 
 def adjacent_pairs(records: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -47,11 +65,15 @@ def adjacent_pairs(records: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return prev.select(*scope, F.col("id").alias("seq"), F.col("id").alias("a"), F.col("p").alias("b"), "tick")
 
 
+def context_pairs(records: DataFrame, context: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Each record with every context record (scope, id, other), and with nothing else."""
+    near = context.join(records.select(*scope, "id", "tick"), [*scope, "id"])
+    return near.select(*scope, F.col("id").alias("seq"), F.col("id").alias("a"), F.col("other").alias("b"), "tick").distinct()
+
+
 def star_pairs(records: DataFrame, context: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Each record with the previous one of its tick and with every context record (scope, id, other)."""
-    tick = records.select(*scope, "id", "tick")
-    near = context.join(tick, [*scope, "id"]).select(*scope, F.col("id").alias("seq"), F.col("id").alias("a"), F.col("other").alias("b"), "tick")
-    return adjacent_pairs(records, scope).unionByName(near).distinct()
+    return adjacent_pairs(records, scope).unionByName(context_pairs(records, context, scope)).distinct()
 
 
 def combined_pairs(records: DataFrame, context: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -146,23 +168,30 @@ def stats(edges: DataFrame, tick: int | Column, p: EdgeParams, capacity: int | N
     return out if capacity is None else out.withColumn("load_factor", F.col("inserts") / F.lit(float(capacity)))
 
 
+def weak_paths(paths: DataFrame, edges: DataFrame, tick: int | Column, p: EdgeParams, group: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """(group, a, b) of the steps of paths (group, scope, path) that no edge alive at the tick carries: none if all paths are sound."""
+    keys = list(dict.fromkeys([*group, *scope]))
+    steps = paths.select(*keys, F.posexplode("path").alias("_i", "a"), "path").where(F.col("_i") + 1 < F.size("path")).select(*keys, "a", F.get("path", F.col("_i") + 1).alias("b"))
+    return pair_weights(steps, edges, tick, p, scope).where(F.col("pair_weight") <= 0).select(*keys, "a", "b")
+
+
 def within_capacity(edges: DataFrame, first_seen: str, capacity: int) -> DataFrame:
     """The edges a table of this capacity admits at 70 % load: those seen first."""
-    room = capacity * 7 // 10
-    return edges.orderBy(first_seen, "a", "b").limit(room)
+    return numbered(edges, [first_seen, "a", "b"], "_place").where(F.col("_place") <= capacity * 7 // 10).drop("_place")
 
 
-def shuffled(edges: DataFrame, seed: int = 0, scope: Sequence[str] = (), groups: int = 1) -> DataFrame:
-    """A null model: the same topology under a permutation of the node ids of each scope.
+def shuffled(edges: DataFrame, seed: int = 0, scope: Sequence[str] = ()) -> DataFrame:
+    """A null model: the same topology under a random permutation of all node ids of each scope.
 
-    With ``groups`` the permutation acts inside so many random groups of nodes,
-    which keeps it distributed on a graph without scopes.
+    The node that is n-th by a digest of its id takes the place of the n-th by
+    id.  Both places come from sorts by ranges, so no scope is one task's work;
+    a scope has the same places in either order, because it sorts first.
     """
-    nodes = edges.select(*scope, F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("_g", F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(groups)))
-    keys = [*scope, "_g"]
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-    ranked = nodes.withColumn("_i", rank("node")).withColumn("_j", rank(F.xxhash64(F.lit(seed), "node"), F.col("node")))
-    perm = ranked.select(*keys, "node", "_j").join(ranked.select(*keys, F.col("_i").alias("_j"), F.col("node").alias("to")), [*keys, "_j"]).select(*scope, "node", "to")
+    nodes = edges.select(*scope, F.explode(F.array("a", "b")).alias("node")).distinct()
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("node").cast("string")))
+    by_id = numbered(nodes, [*scope, "node"], "_n").withColumnRenamed("node", "to")
+    by_digest = numbered(nodes.withColumn("_d", digest), [*scope, "_d", "node"], "_n").select(*scope, "node", "_n")
+    perm = by_digest.join(by_id, [*scope, "_n"]).select(*scope, "node", "to")
     out = edges
     for end in ("a", "b"):
         out = out.join(perm.withColumnRenamed("node", end).withColumnRenamed("to", f"_{end}"), [*scope, end])

@@ -28,13 +28,41 @@ def ambiguous(known: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return known.groupBy(*scope, "key").agg(F.sort_array(F.collect_set("entity")).alias("entities")).where(F.size("entities") > 1)
 
 
+def problems(aliases: DataFrame, records: DataFrame | None = None, scope: Sequence[str] = (), speaker: str = "speaker") -> DataFrame:
+    """(scope, problem, name): what makes a table of (scope, entity, alias) unusable; a sound one gives no rows.
+
+    blank: a null or blank name; ambiguous: a name of several entities;
+    undeclared: an entity that is not among its own names; unknown speaker: a
+    speaker of ``records`` that is no entity.
+    """
+    key, entity = name_key("alias"), name_key("entity")
+    named = aliases.select(*scope, key.alias("key"), entity.alias("entity"))
+    blank = named.where((F.coalesce("key", F.lit("")) == "") | (F.coalesce("entity", F.lit("")) == "")).select(*scope, F.lit("blank").alias("problem"), F.coalesce("key", F.lit("")).alias("name"))
+    known = names(aliases, scope)
+    double = ambiguous(known, scope).select(*scope, F.lit("ambiguous").alias("problem"), F.col("key").alias("name"))
+    bare = known.join(known.select(*scope, F.col("key").alias("entity")), [*scope, "entity"], "left_anti").select(*scope, F.lit("undeclared").alias("problem"), F.col("entity").alias("name"))
+    out = blank.unionByName(double).unionByName(bare)
+    if records is not None:
+        said = records.select(*scope, name_key(speaker).alias("key")).where("key IS NOT NULL").distinct()
+        out = out.unionByName(said.join(known.select(*scope, F.col("entity").alias("key")), [*scope, "key"], "left_anti").select(*scope, F.lit("unknown speaker").alias("problem"), F.col("key").alias("name")))
+    return out.distinct()
+
+
+def checked_names(aliases: DataFrame, records: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """``names``, or an error if the table has problems."""
+    found = problems(aliases, records, scope).limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.problem}: {r.name!r}" for r in found))
+    return names(aliases, scope)
+
+
 _LETTER = r"[\p{L}\p{N}_]"
 
 
 def patterns(known: DataFrame, scope: Sequence[str]) -> DataFrame:
     """(scope, pattern): one regular expression with all names of a scope, longest first, at word borders only."""
     keys = F.sort_array(F.collect_set(F.struct((-F.length("key")).alias("l"), "key")))
-    quoted = F.transform(keys, lambda k: F.concat(F.lit("\\Q"), k["key"], F.lit("\\E")))
+    quoted = F.transform(keys, lambda k: F.concat(F.lit("\\Q"), F.replace(k["key"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     return known.groupBy(*scope).agg(F.concat(F.lit(rf"(?<!{_LETTER})("), F.array_join(quoted, "|"), F.lit(rf")(?!{_LETTER})")).alias("pattern"))
 
 
@@ -79,6 +107,15 @@ def route(queries: DataFrame, known: DataFrame, roles: DataFrame, scope: Sequenc
     )
 
 
+def _inside_scores(inside: DataFrame, lexical: DataFrame, association: DataFrame | None, p: SearchParams, key: Sequence[str]) -> DataFrame:
+    """Candidates with their score: both parts divided by their maximum among the candidates of the query."""
+    scored = inside.join(lexical, [*key, "id"], "left")
+    scored = scored.join(association, [*key, "id"], "left") if association is not None else scored.withColumn("association", F.lit(0.0))
+    top = Window.partitionBy(*key)
+    share = lambda name: F.coalesce(name, F.lit(0.0)) / F.greatest(F.max(F.coalesce(name, F.lit(0.0))).over(top), F.lit(1e-12))
+    return scored.withColumn("score", F.round(share("lexical") + F.lit(float(p.graph_weight)) * share("association"), FUSED_DIGITS))
+
+
 def entity_search(routed: DataFrame, docs: DataFrame, body_docs: DataFrame, trans: DataFrame | None, roles: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ("corpus",)) -> DataFrame:
     """(query_id, scope, id, score, rank, mode, link_types).
 
@@ -88,16 +125,40 @@ def entity_search(routed: DataFrame, docs: DataFrame, body_docs: DataFrame, tran
     others are the plain search.  Without ``trans`` the graph adds nothing.
     """
     key = ["query_id", *scope]
-    gated, rest = routed.where("mode = 'entity'"), routed.where("mode <> 'entity'")
-    plain = fused(rest, docs, components(rest, docs, trans, p, scope), p, scope).select(*key, "id", "score", "rank", F.lit("adjacency").alias("mode"))
+    routed = routed.persist()
+    gated = routed.where("mode = 'entity'")
+    c: Components = components(routed, docs, trans, p, scope)
+    plain = fused(routed, docs, c, p, scope).join(routed.where("mode <> 'entity'").select(*key), key, "left_semi").select(*key, "id", "score", "rank", F.lit("adjacency").alias("mode"))
     topic = bm25(gated.select(*key, F.col("topic_query").alias("query")), body_docs, scope)
+    # One row for each candidate, with the roles that make it one.
+    inside = gated.select(*key, "entity").join(roles, [*scope, "entity"]).groupBy(*key, "id").agg(F.sort_array(F.collect_set("role")).alias("link_types"))
+    best = stable_topk(_inside_scores(inside, topic, c.association, p, key), key, "score", p.budget).select(*key, "id", "score", "rank", F.lit("entity").alias("mode"), "link_types")
+    return best.unionByName(plain.withColumn("link_types", F.array().cast("array<string>")))
+
+
+def ablation_arms(routed: DataFrame, docs: DataFrame, body_docs: DataFrame, trans: DataFrame, roles: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ("corpus",)) -> DataFrame:
+    """(arm, query_id, scope, id, rank) of the gated queries in seven arms.
+
+    adjacency: the plain search; adjacency_stripped_query: the same with the
+    topic as query; strip_lexical_keep_original_seeds: lexical scores of the
+    topic, activation of the original query.  body_original and body_stripped
+    score the bodies by the original query or the topic, gated or ungated, with
+    the activation of the original query.
+    """
+    key = ["query_id", *scope]
+    gated = routed.where("mode = 'entity'").persist()
+    topics = gated.select(*key, F.col("topic_query").alias("query"))
+    whole, stripped = components(gated.select(*key, "query"), docs, trans, p, scope), components(topics, docs, trans, p, scope)
+    bodies = {"original": bm25(gated.select(*key, "query"), body_docs, scope), "stripped": bm25(topics, body_docs, scope)}
+    over = lambda lexical: Components(lexical, whole.seeds, whole.activation, whole.association)
+    arms = {"adjacency": whole, "adjacency_stripped_query": stripped, "strip_lexical_keep_original_seeds": over(stripped.lexical)}
+    arms |= {f"body_{name}_ungated": over(lexical) for name, lexical in bodies.items()}
+    out = None
+    for arm, c in arms.items():
+        part = fused(gated.select(*key, "query"), docs, c, p, scope).select(F.lit(arm).alias("arm"), *key, "id", "rank")
+        out = part if out is None else out.unionByName(part)
     inside = gated.select(*key, "entity").join(roles.select(*scope, "entity", "id").distinct(), [*scope, "entity"]).select(*key, "id")
-    scored = inside.join(topic, [*key, "id"], "left")
-    c: Components = components(gated, docs, trans, p, scope)
-    scored = scored.join(c.association, [*key, "id"], "left") if c.association is not None else scored.withColumn("association", F.lit(0.0))
-    top = Window.partitionBy(*key)
-    share = lambda name: F.coalesce(name, F.lit(0.0)) / F.greatest(F.max(F.coalesce(name, F.lit(0.0))).over(top), F.lit(1e-12))
-    scored = scored.withColumn("score", F.round(share("lexical") + F.lit(float(p.graph_weight)) * share("association"), FUSED_DIGITS))
-    best = stable_topk(scored, key, "score", p.budget).select(*key, "id", "score", "rank", F.lit("entity").alias("mode"))
-    types = roles.join(gated.select(*key, "entity"), [*scope, "entity"]).groupBy(*key, "id").agg(F.sort_array(F.collect_set("role")).alias("link_types"))
-    return best.unionByName(plain).join(types, [*key, "id"], "left").withColumn("link_types", F.coalesce("link_types", F.array().cast("array<string>")))
+    for name, lexical in bodies.items():
+        best = stable_topk(_inside_scores(inside, lexical, whole.association, p, key), key, "score", p.budget)
+        out = out.unionByName(best.select(F.lit(f"body_{name}_gated").alias("arm"), *key, "id", "rank"))
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hebbspark.functions.text import tokens
+from hebbspark.operators.skew import hot_keys, salted_join
 
 K1, B = 1.2, 0.75
 DIGITS = 9
@@ -39,11 +40,12 @@ def bm25(queries: DataFrame, docs: DataFrame, scope: Sequence[str] = (), query:
     """(query_id, scope, id, lexical): records that share a term with the query; terms of a query count once."""
     wanted = queries.select("query_id", *scope, F.explode(F.array_distinct(tokens(query))).alias("term"))
     index = postings(docs, scope)
-    spread = index.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+    spread = index.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df")).persist()
+    hot = hot_keys(spread, [*scope, "term"], "df")
     known = wanted.join(spread, [*scope, "term"])
     stats = corpus_stats(docs, scope)
     known = known.join(stats, list(scope)) if scope else known.withColumn("n", stats.select("n").scalar()).withColumn("avg", stats.select("avg").scalar())
-    hits = known.join(index, [*scope, "term"])
+    hits = salted_join(index, known, [*scope, "term"], hot)
     part = term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg"))
     return hits.groupBy("query_id", *scope, "id").agg(F.round(F.sum(part), DIGITS).alias("lexical")).where(F.col("lexical") > 0)
 

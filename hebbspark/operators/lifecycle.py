@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hebbspark.operators.skew import hot_keys, salted_join
+
 
 class QuotaExceeded(ValueError):
     pass
@@ -92,25 +94,36 @@ def evicted(records: DataFrame, max_records: int, max_bytes: int, size: str = "b
 
 
 def enforce(records: DataFrame, now: int, ttl: int, max_records: int, max_bytes: int, overflow: str = "reject", size: str = "bytes") -> DataFrame:
-    """Drop expired records, then reject an overflow or evict the oldest."""
+    """Drop expired records, then reject an overflow or evict the oldest; a newest record over the quota by itself is an error."""
     rest = unexpired(records, now, ttl)
     totals = quota_totals(rest, size).first()
     if totals.records <= max_records and totals.bytes <= max_bytes:
         return rest
     if overflow == "reject":
         raise QuotaExceeded("the record or byte quota is exceeded")
+    newest = rest.where("id IS NOT NULL").agg(F.max_by(F.coalesce(F.col(size), F.lit(0)), "id")).first()[0]
+    if max_records < 1 or (newest is not None and newest > max_bytes):
+        raise QuotaExceeded("the newest record cannot fit the quota")
     return kept_suffix(rest, max_records, max_bytes, size)
 
 
 def forget(records: DataFrame, events: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records and events without the listed ids; events go with either end."""
     gone = ids.select("id").distinct()
-    left = events.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
+    left = _ends(events, gone, "left_anti")
     return records.join(gone, "id", "left_anti"), left.select(*events.columns)
 
 
 def with_live_ends(events: DataFrame, records: DataFrame) -> DataFrame:
     """Events whose two ends are both retained records."""
     ids = records.select("id").where("id IS NOT NULL").distinct()
-    out = events.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    return out.select(*events.columns)
+    return _ends(events, ids, "left_semi").select(*events.columns)
+
+
+def _ends(events: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Both ends joined with distinct ids; an end that a large share of the events has is spread over several tasks."""
+    out = events
+    for end in ("a", "b"):
+        hot = hot_keys(events.groupBy(end).agg(F.count(F.lit(1)).alias("_n")), [end], "_n")
+        out = salted_join(out, ids.withColumnRenamed("id", end), [end], hot, how)
+    return out

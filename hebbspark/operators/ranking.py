@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hebbspark.session import written
+
 
 def ranked(rows: DataFrame, group: Sequence[str], score: str | Column, node: str = "id", name: str = "rank") -> DataFrame:
     """Rows with their 1-based place by score, highest first, ties by node."""
@@ -38,3 +40,24 @@ def merged_quotas(lists: Sequence[tuple[DataFrame, int]], group: Sequence[str],
         new = new.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy("rank")) + F.coalesce("_have", F.lit(0)))
         out = out.unionByName(new.where(F.col("_place") <= min(quota, cap)).select(*key, "rank", F.lit(k).alias("_list")))
     return out.select(*key, F.row_number().over(Window.partitionBy(*group).orderBy("_list", "rank", "id")).alias("rank"))
+
+
+def ordered_get(requests: DataFrame, records: DataFrame, group: Sequence[str], ids: str = "ids") -> DataFrame:
+    """(group, place, record columns): the records that each row of ``requests`` lists, in the order of its ids, repeats kept, unknown ids left out."""
+    asked = requests.select(*group, F.posexplode(ids).alias("place", "id"))
+    return asked.join(records, "id").select(*group, "place", *records.columns)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = "n") -> DataFrame:
+    """``rows`` with their place from 1 in the order, which must be total: a sort by ranges, and a count of each range.
+
+    No task holds more than a range; what comes to the driver is one count a range.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before, total = [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        before.append((r[0], total))
+        total += r[1]
+    first = F.broadcast(rows.sparkSession.createDataFrame(before, "_range int, _first long"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(first, "_range").withColumn(name, (inside + F.col("_first")).cast("long")).drop("_range", "_first")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hebbspark.operators.activate import transitions
 from hebbspark.operators.edges import adjacency, clique_pairs, freeze
-from hebbspark.operators.retrieve import search
+from hebbspark.operators.retrieve import components, fused, over_graph
 from hebbspark.params import EdgeParams, SearchParams
 from hebbspark.session import written
 from hebbspark.streaming.fold import merge_fold
@@ -20,12 +20,14 @@ def replay(queries: DataFrame, docs: DataFrame, edges: DataFrame, sweeps: int, s
 
     All queries of a sweep see the snapshot of its start; then the records of
     every result are linked with each other at the sweep's tick, and the graph
-    is published once.  Each state is a table, so the plan does not grow.
+    is published once.  Each state is a table, so the plan does not grow, and
+    the lexical scores, which no sweep changes, are computed once.
     """
+    base = components(queries, docs, None, p, scope)
     for sweep in range(sweeps + 1):
         tick = start + sweep
         trans = transitions(adjacency(freeze(edges, tick, e), scope), tick, e, scope)
-        hits = written(search(queries, docs, trans, p, scope), "sweep")
+        hits = written(fused(queries, docs, over_graph(base, trans, p, scope), p, scope), "sweep")
         yield sweep, hits, edges
         if sweep < sweeps:
             pairs = clique_pairs(hits.withColumnRenamed("id", "node"), ["query_id", *scope])

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hebbspark.operators.activate import Activation, activate, witness_paths
 from hebbspark.operators.lexical import bm25
-from hebbspark.operators.ranking import stable_topk
+from hebbspark.operators.ranking import ranked, stable_topk
 from hebbspark.params import SearchParams
 
 FUSED_DIGITS = 9
@@ -39,6 +39,12 @@ def components(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p:
     seeds = seeds_of(lexical, p.seeds, scope).persist()
     if trans is None or p.graph_weight == 0:
         return Components(lexical, seeds, None, None)
+    return over_graph(Components(lexical, seeds, None, None), trans, p, scope)
+
+
+def over_graph(c: Components, trans: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> Components:
+    """The same lexical scores and seeds with the activation over one more graph."""
+    lexical, seeds = c.lexical, c.seeds
     act = activate(seeds, trans, p.hops, p.cutoff, None, scope)
     key = ["query_id", *scope, "node"]
     act.scores = act.scores.persist()
@@ -47,27 +53,52 @@ def components(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p:
     return Components(lexical, seeds, act, more.select("query_id", *scope, F.col("node").alias("id"), gain.alias("association")))
 
 
-def fused(queries: DataFrame, docs: DataFrame, c: Components, p: SearchParams, scope: Sequence[str] = (), positive_only: bool = False) -> DataFrame:
-    """(query_id, scope, id, lexical, association, score, rank): the budget's best records of every query.
+def shares(queries: DataFrame, docs: DataFrame, c: Components, p: SearchParams, scope: Sequence[str] = (), positive_only: bool = False) -> DataFrame:
+    """(query_id, scope, id, lexical, association, _lexical, _association): all records that can be in a result, scores also as shares of their maximum.
 
-    Both scores are divided by their maximum in the query.  Records that
-    neither score reaches follow by id, so a query gets budget rows wherever
-    its scope has them; only the first 2 * budget ids of a scope can be among
-    those, and no others are joined.  Ids are dense from 1 in each scope.
+    Records that neither score reaches follow by id, so a query gets budget
+    rows wherever its scope has them; only the 2 * budget smallest ids of a
+    scope can be among those, and no others are joined.
     """
     key = ["query_id", *scope]
     rows = c.lexical.select(*key, "id", "lexical", F.lit(0.0).alias("association"))
     if c.association is not None:
         rows = rows.unionByName(c.association.select(*key, "id", F.lit(0.0).alias("lexical"), "association"))
     if not positive_only:
-        first = queries.select(*key, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2 * p.budget).cast("long"))).alias("id"))
-        fill = first.join(docs.select(*scope, "id"), [*scope, "id"], "left_semi")
+        ids = docs.select(*scope, "id").where("id IS NOT NULL")
+        if scope:
+            order = Window.partitionBy(*scope).orderBy("id")
+            first = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * p.budget).drop("_r")
+            fill = queries.select(*key).join(first, list(scope))
+        else:
+            few = ids.orderBy("id").limit(2 * p.budget).agg(F.collect_list("id"))
+            fill = queries.select("query_id", F.explode(few.scalar()).alias("id"))
         rows = rows.unionByName(fill.select(*key, "id", F.lit(0.0).alias("lexical"), F.lit(0.0).alias("association")))
     both = rows.groupBy(*key, "id").agg(F.sum("lexical").alias("lexical"), F.sum("association").alias("association"))
     top = Window.partitionBy(*key)
     share = lambda name: F.col(name) / F.greatest(F.max(name).over(top), F.lit(1e-12))
-    scored = both.withColumn("score", F.round(share("lexical") + F.lit(float(p.graph_weight)) * share("association"), FUSED_DIGITS))
-    return stable_topk(scored, key, "score", p.budget)
+    return both.withColumn("_lexical", share("lexical")).withColumn("_association", share("association"))
+
+
+def _score(weight: float) -> Column:
+    return F.round(F.col("_lexical") + F.lit(float(weight)) * F.col("_association"), FUSED_DIGITS)
+
+
+def fused(queries: DataFrame, docs: DataFrame, c: Components, p: SearchParams, scope: Sequence[str] = (), positive_only: bool = False) -> DataFrame:
+    """(query_id, scope, id, lexical, association, score, rank): the budget's best records of every query."""
+    scored = shares(queries, docs, c, p, scope, positive_only).withColumn("score", _score(p.graph_weight)).drop("_lexical", "_association")
+    return stable_topk(scored, ["query_id", *scope], "score", p.budget)
+
+
+def fused_arms(queries: DataFrame, docs: DataFrame, c: Components, p: SearchParams, weights: Mapping[str, float], scope: Sequence[str] = ()) -> DataFrame:
+    """(arm, query_id, scope, id, score, rank): the result at each of the named graph weights, from scores that are computed once."""
+    key = ["query_id", *scope]
+    out = shares(queries, docs, c, p, scope)
+    for i, weight in enumerate(weights.values()):
+        out = ranked(out.withColumn(f"_s{i}", _score(weight)), key, f"_s{i}", name=f"_r{i}")
+    arms = F.array(*(F.struct(F.lit(name).alias("arm"), F.col(f"_s{i}").alias("score"), F.col(f"_r{i}").alias("rank")) for i, name in enumerate(weights)))
+    chosen = out.select(*key, "id", F.explode(F.filter(arms, lambda a: a["rank"] <= p.budget)).alias("_a"))
+    return chosen.select("_a.arm", *key, "id", "_a.score", "_a.rank")
 
 
 def search(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p: SearchParams = SearchParams(), scope: Sequence[str] = (), positive_only: bool = False) -> DataFrame:
@@ -77,10 +108,10 @@ def search(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p: Sear
 def explain(queries: DataFrame, docs: DataFrame, trans: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> DataFrame:
     """The search result with ``added_by_graph``, and the witness path and its hop where the graph reaches the record."""
     c = components(queries, docs, trans, p, scope)
-    out = fused(queries, docs, c, p, scope)
-    plain = fused(queries, docs, Components(c.lexical, c.seeds, None, None), p, scope)
-    key = ["query_id", *scope, "id"]
-    out = out.join(plain.select(*key, F.lit(True).alias("_plain")), key, "left").withColumn("added_by_graph", F.col("_plain").isNull()).drop("_plain")
+    group, key = ["query_id", *scope], ["query_id", *scope, "id"]
+    both = shares(queries, docs, c, p, scope).withColumn("score", _score(p.graph_weight)).withColumn("_plain", _score(0))
+    both = ranked(ranked(both, group, "_plain", name="_place"), group, "score").where(F.col("rank") <= p.budget)
+    out = both.withColumn("added_by_graph", F.col("_place") > p.budget).drop("_lexical", "_association", "_plain", "_place")
     if c.activation is None:
         return out.withColumn("hop", F.lit(None).cast("int")).withColumn("path", F.lit(None).cast("array<long>"))
     return out.join(witness_paths(c.activation, scope).withColumnRenamed("node", "id"), key, "left")

@@ -6,10 +6,15 @@ tail.  A key is in the head if it holds at least 1/limit of all rows, so at
 most ``limit`` keys can be: the size of the broadcast is bounded by a
 parameter, whatever the data.  No tail key holds more than 1/limit of the
 rows, so the shuffled part has no hot key.
+
+Where the other side has many rows for a key, ``salted_join`` spreads the rows
+of the few keys that ``hot_keys`` finds over several tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +25,7 @@ LONGEST_KEY = 256
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, limit: int = HEAD_LIMIT) -> DataFrame:
-    """Inner join of ``left`` with the dictionary ``right`` on ``key``.
+    """Inner join of ``left`` with the dictionary ``right`` on ``key``, which may be a struct.
 
     ``right`` has one row per key; ``weight`` is its column with the key's
     number of rows in ``left``.  Head keys are looked up in a broadcast table
@@ -38,3 +43,37 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, limit:
     in_head = left.join(F.broadcast(head), key).select(*names)
     rest = left.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key).select(*names)
     return in_head.unionByName(rest)
+
+
+#: A key is hot if it holds one part in so many of all rows: there can be no more hot keys than that.
+HOT_SHARE = 256
+#: A key with fewer rows is no burden for a task, whatever its share.
+HOT_LEAST = 100_000
+SALTS = 32
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], weight: str, share: int = HOT_SHARE, least: int | None = None) -> list[int]:
+    """Hashes of the keys that hold 1/share of the total weight or more, at most ``share`` of them, and ``least`` rows.
+
+    ``counts`` has one row per key.
+    """
+    total = counts.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double"))
+    hot = counts.where((F.col(weight) >= (HOT_LEAST if least is None else least)) & (F.col(weight) * F.lit(share) >= total.scalar()))
+    return [r[0] for r in hot.select(F.xxhash64(*keys)).distinct().collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], hot: Sequence[int], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """A join on ``keys`` in which the rows of ``big`` with a hot key are spread over ``salts`` tasks.
+
+    Rows of ``small`` with such a key are copied to all of them; all other rows
+    are moved once.  ``how`` may be inner, left_semi or left_anti.  Two keys with
+    one hash are both spread, which changes nothing but where rows go.
+    """
+    keys = list(keys)
+    if not hot:
+        return big.join(small, keys, how)
+    is_hot = F.xxhash64(*keys).isin([int(h) for h in hot])
+    spread = F.pmod(F.xxhash64(F.lit(17), *(F.col(c) for c in big.columns)), F.lit(salts)).cast("int")
+    copies = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    left = big.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    return left.join(small.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt")

@@ -26,9 +26,9 @@ from hebbspark.operators import retrieve as R
 from hebbspark.operators import vectors as V
 from hebbspark.params import EdgeParams, SearchParams
 from hebbspark.plans import sql
-from hebbspark.session import shared_folder
+from hebbspark.session import shared_folder, written
 from hebbspark.sources.snapshot import is_folder
-from hebbspark.streaming.fold import FoldSink, run_available, window_pairs
+from hebbspark.streaming.fold import FoldSink, run_available, run_stateful, window_pairs
 
 SCOPE = ["corpus"]
 #: Logical time at which the graphs of the conversations are read.
@@ -93,11 +93,18 @@ def prefix_bm25_top3(spark, folder):
 # Edges
 
 
-def _policy(spark, folder, policy: str) -> DataFrame:
+def _context(spark, folder) -> DataFrame:
+    """(corpus, id, other): the three best earlier turns of each turn."""
+    return L.prefix_bm25(_docs(spark, folder), SCOPE, 3).select("corpus", "id", "other")
+
+
+def _policy(spark, folder, policy: str, near: DataFrame | None = None) -> DataFrame:
     t = tables.turns(spark, folder)
     if policy == "adjacent":
         return E.adjacent_pairs(t, SCOPE)
-    near = L.prefix_bm25(L.documents(t, SCOPE), SCOPE, 3).select("corpus", "id", "other")
+    near = _context(spark, folder) if near is None else near
+    if policy == "learned":
+        return E.context_pairs(t, near, SCOPE)
     return (E.star_pairs if policy == "star" else E.combined_pairs)(t, near, SCOPE)
 
 
@@ -215,16 +222,26 @@ def edge_provenance(spark, folder):
     return E.provenance(both.select("corpus", "a", "b", "origin"), SCOPE).select("corpus", "a", "b", F.array_join("origins", ",").alias("origins"))
 
 
+@query
+def edges_admitted(spark, folder):
+    """The edges of the log that a table with room for half of them admits."""
+    first = E.canonical(tables.assoc_events(spark, folder).where("tick IS NOT NULL")).groupBy("a", "b").agg(F.min("seq").alias("first_seen"))
+    return E.within_capacity(first, "first_seen", first.count() * 5 // 7)
+
+
 @query
 def shuffled_graph(spark, folder):
-    return rounded(E.shuffled(_log_edges(spark, folder), 11, groups=64), "weight")
+    return rounded(E.shuffled(_log_edges(spark, folder), 11), "weight")
 
 
 # Activation
 
 
-def _graph(spark, folder, policy: str = "adjacent") -> DataFrame:
-    edges = E.freeze(E.fold(_policy(spark, folder, policy), EDGES, SCOPE), NOW, EDGES)
+def _graph(spark, folder, policy: str = "adjacent", near: DataFrame | None = None) -> DataFrame:
+    events = _policy(spark, folder, "star" if policy == "shuffled" else policy, near)
+    edges = E.freeze(E.fold(events, EDGES, SCOPE), NOW, EDGES)
+    if policy == "shuffled":
+        edges = E.shuffled(edges, 11, SCOPE)
     return A.transitions(E.adjacency(edges, SCOPE), NOW, EDGES, SCOPE).persist()
 
 
@@ -253,6 +270,13 @@ def activation_cutoff(spark, folder):
     return _activation(spark, folder, 2, 0.05, None)
 
 
+@query
+def activation_paths(spark, folder):
+    """The older rule: every path is followed on its own, and cut off on its own."""
+    seeds, trans = _seeded(spark, folder)
+    return rounded(A.activate(seeds, trans, 2, 1e-3, None, SCOPE, merge=False).scores, "score")
+
+
 @query
 def activation_arcs(spark, folder):
     seeds, trans = _seeded(spark, folder)
@@ -303,6 +327,15 @@ def retrieve_witness_paths(spark, folder):
     return _explained(spark, folder).where("path IS NOT NULL").select("query_id", "corpus", "id", "hop", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query
+def witness_path_steps(spark, folder):
+    """How many steps each witness path of a result has, and how many of them no living edge carries."""
+    paths = _explained(spark, folder).where("path IS NOT NULL").select("query_id", "corpus", "id", "path")
+    edges = E.freeze(E.fold(_policy(spark, folder, "adjacent"), EDGES, SCOPE), NOW, EDGES)
+    weak = E.weak_paths(paths, edges, NOW, EDGES, ["query_id", "id"], SCOPE).groupBy("query_id", "corpus", "id").agg(F.count(F.lit(1)).alias("weak"))
+    return paths.join(weak, ["query_id", "corpus", "id"], "left").select("query_id", "corpus", "id", (F.size("path") - 1).alias("steps"), F.coalesce("weak", F.lit(0)).alias("weak"))
+
+
 @query
 def retrieve_connected(spark, folder):
     q = tables.questions(spark, folder).select("query_id", "corpus", "query")
@@ -311,12 +344,18 @@ def retrieve_connected(spark, folder):
 
 @query
 def retrieve_ablation_variants(spark, folder):
-    """The ten best hits of each question without a graph, and with the graph of either policy."""
-    out = None
-    for variant, weight, policy in (("lexical", 0.0, "adjacent"), ("adjacent", 0.4, "adjacent"), ("star", 0.4, "star")):
-        part = _hits(spark, folder, weight, policy).where("rank <= 10").select(F.lit(variant).alias("variant"), "query_id", "id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The ten best hits of each question without a graph, and with the graph of each policy or of the shuffled star.
+
+    Lexical scores and seeds are computed once for all of them.
+    """
+    q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    c, near = R.components(q, docs, None, SEARCH, SCOPE), written(_context(spark, folder), "context")
+    out = R.fused(q, docs, c, SearchParams(graph_weight=0), SCOPE).select(F.lit("lexical").alias("variant"), "query_id", "id", "rank")
+    for policy in ("adjacent", "learned", "star", "combined", "shuffled"):
+        trans = written(_graph(spark, folder, policy, near), "transitions")
+        hits = R.fused(q, docs, R.over_graph(c, trans, SEARCH, SCOPE), SEARCH, SCOPE)
+        out = out.unionByName(hits.select(F.lit(policy).alias("variant"), "query_id", "id", "rank"))
+    return out.where("rank <= 10")
 
 
 @query
@@ -403,6 +442,37 @@ def _names(turns: DataFrame) -> DataFrame:
     return N.names(turns.select("corpus", F.col("speaker").alias("entity"), F.col("speaker").alias("alias")), SCOPE)
 
 
+@query
+def entity_problems(spark, folder):
+    """What is wrong with the speakers as a table of names, if the first word of each is taken as an alias."""
+    t = tables.turns(spark, folder)
+    own = t.select("corpus", F.col("speaker").alias("entity"), F.col("speaker").alias("alias"))
+    short = t.select("corpus", F.col("speaker").alias("entity"), F.element_at(F.split(F.trim("speaker"), " "), 1).alias("alias"))
+    return N.problems(own.unionByName(short), t.where("tick > 1"), SCOPE)
+
+
+@query
+def entity_ablation(spark, folder):
+    """The ten best hits of gated questions in each arm: whose query, which texts, and whether the gate holds."""
+    t = tables.turns(spark, folder)
+    known = _names(t)
+    roles = N.links(t, known)
+    routed = N.route(tables.questions(spark, folder).select("query_id", "corpus", "query"), known, roles)
+    arms = N.ablation_arms(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), _graph(spark, folder), roles)
+    return arms.where("rank <= 10").select("arm", "query_id", "id", "rank")
+
+
+@query
+def entity_only(spark, folder):
+    """Gated questions ranked by their topic alone, without the graph."""
+    t = tables.turns(spark, folder)
+    known = _names(t)
+    roles = N.links(t, known)
+    routed = N.route(tables.questions(spark, folder).select("query_id", "corpus", "query"), known, roles).where("mode = 'entity'")
+    hits = N.entity_search(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), None, roles)
+    return rounded(hits.select("query_id", "corpus", "id", "score", "rank"), "score")
+
+
 @query
 def entity_links(spark, folder):
     t = tables.turns(spark, folder)
@@ -465,6 +535,14 @@ def forget_cascade(spark, folder):
     return events.select("seq", "a", "b", "tick")
 
 
+@query
+def ordered_multi_get(spark, folder):
+    """The records of each tick, asked for by falling ids with one that does not exist, in that order."""
+    r = tables.records(spark, folder).where("tick IS NOT NULL")
+    asked = r.groupBy("tick").agg(F.concat(F.array(F.lit(-1).cast("long")), F.sort_array(F.collect_list("id"), asc=False)).alias("ids"))
+    return K.ordered_get(asked.select(F.col("tick").alias("request"), "ids"), r.select("id", "writer"), ["request"])
+
+
 @query
 def quota_totals(spark, folder):
     return M.quota_totals(tables.record_sizes(spark, folder))
@@ -509,16 +587,23 @@ def gold_evidence(spark, folder):
     return _gold(spark, folder).select("query_id", F.array_join("gold", ",").alias("gold"))
 
 
-def _arm(spark, folder, arm: str, weight: float) -> DataFrame:
-    hits = _hits(spark, folder, weight).join(tables.turns(spark, folder).select("corpus", "id", "dia_id"), ["corpus", "id"])
-    got = hits.groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
-    scored = _gold(spark, folder).join(got, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+def _measured(spark, folder, hits: DataFrame, arms: list[str]) -> DataFrame:
+    """(arm, query_id, corpus, category, recall, any_found, all_found) of hits (arm, query_id, corpus, id)."""
+    got = hits.join(tables.turns(spark, folder).select("corpus", "id", "dia_id"), ["corpus", "id"]).groupBy("arm", "query_id").agg(F.collect_set("dia_id").alias("found"))
+    gold = _gold(spark, folder).withColumn("arm", F.explode(F.array(*(F.lit(a) for a in arms))))
+    scored = gold.join(got, ["arm", "query_id"], "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     measures = B.evidence_recall("found", "gold")
-    return scored.select(F.lit(arm).alias("arm"), "query_id", "corpus", "category", *(c.alias(n) for n, c in measures.items()))
+    return scored.select("arm", "query_id", "corpus", "category", *(c.alias(n) for n, c in measures.items()))
+
+
+def _weighted_arms(spark, folder, weights: dict[str, float]) -> DataFrame:
+    q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    c = R.components(q, docs, _graph(spark, folder), SEARCH, SCOPE)
+    return _measured(spark, folder, R.fused_arms(q, docs, c, SEARCH, weights, SCOPE), list(weights))
 
 
 def _arms(spark, folder) -> DataFrame:
-    return _arm(spark, folder, "lexical", 0.0).unionByName(_arm(spark, folder, "associative", 0.4))
+    return _weighted_arms(spark, folder, {"lexical": 0.0, "associative": SEARCH.graph_weight})
 
 
 @query
@@ -573,25 +658,75 @@ def cluster_bootstrap(spark, folder):
 
 
 @query
-def token_f1(spark, folder):
-    """Each answer against the best hit's body, by category rules."""
+def cluster_means(spark, folder):
+    """The mean difference of the arms in each conversation, and its sign."""
+    return rounded(B.cluster_outcomes(_recall_pairs(spark, folder), "associative", "lexical", "corpus"), "mean_delta")
+
+
+def _answers(spark, folder) -> DataFrame:
+    """(query_id, gold, category, predicted): the best hit's body as the answer to each question."""
     hits = _hits(spark, folder).where("rank = 1").join(tables.turns(spark, folder).select("corpus", "id", "body"), ["corpus", "id"])
-    q = tables.questions(spark, folder).select("query_id", "answer", "category").join(hits.select("query_id", "body"), "query_id")
-    return q.select("query_id", F.round(B.token_f1(B.answer_tokens("body"), B.answer_tokens("answer")), 6).alias("f1"))
+    q = tables.questions(spark, folder).select("query_id", F.col("answer").alias("gold"), "category")
+    return q.join(hits.select("query_id", F.col("body").alias("predicted")), "query_id")
+
+
+@query
+def token_f1(spark, folder):
+    """Each answer against the best hit's body, on stems."""
+    return rounded(B.answer_f1(_answers(spark, folder), category=None), "f1").select("query_id", "f1")
+
+
+@query
+def token_f1_words(spark, folder):
+    """The same on words as they stand."""
+    return rounded(B.answer_f1(_answers(spark, folder), category=None, stem=False), "f1").select("query_id", "f1")
 
 
 @query
 def category_f1(spark, folder):
-    hits = _hits(spark, folder).where("rank = 1").join(tables.turns(spark, folder).select("corpus", "id", "body"), ["corpus", "id"])
-    q = tables.questions(spark, folder).select("query_id", "answer", "category").join(hits.select("query_id", "body"), "query_id")
-    return q.select("query_id", F.round(B.category_f1("body", "answer", "category"), 6).alias("f1"))
+    """Each answer against the best hit's body by the rules of its category, on stems."""
+    return rounded(B.answer_f1(_answers(spark, folder)), "f1").select("query_id", "f1")
+
+
+@query
+def category_f1_words(spark, folder):
+    """The same on words as they stand."""
+    return rounded(B.answer_f1(_answers(spark, folder), stem=False), "f1").select("query_id", "f1")
+
+
+@query
+def exact_answers(spark, folder):
+    """Each question's answer in four spellings, two of which are exact."""
+    q = tables.questions(spark, folder).where("answer IS NOT NULL")
+    spellings = F.array(F.col("answer"), F.concat(F.lit(' "'), F.upper("answer"), F.lit('". ')), F.concat(F.lit("it is "), "answer"), F.concat("answer", F.lit(" cells")))
+    said = q.select("query_id", "answer", F.posexplode(spellings).alias("spelling", "said"))
+    return said.select("query_id", "spelling", B.exact_answer("said", "answer").alias("exact"))
+
+
+@query
+def promotion(spark, folder):
+    """The promotion rule over the recall at rising graph weights, each against the search without a graph."""
+    names = [f"w{i}" for i in range(len(sql.WEIGHTS))]
+    arms = _weighted_arms(spark, folder, dict(zip(names, sql.WEIGHTS))).where("recall IS NOT NULL")
+    wide = written(B.paired(arms, ["query_id", "corpus", "category"], "arm", names, "recall"), "arms")
+    curve = None
+    for i, w in enumerate(names):
+        row = wide.agg(F.round(F.avg(w), 9).alias("graph"), F.round(F.avg("w0"), 9).alias("adjacency"), F.percentile(F.col(w) - F.col("w0"), F.lit(0.9)).alias("low")).withColumn("session", F.lit(i))
+        curve = row if curve is None else curve.unionByName(row)
+    return rounded(B.promoted(curve), "gain", "advantage")
 
 
 @query
 def missing_source_audit(spark, folder):
-    lexical = K.ranked(_lexical(spark, folder), ["query_id", "corpus"], "lexical")
-    out = B.missing_sources(_gold_turns(spark, folder), _hits(spark, folder), lexical, tables.turns(spark, folder))
-    return out.select("query_id", "corpus", "id", "lexical_rank", "tick", "prev_id", "next_id")
+    """Evidence turns outside the result: lexical rank, activation, gate, distance, and the turns around them."""
+    q, docs, t = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder), tables.turns(spark, folder)
+    c = R.components(q, docs, _graph(spark, folder), SEARCH, SCOPE)
+    lexical = K.ranked(c.lexical, ["query_id", "corpus"], "lexical")
+    known = _names(t)
+    roles = N.links(t, known)
+    gate = N.route(q, known, roles).where("mode = 'entity'").select("query_id", "corpus", "entity").join(roles, ["corpus", "entity"])
+    out = B.missing_sources(_gold_turns(spark, folder), R.fused(q, docs, c, SEARCH, SCOPE), lexical, t, c.association, SCOPE, gate)
+    return rounded(out, "association").select("query_id", "corpus", "id", "lexical_rank", "association", "gated_out", "tick", "turn_distance", "prev_id", "next_id")
 
 
 def _lexical(spark, folder) -> DataFrame:
@@ -615,8 +750,9 @@ def policy_grid(spark, folder):
     gold = _gold(spark, folder)
     ids = tables.turns(spark, folder).select("corpus", "id", "dia_id")
     q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    near = written(_context(spark, folder), "context")
     for policy in ("star", "combined"):
-        trans = _graph(spark, folder, policy)
+        trans = written(_graph(spark, folder, policy, near), "transitions")
         for mode, hits in (("associative", R.search(q, docs, trans, SEARCH, SCOPE)), ("connected", R.connected(q, docs, trans, SEARCH, SCOPE))):
             got = hits.join(ids, ["corpus", "id"]).groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
             scored = gold.join(got, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
@@ -626,20 +762,37 @@ def policy_grid(spark, folder):
     return out
 
 
-@query
-def longitudinal_curve(spark, folder):
-    """Mean recall after 0 to 3 sweeps in which every result links its records."""
+#: The sweeps of the longitudinal replay, and those at which it is measured.
+SWEEPS = 50
+CHECKPOINTS = (0, 1, 5, 10, 25, 50)
+
+
+def _curve(spark, folder, sweeps: int = SWEEPS, checkpoints: tuple[int, ...] = CHECKPOINTS) -> DataFrame:
+    """(session, graph, adjacency, lexical, low, high) for each checkpoint of a replay that starts from the star graph."""
     q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
-    ids, gold = tables.turns(spark, folder).select("corpus", "id", "dia_id"), _gold(spark, folder)
-    edges = E.fold(_policy(spark, folder, "adjacent"), EDGES, SCOPE)
+    c = R.components(q, docs, _graph(spark, folder), SEARCH, SCOPE)
+    still = written(R.fused_arms(q, docs, c, SEARCH, {"adjacency": SEARCH.graph_weight, "lexical": 0.0}, SCOPE).select("arm", "query_id", "corpus", "id"), "control")
+    edges = E.fold(_policy(spark, folder, "star"), EDGES, SCOPE)
     out = None
-    for sweep, hits, _ in P.replay(q, docs, edges, 3, NOW, SEARCH, EDGES, SCOPE):
-        got = hits.join(ids, ["corpus", "id"]).groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
-        part = gold.join(got, "query_id").agg(F.round(F.avg(B.evidence_recall("found", "gold")["recall"]), 6).alias("mean_recall")).select(F.lit(sweep).alias("sweep"), "mean_recall")
+    for sweep, hits, _ in P.replay(q, docs, edges, sweeps, NOW, SEARCH, EDGES, SCOPE):
+        if sweep not in checkpoints:
+            continue
+        arms = still.unionByName(hits.select(F.lit("graph").alias("arm"), "query_id", "corpus", "id"))
+        wide = B.paired(_measured(spark, folder, arms, ["graph", "adjacency", "lexical"]).where("recall IS NOT NULL"), ["query_id", "corpus"], "arm", ["graph", "adjacency", "lexical"], "recall", strict=False)
+        wide = written(wide, "checkpoint")
+        means = wide.agg(*(F.avg(a).alias(a) for a in ("graph", "adjacency", "lexical")))
+        interval = B.cluster_bootstrap(wide.withColumn("delta", F.col("graph") - F.col("adjacency")), "corpus", "delta").select("low", "high").first()
+        part = means.select(F.lit(sweep).alias("session"), "graph", "adjacency", "lexical", F.lit(interval.low).cast("double").alias("low"), F.lit(interval.high).cast("double").alias("high"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query
+def longitudinal_curve(spark, folder):
+    """Mean recall at checkpoints of 50 sweeps in which every result links its records, with the unchanged arms and the interval of the difference."""
+    return rounded(_curve(spark, folder), "graph", "adjacency", "lexical", "low", "high")
+
+
 @query
 def stratified_questions(spark, folder):
     return B.stratified_sample(tables.questions(spark, folder), ["category"], "query_id", 20).select("query_id", "category")
@@ -647,12 +800,11 @@ def stratified_questions(spark, folder):
 
 @query
 def best_graph_weight(spark, folder):
-    """The graph weight with the best mean recall, ties to the smaller."""
-    out = None
-    for w in (0.0, 0.1, 0.4):
-        part = _arm(spark, folder, "w", w).agg(F.round(F.avg("recall"), 6).alias("mean_recall")).select(F.lit(w).alias("weight"), "mean_recall")
-        out = part if out is None else out.unionByName(part)
-    return B.best_weight(out)
+    """The graph weight with the best mean recall over the development conversations, ties to the smaller, and its recall over the others."""
+    arms = _weighted_arms(spark, folder, {str(w): w for w in sql.WEIGHTS})
+    split = arms.withColumn("dev", F.pmod(F.conv(F.substring(F.md5("corpus"), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0)
+    means = split.groupBy(F.col("arm").cast("double").alias("weight")).agg(*(F.round(F.avg(F.when(c, F.col("recall"))), 6).alias(n) for n, c in (("mean_recall", F.col("dev")), ("test_recall", ~F.col("dev")))))
+    return B.best_weight(means).join(means.select("weight", "test_recall"), "weight")
 
 
 # Streams
@@ -685,3 +837,11 @@ def stream_coactivation_fold(spark, folder):
     """Users active in the same ten minutes, folded from a stream of the event table."""
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return rounded(run_available(_stream(spark, folder, "events"), FoldSink(spark, place, EDGES), f"{place}/offsets", window_pairs), "weight")
+
+
+@query
+def stream_stateful_fold(spark, folder):
+    """The association log as a stream whose state is kept per edge in the state store."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    log = _stream(spark, folder, "associations").where("id IS NOT NULL").select(F.col("id").alias("seq"), "a", "b", "tick")
+    return rounded(run_stateful(log, place, EDGES), "weight")

@@ -7,6 +7,8 @@ import re
 from hebbspark.functions.text import STOP_WORDS
 
 NOW = 32
+# The graph weights among which the development conversations choose.
+WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.4)
 LOG_NOW = "(SELECT max(tick) FROM associations WHERE id IS NOT NULL)"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -74,6 +76,11 @@ ad AS MATERIALIZED (SELECT {s}a AS src, b AS dst, now FROM al UNION ALL SELECT {
 tr AS MATERIALIZED (SELECT {s}src, dst, now / sum(now) OVER (PARTITION BY {s}src) AS share FROM ad)"""
 
 
+_TRANSITIONS = """ad AS MATERIALIZED (SELECT corpus, a AS src, b AS dst, now FROM al UNION ALL SELECT corpus, b, a, now FROM al),
+tr AS MATERIALIZED (SELECT corpus, src, dst, now / sum(now) OVER (PARTITION BY corpus, src) AS share FROM ad)"""
+_GRAPH_NAMES = "ed al ad tr sd vs a1 f1 a2 f2 ac an"
+
+
 SEEDS = """sd AS MATERIALIZED (SELECT query_id, corpus, id AS node, lexical / sum(lexical) OVER (PARTITION BY query_id, corpus) AS weight FROM (SELECT * FROM lx QUALIFY row_number() OVER (PARTITION BY query_id, corpus ORDER BY lexical DESC, id) <= 8)),
 vs AS MATERIALIZED (SELECT s.query_id, s.corpus, s.node, s.weight AS score FROM sd s JOIN (SELECT corpus, max(src) AS top FROM tr GROUP BY corpus) t ON t.corpus = s.corpus WHERE s.node <= t.top)"""
 
@@ -116,6 +123,11 @@ SEARCH = [*ACTIVATION, ASSOCIATION, fuse()]
 PLAIN = [*LEXICAL, NO_ASSOCIATION, fuse("hp", "0.0e0")]
 BOTH = [*ACTIVATION, ASSOCIATION, fuse(), "az AS (SELECT * FROM an WHERE false)", fuse("hp", "0.0e0", an="az")]
 
+def _other(prefix: str, events: str) -> str:
+    """The association over the graph of other events, as a table named an behind the prefix."""
+    return renamed(",\n".join([fold("ed", events, "corpus"), spread("ed"), SEEDS, hops(), ASSOCIATION]), _GRAPH_NAMES, prefix)
+
+
 HIT_COLUMNS = "query_id, corpus, id, round(lexical, 6) AS lexical, round(association, 6) AS association, round(score, 6) AS score, rank"
 
 LOG = "lo AS MATERIALIZED (SELECT DISTINCT id AS seq, least(a, b) AS a, greatest(a, b) AS b, tick FROM associations WHERE id IS NOT NULL AND a > 0 AND b > 0 AND a <> b AND tick IS NOT NULL)"
@@ -148,6 +160,57 @@ PAIRS = [
  lambda k: exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2.0e0))))) END, 6) AS p FROM oc)""",
 ]
 
+_UNION = f"""SELECT query_id, corpus, id, lexical, 0.0e0 AS association FROM lx UNION ALL SELECT query_id, corpus, id, 0.0e0, association FROM an
+    UNION ALL SELECT q.query_id, q.corpus, t.id, 0.0e0, 0.0e0 FROM qu q JOIN tu t ON t.corpus = q.corpus"""
+WEIGHTED = [
+    *ACTIVATION,
+    ASSOCIATION,
+    GOLD,
+    f"""sh AS MATERIALIZED (SELECT query_id, corpus, id, lexical / greatest(max(lexical) OVER q, 1e-12) AS ls, association / greatest(max(association) OVER q, 1e-12) AS sa
+ FROM (SELECT query_id, corpus, id, sum(lexical) AS lexical, sum(association) AS association FROM ({_UNION}) GROUP BY ALL) WINDOW q AS (PARTITION BY query_id, corpus))""",
+    f"wt AS (SELECT unnest([{', '.join(f'{w}e0' for w in WEIGHTS)}]) AS w)",
+    "wh AS MATERIALIZED (SELECT * FROM (SELECT w, query_id, corpus, id, row_number() OVER (PARTITION BY w, query_id, corpus ORDER BY round(ls + w * sa, 9) DESC, id) AS rank FROM sh, wt) WHERE rank <= 16)",
+    "wf AS (SELECT h.w, h.query_id, list(t.dia_id) AS found FROM wh h JOIN tu t ON t.corpus = h.corpus AND t.id = h.id GROUP BY ALL)",
+    "wr AS MATERIALIZED (SELECT w.w, g.query_id, g.corpus, round(len(list_intersect(coalesce(f.found, []), gold)) / len(gold), 9) AS recall FROM go g CROSS JOIN wt w LEFT JOIN wf f ON f.w = w.w AND f.query_id = g.query_id WHERE len(gold) > 0)",
+]
+
+
+def drawn(seed: int, *parts: str) -> str:
+    return "('0x' || substr(md5('" + str(seed) + "'" + "".join(f" || ':' || {p}" for p in parts) + "), 1, 15))::BIGINT"
+
+
+def answer_words(column: str) -> str:
+    marks = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+    return f"list_filter(string_split_regex(trim(translate(lower(coalesce({column}, '')), '{marks}', '')), '\\s+'), lambda w: w <> '' AND NOT list_contains(['a', 'an', 'the', 'and'], w))"
+
+
+def answer_scores(category: bool) -> str:
+    """f1 of the best hit's body against the answer, on words."""
+    many, head = ("category = 1", "CASE WHEN category = 3 THEN string_split(coalesce(gold, ''), ';')[1] ELSE coalesce(gold, '') END") if category else ("false", "coalesce(gold, '')")
+    return chain(
+        *SEARCH,
+        "an2 AS (SELECT q.query_id, q.answer AS gold, q.category, t.body AS predicted FROM qu q JOIN hi h ON h.query_id = q.query_id AND h.rank = 1 JOIN tu t ON t.corpus = h.corpus AND t.id = h.id)",
+        f"pa AS (SELECT query_id, CASE WHEN {many} THEN string_split(predicted, ',') ELSE [predicted] END AS ps, CASE WHEN {many} THEN string_split(coalesce(gold, ''), ',') ELSE [{head}] END AS gs FROM an2)",
+        f"gp AS MATERIALIZED (SELECT query_id, g, {answer_words('t')} AS ws FROM (SELECT query_id, unnest(range(len(gs))) AS g, unnest(gs) AS t FROM pa))",
+        f"pp AS MATERIALIZED (SELECT query_id, p, {answer_words('t')} AS ws FROM (SELECT query_id, unnest(range(len(ps))) AS p, unnest(ps) AS t FROM pa))",
+        "gw AS (SELECT query_id, g, w, count(*) AS c FROM (SELECT query_id, g, unnest(ws) AS w FROM gp) GROUP BY ALL)",
+        "pw AS (SELECT query_id, p, w, count(*) AS c FROM (SELECT query_id, p, unnest(ws) AS w FROM pp) GROUP BY ALL)",
+        "sw AS MATERIALIZED (SELECT x.query_id, g, p, sum(least(x.c, y.c)) AS s FROM gw x JOIN pw y ON x.query_id = y.query_id AND x.w = y.w GROUP BY ALL)",
+        "bs AS (SELECT x.query_id, x.g, max(coalesce(2.0e0 * s.s / (len(x.ws) + len(y.ws)), 0.0e0)) AS f FROM gp x JOIN pp y ON y.query_id = x.query_id LEFT JOIN sw s ON s.query_id = x.query_id AND s.g = x.g AND s.p = y.p GROUP BY x.query_id, x.g)",
+        final="SELECT query_id, round(avg(f), 6) AS f1 FROM bs GROUP BY query_id",
+    )
+
+
+def permuted(nodes: str, scope: str = "", seed: int = 11) -> str:
+    """pm: (scope, node, target), the n-th node by digest takes the place of the n-th by id."""
+    part = f"PARTITION BY {scope} " if scope else ""
+    s, same = (f"{scope}, ", f"x.{scope} = y.{scope} AND ") if scope else ("", "")
+    head = f"x.{scope}, " if scope else ""
+    return f"""pn AS MATERIALIZED (SELECT DISTINCT {s}unnest([a, b]) AS node FROM {nodes}),
+pr2 AS MATERIALIZED (SELECT *, row_number() OVER ({part}ORDER BY node) AS i, row_number() OVER ({part}ORDER BY md5('{seed}:' || node), node) AS j FROM pn),
+pm AS MATERIALIZED (SELECT {head}x.node, y.node AS target FROM pr2 x JOIN pr2 y ON {same}x.j = y.i)"""
+
+
 NAMES = "na AS MATERIALIZED (SELECT DISTINCT corpus, lower(trim(speaker)) AS key FROM tu WHERE trim(speaker) <> '')"
 LINKS = r"""li AS MATERIALIZED (SELECT t.corpus, n.key AS entity, 'authored_by' AS role, t.id FROM tu t JOIN na n ON n.corpus = t.corpus AND n.key = lower(trim(t.speaker))
  UNION SELECT t.corpus, n.key, 'mentions', t.id FROM (SELECT corpus, id, unnest(list_distinct(regexp_extract_all(lower(body), '[\p{L}\p{N}_]+'))) AS w FROM tu) t JOIN na n ON n.corpus = t.corpus AND n.key = t.w)"""
@@ -155,6 +218,17 @@ ROUTE = r"""qm AS MATERIALIZED (SELECT q.query_id, min(n.key) AS entity, count(D
 ro AS MATERIALIZED (SELECT q.*, CASE WHEN m.k = 1 AND s.c > 0 THEN m.entity END AS entity, CASE WHEN m.k = 1 AND s.c > 0 THEN s.c ELSE 0 END AS candidate_count FROM qu q LEFT JOIN qm m ON m.query_id = q.query_id
  LEFT JOIN (SELECT corpus, entity, count(DISTINCT id) AS c FROM li GROUP BY ALL) s ON s.corpus = q.corpus AND s.entity = m.entity)"""
 
+TOPICS = "tq AS (SELECT query_id, corpus, array_to_string(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+|[^a-z0-9]+'), lambda w: w <> entity), ' ') AS query FROM ro WHERE entity IS NOT NULL)"
+CANDIDATES = "ca AS MATERIALIZED (SELECT r.query_id, r.corpus, l.id, string_agg(DISTINCT l.role, ',' ORDER BY l.role) AS link_types FROM ro r JOIN li l ON l.corpus = r.corpus AND l.entity = r.entity GROUP BY ALL)"
+
+
+def inside(name: str, lexical: str, weight: str = "0.4e0", an: str = "an") -> str:
+    """The 16 best candidates of gated queries."""
+    return f"""{name} AS MATERIALIZED (SELECT * FROM (SELECT query_id, corpus, id, link_types, score, row_number() OVER (PARTITION BY query_id, corpus ORDER BY score DESC, id) AS rank FROM (
+ SELECT query_id, corpus, id, link_types, round(x / greatest(max(x) OVER q, 1e-12) + {weight} * (y / greatest(max(y) OVER q, 1e-12)), 9) AS score
+ FROM (SELECT c.*, coalesce(b.lexical, 0.0e0) AS x, coalesce(a.association, 0.0e0) AS y FROM ca c LEFT JOIN {lexical} b ON b.query_id = c.query_id AND b.id = c.id LEFT JOIN {an} a ON a.query_id = c.query_id AND a.id = c.id) WINDOW q AS (PARTITION BY query_id, corpus))) WHERE rank <= 16)"""
+
+
 HISTORY = f"""{RECORDS}, hs AS (SELECT id, tick, content || chr(10) || writer AS key FROM re WHERE content IS NOT NULL AND writer IS NOT NULL),
 hv AS (SELECT id, tick, lead(tick) OVER (PARTITION BY key ORDER BY id) AS valid_to, lag(id) OVER (PARTITION BY key ORDER BY id) AS supersedes FROM hs UNION ALL SELECT id, tick, NULL, NULL FROM re WHERE content IS NULL OR writer IS NULL)"""
 
@@ -260,15 +334,25 @@ QUERIES: dict[str, str] = {
         *SEARCH,
         GOLD,
         GOLD_TURNS,
+        NAMES,
+        LINKS,
+        ROUTE,
         "lr AS (SELECT query_id, corpus, id, row_number() OVER (PARTITION BY query_id, corpus ORDER BY lexical DESC, id) AS rank FROM lx)",
         "ar2 AS (SELECT corpus, id, tick, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM tu WINDOW w AS (PARTITION BY corpus ORDER BY id))",
-        final="SELECT g.query_id, g.corpus, g.id, l.rank AS lexical_rank, r.tick, r.prev_id, r.next_id FROM (SELECT DISTINCT * FROM gt) g LEFT JOIN lr l ON l.query_id = g.query_id AND l.id = g.id JOIN ar2 r ON r.corpus = g.corpus AND r.id = g.id WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.query_id = g.query_id AND hi.id = g.id)",
+        "ht AS (SELECT h.query_id, h.corpus, h.id, t.tick FROM hi h JOIN tu t ON t.corpus = h.corpus AND t.id = h.id)",
+        final="""SELECT g.query_id, g.corpus, g.id, l.rank AS lexical_rank, round(coalesce(a.association, 0), 6) AS association,
+ o.entity IS NOT NULL AND NOT EXISTS (SELECT 1 FROM li WHERE li.corpus = g.corpus AND li.entity = o.entity AND li.id = g.id) AS gated_out,
+ r.tick, (SELECT min(abs(ht.id - g.id)) FROM ht WHERE ht.query_id = g.query_id AND ht.tick = r.tick) AS turn_distance, r.prev_id, r.next_id
+ FROM (SELECT DISTINCT * FROM gt) g LEFT JOIN lr l ON l.query_id = g.query_id AND l.id = g.id LEFT JOIN an a ON a.query_id = g.query_id AND a.id = g.id JOIN ar2 r ON r.corpus = g.corpus AND r.id = g.id
+ JOIN ro o ON o.query_id = g.query_id WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.query_id = g.query_id AND hi.id = g.id)""",
     ),
     "retrieve_ablation_variants": chain(
         *LEXICAL,
         PREFIX,
         ADJACENT,
         STAR,
+        COMBINED,
+        "el AS (SELECT DISTINCT t.corpus, t.id AS seq, least(t.id, p.other) AS a, greatest(t.id, p.other) AS b, t.tick FROM p3 p JOIN tu t ON t.corpus = p.corpus AND t.id = p.id)",
         *GRAPH[1:],
         SEEDS,
         hops(),
@@ -276,9 +360,12 @@ QUERIES: dict[str, str] = {
         fuse(),
         "az AS (SELECT * FROM an WHERE false)",
         fuse("hp", "0.0e0", an="az"),
-        renamed(",\n".join([fold("ed", "es", "corpus"), spread("ed"), SEEDS, hops(), ASSOCIATION]), "ed al ad tr sd vs a1 f1 a2 f2 ac an"),
-        fuse("hs", an="x_an"),
-        final="SELECT variant, query_id, id, rank FROM (SELECT 'lexical' AS variant, * FROM hp UNION ALL SELECT 'adjacent', * FROM hi UNION ALL SELECT 'star', * FROM hs) WHERE rank <= 10",
+        *(part for name, events in (("s", "es"), ("l", "el"), ("c", "ec")) for part in (_other(f"{name}_", events), fuse(f"h{name}", an=f"{name}_an"))),
+        permuted("s_al", "corpus"),
+        "v_al AS MATERIALIZED (SELECT e.corpus, least(x.target, y.target) AS a, greatest(x.target, y.target) AS b, e.now FROM s_al e JOIN pm x ON x.corpus = e.corpus AND x.node = e.a JOIN pm y ON y.corpus = e.corpus AND y.node = e.b)",
+        renamed(",\n".join([_TRANSITIONS, SEEDS, hops(), ASSOCIATION]), _GRAPH_NAMES, "v_"),
+        fuse("hv", an="v_an"),
+        final="SELECT variant, query_id, id, rank FROM (SELECT 'lexical' AS variant, * FROM hp UNION ALL SELECT 'adjacent', * FROM hi UNION ALL SELECT 'star', * FROM hs UNION ALL SELECT 'learned', * FROM hl UNION ALL SELECT 'combined', * FROM hc UNION ALL SELECT 'shuffled', * FROM hv) WHERE rank <= 10",
     ),
     "entity_gated_topk": chain(
         *ACTIVATION,
@@ -287,13 +374,11 @@ QUERIES: dict[str, str] = {
         NAMES,
         LINKS,
         ROUTE,
-        "tq AS (SELECT query_id, corpus, array_to_string(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+|[^a-z0-9]+'), lambda w: w <> entity), ' ') AS query FROM ro WHERE entity IS NOT NULL)",
+        TOPICS,
         index("b", "tu", "body"),
         lexical("lb", "b", "tq"),
-        "ca AS (SELECT r.query_id, r.corpus, l.id, string_agg(DISTINCT l.role, ',' ORDER BY l.role) AS link_types FROM ro r JOIN li l ON l.corpus = r.corpus AND l.entity = r.entity GROUP BY ALL)",
-        """cs AS (SELECT query_id, corpus, id, link_types, round(x / greatest(max(x) OVER q, 1e-12) + 0.4e0 * (y / greatest(max(y) OVER q, 1e-12)), 9) AS score
- FROM (SELECT c.*, coalesce(b.lexical, 0.0e0) AS x, coalesce(a.association, 0.0e0) AS y FROM ca c LEFT JOIN lb b ON b.query_id = c.query_id AND b.id = c.id LEFT JOIN an a ON a.query_id = c.query_id AND a.id = c.id) WINDOW q AS (PARTITION BY query_id, corpus))""",
-        "ce AS (SELECT query_id, corpus, id, score, row_number() OVER (PARTITION BY query_id, corpus ORDER BY score DESC, id) AS rank, link_types FROM cs QUALIFY rank <= 16)",
+        CANDIDATES,
+        inside("ce", "lb"),
         final="SELECT query_id, corpus, id, round(score, 6) AS score, rank, 'entity' AS mode, link_types FROM ce UNION ALL SELECT h.query_id, h.corpus, h.id, round(h.score, 6), h.rank, 'adjacency', '' FROM hi h JOIN ro r ON r.query_id = h.query_id WHERE r.entity IS NULL",
     ),
     "fit_records": (
@@ -329,4 +414,99 @@ QUERIES: dict[str, str] = {
     "coactivation_windows": chain(WINDOWS, final="SELECT a, b, count(*) AS windows FROM wp GROUP BY a, b"),
     "stream_association_fold": chain(*LOG_EDGES, final=f"SELECT {_EDGE} FROM ed"),
     "stream_coactivation_fold": chain(WINDOWS, fold("ed", "wp"), final=f"SELECT {_EDGE} FROM ed"),
+    "best_graph_weight": chain(
+        *WEIGHTED,
+        final="""SELECT * FROM (SELECT w AS weight, round(avg(recall) FILTER (dev), 6) AS mean_recall, round(avg(recall) FILTER (NOT dev), 6) AS test_recall
+ FROM (SELECT *, ('0x' || substr(md5(corpus), 1, 8))::BIGINT % 2 = 0 AS dev FROM wr) GROUP BY w) ORDER BY mean_recall DESC, weight LIMIT 1""",
+    ),
+    "promotion": chain(
+        *WEIGHTED,
+        "cv AS (SELECT x.w, round(avg(x.recall), 9) AS graph, round(avg(y.recall), 9) AS adjacency, quantile_cont(x.recall - y.recall, 0.9) AS low FROM wr x JOIN wr y ON y.query_id = x.query_id AND y.w = 0 GROUP BY x.w)",
+        "co AS (SELECT list(c ORDER BY w) AS c FROM (SELECT w, {'g': graph, 'a': adjacency, 'l': low} AS c FROM cv))",
+        final="SELECT round(c[5].g - c[2].g, 6) + 0.0e0 AS gain, round(c[5].g - c[5].a, 6) + 0.0e0 AS advantage, c[5].g - c[2].g >= 0.01 AND c[5].g - c[5].a >= 0.01 AND c[5].l > 0 AND c[5].g >= c[4].g AS promote FROM co",
+    ),
+    "cluster_means": chain(*PAIRS, final="SELECT corpus, cases, round(m, 6) + 0.0e0 AS mean_delta, CASE WHEN m > 1e-12 THEN 1 WHEN m < -1e-12 THEN -1 ELSE 0 END AS outcome FROM (SELECT corpus, count(*) AS cases, avg(associative - lexical) AS m FROM pr GROUP BY corpus)"),
+    "cluster_bootstrap": chain(
+        *PAIRS,
+        "cl AS MATERIALIZED (SELECT row_number() OVER (ORDER BY corpus) - 1 AS j, sum(associative - lexical) AS s, count(*) AS n FROM pr GROUP BY corpus)",
+        f"dr AS (SELECT d, {drawn(7, 'd', 'j')} % (SELECT count(*) FROM cl) AS p FROM cl, range(3000) t(d))",
+        "me2 AS (SELECT d, sum(s) / sum(n) AS m FROM dr JOIN cl ON cl.j = dr.p GROUP BY d)",
+        final="SELECT (SELECT round(sum(s) / sum(n), 6) + 0.0e0 FROM cl) AS mean, round(quantile_cont(m, 0.025), 6) + 0.0e0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0e0 AS high FROM me2",
+    ),
+    "token_f1_words": answer_scores(False),
+    "category_f1_words": answer_scores(True),
+    "exact_answers": chain(
+        QUESTIONS,
+        """sp AS (SELECT query_id, answer, unnest(range(4)) AS spelling, unnest([answer, ' "' || upper(answer) || '". ', 'it is ' || answer, answer || ' cells']) AS said FROM qu WHERE answer IS NOT NULL)""",
+        """tx AS (SELECT query_id, spelling, lower(answer) AS want, trim(lower(trim(said)), ' .`"') AS t FROM sp)""",
+        final=r"""SELECT query_id, spelling, t = want OR CASE WHEN want = 'not enough information' THEN false WHEN starts_with(want, 'rm') THEN regexp_replace(t, '^room\s+', '') = want ELSE regexp_replace(t, '\s+cells$', '') = want END AS exact FROM tx""",
+    ),
+    "witness_path_steps": chain(
+        *SEARCH,
+        "wa AS (SELECT query_id, corpus, node, min(hop) AS hop FROM (SELECT query_id, corpus, node, 0 AS hop FROM vs UNION ALL SELECT query_id, corpus, node, 1 FROM f1 UNION ALL SELECT query_id, corpus, node, 2 FROM f2) GROUP BY ALL)",
+        final="SELECT h.query_id, h.corpus, h.id, w.hop AS steps, 0 AS weak FROM hi h JOIN wa w ON w.query_id = h.query_id AND w.corpus = h.corpus AND w.node = h.id",
+    ),
+    "activation_paths": chain(
+        *LEXICAL,
+        *GRAPH,
+        SEEDS,
+        hops(1),
+        "a2 AS (SELECT f.query_id, f.corpus, t.dst AS node, f.contribution * t.share AS score FROM a1 f JOIN tr t ON t.corpus = f.corpus AND t.src = f.dst WHERE f.contribution * t.share >= 0.001e0)",
+        "al2 AS (SELECT query_id, corpus, node, round(sum(score), 12) AS score FROM (SELECT * FROM vs UNION ALL SELECT query_id, corpus, dst, contribution FROM a1 UNION ALL SELECT * FROM a2) GROUP BY ALL)",
+        final="SELECT query_id, corpus, node, round(score, 6) AS score FROM al2 WHERE al2.score >= 0.001e0",
+    ),
+    "edges_admitted": chain(LOG, "fs AS (SELECT a, b, min(seq) AS first_seen FROM lo GROUP BY a, b)", final="SELECT a, b, first_seen FROM fs QUALIFY row_number() OVER (ORDER BY first_seen, a, b) <= (SELECT count(*) * 5 // 7 * 7 // 10 FROM fs)"),
+    "shuffled_graph": chain(*LOG_EDGES, permuted("ed"), final="SELECT least(x.target, y.target) AS a, greatest(x.target, y.target) AS b, round(weight, 6) AS weight, last_tick, events FROM ed JOIN pm x ON x.node = ed.a JOIN pm y ON y.node = ed.b"),
+    "entity_problems": chain(
+        TURNS,
+        "nl AS (SELECT DISTINCT corpus, lower(trim(alias)) AS k, lower(trim(speaker)) AS e FROM (SELECT corpus, speaker, speaker AS alias FROM tu UNION ALL SELECT corpus, speaker, string_split(trim(speaker), ' ')[1] FROM tu))",
+        "kn AS (SELECT * FROM nl WHERE k <> '' AND e <> '')",
+        final="""SELECT DISTINCT corpus, 'blank' AS problem, coalesce(k, '') AS name FROM nl WHERE coalesce(k, '') = '' OR coalesce(e, '') = ''
+ UNION ALL SELECT corpus, 'ambiguous', k FROM kn GROUP BY corpus, k HAVING count(DISTINCT e) > 1
+ UNION ALL SELECT DISTINCT corpus, 'undeclared', e FROM kn x WHERE NOT EXISTS (SELECT 1 FROM kn y WHERE y.corpus = x.corpus AND y.k = x.e)
+ UNION ALL SELECT DISTINCT corpus, 'unknown speaker', lower(trim(speaker)) FROM tu WHERE tick > 1 AND speaker IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kn WHERE kn.corpus = tu.corpus AND kn.e = lower(trim(tu.speaker)))""",
+    ),
+    "entity_only": chain(
+        *LEXICAL,
+        NAMES,
+        LINKS,
+        ROUTE,
+        TOPICS,
+        index("b", "tu", "body"),
+        lexical("lb", "b", "tq"),
+        CANDIDATES,
+        "az AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS id, 0.0e0 AS association WHERE false)",
+        inside("ce", "lb", an="az"),
+        final="SELECT query_id, corpus, id, round(score, 6) AS score, rank FROM ce",
+    ),
+    "entity_ablation": chain(
+        *ACTIVATION,
+        ASSOCIATION,
+        fuse(),
+        NAMES,
+        LINKS,
+        ROUTE,
+        TOPICS,
+        "x_qu AS (SELECT * FROM tq)",
+        "y_qu AS (SELECT query_id, corpus, query FROM ro WHERE entity IS NOT NULL)",
+        lexical("x_lx", "d", "x_qu"),
+        renamed(",\n".join([SEEDS, hops(), ASSOCIATION, fuse("h2")]), "lx qu sd vs a1 f1 a2 f2 ac an h2"),
+        renamed(fuse("h3"), "lx qu h3"),
+        index("b", "tu", "body"),
+        lexical("y_lx", "b", "y_qu"),
+        renamed(fuse("h4"), "lx qu h4", "y_"),
+        "z_qu AS (SELECT * FROM tq)",
+        lexical("z_lx", "b", "z_qu"),
+        renamed(fuse("h5"), "lx qu h5", "z_"),
+        CANDIDATES,
+        inside("c4", "y_lx"),
+        inside("c5", "z_lx"),
+        final="""SELECT arm, query_id, id, rank FROM (SELECT 'adjacency' AS arm, query_id, id, rank FROM hi
+ UNION ALL SELECT 'adjacency_stripped_query', query_id, id, rank FROM x_h2 UNION ALL SELECT 'strip_lexical_keep_original_seeds', query_id, id, rank FROM x_h3
+ UNION ALL SELECT 'body_original_ungated', query_id, id, rank FROM y_h4 UNION ALL SELECT 'body_stripped_ungated', query_id, id, rank FROM z_h5
+ UNION ALL SELECT 'body_original_gated', query_id, id, rank FROM c4 UNION ALL SELECT 'body_stripped_gated', query_id, id, rank FROM c5) WHERE rank <= 10 AND query_id IN (SELECT query_id FROM y_qu)""",
+    ),
+    "ordered_multi_get": chain(RECORDS, final="SELECT tick AS request, row_number() OVER (PARTITION BY tick ORDER BY id DESC) AS place, id, writer FROM re WHERE tick IS NOT NULL"),
+    "stratified_questions": chain(QUESTIONS, final=f"SELECT query_id, category FROM qu QUALIFY row_number() OVER (PARTITION BY category ORDER BY {drawn(0, 'query_id')}, query_id) <= 20"),
+    "stream_stateful_fold": chain(*LOG_EDGES, final=f"SELECT {_EDGE} FROM ed"),
 }
