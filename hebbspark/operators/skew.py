@@ -57,8 +57,11 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], weight: str, share: int = H
 
     ``counts`` has one row per key.
     """
-    total = counts.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("double"))
-    hot = counts.where((F.col(weight) >= (HOT_LEAST if least is None else least)) & (F.col(weight) * F.lit(share) >= total.scalar()))
+    least = HOT_LEAST if least is None else least
+    seen = counts.agg(F.sum(weight).alias("total"), F.max(weight).alias("most")).first()
+    if seen.total is None or seen.most < max(least, seen.total / share):
+        return []
+    hot = counts.where((F.col(weight) >= least) & (F.col(weight) * F.lit(share) >= F.lit(seen.total)))
     return [r[0] for r in hot.select(F.xxhash64(*keys)).distinct().collect()]
 
 
