@@ -299,7 +299,7 @@ def near_duplicates(records: DataFrame, p: NearDupParams = NearDupParams(), id_c
     members = written(classes(rows, p), "classes")
     sets = written(weighted_sets(rows, members, p), "sets")
     pairs = written(candidates(sets, p), "candidates")
-    return NearDuplicates(members, verified(pairs, sets, p))
+    return NearDuplicates(members, written(verified(pairs, sets, p), "links"))
 
 
 def band_recall(similarity: float, p: NearDupParams) -> float:
