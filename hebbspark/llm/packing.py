@@ -3,8 +3,10 @@
 Items of one size are alike, so the packing is planned over sizes and counts:
 at most capacity + 1 of them, however many documents there are.  The plan is a
 vector best fit in decreasing size.  A bin has three capacities: tokens,
-documents, and attention cost, which is the sum of the squared sizes.  Of the
-open bins that have room in all of them, the one is chosen whose remaining
+documents, and attention cost, which is the sum of the squared sizes.  The
+attention capacity is below the square of the token capacity, so it binds where
+one long document would be joined by others; a document whose own cost exceeds
+it, which may not be split, has a packet to itself.  Of the open bins that have room in all of them, the one is chosen whose remaining
 capacity has the smallest weighted norm after the item is in it, or with which
 the item has the largest weighted dot product.  Open bins with equal remains
 are one group, so a step of the plan places many items.
@@ -24,18 +26,18 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class PackParams:
-    """attention: most of the sum of squared sizes in a packet, capacity squared unless given; choose: "norm" or "dot"."""
+    """attention_share: the sum of squared sizes that documents may have together, as a part of capacity squared; choose: "norm" or "dot"."""
 
     capacity: int = 2048
     documents: int = 256
-    attention: int | None = None
+    attention_share: float = 0.9
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     choose: str = "norm"
     shard_rows: int = 50_000
 
     @property
     def limits(self) -> tuple[int, int, int]:
-        return self.capacity, self.documents, self.capacity**2 if self.attention is None else self.attention
+        return self.capacity, self.documents, int(self.attention_share * self.capacity**2)
 
 
 @dataclass(frozen=True)
@@ -80,8 +82,12 @@ def plan_packing(counts: Mapping[int, int], p: PackParams) -> Plan:
     for size in sorted((s for s, n in counts.items() if n), reverse=True):
         left, rank = counts[size], 0
         item = np.array([size, 1, size * size], dtype=np.int64)
-        if (item > np.array(p.limits)).any():
-            raise ValueError(f"an item of {size} exceeds the capacities {p.limits}")
+        if size > p.capacity:
+            raise ValueError(f"an item of {size} exceeds the capacity {p.capacity}")
+        if item[2] > p.limits[2]:
+            steps.append((size, 0, bins, 1))
+            bins += left
+            continue
         while left:
             fits = np.flatnonzero((many[:groups] > 0) & (room[:groups] >= item).all(axis=1))
             if len(fits):
@@ -141,3 +147,32 @@ def packed(sizes: DataFrame, p: PackParams = PackParams(), id_col: str = "doc_id
 
     ranked = local.join(before, ["tokens", "shard"]).withColumn("packet", place("tokens", F.col("r") + F.col("before")))
     return ranked.select(F.col("id").alias(id_col), F.col("part").cast("int").alias("part"), "packet", "start", "tokens")
+
+
+def violations(placed: DataFrame, documents: DataFrame, p: PackParams = PackParams(), id_col: str = "doc_id") -> DataFrame:
+    """One row of counts, all but documents 0 if the packing is sound.
+
+    lost: documents without a part; doubled: parts that occur twice;
+    cut_without_need: documents of several parts that fit one packet;
+    over_...: packets beyond a capacity, that of attention only where several
+    documents share the packet; unused_numbers: packet numbers without a packet.
+    Documents must have distinct ids that are not null.
+    """
+    per = placed.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("part").alias("parts"), F.sum("tokens").alias("n"))
+    met = documents.select(id_col).join(per, id_col, "left")
+    of_documents = met.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.col("rows").isNull()).alias("lost"),
+        F.coalesce(F.sum(F.col("rows") - F.col("parts")), F.lit(0)).alias("doubled"),
+        F.count_if((F.col("parts") > 1) & (F.col("n") <= p.capacity)).alias("cut_without_need"),
+    )
+    tokens, many, attention = p.limits
+    loads = placed.groupBy("packet").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("tokens") * F.col("tokens")).alias("c"))
+    of_packets = loads.agg(
+        F.count_if(F.col("n") > tokens).alias("over_tokens"),
+        F.count_if(F.col("k") > many).alias("over_documents"),
+        F.count_if((F.col("k") > 1) & (F.col("c") > attention)).alias("over_attention"),
+        (F.coalesce(F.max("packet") + 1, F.lit(0)) - F.count(F.lit(1))).alias("unused_numbers"),
+    )
+    both = of_documents.unionByName(of_packets, allowMissingColumns=True)
+    return both.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in both.columns))

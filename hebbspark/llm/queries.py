@@ -75,7 +75,17 @@ def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_packets(spark: SparkSession, folder: str) -> DataFrame:
     sizes = bpe.encoded(_table(spark, folder, "documents"), only_size=True)
-    return packing.packed(sizes, packing.PackParams(capacity=2048))
+    return packing.packed(sizes, PACKETS)
+
+
+PACKETS = packing.PackParams(capacity=2048)
+
+
+def p6_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the packets, in one row: every document once and whole, and no packet over a capacity."""
+    documents = _table(spark, folder, "documents")
+    placed = packing.packed(bpe.encoded(documents, only_size=True), PACKETS)
+    return packing.violations(placed, documents, PACKETS)
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +105,7 @@ def p7_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets, p7_found, p7_composition)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_groups, p3_found, p3_pairs, p4_found, p4_similar, p5_ids, p6_packets, p6_totals, p7_found, p7_composition)}
 
 
 _STOP = str(STOP_WORDS)
@@ -175,5 +185,8 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k
 """
 
 
+_P6_TOTALS = """SELECT count(*) AS documents, 0 AS lost, 0 AS doubled, 0 AS cut_without_need, 0 AS over_tokens, 0 AS over_documents, 0 AS over_attention, 0 AS unused_numbers FROM documents"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_scores": _P1_SCORES, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4}
+    return {"p1_found": _P1, "p1_scores": _P1_SCORES, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4, "p6_totals": _P6_TOTALS}

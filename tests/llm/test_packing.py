@@ -19,7 +19,8 @@ def check(rows, out, p):
         count[r.packet] += 1
         cost[r.packet] += r.tokens**2
         parts[r.doc_id].append((r.part, r.start, r.tokens))
-    assert max(load.values(), default=0) <= cap and max(count.values(), default=0) <= docs and max(cost.values(), default=0) <= attention
+    assert max(load.values(), default=0) <= cap and max(count.values(), default=0) <= docs
+    assert all(cost[k] <= attention for k in count if count[k] > 1)
     assert set(parts) == {i for i, _ in rows}
     for i, n in rows:
         n, got = n or 0, sorted(parts[i])
@@ -46,7 +47,7 @@ def test_whole_documents(spark, choose):
 
 def test_all_capacities_bind(spark):
     rows = [(i, 10) for i in range(500)]
-    for p in (K.PackParams(documents=7), K.PackParams(attention=350, capacity=18), K.PackParams(capacity=25)):
+    for p in (K.PackParams(documents=7), K.PackParams(attention_share=0.2, capacity=40), K.PackParams(capacity=25)):
         out = K.packed(spark.createDataFrame(rows, "doc_id long, n long"), p).collect()
         load = check(rows, out, p)
         most = min(p.limits[0] // 10, p.limits[1], p.limits[2] // 100)
@@ -72,6 +73,9 @@ def test_plan_against_item_by_item_best_fit():
         bins = []
         for s in sorted(sizes, reverse=True):
             item = (s, 1, s * s)
+            if item[2] > p.limits[2]:
+                bins.append([0, 0, 0])
+                continue
             best = None
             for b in bins:
                 if all(b[k] >= item[k] for k in range(3)):
@@ -86,6 +90,23 @@ def test_plan_against_item_by_item_best_fit():
         assert abs(plan.bins - len(bins)) <= 1
 
 
+def test_a_costly_document_is_alone(spark):
+    rows = [(1, 97), (2, 96), (3, 3), (4, 2), (5, 94), (6, 6), (7, 100), (8, 250)]
+    p = K.PackParams(capacity=100, attention_share=0.9)
+    out = K.packed(spark.createDataFrame(rows, "doc_id long, n long"), p).collect()
+    load = check(rows, out, p)
+    of = {(r.doc_id, r.part): r.packet for r in out}
+    assert load[of[1, 0]] == 97 and load[of[2, 0]] == 96 and of[5, 0] == of[6, 0]
+
+
+def test_violations_are_counted(spark):
+    docs = spark.createDataFrame([(i, "") for i in range(1, 7)], "doc_id long, text string")
+    p = K.PackParams(capacity=10, documents=2, attention_share=0.5)
+    rows = [(1, 0, 0, 0, 8), (2, 0, 0, 0, 4), (3, 0, 1, 0, 1), (3, 0, 1, 0, 1), (4, 0, 1, 0, 3), (4, 1, 1, 3, 2), (5, 0, 3, 0, 9)]
+    got = K.violations(spark.createDataFrame(rows, "doc_id long, part int, packet long, start long, tokens long"), docs, p).first().asDict()
+    assert got == {"documents": 6, "lost": 1, "doubled": 1, "cut_without_need": 1, "over_tokens": 1, "over_documents": 1, "over_attention": 1, "unused_numbers": 1}
+
+
 def test_an_item_over_a_capacity_is_an_error():
     with pytest.raises(ValueError):
         K.plan_packing({11: 1}, K.PackParams(capacity=10))
