@@ -4,10 +4,10 @@ Sentences of labelled documents are transactions of words with the document's
 subject as one more item.  Parallel frequent-pattern growth mines rules from
 sets of words to subjects; a rule that adds nothing to a more general one is
 pruned.  A sentence that recurs word for word under many subjects is a rule of
-its own, to no subject.  A document is scored sentence by sentence: the matching
-rules' calibrated evidence is weighed against the subjects that the document's
-other sentences are about, and a subject comes out if its share of all the
-sentences with a subject reaches a limit.
+its own, to no subject.  The evidence of the matching rules becomes a probability
+by a calibration on labelled documents that no rule was mined from.  A
+document's share of a subject is the mean of these probabilities over its
+sentences with a subject, and the subject comes out if the share reaches a limit.
 
 The rules are fitted on a bounded sample of labelled documents and are looked
 up in memory; scoring reads every document once and shuffles nothing.
@@ -42,7 +42,10 @@ class SubjectParams:
     min_support: int = 3
     min_confidence: float = 0.15
     word_share: float = 0.35
-    longest: int = 2
+    #: Most words of a rule that is looked up; the pruning has left none of more than two so far.
+    longest: int = 4
+    #: One in so many labelled documents is kept for the calibration.
+    held: int = 7
     smoothing: float = 2.0
     #: Least evidence of one rule for a sentence to have a subject, as a part of the most its subject can have.
     evidence: float = 0.45
@@ -137,12 +140,15 @@ class Rules:
     params: SubjectParams
     #: Prior share of each subject.
     prior: np.ndarray
+    #: The factor of the evidence at which it predicts the labels of other documents best.
+    sharpness: float = 1.0
     words: set[str] = field(default_factory=set)
     _finder: object = None
     _memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.words = {w for a in self.antecedents for w in a}
+        self.reach = min(max(map(len, self.antecedents), default=0), self.params.longest)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_finder", "_memo")} | {"_finder": None, "_memo": {}}
@@ -169,8 +175,8 @@ class Rules:
                 out += [x for _, x in self._finder.iter_long(w)]
         return out
 
-    def evidence(self, words: list[str]) -> tuple[np.ndarray, int] | None:
-        """Sum over the matching rules of a sentence, and the subject it favours; a rule inside a longer matching one is left out.
+    def evidence(self, words: list[str]) -> np.ndarray | None:
+        """Sum over the matching rules of a sentence, null if it has no subject; a rule inside a longer matching one is left out.
 
         Depends on the known words alone, of which few sets occur: each is worked out once.
         """
@@ -183,8 +189,8 @@ class Rules:
             self._memo[known] = self._sum(known)
         return self._memo[known]
 
-    def _sum(self, known: tuple[str, ...]) -> tuple[np.ndarray, int] | None:
-        hits = [c for n in range(min(self.params.longest, len(known)), 0, -1) for c in itertools.combinations(known, n) if c in self.antecedents]
+    def _sum(self, known: tuple[str, ...]) -> np.ndarray | None:
+        hits = [c for n in range(min(self.reach, len(known)), 0, -1) for c in itertools.combinations(known, n) if c in self.antecedents]
         covered: set[tuple[str, ...]] = set()
         total, best = np.zeros(len(self.subjects)), 0.0
         for h in hits:
@@ -195,27 +201,56 @@ class Rules:
             e = self.antecedents[h]
             total += e
             best = max(best, float((e / -np.log(self.prior)).max()))
-        return (total, int(np.argmax(total))) if best >= self.params.evidence else None
+        return total if best >= self.params.evidence else None
 
     def document(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Share of each subject among the sentences with a subject, and the number of those."""
+        """Mean probability of each subject over the sentences with a subject, and the number of those."""
         found = [e for e in map(self.evidence, sentences(text)) if e is not None]
-        shares = np.zeros(len(self.subjects))
         if not found:
-            return shares, 0
-        first = found[0][1]
-        if all(k == first for _, k in found):
-            # The other sentences can only confirm what each says by itself.
-            shares[first] = 1.0
-            return shares, len(found)
-        scores = np.array([e for e, _ in found])
-        mix = np.full(len(self.subjects), 1 / len(self.subjects))
-        for _ in range(4):
-            z = scores + np.log(mix)
-            post = np.exp(z - z.max(axis=1, keepdims=True))
-            post /= post.sum(axis=1, keepdims=True)
-            mix = 0.95 * post.mean(axis=0) + 0.05 / len(self.subjects)
-        return np.bincount(np.argmax(scores + np.log(mix), axis=1), minlength=len(self.subjects)) / len(found), len(found)
+            return np.zeros(len(self.subjects)), 0
+        return probabilities(np.array(found), self.sharpness).mean(axis=0), len(found)
+
+
+def probabilities(evidence: np.ndarray, sharpness: float) -> np.ndarray:
+    """Of each row of evidence the probability of every subject."""
+    z = sharpness * (evidence - evidence.max(axis=1, keepdims=True))
+    e = np.exp(z)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+#: What the calibration chooses from: factors of the evidence, and shares of labels that are wrong.
+SHARPNESS = (0.25, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0, 4.0)
+WRONG = (0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.25)
+
+
+def calibrated(rules: Rules, held: DataFrame) -> Rules:
+    """The rules with the sharpness under which the labels of held sentences (subject, words) are most likely.
+
+    A label is taken to be wrong with a probability that is chosen along with
+    it.  Every partition gives one sum for each choice, so nothing else comes
+    to the driver.  Without a held sentence that has evidence, it stays at 1.
+    """
+    model = held.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = model.value
+        place = {s: i for i, s in enumerate(r.subjects)}
+        for batch in batches:
+            rows = [(r.evidence(w), place[s]) for s, w in zip(batch.column("subject").to_pylist(), batch.column("words").to_pylist()) if s in place]
+            rows = [(e, k) for e, k in rows if e is not None]
+            if not rows:
+                continue
+            evidence, label = np.array([e for e, _ in rows]), np.array([k for _, k in rows])
+            sums = []
+            for t in SHARPNESS:
+                p = probabilities(evidence, t)[np.arange(len(label)), label]
+                sums += [float(np.log((1 - w) * p + w / len(place)).sum()) for w in WRONG]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.float64())], ["choice", "likely"])
+
+    found = held.select("subject", "words").mapInArrow(run, "choice int, likely double").groupBy("choice").agg(F.sum("likely").alias("likely"))
+    best = found.agg(F.max_by("choice", F.struct("likely", -F.col("choice")))).first()[0]
+    rules.sharpness = 1.0 if best is None else SHARPNESS[best // len(WRONG)]
+    return rules
 
 
 def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: SubjectParams) -> DataFrame:
@@ -247,9 +282,10 @@ def transactions(rows: DataFrame, p: SubjectParams) -> DataFrame:
 
 
 def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: SubjectParams = SubjectParams()) -> Rules:
-    """Rules from the labelled documents; what comes to the driver is bounded by ``p.labelled``."""
+    """Rules from the labelled documents, calibrated; what comes to the driver is bounded by ``p.labelled``."""
     names = sorted(r.s for r in subjects.select(F.lower(F.trim("subject")).alias("s")).where("s IS NOT NULL").distinct().collect())
-    rows = transactions(labelled(documents, labels, subjects, p), p).persist()
+    every = transactions(labelled(documents, labels, subjects, p), p).withColumn("held", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(p.held)) == 0).persist()
+    rows = every.where(~F.col("held"))
     per = rows.groupBy("form", "subject").agg(F.countDistinct("doc_id").alias("n"))
     flat = per.groupBy("form").agg(F.sum("n").alias("n"), F.max(F.when(F.col("subject") != "", F.col("n")).otherwise(0)).alias("most"), F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("subject") == "", F.col("n")).otherwise(0)).alias("none"))
     spread = (F.col("k") >= p.neutral_subjects) & (F.col("most") <= p.neutral_share * F.col("n"))
@@ -290,9 +326,10 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame, p: Subjec
         if general and max(g[best] for g in general) >= value[best] - 0.05:
             continue
         rules[a] = value
-    for d in (rows, kept, baskets):
+    out = calibrated(Rules(names, rules, neutral, p, np.minimum(share, 0.99)), every.where(F.col("held") & (F.col("subject") != "")))
+    for d in (every, kept, baskets):
         d.unpersist()
-    return Rules(names, rules, neutral, p, np.minimum(share, 0.99))
+    return out
 
 
 def document_subjects(documents: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

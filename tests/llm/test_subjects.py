@@ -65,6 +65,18 @@ def test_no_text_no_row(spark, fitted):
     assert S.document_subjects(df, rules).count() == 0
 
 
+def test_evidence_is_calibrated_on_other_documents(spark, fitted):
+    rules = fitted[1]
+    assert rules.sharpness in S.SHARPNESS
+    shares, n = rules.document("The violin and the cello. A choir sang the melody. The referee saw the sprint.")
+    assert n == 3 and abs(shares.sum() - 1) < 1e-9 and shares[rules.subjects.index("music")] > 0.5
+    wrong = [("law", ["violin", "cello"]), ("sport", ["choir", "melody"])] * 20
+    df = spark.createDataFrame(wrong, "subject string, words array<string>")
+    again = S.calibrated(S.Rules(rules.subjects, rules.antecedents, rules.neutral, rules.params, rules.prior), df)
+    assert again.sharpness == min(S.SHARPNESS)
+    assert S.calibrated(again, df.limit(0)).sharpness == 1.0
+
+
 def test_no_labels(spark, fitted):
     docs, _, _, sub = fitted
     rules = S.mine(docs, spark.createDataFrame([], "doc_id long, subject string, rater string"), sub)
