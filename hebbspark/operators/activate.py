@@ -59,14 +59,19 @@ def hubs(trans: DataFrame, scope: Sequence[str] = (), least: int | None = None)
     return hot_keys(trans.groupBy(*scope, "src").agg(F.count(F.lit(1)).alias("_n")), [*scope, "src"], "_n", least=least)
 
 
-def activate(seeds: DataFrame, trans: DataFrame, hops: int = 2, cutoff: float = 1e-3, cap: int | None = 64, scope: Sequence[str] = (), merge: bool = True, hot: Sequence[int] | None = None) -> Activation:
+def activate(seeds: DataFrame, trans: DataFrame, hops: int = 2, cutoff: float = 1e-3, cap: int | None = 64, scope: Sequence[str] = (), merge: bool = True, hot: Sequence[int] | None = None, mass: float | None = None) -> Activation:
     """Spread seeds (query_id, scope, node, weight) over ``trans``.
 
     Scores are the sums over all hops, the seeds' own weight included; the
     ``cap`` best of each query stay, and of them those at the cutoff or above.
     Without ``merge`` every path is followed on its own.  The rows of hubs
     (``hot``, found by ``hubs`` if not given) are spread over several tasks.
+    ``mass`` is a bound of the sum of a query's seed weights.  No node can ever
+    hold more, so a share below cutoff / mass leads nowhere, and a node has at
+    most mass / cutoff larger ones: hubs need no care then.
     """
+    if mass is not None:
+        trans, hot = trans.where(F.col("share") >= F.lit(cutoff / mass * (1 - 1e-9))), []
     hot = hubs(trans, scope) if hot is None else hot
     key = ["query_id", *scope]
     front = valid_seeds(seeds, trans, scope)

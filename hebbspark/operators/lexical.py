@@ -50,6 +50,27 @@ def bm25(queries: DataFrame, docs: DataFrame, scope: Sequence[str] = (), query:
     return hits.groupBy("query_id", *scope, "id").agg(F.round(F.sum(part), DIGITS).alias("lexical")).where(F.col("lexical") > 0)
 
 
+def latest_bm25(old: DataFrame, new: DataFrame, k: int = 3) -> DataFrame:
+    """(id, other, lexical, rank): ``prefix_bm25`` for the records of ``new`` alone, all of which follow those of ``old``.
+
+    The old records are read once, and only their postings of the new records'
+    terms are moved; the running counts are over the new records only.
+    """
+    base = corpus_stats(old).select("n", "total").first()
+    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # the records of one request
+    n, total = F.count(F.lit(1)).over(before) + F.lit(base.n), F.coalesce(F.sum("len").over(before), F.lit(0)) + F.lit(base.total)
+    sized = new.select("id", n.alias("n"), total.alias("total")).where("n > 0").withColumn("avg", F.greatest(F.col("total") / F.col("n"), F.lit(1.0)))
+    asks = postings(new).select("id", "term")
+    index = postings(old.unionByName(new)).join(F.broadcast(asks.select("term").distinct()), "term", "left_semi")
+    met = asks.join(index.withColumnRenamed("id", "other"), "term").where(F.col("other") < F.col("id"))
+    df = met.groupBy("id", "term").agg(F.count(F.lit(1)).alias("df"))
+    hits = met.join(F.broadcast(df), ["id", "term"]).join(F.broadcast(sized), "id")
+    part = term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg"))
+    scored = hits.groupBy("id", "other").agg(F.round(F.sum(part), DIGITS).alias("lexical")).where("lexical > 0")
+    place = Window.partitionBy("id").orderBy(F.col("lexical").desc(), "other")
+    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
 def prefix_bm25(docs: DataFrame, scope: Sequence[str], k: int = 3) -> DataFrame:
     """(scope, id, other, lexical, rank): for each record the k best earlier ones, scored against what was there before it.
 

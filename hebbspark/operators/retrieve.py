@@ -45,7 +45,7 @@ def components(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p:
 def over_graph(c: Components, trans: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> Components:
     """The same lexical scores and seeds with the activation over one more graph."""
     lexical, seeds = c.lexical, c.seeds
-    act = activate(seeds, trans, p.hops, p.cutoff, None, scope)
+    act = activate(seeds, trans, p.hops, p.cutoff, None, scope, mass=1.0)  # the seeds' weights sum to 1
     key = ["query_id", *scope, "node"]
     act.scores = act.scores.persist()
     more = act.scores.join(act.seeds.withColumnRenamed("score", "_own"), key, "left")
@@ -105,9 +105,9 @@ def search(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p: Sear
     return fused(queries, docs, components(queries, docs, trans, p, scope), p, scope, positive_only)
 
 
-def explain(queries: DataFrame, docs: DataFrame, trans: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> DataFrame:
+def explain(queries: DataFrame, docs: DataFrame, trans: DataFrame, p: SearchParams = SearchParams(), scope: Sequence[str] = (), c: Components | None = None) -> DataFrame:
     """The search result with ``added_by_graph``, and the witness path and its hop where the graph reaches the record."""
-    c = components(queries, docs, trans, p, scope)
+    c = components(queries, docs, trans, p, scope) if c is None else c
     group, key = ["query_id", *scope], ["query_id", *scope, "id"]
     both = shares(queries, docs, c, p, scope).withColumn("score", _score(p.graph_weight)).withColumn("_plain", _score(0))
     both = ranked(ranked(both, group, "_plain", name="_place"), group, "score").where(F.col("rank") <= p.budget)
@@ -141,6 +141,7 @@ def connected(queries: DataFrame, docs: DataFrame, trans: DataFrame, p: SearchPa
     that does not fit is passed over.  The order-dependent choice runs per
     query over the records the root reaches.
     """
+    # A hop passes on a mass of 1 at most and drops what is below the cutoff: a query reaches hops / cutoff records at most.
     one = SearchParams(p.budget, p.hops, 1, p.graph_weight, p.cutoff)
     c = components(queries, docs, trans, one, scope)
     key = ["query_id", *scope]

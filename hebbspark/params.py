@@ -78,9 +78,10 @@ class MemoryConfig:
             if name != "version":
                 _need(isinstance(own, dict) and set(own) <= set(DEFAULTS[name]), f"unknown field in {name}")
         limits, graph, keep, find, store = (self[n] for n in ("limits", "graph", "retention", "retrieval", "storage"))
-        for key in ("max_nodes", "max_text_bytes", "max_record_bytes", "max_request_bytes"):
-            _whole(limits[key], 1, 1 << 40, key)
+        for key, low, high in (("max_nodes", 1, 1_000_000), ("max_text_bytes", 1, 1 << 40), ("max_record_bytes", 1, 1 << 24), ("max_request_bytes", 1024, 1 << 25)):
+            _whole(limits[key], low, high, key)
         _need(limits["max_record_bytes"] <= limits["max_text_bytes"], "a record may not exceed the text quota")
+        _need(isinstance(store["path"], str) and store["path"].strip() not in ("", ":memory:"), "storage.path must name a folder")
         for key in ("max_database_bytes", "max_checkpoint_bytes"):
             _whole(store[key], 65_536, 1 << 40, key)
         _number(graph["lambda"], 0, 1, "lambda")
@@ -95,7 +96,8 @@ class MemoryConfig:
         _need(keep["overflow"] in ("reject", "oldest"), "unknown overflow rule")
         _whole(keep["ttl_ticks"], 0, (1 << 32) - 1, "ttl_ticks")
         _whole(find["max_limit"], 1, 64, "max_limit")
-        _whole(find["default_limit"], 1, find["max_limit"], "default_limit")
+        _whole(find["default_limit"], 1, 64, "default_limit")
+        _need(find["default_limit"] <= find["max_limit"], "default_limit exceeds max_limit")
         _whole(find["max_context_bytes"], 2, 1 << 24, "max_context_bytes")
         _whole(find["hops"], 0, 8, "hops")
         _number(find["graph_weight"], 0, 100, "graph_weight")
@@ -122,6 +124,10 @@ class MemoryConfig:
         g = self["graph"]
         return EdgeParams(g["lambda"], g["eta"], g["floor"])
 
+    def learning(self) -> str:
+        """What may not change during the life of a memory: decay, gain and floor."""
+        return json.dumps([float(self["graph"][k]) for k in ("lambda", "eta", "floor")])
+
     def fingerprint(self) -> str:
         return hashlib.sha256(json.dumps({n: self[n] for n in DEFAULTS}, sort_keys=True).encode()).hexdigest()
 

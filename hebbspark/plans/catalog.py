@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hebbspark import tables
 from hebbspark.functions.text import tokens
 from hebbspark.operators import activate as A
+from hebbspark.operators import cases as C
 from hebbspark.operators import edges as E
 from hebbspark.operators import entity as N
 from hebbspark.operators import evalops as B
@@ -234,6 +235,17 @@ def shuffled_graph(spark, folder):
     return rounded(E.shuffled(_log_edges(spark, folder), 11), "weight")
 
 
+@query
+def contention_counts(spark, folder):
+    """Edges and exact update counts after eight agents' 5,000 writes each, in every layout."""
+    out = None
+    for layout in C.LAYOUTS:
+        state = E.fold(C.contention_log(spark, layout, 8, 5000), EdgeParams(lam=0.0))
+        part = state.agg(F.count(F.lit(1)).alias("edges"), F.sum("events").alias("updates"), F.max("events").alias("most"), F.round(F.sum("weight"), 6).alias("weight")).withColumn("layout", F.lit(layout))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Activation
 
 

@@ -414,6 +414,10 @@ QUERIES: dict[str, str] = {
     "coactivation_windows": chain(WINDOWS, final="SELECT a, b, count(*) AS windows FROM wp GROUP BY a, b"),
     "stream_association_fold": chain(*LOG_EDGES, final=f"SELECT {_EDGE} FROM ed"),
     "stream_coactivation_fold": chain(WINDOWS, fold("ed", "wp"), final=f"SELECT {_EDGE} FROM ed"),
+    "contention_counts": f"""WITH s AS (SELECT range + 1 AS seq FROM range(40000)),
+ e AS (SELECT 'hot' AS layout, 0 AS p FROM s UNION ALL SELECT 'disjoint', seq % 8 FROM s UNION ALL SELECT 'uniform', {drawn(1, 'seq')} % 4096 FROM s),
+ c AS (SELECT layout, p, count(*) AS n FROM e GROUP BY ALL)
+ SELECT layout, count(*) AS edges, sum(n)::BIGINT AS updates, max(n) AS most, sum(n)::DOUBLE AS weight FROM c GROUP BY layout""",
     "best_graph_weight": chain(
         *WEIGHTED,
         final="""SELECT * FROM (SELECT w AS weight, round(avg(recall) FILTER (dev), 6) AS mean_recall, round(avg(recall) FILTER (NOT dev), 6) AS test_recall

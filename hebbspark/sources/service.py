@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import queue
 import subprocess
 import sys
 import threading
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 from typing import IO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hebbspark.operators.evidence import AnswerProvider
 from hebbspark.operators.lifecycle import QuotaExceeded
 from hebbspark.params import ConfigError, MemoryConfig
 from hebbspark.sources.managed import InvalidRequest, ManagedMemory
+from hebbspark.sources.memory import MemoryAgent
 from hebbspark.sources.snapshot import StorageError
 
 # The verbs, the parameters each may have, and the error codes.
 VERBS = {
     "remember": {"text", "writer"},
-    "recall": {"query", "limit", "mode"},
+    "recall": {"query", "limit", "mode", "hops"},
     "get": {"id"},
     "forget": {"id"},
     "associate": {"ids"},
@@ -128,20 +132,75 @@ class MemoryClient:
         self._process.wait()
 
 
+#: Facts of an imported list that share a tick.
+FACTS_A_TICK = 6
+
+
+def import_facts(memory: ManagedMemory, facts: Sequence[str]) -> list[int]:
+    """Remember a list of observations, a new tick after every six; their ids."""
+    if not isinstance(facts, list) or not all(isinstance(x, str) for x in facts):
+        raise InvalidRequest("facts are a list of texts")
+    ids: list[int] = []
+    for at in range(0, len(facts), FACTS_A_TICK):
+        if at:
+            memory.advance()
+        ids += [r["id"] for r in memory.remember_all([(x, "") for x in facts[at : at + FACTS_A_TICK]])]
+    return ids
+
+
+def chat(agent: MemoryAgent, lines: Iterable[str], mode: str = "associative", budget: int = 8) -> Iterator[dict]:
+    """Answers to lines of text: ``/remember TEXT`` observes, ``/session`` ends the tick, ``/quit`` ends; any other line is a question."""
+    for line in lines:
+        line = line.strip()
+        if line == "/quit":
+            return
+        if line == "/session":
+            agent.memory.advance()
+        elif line.startswith("/remember "):
+            agent.observe(line[len("/remember ") :])
+        elif line:
+            yield agent.ask(line, mode, budget)
+
+
+def provider_of(name: str) -> AnswerProvider:
+    """What ``module:factory`` makes."""
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)()
+
+
 def main(argv: Sequence[str] | None = None) -> int:
-    """``<verb> --config FILE [--params JSON]``: one call, or ``serve`` and ``init``."""
+    """``<verb> --config FILE [--params JSON]``: one call, or ``serve``, ``init``, ``facts`` and ``chat``."""
     from hebbspark.session import local_session
 
     parser = argparse.ArgumentParser(prog="hebbspark")
-    parser.add_argument("verb", choices=["init", "serve", *VERBS])
+    parser.add_argument("verb", choices=["init", "serve", "facts", "chat", *VERBS])
     parser.add_argument("--config", required=True)
     parser.add_argument("--params", default="{}")
+    parser.add_argument("--facts", help="a JSON file with a list of observations")
+    parser.add_argument("--provider", help="module:factory of the answer provider, for chat")
+    parser.add_argument("--question", help="one question instead of lines from the input, for chat")
     args = parser.parse_args(argv)
     try:
         memory = ManagedMemory(local_session(2), MemoryConfig.load(args.config))
     except Exception as e:  # noqa: BLE001
         print(json.dumps({"ok": False, "error": {"code": "startup_error", "message": str(e)[:200]}}))
         return 1
+    if args.facts:
+        try:
+            ids = import_facts(memory, json.loads(Path(args.facts).read_text(encoding="utf-8")))
+        except (OSError, ValueError, QuotaExceeded, StorageError) as e:
+            print(json.dumps({"ok": False, "error": {"code": next((c for t, c in CODES if isinstance(e, t)), "storage_error"), "message": str(e)[:200]}}))
+            return 1
+        if args.verb == "facts":
+            print(json.dumps({"ok": True, "result": {"ids": ids}}))
+            return 0
+    if args.verb in ("facts", "chat"):
+        if args.verb == "facts" or not args.provider:
+            parser.error("facts needs --facts, chat needs --provider")
+        agent = MemoryAgent(memory, provider_of(args.provider))
+        for answer in chat(agent, [args.question] if args.question else sys.stdin):
+            print(json.dumps(answer, ensure_ascii=False, default=str), flush=True)
+        return 0
     if args.verb == "serve":
         serve(memory, sys.stdin.buffer, sys.stdout.buffer)
         return 0

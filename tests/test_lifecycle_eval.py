@@ -1,13 +1,18 @@
 """Lifecycle rewrites and evaluation measures."""
 
 import math
+import re
 from math import comb
 
 import pytest
 from pyspark.sql import functions as F
 
+from hebbspark.functions.stem import porter
+from hebbspark.operators import cases as C
+from hebbspark.operators import edges as E
 from hebbspark.operators import evalops as B
 from hebbspark.operators import lifecycle as M
+from hebbspark.params import EdgeParams
 
 REC = "id long, content string, writer string, tick long, layer int, valid_from long, valid_to long, supersedes long, bytes long"
 
@@ -82,12 +87,28 @@ def test_holm(spark):
 
 
 def test_answers(spark):
-    df = spark.createDataFrame([("The red, fox!", "a red fox and fox", 2), ("", "", 4), ("cat", "dog", 4), ("x", "x; y", 3), ("red, blue", "blue, green", 1), (None, "z", 4)], "p string, g string, c int")
-    got = [r.f for r in df.select(B.category_f1("p", "g", "c").alias("f")).collect()]
-    assert got == pytest.approx([0.8, 1.0, 0.0, 1.0, 0.5, 0.0])
-    ex = spark.createDataFrame([("It is Room B.",), ("about 12 cells!",), ("Abstain.",)], "t string").select(B.exact_answer("t").alias("x"))
-    assert [r.x for r in ex.collect()] == ["room b", "12 cells", "abstain"]
-    assert spark.range(1).select(B.stemmed(F.array(F.lit("runs"))).alias("s")).first().s[0].startswith("run")
+    rows = [("The red, fox!", "a red fox and fox", 2, 0.8), ("", "", 4, 0.0), ("", "the", 4, 0.0), ("cat", "dog", 4, 0.0), ("x", "x; y", 3, 1.0), ("red, blue", "blue, green", 1, 0.5)]
+    rows += [(None, "z", 4, 0.0), ("z", None, 4, 0.0), ("don't", "dont", 2, 1.0), ("running", "runs", 2, 1.0), ("cats, dogs", "cats,dogs", 1, 1.0), ("a blue, drawer", "the blue drawer", 1, 0.5 * (2 / 3 + 2 / 3) * 1.0), ("go", "go", None, 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, predicted string, gold string, category int, want double")
+    got = B.answer_f1(df).orderBy("i").collect()
+    assert [r.f1 for r in got] == pytest.approx([r.want for r in got])
+    assert B.answer_f1(df.where("i = 9"), stem=False).first().f1 == 0.0
+    said = [("Room RM1234.", "RM1234", True), ("144 cells", "144", True), ("RM1234 or RM5555", "RM1234", False), ("It is not RM1234", "RM1234", False), ("1440", "144", False), ("Not enough information.", "Not enough information", True), ("not enough information cells", "Not enough information", False), (None, "144", False), (' "144". ', "144", True)]
+    ex = spark.createDataFrame(said, "a string, g string, want boolean").select("want", B.exact_answer("a", "g").alias("x"))
+    assert all(r.x == r.want for r in ex.collect())
+
+
+@pytest.mark.parametrize(
+    "words",
+    [
+        "caresses:caress ponies:poni ties:tie cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop",
+        "falling:fall hissing:hiss failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit vietnamization:vietnam operator:oper",
+        "triplicate:triplic formalize:formal electrical:electr goodness:good revival:reviv allowance:allow airliner:airlin adjustable:adjust replacement:replac adoption:adopt effective:effect",
+        "probate:probat rate:rate cease:ceas controll:control roll:roll running:run runs:run flies:fli dies:die died:die is:is y:y dying:die",
+    ],
+)
+def test_stems(words):
+    assert all(porter(a) == b for a, b in (w.split(":") for w in words.split()))
 
 
 def test_paired_and_bootstrap(spark):
@@ -99,6 +120,12 @@ def test_paired_and_bootstrap(spark):
     assert b.low <= b.mean <= b.high and b.mean == pytest.approx(0.25)
     again = B.cluster_bootstrap(pairs.repartition(7).withColumn("d", F.col("x") - F.col("y")), "cl", "d", 400).first()
     assert (again.low, again.high) == pytest.approx((b.low, b.high))
+    k = B.cluster_outcomes(pairs, "x", "y", "cl").collect()
+    assert len(k) == 5 and sum(r.mean_delta for r in k) / 5 == pytest.approx(0.25) and {r.outcome for r in k} <= {1, 0, -1}
+    for bad in (rows[1:], [*rows, rows[0]]):
+        with pytest.raises(ValueError, match="not paired"):
+            B.paired(spark.createDataFrame(bad, "case long, cl string, arm string, v double"), ["case", "cl"], "arm", ["x", "y"], "v")
+    assert B.cluster_bootstrap(pairs.withColumn("d", F.col("x")).limit(0), "cl", "d", 10).first().low is None
 
 
 def test_sampling_jobs_and_reports(spark):
@@ -113,11 +140,16 @@ def test_sampling_jobs_and_reports(spark):
         B.pending_jobs(jobs, cache.withColumn("input_sha", F.lit("x")))
     arms = spark.createDataFrame([(1, "oracle", True), (1, "counterfactual", True), (1, "bridge_removed", True), (2, "oracle", True)], "case_id long, arm string, correct boolean")
     assert {r.case_id: r.all_correct for r in B.causal_pairs(arms).collect()} == {1: True, 2: False}
+    f = B.family_summary(B.causal_pairs(arms.withColumn("family", F.lit("x")), keep=["family"])).first()
+    assert (f.cases, f.oracle, f.bridge_removed, f.all_correct) == (2, 2, 1, 1)
+    found = B.mined(spark.createDataFrame([(i, "who was it" if i % 2 else "x") for i in range(20)], "query_id long, query string"), ["^who"], n=4).collect()
+    assert sorted(r.draw for r in found) == [1, 2, 3, 4] and all(r.query_id % 2 for r in found)
     calls = spark.createDataFrame([("a", False, 3, None, 1.0), ("a", True, 9, 9, 9.0)], "arm string, unavailable boolean, input_tokens long, output_tokens long, seconds double")
     assert B.usage_report(calls).first().input_tokens == 3
     assert B.best_weight(spark.createDataFrame([(0.4, 0.5), (0.1, 0.5), (0.0, 0.2)], "weight double, mean_recall double")).first().weight == 0.1
-    s = spark.createDataFrame([(0.1, 0.01, 5, 2), (0.1, -0.1, 5, 2)], "mean_delta double, low double, wins long, losses long")
-    assert [r.promote for r in B.promoted(s).collect()] == [True, False]
+    curve = lambda *rows: B.promoted(spark.createDataFrame(rows, "session int, graph double, adjacency double, low double")).first().promote
+    base = [(0, 0.5, 0.5, 0.0), (1, 0.5, 0.5, 0.0), (5, 0.52, 0.5, 0.0)]
+    assert curve(*base, (50, 0.53, 0.5, 0.001)) and not curve(*base, (50, 0.53, 0.5, 0.0)) and not curve(*base, (50, 0.519, 0.5, 0.1)) and not curve((0, 0.5, 0.5, 0.1), (1, 0.525, 0.5, 0.1), (50, 0.53, 0.5, 0.1)) and not curve(*base, (50, 0.53, 0.525, 0.1))
     assert math.isclose(B.distribution(df, [], "id").first().median, 14.5)
 
 
@@ -125,3 +157,25 @@ def test_rollup_summary(spark):
     df = spark.createDataFrame([("x", 1, 1.0, True, True), ("x", 2, None, None, None)], "arm string, category int, recall double, any_found boolean, all_found boolean")
     got = {(r.arm, r.category): (r.questions, r.mean_recall) for r in B.recall_summary(df, ["arm", "category"]).collect()}
     assert got[(None, None)] == (2, 1.0) and got[("x", 2)] == (1, None)
+
+
+def test_generated_cases(spark):
+    rows = C.chain_cases(spark, 3, 5, seed=2).collect()
+    assert len(rows) == 9 and {r.family for r in rows} == set(C.FAMILIES)
+    for r in rows:
+        assert r.gold != r.counterfactual_gold and len(r.observations) == len(r.facts) + 5 and sum(a != b for a, b in zip(r.facts, r.alternate)) == 1
+        assert {o.text for o in r.observations} >= set(r.facts)
+        if r.family == "arithmetic":
+            number = lambda t: int(re.findall(r" (\d+) ", t)[-1])
+            assert math.prod(number(t) for t in r.facts) == int(r.gold) and math.prod(number(t) for t in r.alternate) == int(r.counterfactual_gold)
+        else:
+            assert r.gold in " ".join(r.facts)
+    assert [tuple(r) for r in C.chain_cases(spark, 3, 5, seed=2).collect()] == [tuple(r) for r in rows]
+
+
+@pytest.mark.parametrize("layout,edges", [("hot", 1), ("disjoint", 4), ("uniform", 16)])
+def test_contention_counts_are_exact(spark, layout, edges):
+    state = E.fold(C.contention_log(spark, layout, 4, 300, 16), EdgeParams(lam=0.0)).collect()
+    assert len(state) == edges and sum(r.events for r in state) == 1200 == sum(r.weight for r in state)
+    with pytest.raises(ValueError):
+        C.contention_log(spark, "ring", 1, 1)
