@@ -46,16 +46,19 @@ def clique_pairs(sets: DataFrame, group: Sequence[str], node: str = "node", bloc
     no task holds more than two of them.
     """
     keys = list(group)
-    one = sets.select(*keys, F.col(node).alias("_x")).where("_x > 0").distinct()
-    large = one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_of")).where("_of > 1")
+    one = sets.select(*keys, F.col(node).alias("_x")).where("_x > 0").distinct().persist()
+    sizes = one.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    pairs_of = lambda rows: rows.select(*keys, "_xs", F.posexplode("_xs").alias("_i", "a")).select(*keys, "a", F.explode(F.slice("_xs", F.col("_i") + 2, F.size("_xs"))).alias("b"))
+    if (sizes.agg(F.max("_c")).first()[0] or 0) <= block:
+        return pairs_of(one.groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_xs")))
+    large = sizes.select(*keys, F.ceil(F.col("_c") / block).cast("int").alias("_of")).where("_of > 1")
     cut = one.join(large, keys, "left").withColumn("_of", F.coalesce("_of", F.lit(1))).withColumn("_g", F.pmod(F.xxhash64("_x"), F.col("_of")).cast("int"))
     blocks = cut.groupBy(*keys, "_of", "_g").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
-    inside = blocks.select(*keys, "_xs", F.posexplode("_xs").alias("_i", "a")).select(*keys, "a", F.explode(F.slice("_xs", F.col("_i") + 2, F.size("_xs"))).alias("b"))
     met = blocks.where("_of > 1").select(*keys, "_g", "_xs", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_o")).where("_g <> _o")
     lower = met.where("_g < _o").select(*keys, F.col("_g").alias("_l"), F.col("_o").alias("_r"), F.col("_xs").alias("_ys"))
     upper = met.where("_g > _o").select(*keys, F.col("_o").alias("_l"), F.col("_g").alias("_r"), "_xs")
     across = lower.join(upper, [*keys, "_l", "_r"]).select(*keys, "_xs", F.explode("_ys").alias("_y")).select(*keys, "_y", F.explode("_xs").alias("_x"))
-    return inside.unionByName(across.select(*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
+    return pairs_of(blocks).unionByName(across.select(*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
 
 
 def adjacent_pairs(records: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +82,7 @@ def star_pairs(records: DataFrame, context: DataFrame, scope: Sequence[str] = ()
 def combined_pairs(records: DataFrame, context: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """The clique over the record, the previous one of its tick and its context."""
     star = star_pairs(records, context, scope)
-    own = star.select(*scope, "seq", "tick", F.col("a").alias("node")).unionByName(star.select(*scope, "seq", "tick", F.col("b").alias("node")))
+    own = star.select(*scope, "seq", "tick", F.explode(F.array("a", "b")).alias("node"))
     return clique_pairs(own, [*scope, "seq", "tick"])
 
 

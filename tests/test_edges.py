@@ -98,10 +98,32 @@ def test_dead_edges_come_back_exactly(spark):
 
 def test_shuffled_keeps_degrees(spark):
     edges = E.fold(log(spark, [(1, 2, 0), (1, 3, 0), (1, 4, 0), (2, 5, 0)]), HALF)
-    for groups in (1, 3):
-        other = E.shuffled(edges, 3, groups=groups)
-        deg = lambda e: sorted(r.degree for r in E.degree(E.adjacency(e)).collect())
+    deg = lambda e: sorted(r.degree for r in E.degree(E.adjacency(e)).collect())
+    seen = set()
+    for seed in range(6):
+        other = E.shuffled(edges, seed)
         assert deg(other) == deg(edges)
+        seen.add(frozenset((r.a, r.b) for r in other.collect()))
+    assert len(seen) > 2
+    scoped = E.shuffled(edges.withColumn("c", F.lit("x")).unionByName(edges.where("a = 1").withColumn("c", F.lit("y"))), 3, ["c"]).collect()
+    assert {n for r in scoped if r.c == "y" for n in (r.a, r.b)} == {1, 2, 3, 4} and {n for r in scoped if r.c == "x" for n in (r.a, r.b)} == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_cliques_by_blocks(spark, block):
+    rng = random.Random(5)
+    sets = {g: {rng.randint(1, 80) for _ in range(n)} for g, n in ((1, 60), (2, 3), (3, 1), (4, 30))}
+    rows = [(g, x) for g, xs in sets.items() for x in xs] + [(1, min(sets[1])), (2, None), (2, 0)]
+    got = [(r.g, r.a, r.b) for r in E.clique_pairs(spark.createDataFrame(rows, "g long, node long"), ["g"], block=block).collect()]
+    want = {(g, a, b) for g, xs in sets.items() for a in xs for b in xs if a < b}
+    assert len(got) == len(want) and set(got) == want
+    assert E.clique_pairs(spark.createDataFrame([], "g long, node long"), ["g"]).count() == 0
+
+
+def test_weak_paths(spark):
+    edges = E.fold(log(spark, [(1, 2, 0), (2, 3, 0)]), HALF)
+    paths = spark.createDataFrame([(1, [1, 2, 3]), (2, [1, 3]), (3, [2])], "query_id long, path array<long>")
+    assert [(r.query_id, r.a, r.b) for r in E.weak_paths(paths, edges, 0, HALF, ["query_id"]).collect()] == [(2, 1, 3)]
 
 
 def test_policies(spark):

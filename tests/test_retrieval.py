@@ -1,9 +1,11 @@
 """BM25, activation, fusion, explanation and entity routing against plain Python."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from hebbspark.functions.text import STOP_WORDS
 from hebbspark.operators import activate as A
@@ -211,3 +213,73 @@ def test_one_edge_over_time(spark):
     seed = spark.createDataFrame([(1, 1, 0.82)], "query_id long, node long, weight double")
     reach = lambda hops: {r.node: r.score for r in A.activate(seed, trans, hops).scores.collect()}
     assert reach(0) == {1: 0.82} and reach(1) == {1: 0.82, 2: 0.82}
+
+
+@pytest.mark.parametrize("first", [1, 64])
+def test_pruned_prefix_is_whole(spark, first):
+    rng = random.Random(8)
+    words = ["the1"] * 30 + ["some"] * 12 + [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(90)]
+    got = {(r.id, r.other): (r.rank, r.lexical) for r in L.prefix_bm25(docs(spark, texts), SCOPE, 3, first).collect()}
+    want = {}
+    for i in range(1, len(texts)):
+        scores = plain_bm25(texts[:i], texts[i])
+        order = sorted((j for j in scores if round(scores[j], 9) > 0), key=lambda j: (-round(scores[j], 9), j))[:3]
+        want |= {(i + 1, j): (n, round(scores[j], 9)) for n, j in enumerate(order, 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(got[k][1] == pytest.approx(want[k][1], abs=2e-9) for k in want)
+    frame = lambda rows: L.documents(spark.createDataFrame(rows, "id long, content string"))
+    numbered = list(enumerate(texts, 1))
+    late = L.latest_bm25(frame(numbered[:70]), frame(numbered[70:]), 3).collect()
+    assert {(r.id, r.other): r.rank for r in late} == {k: v[0] for k, v in want.items() if k[0] > 70}
+    assert L.latest_bm25(frame([]), frame([(1, "x")]), 3).count() == 0
+
+
+@pytest.mark.parametrize("scope", [[], SCOPE])
+def test_search_fills_by_the_ids_there_are(spark, scope):
+    rows = [("c", i, "fox" if i == 130 else "dog") for i in range(100, 140)]
+    d = L.documents(spark.createDataFrame(rows, "corpus string, id long, content string"), scope)
+    q = spark.createDataFrame([(1, "c", "fox"), (2, "c", "cat")], "query_id long, corpus string, query string").select("query_id", *scope, "query")
+    got = [(r.query_id, r.id) for r in R.search(q, d, None, SearchParams(), scope).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 130), *((1, i) for i in range(100, 115)), *((2, i) for i in range(100, 116))]
+
+
+def test_arms_equal_single_searches(spark):
+    d = docs(spark, ["red fox", "blue fox", "green", "dog"])
+    trans = A.transitions(E.adjacency(E.fold(spark.createDataFrame([("c", 1, 1, 3, 0), ("c", 2, 3, 4, 0)], "corpus string, seq long, a long, b long, tick long"), FLAT, SCOPE), SCOPE), 0, FLAT, SCOPE)
+    q = asked(spark, "fox", "nothing")
+    c = R.components(q, d, trans, SearchParams(), SCOPE)
+    arms = R.fused_arms(q, d, c, SearchParams(budget=3), {"x": 0.0, "y": 0.7}, SCOPE).collect()
+    for name, w in (("x", 0.0), ("y", 0.7)):
+        one = R.search(q, d, trans, SearchParams(budget=3, graph_weight=w), SCOPE).collect()
+        assert {(r.query_id, r.id, r.rank, r.score) for r in arms if r.arm == name} == {(r.query_id, r.id, r.rank, r.score) for r in one}
+
+
+def test_names_that_cannot_be_used(spark):
+    rows = [("c", "Ann", "Ann"), ("c", "Bob", "Bob"), ("c", "Bob", "ann "), ("c", "Cy", "seer"), ("c", "Dee", " "), ("c", "Dee", "dee"), ("c", None, "x")]
+    names = spark.createDataFrame(rows, "corpus string, entity string, alias string")
+    turns = spark.createDataFrame([("c", 1, "Ann"), ("c", 2, "Zed"), ("c", 3, None)], "corpus string, id long, speaker string")
+    got = {(r.problem, r.name) for r in N.problems(names, turns, SCOPE).collect()}
+    assert got == {("ambiguous", "ann"), ("undeclared", "cy"), ("blank", ""), ("blank", "x"), ("unknown speaker", "zed")}
+    with pytest.raises(ValueError, match="ambiguous"):
+        N.checked_names(names.where("entity IN ('Ann', 'Bob')"), None, SCOPE)
+    sound = names.where("alias IN ('Ann', 'Bob')")
+    assert N.checked_names(sound, turns.where("id = 1"), SCOPE).count() == 2
+
+
+def test_names_with_marks_are_found(spark):
+    names = N.names(spark.createDataFrame([("c", "a\\Eb", "a\\Eb"), ("c", "c++", "c++"), ("c", "o.k", "o.k")], "corpus string, entity string, alias string"), SCOPE)
+    texts = spark.createDataFrame([("c", 1, "say A\\EB now"), ("c", 2, "use C++ here"), ("c", 3, "oxk and ok")], "corpus string, id long, body string")
+    assert {(r.id, r.key) for r in N.matches(texts, names, SCOPE, ["id"], "body").collect()} == {(1, "a\\eb"), (2, "c++")}
+
+
+def test_ablation_arms(spark):
+    t = spark.createDataFrame([("c", i, s, b) for i, (s, b) in enumerate([("Ann", "the red fox"), ("Bob", "a blue fox"), ("Ann", "green tea"), ("Bob", "fox and tea for Ann")], 1)], "corpus string, id long, speaker string, body string").withColumn("content", F.concat("speaker", F.lit(": "), "body"))
+    known = N.names(t.select("corpus", F.col("speaker").alias("entity"), F.col("speaker").alias("alias")), SCOPE)
+    roles = N.links(t, known)
+    routed = N.route(asked(spark, "which fox did Ann see", "fox"), known, roles)
+    trans = A.transitions(E.adjacency(E.fold(spark.createDataFrame([("c", 1, 1, 3, 0)], "corpus string, seq long, a long, b long, tick long"), FLAT, SCOPE), SCOPE), 0, FLAT, SCOPE)
+    arms = N.ablation_arms(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), trans, roles).collect()
+    assert len({r.arm for r in arms}) == 7 and {r.query_id for r in arms} == {1}
+    of = lambda arm: [r.id for r in sorted(arms, key=lambda r: r["rank"]) if r.arm == arm]
+    gated = N.entity_search(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), trans, roles).where("query_id = 1").orderBy("rank").collect()
+    assert of("body_stripped_gated") == [r.id for r in gated] and set(of("body_stripped_gated")) == {1, 3, 4} and len(of("adjacency")) == 4
