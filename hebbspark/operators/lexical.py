@@ -73,18 +73,21 @@ def latest_bm25(old: DataFrame, new: DataFrame, k: int = 3) -> DataFrame:
 
 #: Postings that a record's rarest terms may have together when its first candidates are looked for.
 FIRST_POSTINGS = 64
+#: Pairs for each posting up to which all of them are scored.
+ALL_PAIRS = 64
 
 
-def prefix_bm25(docs: DataFrame, scope: Sequence[str], k: int = 3, first: int = FIRST_POSTINGS) -> DataFrame:
+def prefix_bm25(docs: DataFrame, scope: Sequence[str], k: int = 3, first: int = FIRST_POSTINGS, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(scope, id, other, lexical, rank): for each record the k best earlier ones, scored against what was there before it.
 
-    Each record is a query on the records of its scope with smaller ids.  The
-    postings of a frequent term are not met by all its records: the rarest
+    Each record is a query on the records of its scope with smaller ids.  Where
+    records that share a term make more than ``all_pairs`` pairs for a posting,
+    the postings of a frequent term are not met by all its records: the rarest
     terms of a record give k candidates and with them a score that its k best
     reach at least.  The most frequent terms whose largest contributions stay
     below that score in sum cannot bring in a record by themselves, so only the
     other terms propose records, and those that can still reach the score are
-    completed.  Nothing is lost by it.
+    completed.  Either way gives the same rows.
     """
     key, pair = [*scope, "id"], [*scope, "id", "other"]
     order = Window.partitionBy(*scope).orderBy("id")
@@ -94,16 +97,24 @@ def prefix_bm25(docs: DataFrame, scope: Sequence[str], k: int = 3, first: int =
     index = postings(docs, scope).persist()
     asks = index.select(*scope, "term", "id", (F.row_number().over(Window.partitionBy(*scope, "term").orderBy("id")) - 1).alias("df")).where("df > 0")
     asks = asks.join(sized.select(*key, "n", "avg"), key)
-    most = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.lit(K1 + 1)
-    by_record = Window.partitionBy(*key)
-    upto = lambda *by: by_record.orderBy(*by, "term").rowsBetween(Window.unboundedPreceding, 0)
-    asks = asks.withColumn("_most", most).withColumn("_postings", F.sum("df").over(upto("df"))).withColumn("_below", F.sum("_most").over(upto("_most"))).persist()
     earlier = index.select(*scope, "term", F.col("id").alias("other"), "tf", "len")
     part = term_score(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg"))
 
     def partial(some: DataFrame) -> DataFrame:
         return some.join(earlier, [*scope, "term"]).where(F.col("other") < F.col("id")).groupBy(*pair).agg(F.sum(part).alias("_s"))
 
+    def chosen(sums: DataFrame, total: Column) -> DataFrame:
+        scored = sums.select(*pair, F.round(total, DIGITS).alias("lexical")).where("lexical > 0")
+        place = Window.partitionBy(*key).orderBy(F.col("lexical").desc(), "other")
+        return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+    held = index.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+    if (held.pairs or 0) <= all_pairs * (held.rows or 0):
+        return chosen(partial(asks), F.col("_s"))
+    most = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.lit(K1 + 1)
+    by_record = Window.partitionBy(*key)
+    upto = lambda *by: by_record.orderBy(*by, "term").rowsBetween(Window.unboundedPreceding, 0)
+    asks = asks.withColumn("_most", most).withColumn("_postings", F.sum("df").over(upto("df"))).withColumn("_below", F.sum("_most").over(upto("_most"))).persist()
     near = partial(asks.where(F.col("_postings") <= first))
     best = Window.partitionBy(*key).orderBy(F.col("_s").desc())
     floor = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select(*key, (F.col("_s") - 1e-6).alias("_floor"))
@@ -113,6 +124,4 @@ def prefix_bm25(docs: DataFrame, scope: Sequence[str], k: int = 3, first: int =
     rest = split.where("NOT _leads").groupBy(*key).agg(F.max("_below").alias("_more"), F.first("_floor").alias("_floor"))
     open_ = led.join(rest, key, "left").where(F.col("_floor").isNull() | (F.col("_s") + F.col("_more") >= F.col("_floor"))).select(*pair, "_s")
     added = open_.join(split.where("NOT _leads").select(*key, "term", "n", "df", "avg"), key).join(earlier, [*scope, "term", "other"]).groupBy(*pair).agg(F.sum(part).alias("_t"))
-    scored = open_.join(added, pair, "left").select(*pair, F.round(F.col("_s") + F.coalesce("_t", F.lit(0.0)), DIGITS).alias("lexical")).where("lexical > 0")
-    place = Window.partitionBy(*key).orderBy(F.col("lexical").desc(), "other")
-    return scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return chosen(open_.join(added, pair, "left"), F.col("_s") + F.coalesce("_t", F.lit(0.0)))

@@ -215,12 +215,12 @@ def test_one_edge_over_time(spark):
     assert reach(0) == {1: 0.82} and reach(1) == {1: 0.82, 2: 0.82}
 
 
-@pytest.mark.parametrize("first", [1, 64])
-def test_pruned_prefix_is_whole(spark, first):
+@pytest.mark.parametrize("first,all_pairs", [(1, 0), (64, 0), (1, 64)])
+def test_pruned_prefix_is_whole(spark, first, all_pairs):
     rng = random.Random(8)
     words = ["the1"] * 30 + ["some"] * 12 + [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(90)]
-    got = {(r.id, r.other): (r.rank, r.lexical) for r in L.prefix_bm25(docs(spark, texts), SCOPE, 3, first).collect()}
+    got = {(r.id, r.other): (r.rank, r.lexical) for r in L.prefix_bm25(docs(spark, texts), SCOPE, 3, first, all_pairs).collect()}
     want = {}
     for i in range(1, len(texts)):
         scores = plain_bm25(texts[:i], texts[i])
