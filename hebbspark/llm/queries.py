@@ -185,8 +185,15 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k
 """
 
 
+_P4_SIMILAR = """
+WITH m AS (SELECT DISTINCT id, embedding::DOUBLE[] AS v FROM memories WHERE len(embedding) = 128),
+u AS (SELECT id, v::DOUBLE[128] AS v FROM m WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT x.id, y.id AS neighbour, round(array_cosine_similarity(x.v, y.v), 6) AS sim FROM u x JOIN u y ON x.id <> y.id WHERE x.id % 20 = 0)
+SELECT id, neighbour, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, neighbour) AS rank FROM s QUALIFY rank <= 10
+"""
+
 _P6_TOTALS = """SELECT count(*) AS documents, 0 AS lost, 0 AS doubled, 0 AS cut_without_need, 0 AS over_tokens, 0 AS over_documents, 0 AS over_attention, 0 AS unused_numbers FROM documents"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_scores": _P1_SCORES, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4, "p6_totals": _P6_TOTALS}
+    return {"p1_found": _P1, "p1_scores": _P1_SCORES, "p2_found": _P2, "p2_groups": _P2_GROUPS, "p3_found": _P3, "p3_pairs": _P3_PAIRS, "p4_found": _P4, "p4_similar": _P4_SIMILAR, "p6_totals": _P6_TOTALS}
