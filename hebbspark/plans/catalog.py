@@ -450,6 +450,13 @@ def hash_embedding(spark, folder):
 # Entities
 
 
+def _roles(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, names and role links, each kept: routing and scoring read them several times."""
+    t = tables.turns(spark, folder).persist()
+    known = _names(t).persist()
+    return t, known, N.links(t, known).persist()
+
+
 def _names(turns: DataFrame) -> DataFrame:
     return N.names(turns.select("corpus", F.col("speaker").alias("entity"), F.col("speaker").alias("alias")), SCOPE)
 
@@ -466,9 +473,7 @@ def entity_problems(spark, folder):
 @query
 def entity_ablation(spark, folder):
     """The ten best hits of gated questions in each arm: whose query, which texts, and whether the gate holds."""
-    t = tables.turns(spark, folder)
-    known = _names(t)
-    roles = N.links(t, known)
+    t, known, roles = _roles(spark, folder)
     routed = N.route(tables.questions(spark, folder).select("query_id", "corpus", "query"), known, roles)
     arms = N.ablation_arms(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), _graph(spark, folder), roles)
     return arms.where("rank <= 10").select("arm", "query_id", "id", "rank")
@@ -477,9 +482,7 @@ def entity_ablation(spark, folder):
 @query
 def entity_only(spark, folder):
     """Gated questions ranked by their topic alone, without the graph."""
-    t = tables.turns(spark, folder)
-    known = _names(t)
-    roles = N.links(t, known)
+    t, known, roles = _roles(spark, folder)
     routed = N.route(tables.questions(spark, folder).select("query_id", "corpus", "query"), known, roles).where("mode = 'entity'")
     hits = N.entity_search(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), None, roles)
     return rounded(hits.select("query_id", "corpus", "id", "score", "rank"), "score")
@@ -501,9 +504,7 @@ def entity_route(spark, folder):
 
 @query
 def entity_gated_topk(spark, folder):
-    t = tables.turns(spark, folder)
-    known = _names(t)
-    roles = N.links(t, known)
+    t, known, roles = _roles(spark, folder)
     routed = N.route(tables.questions(spark, folder).select("query_id", "corpus", "query"), known, roles)
     hits = N.entity_search(routed, L.documents(t, SCOPE), L.documents(t, SCOPE, "body"), _graph(spark, folder), roles)
     return rounded(hits.select("query_id", "corpus", "id", "score", "rank", "mode", F.array_join("link_types", ",").alias("link_types")), "score")
@@ -731,11 +732,10 @@ def promotion(spark, folder):
 @query
 def missing_source_audit(spark, folder):
     """Evidence turns outside the result: lexical rank, activation, gate, distance, and the turns around them."""
-    q, docs, t = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder), tables.turns(spark, folder)
+    q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
+    t, known, roles = _roles(spark, folder)
     c = R.components(q, docs, _graph(spark, folder), SEARCH, SCOPE)
     lexical = K.ranked(c.lexical, ["query_id", "corpus"], "lexical")
-    known = _names(t)
-    roles = N.links(t, known)
     gate = N.route(q, known, roles).where("mode = 'entity'").select("query_id", "corpus", "entity").join(roles, ["corpus", "entity"])
     out = B.missing_sources(_gold_turns(spark, folder), R.fused(q, docs, c, SEARCH, SCOPE), lexical, t, c.association, SCOPE, gate)
     return rounded(out, "association").select("query_id", "corpus", "id", "lexical_rank", "association", "gated_out", "tick", "turn_distance", "prev_id", "next_id")
