@@ -87,16 +87,16 @@ def out_of_step(docs: DataFrame, body_docs: DataFrame, scope: Sequence[str] = ("
 
 
 def route(queries: DataFrame, known: DataFrame, roles: DataFrame, scope: Sequence[str] = ("corpus",)) -> DataFrame:
-    """``queries`` with mode, entity, topic_query and candidate_count.
+    """``queries`` with mode, entity, topic_query, candidate_count and entities, the list of all that it names.
 
     A query that names exactly one entity which has candidates is gated, the
     names cut out of its topic_query; all others take the plain way.
     """
     hit = matches(queries, known, scope, ["query_id"], "query").join(known, [*scope, "key"])
-    single = hit.groupBy("query_id").agg(F.min("entity").alias("entity"), F.countDistinct("entity").alias("entities"))
+    single = hit.groupBy("query_id").agg(F.min("entity").alias("entity"), F.array_sort(F.collect_set("entity")).alias("entities"))
     sizes = roles.groupBy(*scope, "entity").agg(F.countDistinct("id").alias("candidate_count"))
     out = queries.join(single, "query_id", "left").join(sizes, [*scope, "entity"], "left").join(patterns(known, scope), list(scope), "left")
-    gated = (F.coalesce("entities", F.lit(0)) == 1) & F.coalesce(F.col("candidate_count") > 0, F.lit(False))
+    gated = (F.coalesce(F.size("entities"), F.lit(0)) == 1) & F.coalesce(F.col("candidate_count") > 0, F.lit(False))
     topic = F.when(gated, F.trim(F.regexp_replace("query", F.concat(F.lit("(?i)"), F.col("pattern")), F.lit(" ")))).otherwise(F.col("query"))
     return out.select(
         *queries.columns,
@@ -104,6 +104,7 @@ def route(queries: DataFrame, known: DataFrame, roles: DataFrame, scope: Sequenc
         F.when(gated, F.col("entity")).alias("entity"),
         topic.alias("topic_query"),
         F.when(gated, F.col("candidate_count")).otherwise(F.lit(0)).alias("candidate_count"),
+        F.coalesce("entities", F.array().cast("array<string>")).alias("entities"),
     )
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -118,51 +119,76 @@ def unexplored(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, tick: int
     return pair_weights(pairs, edges, tick, p).where(F.col("pair_weight") < eps)
 
 
-def axis(members: DataFrame) -> DataFrame:
-    """(group_id, id, projection, place): nodes of a group along its first principal direction.
+_MOMENTS = "group_id long, n long, s array<double>, q array<double>"
+
 
-    ``members`` has group_id, id, vec; a group is one query's node set.  The
-    direction's largest component is positive; ties go by id; a group of one
-    projects to 0.
+def directions(members: DataFrame, count: int) -> DataFrame:
+    """(group_id, n, d): the number of vectors of each group and their first principal directions, from (group_id, vec).
+
+    A group is never gathered.  Where a batch has more of its vectors than they
+    have values, they become one sum and one matrix of products; few ones stay
+    as they are.  A direction's largest component is positive.  The vectors of
+    a group have one length; null ones do not count.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-        projection = np.zeros(len(x))
-        if len(x) > 1:
-            _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-            d = vt[0] * np.sign(vt[0][np.argmax(np.abs(vt[0]))] or 1.0)
-            projection = x @ d
-        order = np.lexsort((pdf["id"].to_numpy(), np.round(projection, DIGITS)))
-        return pd.DataFrame({"group_id": pdf["group_id"].to_numpy()[order], "id": pdf["id"].to_numpy()[order], "projection": projection[order], "place": np.arange(1, len(x) + 1)})
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for group, own in pdf.groupby("group_id"):
+                x = np.stack(own["vec"].to_numpy()).astype(np.float64)
+                if len(x) > x.shape[1]:
+                    yield pd.DataFrame({"group_id": [group], "n": [len(x)], "s": [x.sum(axis=0)], "q": [(x.T @ x).ravel()]})
+                else:
+                    yield pd.DataFrame({"group_id": group, "n": 1, "s": list(x), "q": [None] * len(x)})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = int(pdf["n"].sum()), np.stack(pdf["s"].to_numpy())
+        mean = s.sum(axis=0) / n
+        single = s[pdf["q"].isna().to_numpy()] - mean
+        spread = single.T @ single
+        for m, own, q in zip(pdf["n"], pdf["s"], pdf["q"]):
+            if q is not None:
+                own = np.asarray(own)
+                spread += np.asarray(q).reshape(len(mean), -1) - np.outer(own, mean) - np.outer(mean, own) + m * np.outer(mean, mean)
+        _, v = np.linalg.eigh(spread)
+        top = v.T[::-1][:count]
+        top = top * np.sign(top[np.arange(len(top)), np.argmax(np.abs(top), axis=1)])[:, None]
+        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]], "n": [n], "d": [top.tolist()]})
+
+    rows = members.where("vec IS NOT NULL").select("group_id", "vec").mapInPandas(reduce, _MOMENTS)
+    return rows.groupBy("group_id").applyInPandas(solve, "group_id long, n long, d array<array<double>>")
+
 
-    return members.where("vec IS NOT NULL").select("group_id", "id", "vec").groupBy("group_id").applyInPandas(run, "group_id long, id long, projection double, place long")
+def axis(members: DataFrame) -> DataFrame:
+    """(group_id, id, projection, place): nodes of a group along its first principal direction.
+
+    ``members`` has group_id, id, vec; a group is one query's node set.  Ties go
+    by id; a group of one projects to 0.
+    """
+    rows = members.where("vec IS NOT NULL").select("group_id", "id", "vec")
+    met = rows.join(directions(members, 1), "group_id")
+    placed = met.select("group_id", "id", F.when(F.col("n") > 1, dot("vec", F.col("d")[0])).otherwise(F.lit(0.0)).alias("projection"))
+    order = Window.partitionBy("group_id").orderBy(F.round("projection", DIGITS), "id")
+    return placed.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def sectors(centres: DataFrame, members: DataFrame, n: int = 12) -> DataFrame:
-    """(group_id, sector, count): neighbours of each centre by angle in their first two principal directions.
+    """(group_id, sector, count, theta): neighbours of each centre by angle in their first two principal directions.
 
     ``centres`` has group_id, vec; ``members`` group_id, id, vec.  The plane is
     that of the centred displacements, the angles those of the displacements
-    themselves; fewer than 3 neighbours give no row, empty sectors count 0.
+    themselves; theta is the middle of the sector.  Fewer than 3 neighbours
+    give no row, empty sectors count 0.
     """
-    both = members.select("group_id", "id", "vec").unionByName(centres.select("group_id", F.lit(0).cast("long").alias("id"), "vec"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, rest = pdf[pdf["id"] == 0], pdf[pdf["id"] != 0].sort_values("id")
-        if len(own) != 1 or len(rest) < 3:
-            return pd.DataFrame({"group_id": [], "sector": [], "count": []})
-        d = np.stack(rest["vec"].to_numpy()).astype(np.float64) - own["vec"].iloc[0]
-        _, _, vt = np.linalg.svd(d - d.mean(axis=0), full_matrices=False)
-        plane = np.zeros((2, d.shape[1]))
-        for i, v in enumerate(vt[:2]):
-            plane[i] = v * np.sign(v[np.argmax(np.abs(v))] or 1.0)
-        angle = np.arctan2(d @ plane[1], d @ plane[0])
-        at = np.clip(np.floor((angle + np.pi) / (2 * np.pi / n)).astype(int), 0, n - 1)
-        return pd.DataFrame({"group_id": [own["group_id"].iloc[0]] * n, "sector": range(n), "count": np.bincount(at, minlength=n)})
-
-    return both.where("vec IS NOT NULL").groupBy("group_id").applyInPandas(run, "group_id long, sector long, count long")
+    own = centres.where("vec IS NOT NULL").select("group_id", F.col("vec").alias("_c")).dropDuplicates(["group_id"])
+    plane = directions(members, 2).where((F.col("n") >= 3) & (F.size("d") > 1)).join(own, "group_id")
+    step = 2 * math.pi / n
+    part = lambda i: dot("vec", F.col("d")[i]) - dot("_c", F.col("d")[i])
+    angle = F.atan2(part(1), part(0))
+    at = F.least(F.greatest(F.floor((angle + math.pi) / step), F.lit(0)), F.lit(n - 1))
+    counted = members.where("vec IS NOT NULL").join(plane, "group_id").groupBy("group_id", at.alias("sector")).agg(F.count(F.lit(1)).alias("count"))
+    every = plane.select("group_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("sector"))
+    theta = (F.col("sector") + 0.5) * step - math.pi
+    return every.join(counted, ["group_id", "sector"], "left").select("group_id", "sector", F.coalesce("count", F.lit(0)).alias("count"), theta.alias("theta"))
 
 
 def walk(starts: DataFrame, adj: DataFrame, vectors: DataFrame, tick: int, p: EdgeParams, hops: int = 4, alpha: float = 0.5, cap: int = 32) -> DataFrame:

@@ -438,7 +438,7 @@ def sector_histogram(spark, folder):
     adj = E.neighbors(E.adjacency(_label_edges(spark, folder)), 0, EdgeParams(lam=0.0))
     near = V.seed_topk(_asking(v), v.select("id", "vec"), 24).where("query_id <> id")
     members = near.select(F.col("query_id").alias("group_id"), "id").unionByName(adj.join(_asking(v).select(F.col("query_id").alias("src")), "src").select(F.col("src").alias("group_id"), F.col("dst").alias("id"))).distinct()
-    return V.sectors(_asking(v).withColumnRenamed("query_id", "group_id"), members.join(v.select("id", "vec"), "id"))
+    return rounded(V.sectors(_asking(v).withColumnRenamed("query_id", "group_id"), members.join(v.select("id", "vec"), "id")), "theta")
 
 
 @query
@@ -499,7 +499,8 @@ def entity_route(spark, folder):
     t = tables.turns(spark, folder)
     known = _names(t)
     q = tables.questions(spark, folder).select("query_id", "corpus", "query")
-    return N.route(q, known, N.links(t, known)).select("query_id", "corpus", "mode", "entity", "candidate_count")
+    out = N.route(q, known, N.links(t, known))
+    return out.select("query_id", "corpus", "mode", "entity", "candidate_count", F.array_join("entities", ",").alias("entities"), F.array_join(tokens("topic_query"), " ").alias("topic_terms"))
 
 
 @query

@@ -214,8 +214,8 @@ pm AS MATERIALIZED (SELECT {head}x.node, y.node AS target FROM pr2 x JOIN pr2 y
 NAMES = "na AS MATERIALIZED (SELECT DISTINCT corpus, lower(trim(speaker)) AS key FROM tu WHERE trim(speaker) <> '')"
 LINKS = r"""li AS MATERIALIZED (SELECT t.corpus, n.key AS entity, 'authored_by' AS role, t.id FROM tu t JOIN na n ON n.corpus = t.corpus AND n.key = lower(trim(t.speaker))
  UNION SELECT t.corpus, n.key, 'mentions', t.id FROM (SELECT corpus, id, unnest(list_distinct(regexp_extract_all(lower(body), '[\p{L}\p{N}_]+'))) AS w FROM tu) t JOIN na n ON n.corpus = t.corpus AND n.key = t.w)"""
-ROUTE = r"""qm AS MATERIALIZED (SELECT q.query_id, min(n.key) AS entity, count(DISTINCT n.key) AS k FROM (SELECT query_id, corpus, unnest(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'))) AS w FROM qu) q JOIN na n ON n.corpus = q.corpus AND n.key = q.w GROUP BY q.query_id),
-ro AS MATERIALIZED (SELECT q.*, CASE WHEN m.k = 1 AND s.c > 0 THEN m.entity END AS entity, CASE WHEN m.k = 1 AND s.c > 0 THEN s.c ELSE 0 END AS candidate_count FROM qu q LEFT JOIN qm m ON m.query_id = q.query_id
+ROUTE = r"""qm AS MATERIALIZED (SELECT q.query_id, min(n.key) AS entity, count(DISTINCT n.key) AS k, string_agg(DISTINCT n.key, ',' ORDER BY n.key) AS entities FROM (SELECT query_id, corpus, unnest(list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'))) AS w FROM qu) q JOIN na n ON n.corpus = q.corpus AND n.key = q.w GROUP BY q.query_id),
+ro AS MATERIALIZED (SELECT q.*, m.entities, CASE WHEN m.k = 1 AND s.c > 0 THEN m.entity END AS entity, CASE WHEN m.k = 1 AND s.c > 0 THEN s.c ELSE 0 END AS candidate_count FROM qu q LEFT JOIN qm m ON m.query_id = q.query_id
  LEFT JOIN (SELECT corpus, entity, count(DISTINCT id) AS c FROM li GROUP BY ALL) s ON s.corpus = q.corpus AND s.entity = m.entity)"""
 
 TOPICS = "tq AS (SELECT query_id, corpus, array_to_string(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+|[^a-z0-9]+'), lambda w: w <> entity), ' ') AS query FROM ro WHERE entity IS NOT NULL)"
@@ -313,7 +313,8 @@ QUERIES: dict[str, str] = {
         final="SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id) AS rank FROM be QUALIFY rank <= 16",
     ),
     "entity_links": chain(TURNS, NAMES, LINKS, final="SELECT * FROM li"),
-    "entity_route": chain(TURNS, QUESTIONS, NAMES, LINKS, ROUTE, final="SELECT query_id, corpus, CASE WHEN entity IS NULL THEN 'adjacency' ELSE 'entity' END AS mode, entity, candidate_count FROM ro"),
+    "entity_route": chain(TURNS, QUESTIONS, NAMES, LINKS, ROUTE, TOPICS, final="SELECT query_id, r.corpus, CASE WHEN entity IS NULL THEN 'adjacency' ELSE 'entity' END AS mode, entity, candidate_count, coalesce(entities, '') AS entities, "
+        f"array_to_string({terms('coalesce(t.query, r.query)')}, ' ') AS topic_terms FROM ro r LEFT JOIN tq t USING (query_id)"),
     "supersede_history": chain(HISTORY, final="SELECT id, tick AS valid_from, valid_to, supersedes FROM hv"),
     "live_records": chain(HISTORY, final="SELECT id, tick FROM hv WHERE valid_to IS NULL"),
     "ttl_expired": chain(SIZED, final="SELECT id, tick FROM sz WHERE tick <= (SELECT max(tick) - greatest(1, max(tick) // 2) FROM sz)"),

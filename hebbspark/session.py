@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "hebbspark-checkpoints"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,15 +52,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: list[list] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside are removed at the end: what is made from them must be read or stored before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCRATCH.pop():
+            _remove(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut, and lost executors cost nothing that was computed.
 
-    The table is removed when the session's program ends.
+    The table is removed at the end of the innermost ``scratch`` around the
+    call, or when the session's program ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hebbspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if _SCRATCH:
+        _SCRATCH[-1].append((spark, path))
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

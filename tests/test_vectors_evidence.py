@@ -59,6 +59,24 @@ def test_axis_and_sectors(spark):
     assert len(s) == 12 and sum(r["count"] for r in s) == 5
 
 
+@pytest.mark.parametrize("rows", [3, 6, 400])
+def test_directions_are_those_of_the_whole_group(spark, rows):
+    rng = np.random.default_rng(rows)
+    x = (rng.standard_normal((rows, 6)) * [5, 3, 2, 1, 0.5, 0.1] + 7).astype(np.float32)
+    centre = x[0] + 0.1
+    m = spark.createDataFrame([(1, i + 1, [float(v) for v in r]) for i, r in enumerate(x)] + [(1, 9999, None)], "group_id long, id long, vec array<float>").repartition(3)
+    _, _, vt = np.linalg.svd(x.astype(float) - x.astype(float).mean(axis=0), full_matrices=False)
+    d = vt[:2] * np.sign(vt[[0, 1], np.argmax(np.abs(vt[:2]), axis=1)])[:, None]
+    got = {r.id: r.projection for r in V.axis(m).collect()}
+    assert all(got[i + 1] == pytest.approx(float(x[i].astype(float) @ d[0]), abs=1e-6) for i in range(rows)) and len(got) == rows
+    c = spark.createDataFrame([(1, [float(v) for v in centre])], "group_id long, vec array<float>")
+    step = x.astype(float) - np.array([np.float32(v) for v in centre], dtype=float)
+    angle = np.arctan2(step @ d[1], step @ d[0])
+    want = np.bincount(np.clip(np.floor((angle + np.pi) / (2 * np.pi / 12)).astype(int), 0, 11), minlength=12)
+    assert [r["count"] for r in V.sectors(c, m).orderBy("sector").collect()] == want.tolist()
+    assert V.axis(m.limit(0)).count() == 0 and V.sectors(c, m.limit(0)).count() == 0
+
+
 def test_holes_and_recall(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.8, 0.2]), (4, [0.0, 1.0])], VEC)
     e = edges(spark, [(1, 2)])
