@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hebbspark import tables
@@ -756,23 +756,38 @@ def retrieval_diagnosis(spark, folder):
     return rounded(out, "association")
 
 
-@query
-def policy_grid(spark, folder):
-    """Mean recall and complete answers of each edge policy and retrieval mode."""
-    out = None
-    gold = _gold(spark, folder)
-    ids = tables.turns(spark, folder).select("corpus", "id", "dia_id")
+def _dev(corpus: str = "corpus") -> Column:
+    """Whether a conversation is one of those that choices are made on: half of them, by a digest."""
+    return F.pmod(F.conv(F.substring(F.md5(corpus), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0
+
+
+def _grid(spark, folder, modes: tuple[str, ...]) -> DataFrame:
+    """(split, policy, mode, mean_recall, complete) of each edge policy and retrieval mode."""
     q, docs = tables.questions(spark, folder).select("query_id", "corpus", "query"), _docs(spark, folder)
-    near = written(_context(spark, folder), "context")
+    near, c = written(_context(spark, folder), "context"), R.components(q, docs, None, SEARCH, SCOPE)
+    hits, arms = None, []
     for policy in ("star", "combined"):
         trans = written(_graph(spark, folder, policy, near), "transitions")
-        for mode, hits in (("associative", R.search(q, docs, trans, SEARCH, SCOPE)), ("connected", R.connected(q, docs, trans, SEARCH, SCOPE))):
-            got = hits.join(ids, ["corpus", "id"]).groupBy("query_id").agg(F.collect_set("dia_id").alias("found"))
-            scored = gold.join(got, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-            measures = scored.select(*(c.alias(n) for n, c in B.evidence_recall("found", "gold").items()))
-            part = measures.agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.count_if("all_found").alias("complete")).select(F.lit(policy).alias("policy"), F.lit(mode).alias("mode"), "mean_recall", "complete")
-            out = part if out is None else out.unionByName(part)
-    return out
+        for mode in modes:
+            arms.append(f"{policy} {mode}")
+            got = R.connected(q, docs, trans, SEARCH, SCOPE) if mode == "connected" else R.fused(q, docs, R.over_graph(c, trans, SEARCH, SCOPE), SEARCH, SCOPE)
+            got = got.select(F.lit(arms[-1]).alias("arm"), "query_id", "corpus", "id")
+            hits = got if hits is None else hits.unionByName(got)
+    scored = _measured(spark, folder, hits, arms).withColumn("split", F.when(_dev(), "development").otherwise("held out"))
+    part = lambda i: F.element_at(F.split("arm", " "), i)
+    return scored.groupBy("split", part(1).alias("policy"), part(2).alias("mode")).agg(F.round(F.avg("recall"), 6).alias("mean_recall"), F.count_if("all_found").alias("complete"))
+
+
+@query
+def policy_grid(spark, folder):
+    """Mean recall and complete answers of each edge policy and retrieval mode, on either half of the conversations."""
+    return _grid(spark, folder, ("associative", "connected"))
+
+
+@query
+def policy_grid_associative(spark, folder):
+    """The associative half of the grid."""
+    return _grid(spark, folder, ("associative",))
 
 
 #: The sweeps of the longitudinal replay, and those at which it is measured.
@@ -815,7 +830,7 @@ def stratified_questions(spark, folder):
 def best_graph_weight(spark, folder):
     """The graph weight with the best mean recall over the development conversations, ties to the smaller, and its recall over the others."""
     arms = _weighted_arms(spark, folder, {str(w): w for w in sql.WEIGHTS})
-    split = arms.withColumn("dev", F.pmod(F.conv(F.substring(F.md5("corpus"), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0)
+    split = arms.withColumn("dev", _dev())
     means = split.groupBy(F.col("arm").cast("double").alias("weight")).agg(*(F.round(F.avg(F.when(c, F.col("recall"))), 6).alias(n) for n, c in (("mean_recall", F.col("dev")), ("test_recall", ~F.col("dev")))))
     return B.best_weight(means).join(means.select("weight", "test_recall"), "weight")
 

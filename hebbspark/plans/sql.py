@@ -419,6 +419,20 @@ QUERIES: dict[str, str] = {
  e AS (SELECT 'hot' AS layout, 0 AS p FROM s UNION ALL SELECT 'disjoint', seq % 8 FROM s UNION ALL SELECT 'uniform', {drawn(1, 'seq')} % 4096 FROM s),
  c AS (SELECT layout, p, count(*) AS n FROM e GROUP BY ALL)
  SELECT layout, count(*) AS edges, sum(n)::BIGINT AS updates, max(n) AS most, sum(n)::DOUBLE AS weight FROM c GROUP BY layout""",
+    "policy_grid_associative": chain(
+        *LEXICAL,
+        PREFIX,
+        ADJACENT,
+        STAR,
+        COMBINED,
+        *GRAPH[1:],
+        SEEDS,
+        *(part for name, events in (("s", "es"), ("c", "ec")) for part in (_other(f"{name}_", events), fuse(f"h{name}", an=f"{name}_an"))),
+        GOLD,
+        f"ar AS MATERIALIZED ({_arm('star', 'hs')} UNION ALL {_arm('combined', 'hc')})",
+        final="""SELECT CASE WHEN ('0x' || substr(md5(corpus), 1, 8))::BIGINT % 2 = 0 THEN 'development' ELSE 'held out' END AS split, arm AS policy, 'associative' AS mode,
+ round(avg(recall), 6) AS mean_recall, count(*) FILTER (all_found) AS complete FROM ar GROUP BY 1, 2""",
+    ),
     "best_graph_weight": chain(
         *WEIGHTED,
         final="""SELECT * FROM (SELECT w AS weight, round(avg(recall) FILTER (dev), 6) AS mean_recall, round(avg(recall) FILTER (NOT dev), 6) AS test_recall
