@@ -241,6 +241,23 @@ def _near(k: int) -> str:
     return f"nk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM nn QUALIFY rank <= {k})"
 
 
+def walk(hops: int = 4) -> list[str]:
+    """w0 .. wn: the state of each walk after so many steps."""
+    unit = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v})))"
+    parts = [
+        "ad AS MATERIALIZED (SELECT DISTINCT a AS src, b AS dst FROM la UNION SELECT b, a FROM la)",
+        f"w0 AS MATERIALIZED (SELECT id AS query_id, id AS node, vec, {unit('vec')} AS d, [id] AS path FROM ve WHERE id % 20 = 0 AND list_inner_product(vec, vec) > 0)",
+    ]
+    for h in range(1, hops + 1):
+        parts.append(
+            f"""m{h} AS MATERIALIZED (SELECT w.query_id, a.dst, w.d, w.path, v.vec, list_transform(list_zip(v.vec, w.vec), lambda p: p[1] - p[2]) AS step FROM w{h - 1} w JOIN ad a ON a.src = w.node JOIN ve v ON v.id = a.dst WHERE NOT list_contains(w.path, a.dst)),
+b{h} AS MATERIALIZED (SELECT *, sqrt(list_inner_product(step, step)) AS norm FROM m{h} WHERE list_inner_product(step, step) > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(step, d) / sqrt(list_inner_product(step, step)), 12) DESC, dst) = 1),
+t{h} AS MATERIALIZED (SELECT query_id, dst AS node, vec, list_transform(list_zip(d, list_transform(step, lambda x: x / norm)), lambda p: 0.5e0 * p[1] + 0.5e0 * p[2]) AS d, list_append(path, dst) AS path FROM b{h}),
+w{h} AS MATERIALIZED (SELECT query_id, node, vec, {unit('d')} AS d, path FROM t{h} WHERE list_inner_product(d, d) > 0)"""
+        )
+    return parts
+
+
 WINDOWS = """wu AS MATERIALIZED (SELECT DISTINCT floor(epoch(date_trunc('minute', ts)) / 600)::BIGINT AS bucket, user_id + 1 AS node FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
 wp AS MATERIALIZED (SELECT x.bucket AS seq, x.node AS a, y.node AS b, floor(x.bucket * 10 / 1440)::BIGINT AS tick FROM wu x JOIN wu y ON x.bucket = y.bucket AND x.node < y.node)"""
 
@@ -433,6 +450,11 @@ QUERIES: dict[str, str] = {
         final="""SELECT CASE WHEN ('0x' || substr(md5(corpus), 1, 8))::BIGINT % 2 = 0 THEN 'development' ELSE 'held out' END AS split, arm AS policy, 'associative' AS mode,
  round(avg(recall), 6) AS mean_recall, count(*) FILTER (all_found) AS complete FROM ar GROUP BY 1, 2""",
     ),
+    "walk_directional": chain(
+        VECTORS,
+        *walk(),
+        final="SELECT id AS query_id, coalesce((SELECT array_to_string(path, '>') FROM (SELECT * FROM (SELECT query_id, path FROM w0 UNION ALL SELECT query_id, path FROM t1 UNION ALL SELECT query_id, path FROM t2 UNION ALL SELECT query_id, path FROM t3 UNION ALL SELECT query_id, path FROM t4) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(path) DESC) = 1) l WHERE l.query_id = ve.id), '') AS path FROM ve WHERE id % 20 = 0",
+    ),
     "best_graph_weight": chain(
         *WEIGHTED,
         final="""SELECT * FROM (SELECT w AS weight, round(avg(recall) FILTER (dev), 6) AS mean_recall, round(avg(recall) FILTER (NOT dev), 6) AS test_recall
