@@ -153,9 +153,9 @@ _P2_GROUPS = (
 , z AS (SELECT id, lower(trim(writer)) AS w, list_sort({_TERMS}) AS s FROM m WHERE trim(writer) <> '' AND len(list_distinct({_TERMS})) >= 18),
 l AS (SELECT id_a AS id, id_b AS o FROM p WHERE both_n >= 0.7::DOUBLE * (c - both_n) UNION ALL SELECT id_b, id_a FROM p WHERE both_n >= 0.7::DOUBLE * (c - both_n)),
 c AS (SELECT id, count(*) AS links FROM l GROUP BY id),
-g AS (SELECT id, id AS at FROM z UNION SELECT g.id, l.o FROM g JOIN l ON l.id = g.at)
+g AS (SELECT id, id AS node FROM z UNION SELECT g.id, l.o FROM g JOIN l ON l.id = g.node)
 SELECT z.id, min(z.id) OVER v AS "class", count(*) OVER v AS copies, coalesce(c.links, 0) AS links, r."group"
-FROM z LEFT JOIN c ON c.id = z.id JOIN (SELECT id, min(at) AS "group" FROM g GROUP BY id) r ON r.id = z.id WINDOW v AS (PARTITION BY z.w, z.s)
+FROM z LEFT JOIN c ON c.id = z.id JOIN (SELECT id, min(node) AS "group" FROM g GROUP BY id) r ON r.id = z.id WINDOW v AS (PARTITION BY z.w, z.s)
 """
 )
 
