@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hebbspark.llm.partition import TwoLevels, best, fit_router
+from hebbspark.operators.skew import lookup_join
 from hebbspark.session import written
 
 
@@ -75,8 +76,9 @@ def vector_classes(vectors: DataFrame, p: AnnParams, id_col: str, vector_col: st
     plain = F.transform("vec", lambda x: x.cast("double") / F.col("top") + F.lit(0.0))
     # One exchange of the vectors, by the id that later joins use.
     one = rows.dropDuplicates(["id"]).withColumn("top", top).withColumn("h1", F.xxhash64(plain)).withColumn("h2", F.xxhash64(F.lit(1), plain)).drop("top").persist()
-    named = one.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = written(one.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("rep", "id"), "members")
+    prints = one.select("id", F.struct("h1", "h2").alias("print"))
+    named = prints.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    members = written(lookup_join(prints, named, "print", "n").select("rep", "id"), "members")
     reps = one.select(F.col("id").alias("rep"), "vec").join(members.where(F.col("rep") == F.col("id")).select("rep"), "rep", "left_semi")
     return reps, members
 
@@ -351,5 +353,9 @@ def similar_vectors(vectors: DataFrame, p: AnnParams = AnnParams(), id_col: str
     listed = near.unionByName(several).join(small.select(F.col("rep").alias("i"), F.col("id").alias("neighbour")), "i")
     order = lambda of: Window.partitionBy(of).orderBy(F.col("sim").desc(), "neighbour")
     short = listed.withColumn("r", F.row_number().over(order("q"))).where(F.col("r") <= p.k + 1).select("q", "neighbour", "sim")
-    out = short.join(asks.select(F.col("rep").alias("q"), "id"), "q").where(F.col("id") != F.col("neighbour"))
+    # One list for each class that asks, so that a class of many rows is looked up and not met in one task.
+    lists = short.groupBy("q").agg(F.collect_list(F.struct("neighbour", "sim")).alias("l"))
+    lists = lists.join(asks.groupBy(F.col("rep").alias("q")).agg(F.count(F.lit(1)).alias("n")), "q")
+    out = lookup_join(asks.select(F.col("rep").alias("q"), "id"), lists, "q", "n").select("id", F.explode("l").alias("x")).select("id", "x.neighbour", "x.sim")
+    out = out.where(F.col("id") != F.col("neighbour"))
     return out.withColumn("rank", F.row_number().over(order("id"))).where(F.col("rank") <= p.k).select("id", "neighbour", "sim", "rank")
