@@ -21,13 +21,17 @@ from hebbspark.params import EdgeParams
 DIGITS = 12
 
 
-def transitions(adj: DataFrame, tick: int | Column, p: EdgeParams, scope: Sequence[str] = ()) -> DataFrame:
-    """(scope, src, dst, share): the share of a node's mass that each neighbour gets at the tick."""
-    # Kept: the hot rows are found before they are joined.
-    read = at_tick(adj, tick, p).where(F.col("now") > 0).select(*scope, "src", "dst", "now").persist()
-    mass = read.groupBy(*scope, "src").agg(F.sum("now").alias("mass"), F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(mass, [*scope, "src"], "_n")
-    return salted_join(read, mass.drop("_n"), [*scope, "src"], hot).select(*scope, "src", "dst", (F.col("now") / F.col("mass")).alias("share"))
+def transitions(adj: DataFrame, tick: int | Column, p: EdgeParams, scope: Sequence[str] = (), hot: Sequence[int] | None = None) -> DataFrame:
+    """(scope, src, dst, share): the share of a node's mass that each neighbour gets at the tick.
+
+    The rows of hot nodes are spread over several tasks; they are looked for unless ``hot`` names them.
+    """
+    read = at_tick(adj, tick, p).where(F.col("now") > 0).select(*scope, "src", "dst", "now")
+    if hot is None:
+        read = read.persist()  # the hot rows are found before they are joined
+        hot = hot_keys(read.groupBy(*scope, "src").agg(F.count(F.lit(1)).alias("_n")), [*scope, "src"], "_n")
+    mass = read.groupBy(*scope, "src").agg(F.sum("now").alias("mass"))
+    return salted_join(read, mass, [*scope, "src"], hot).select(*scope, "src", "dst", (F.col("now") / F.col("mass")).alias("share"))
 
 
 @dataclass

@@ -159,7 +159,7 @@ def degree(adj: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def stats(edges: DataFrame, tick: int | Column, p: EdgeParams, capacity: int | None = None) -> DataFrame:
-    """One row: distinct edges, updates, edges dead at the tick, snapshot edges, node count (largest id + 1), load."""
+    """One row: distinct edges, updates, edges dead at the tick, snapshot edges, node count (largest id + 1), and with a capacity the load and the edges over it."""
     alive = F.col("now") >= p.floor
     out = at_tick(edges, tick, p).agg(
         F.count(F.lit(1)).alias("inserts"),
@@ -168,7 +168,10 @@ def stats(edges: DataFrame, tick: int | Column, p: EdgeParams, capacity: int | N
         F.count_if(alive).alias("edge_count"),
         F.coalesce(F.max(F.when(alive, F.col("b") + 1)), F.lit(0)).alias("node_count"),
     )
-    return out if capacity is None else out.withColumn("load_factor", F.col("inserts") / F.lit(float(capacity)))
+    if capacity is None:
+        return out
+    over = F.greatest(F.col("inserts") - F.lit(capacity * 7 // 10), F.lit(0))
+    return out.withColumn("load_factor", F.col("inserts") / F.lit(float(capacity))).withColumn("rejected_full", over.cast("long"))
 
 
 def weak_paths(paths: DataFrame, edges: DataFrame, tick: int | Column, p: EdgeParams, group: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:

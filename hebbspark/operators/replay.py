@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hebbspark.operators.activate import transitions
+from hebbspark.operators.activate import hubs, transitions
 from hebbspark.operators.edges import adjacency, clique_pairs, freeze
 from hebbspark.operators.retrieve import components, fused, over_graph
 from hebbspark.params import EdgeParams, SearchParams
@@ -24,9 +24,10 @@ def replay(queries: DataFrame, docs: DataFrame, edges: DataFrame, sweeps: int, s
     the lexical scores, which no sweep changes, are computed once.
     """
     base = components(queries, docs, None, p, scope)
+    hot = hubs(adjacency(edges, scope), scope)
     for sweep in range(sweeps + 1):
         tick = start + sweep
-        trans = transitions(adjacency(freeze(edges, tick, e), scope), tick, e, scope)
+        trans = transitions(adjacency(freeze(edges, tick, e), scope), tick, e, scope, hot)
         hits = written(fused(queries, docs, over_graph(base, trans, p, scope), p, scope), "sweep")
         yield sweep, hits, edges
         if sweep < sweeps:

@@ -288,7 +288,7 @@ QUERIES: dict[str, str] = {
     "neighbors_cap": chain(*LOG_EDGES, final=f"SELECT src, dst, round(now, 6) AS now FROM (SELECT unnest([a, b]) AS src, unnest([b, a]) AS dst, {read(LOG_NOW)} AS now FROM ed WHERE {_ALIVE}) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 16"),
     "pair_weights": chain(*LOG_EDGES, RECORDS, final=f"SELECT r.id AS a, r.p AS b, r.tick, round(coalesce(e.w, 0), 6) AS pair_weight FROM (SELECT id, tick, lag(id) OVER (PARTITION BY tick ORDER BY id) AS p FROM re) r LEFT JOIN (SELECT a, b, {read(LOG_NOW)} AS w FROM ed WHERE {_ALIVE}) e ON e.a = least(r.id, r.p) AND e.b = greatest(r.id, r.p) WHERE r.p IS NOT NULL"),
     "edge_mass_along": chain(*LOG_EDGES, RECORDS, final=f"SELECT r.tick AS path_id, round(sum(coalesce(e.w, 0)), 6) AS mass FROM (SELECT id, tick, lead(id) OVER (PARTITION BY tick ORDER BY id) AS p FROM re WHERE tick IS NOT NULL) r LEFT JOIN (SELECT a, b, {read(LOG_NOW)} AS w FROM ed WHERE {_ALIVE}) e ON e.a = least(r.id, r.p) AND e.b = greatest(r.id, r.p) AND r.p IS NOT NULL GROUP BY r.tick"),
-    "graph_stats": chain(*LOG_EDGES, final=f"SELECT count(*) AS inserts, sum(events - 1)::BIGINT AS updates, count(*) FILTER (NOT {_ALIVE}) AS dropped, count(*) FILTER ({_ALIVE}) AS edge_count, coalesce(max(b + 1) FILTER ({_ALIVE}), 0) AS node_count, round(count(*) / 1048576.0e0, 6) AS load_factor FROM ed"),
+    "graph_stats": chain(*LOG_EDGES, final=f"SELECT count(*) AS inserts, sum(events - 1)::BIGINT AS updates, count(*) FILTER (NOT {_ALIVE}) AS dropped, count(*) FILTER ({_ALIVE}) AS edge_count, coalesce(max(b + 1) FILTER ({_ALIVE}), 0) AS node_count, round(count(*) / 1048576.0e0, 6) AS load_factor, greatest(count(*) - 734003, 0) AS rejected_full FROM ed"),
     "edge_provenance": chain(TURNS, index(), PREFIX, ADJACENT, STAR, final="SELECT corpus, a, b, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins FROM (SELECT corpus, a, b, 'adjacent' AS origin FROM ea UNION ALL SELECT corpus, a, b, 'star' FROM es) GROUP BY corpus, a, b"),
     "activation_1hop": chain(*LEXICAL, *GRAPH, SEEDS, hops(1), final="SELECT query_id, corpus, node, round(score, 6) AS score FROM (SELECT * FROM ac QUALIFY row_number() OVER (PARTITION BY query_id, corpus ORDER BY score DESC, node) <= 64) WHERE score >= 0.001e0"),
     "activation_2hop": chain(*ACTIVATION, final="SELECT query_id, corpus, node, round(score, 6) AS score FROM (SELECT * FROM ac QUALIFY row_number() OVER (PARTITION BY query_id, corpus ORDER BY score DESC, node) <= 64) WHERE score >= 0.001e0"),

@@ -382,7 +382,6 @@ class ManagedMemory:
             "revision": meta["revision"],
             "recovery": self.recovery,
             "capacity": meta["capacity"],
-            "rejected_full": 0,
             **graph,
         }
 
