@@ -584,6 +584,23 @@ def oracle_packet(spark, folder):
     return Q.oracle_packet(gold, hits, ["query_id", "corpus"], 8)
 
 
+@query
+def bridge_removed_packet(spark, folder):
+    """The eight best lexical hits of each question without its evidence turns."""
+    packet = _hits(spark, folder, 0).where("rank <= 8").select("query_id", "corpus", "id", "rank")
+    return Q.without(packet, _gold_turns(spark, folder), ["query_id", "corpus"])
+
+
+@query
+def counterfactual_packet(spark, folder):
+    """The same packet with the evidence turns' texts replaced, here by their capitals."""
+    t = tables.turns(spark, folder).select("corpus", "id", F.col("content").alias("text"))
+    packet = _hits(spark, folder, 0).where("rank <= 8").select("query_id", "corpus", "id", "rank").join(t, ["corpus", "id"])
+    changed = _gold_turns(spark, folder).distinct().join(t, ["corpus", "id"]).withColumn("text", F.upper(F.translate("text", "aeiou", "AEIOU")))
+    out = Q.replaced(packet, changed, ["query_id", "corpus"])
+    return out.select("query_id", "corpus", "id", "rank", F.md5(F.regexp_replace("text", "[^a-zA-Z]", "")).alias("digest"))
+
+
 # Evaluation
 
 
@@ -821,6 +838,40 @@ def longitudinal_curve(spark, folder):
     return rounded(_curve(spark, folder), "graph", "adjacency", "lexical", "low", "high")
 
 
+def _calls(spark, folder) -> DataFrame:
+    """One call for each question: its sizes as tokens, a time from its id, every seventh unavailable."""
+    q = tables.questions(spark, folder)
+    return q.select(
+        F.col("category").cast("string").alias("arm"),
+        (F.col("query_id") % 7 == 0).alias("unavailable"),
+        F.length("query").cast("long").alias("input_tokens"),
+        F.length("answer").cast("long").alias("output_tokens"),
+        (F.col("query_id") % 13 / F.lit(10.0)).alias("seconds"),
+    )
+
+
+@query
+def usage_report(spark, folder):
+    return B.usage_report(_calls(spark, folder))
+
+
+@query
+def pending_jobs(spark, folder):
+    """The questions that a cache with the results of every second one leaves to be asked."""
+    jobs = tables.questions(spark, folder).select(F.col("query_id").alias("job_id"), F.lit("m").alias("model"), F.col("query").alias("input"))
+    cache = jobs.where("job_id % 2 = 0").select("job_id", "model", F.sha2(F.to_json(F.struct("input")), 256).alias("input_sha"))
+    return B.pending_jobs(jobs, cache).select("job_id")
+
+
+@query
+def causal_families(spark, folder):
+    """Cases of each category in which all three causal arms are right, with outcomes that depend on the question's id."""
+    right = {"oracle": 2, "counterfactual": 3, "bridge_removed": 5}
+    arms = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), (F.col("query_id") % n != 0).alias("correct")) for a, n in right.items()))).alias("x")
+    rows = tables.questions(spark, folder).select(F.col("query_id").alias("case_id"), F.col("category").alias("family"), arms).select("case_id", "family", "x.*")
+    return B.family_summary(B.causal_pairs(rows, keep=["family"]))
+
+
 @query
 def stratified_questions(spark, folder):
     return B.stratified_sample(tables.questions(spark, folder), ["category"], "query_id", 20).select("query_id", "category")
@@ -867,6 +918,16 @@ def stream_coactivation_fold(spark, folder):
     return rounded(run_available(_stream(spark, folder, "events"), FoldSink(spark, place, EDGES), f"{place}/offsets", window_pairs), "weight")
 
 
+@query
+def stream_snapshot(spark, folder):
+    """The snapshot that the stream of the log publishes at its end."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    prepare = lambda df: df.where("id IS NOT NULL").select(F.col("id").alias("seq"), "a", "b", "tick").distinct()
+    sink = FoldSink(spark, place, EDGES)
+    run_available(_stream(spark, folder, "associations"), sink, f"{place}/offsets", prepare)
+    return rounded(sink.snapshot(), "weight")
+
+
 @query
 def stream_stateful_fold(spark, folder):
     """The association log as a stream whose state is kept per edge in the state store."""

@@ -455,6 +455,24 @@ QUERIES: dict[str, str] = {
         *walk(),
         final="SELECT id AS query_id, coalesce((SELECT array_to_string(path, '>') FROM (SELECT * FROM (SELECT query_id, path FROM w0 UNION ALL SELECT query_id, path FROM t1 UNION ALL SELECT query_id, path FROM t2 UNION ALL SELECT query_id, path FROM t3 UNION ALL SELECT query_id, path FROM t4) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(path) DESC) = 1) l WHERE l.query_id = ve.id), '') AS path FROM ve WHERE id % 20 = 0",
     ),
+    "bridge_removed_packet": chain(*PLAIN, GOLD, GOLD_TURNS, final="SELECT query_id, corpus, id, rank FROM hp WHERE rank <= 8 AND NOT EXISTS (SELECT 1 FROM gt WHERE gt.query_id = hp.query_id AND gt.id = hp.id)"),
+    "counterfactual_packet": chain(
+        *PLAIN,
+        GOLD,
+        GOLD_TURNS,
+        "cp AS (SELECT h.query_id, h.corpus, h.id, h.rank, t.content, EXISTS (SELECT 1 FROM gt WHERE gt.query_id = h.query_id AND gt.id = h.id) AS g FROM hp h JOIN tu t ON t.corpus = h.corpus AND t.id = h.id WHERE h.rank <= 8)",
+        final="SELECT query_id, corpus, id, rank, md5(regexp_replace(CASE WHEN g THEN upper(translate(content, 'aeiou', 'AEIOU')) ELSE content END, '[^a-zA-Z]', '', 'g')) AS digest FROM cp",
+    ),
+    "usage_report": chain(
+        QUESTIONS,
+        final="SELECT category::VARCHAR AS arm, count(*) AS calls, sum(length(query))::BIGINT AS input_tokens, sum(coalesce(length(answer), 0))::BIGINT AS output_tokens, round(quantile_cont(query_id % 13 / 10.0e0, 0.5), 6) AS median_seconds FROM qu WHERE query_id % 7 <> 0 GROUP BY category",
+    ),
+    "pending_jobs": chain(QUESTIONS, final="SELECT query_id AS job_id FROM qu WHERE query_id % 2 <> 0"),
+    "causal_families": chain(
+        QUESTIONS,
+        final="SELECT category AS family, count(*) AS cases, count(*) FILTER (query_id % 2 <> 0) AS oracle, count(*) FILTER (query_id % 3 <> 0) AS counterfactual, count(*) FILTER (query_id % 5 <> 0) AS bridge_removed, count(*) FILTER (query_id % 2 <> 0 AND query_id % 3 <> 0 AND query_id % 5 <> 0) AS all_correct FROM qu GROUP BY category",
+    ),
+    "stream_snapshot": chain(*LOG_EDGES, final=f"SELECT {_EDGE} FROM ed WHERE {_ALIVE}"),
     "best_graph_weight": chain(
         *WEIGHTED,
         final="""SELECT * FROM (SELECT w AS weight, round(avg(recall) FILTER (dev), 6) AS mean_recall, round(avg(recall) FILTER (NOT dev), 6) AS test_recall
