@@ -17,6 +17,7 @@ from hebbspark.operators.edges import at_tick
 from hebbspark.operators.ranking import stable_topk
 from hebbspark.operators.skew import hot_keys, salted_join
 from hebbspark.params import EdgeParams
+from hebbspark.session import written
 
 DIGITS = 12
 
@@ -83,8 +84,8 @@ def activate(seeds: DataFrame, trans: DataFrame, hops: int = 2, cutoff: float =
     for hop in range(1, hops + 1):
         met = salted_join(trans, front.withColumnRenamed("node", "src"), [*scope, "src"], hot)
         step = met.select(*key, F.lit(hop).alias("hop"), "src", "dst", (F.col("score") * F.col("share")).alias("contribution")).where(F.col("contribution") >= cutoff)
-        # Kept: the next hop, the sums and the paths all read them.
-        step = step.persist()
+        # A table: the next hop, the sums and the paths all read it, and their plans stay short.
+        step = written(step, "hop")
         arcs.append(step)
         front = step.select(*key, F.col("dst").alias("node"), F.col("contribution").alias("score"))
         if merge:

@@ -11,6 +11,7 @@ from hebbspark.operators.lexical import bm25
 from hebbspark.operators.ranking import stable_topk
 from hebbspark.operators.retrieve import FUSED_DIGITS, Components, components, fused
 from hebbspark.params import SearchParams
+from hebbspark.session import written
 
 
 def name_key(name: Column | str) -> Column:
@@ -126,7 +127,7 @@ def entity_search(routed: DataFrame, docs: DataFrame, body_docs: DataFrame, tran
     others are the plain search.  Without ``trans`` the graph adds nothing.
     """
     key = ["query_id", *scope]
-    routed = routed.persist()
+    routed = written(routed, "routed")
     gated = routed.where("mode = 'entity'")
     c: Components = components(routed, docs, trans, p, scope)
     plain = fused(routed, docs, c, p, scope).join(routed.where("mode <> 'entity'").select(*key), key, "left_semi").select(*key, "id", "score", "rank", F.lit("adjacency").alias("mode"))
@@ -147,7 +148,7 @@ def ablation_arms(routed: DataFrame, docs: DataFrame, body_docs: DataFrame, tran
     the activation of the original query.
     """
     key = ["query_id", *scope]
-    gated = routed.where("mode = 'entity'").persist()
+    gated = written(routed.where("mode = 'entity'"), "gated")
     topics = gated.select(*key, F.col("topic_query").alias("query"))
     whole, stripped = components(gated.select(*key, "query"), docs, trans, p, scope), components(topics, docs, trans, p, scope)
     bodies = {"original": bm25(gated.select(*key, "query"), body_docs, scope), "stripped": bm25(topics, body_docs, scope)}

@@ -14,6 +14,7 @@ from hebbspark.operators.activate import Activation, activate, witness_paths
 from hebbspark.operators.lexical import bm25
 from hebbspark.operators.ranking import ranked, stable_topk
 from hebbspark.params import SearchParams
+from hebbspark.session import written
 
 FUSED_DIGITS = 9
 
@@ -35,8 +36,9 @@ class Components:
 
 def components(queries: DataFrame, docs: DataFrame, trans: DataFrame | None, p: SearchParams = SearchParams(), scope: Sequence[str] = ()) -> Components:
     """Lexical scores, and what the graph adds to them beyond the seeds' own weight."""
-    lexical = bm25(queries, docs, scope).persist()
-    seeds = seeds_of(lexical, p.seeds, scope).persist()
+    # Tables: plans that hold kept frames within kept frames are described at a length that grows with each of them.
+    lexical = written(bm25(queries, docs, scope), "lexical")
+    seeds = written(seeds_of(lexical, p.seeds, scope), "seeds")
     if trans is None or p.graph_weight == 0:
         return Components(lexical, seeds, None, None)
     return over_graph(Components(lexical, seeds, None, None), trans, p, scope)
@@ -47,10 +49,10 @@ def over_graph(c: Components, trans: DataFrame, p: SearchParams = SearchParams()
     lexical, seeds = c.lexical, c.seeds
     act = activate(seeds, trans, p.hops, p.cutoff, None, scope, mass=1.0)  # the seeds' weights sum to 1
     key = ["query_id", *scope, "node"]
-    act.scores = act.scores.persist()
     more = act.scores.join(act.seeds.withColumnRenamed("score", "_own"), key, "left")
     gain = F.greatest(F.col("score") - F.coalesce("_own", F.lit(0.0)), F.lit(0.0))
-    return Components(lexical, seeds, act, more.select("query_id", *scope, F.col("node").alias("id"), gain.alias("association")))
+    association = more.select("query_id", *scope, F.col("node").alias("id"), gain.alias("association"))
+    return Components(lexical, seeds, act, written(association, "association"))
 
 
 def shares(queries: DataFrame, docs: DataFrame, c: Components, p: SearchParams, scope: Sequence[str] = (), positive_only: bool = False) -> DataFrame:

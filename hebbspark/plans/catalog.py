@@ -254,7 +254,7 @@ def _graph(spark, folder, policy: str = "adjacent", near: DataFrame | None = Non
     edges = E.freeze(E.fold(events, EDGES, SCOPE), NOW, EDGES)
     if policy == "shuffled":
         edges = E.shuffled(edges, 11, SCOPE)
-    return A.transitions(E.adjacency(edges, SCOPE), NOW, EDGES, SCOPE).persist()
+    return written(A.transitions(E.adjacency(edges, SCOPE), NOW, EDGES, SCOPE), "transitions")
 
 
 def _seeded(spark, folder) -> tuple[DataFrame, DataFrame]:
@@ -364,7 +364,7 @@ def retrieve_ablation_variants(spark, folder):
     c, near = R.components(q, docs, None, SEARCH, SCOPE), written(_context(spark, folder), "context")
     out = R.fused(q, docs, c, SearchParams(graph_weight=0), SCOPE).select(F.lit("lexical").alias("variant"), "query_id", "id", "rank")
     for policy in ("adjacent", "learned", "star", "combined", "shuffled"):
-        trans = written(_graph(spark, folder, policy, near), "transitions")
+        trans = _graph(spark, folder, policy, near)
         hits = R.fused(q, docs, R.over_graph(c, trans, SEARCH, SCOPE), SEARCH, SCOPE)
         out = out.unionByName(hits.select(F.lit(policy).alias("variant"), "query_id", "id", "rank"))
     return out.where("rank <= 10")
@@ -453,8 +453,8 @@ def hash_embedding(spark, folder):
 def _roles(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turns, names and role links, each kept: routing and scoring read them several times."""
     t = tables.turns(spark, folder).persist()
-    known = _names(t).persist()
-    return t, known, N.links(t, known).persist()
+    known = written(_names(t), "names")
+    return t, known, written(N.links(t, known), "roles")
 
 
 def _names(turns: DataFrame) -> DataFrame:
@@ -784,7 +784,7 @@ def _grid(spark, folder, modes: tuple[str, ...]) -> DataFrame:
     near, c = written(_context(spark, folder), "context"), R.components(q, docs, None, SEARCH, SCOPE)
     hits, arms = None, []
     for policy in ("star", "combined"):
-        trans = written(_graph(spark, folder, policy, near), "transitions")
+        trans = _graph(spark, folder, policy, near)
         for mode in modes:
             arms.append(f"{policy} {mode}")
             got = R.connected(q, docs, trans, SEARCH, SCOPE) if mode == "connected" else R.fused(q, docs, R.over_graph(c, trans, SEARCH, SCOPE), SEARCH, SCOPE)
