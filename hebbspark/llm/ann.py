@@ -335,6 +335,10 @@ def near_classes(reps: DataFrame, asking: DataFrame | None, p: AnnParams) -> Dat
     return out if p.least is None else out.where(F.col("sim") >= p.least)
 
 
+#: Most lists that are looked up in a broadcast; a class with fewer than one in so many of the rows is no burden for a task.
+_LISTS = 1024
+
+
 def similar_vectors(vectors: DataFrame, p: AnnParams = AnnParams(), id_col: str = "id", vector_col: str = "embedding", asking: Column | None = None) -> DataFrame:
     """(id, neighbour, sim, rank): of each asking row the up to k most similar others, ties by the smaller id.
 
@@ -356,6 +360,6 @@ def similar_vectors(vectors: DataFrame, p: AnnParams = AnnParams(), id_col: str
     # One list for each class that asks, so that a class of many rows is looked up and not met in one task.
     lists = short.groupBy("q").agg(F.collect_list(F.struct("neighbour", "sim")).alias("l"))
     lists = lists.join(asks.groupBy(F.col("rep").alias("q")).agg(F.count(F.lit(1)).alias("n")), "q")
-    out = lookup_join(asks.select(F.col("rep").alias("q"), "id"), lists, "q", "n").select("id", F.explode("l").alias("x")).select("id", "x.neighbour", "x.sim")
+    out = lookup_join(asks.select(F.col("rep").alias("q"), "id"), lists, "q", "n", _LISTS).select("id", F.explode("l").alias("x")).select("id", "x.neighbour", "x.sim")
     out = out.where(F.col("id") != F.col("neighbour"))
     return out.withColumn("rank", F.row_number().over(order("id"))).where(F.col("rank") <= p.k).select("id", "neighbour", "sim", "rank")
