@@ -7,9 +7,11 @@ set similarity where rare shingles differ, as many samples are taken with all
 weights equal; the exact set similarity alone decides.  Records with equal shingle
 counts are one class, and only class representatives are hashed and compared.
 Samples are banded; a band bucket of up to ``bucket_limit`` representatives
-gives its pairs as candidates.  Larger buckets do not: of their members the
-candidates come from an exact prefix filter, which finds every pair at the
-set similarity asked for, so no link is lost to the limit.
+gives its pairs as candidates.  Of the members of larger buckets the candidates
+come from the bucket as well or from an exact prefix filter, which finds every
+pair at the set similarity asked for, whichever compares fewer, so no link is
+lost to the limit.  Pairs whose sketches prove them too different are no
+candidates: chance meetings grow with the square of a key's records, links do not.
 """
 
 from __future__ import annotations
@@ -188,6 +190,29 @@ def weighted_sets(rows: DataFrame, members: DataFrame, p: NearDupParams) -> Data
 
 #: One over the share of all rows from which a bucket is set apart.
 _HOT = 65_536
+#: Members of a bucket that one task compares with all others.
+_BLOCK = 4_096
+#: 64-bit words of a sketch.
+_WORDS = 2
+
+
+def sketch(hashes: str) -> list[Column]:
+    """Columns s0, s1...: bit i is the parity of the number of hashes that fall on it.
+
+    Two sketches differ in at most as many bits as there are elements in only
+    one of the two sets.
+    """
+    bit = f"pmod(h, {64 * _WORDS})"
+    return [F.expr(f"aggregate(filter({hashes}, h -> {bit} div 64 = {i}), 0L, (s, h) -> s ^ shiftleft(1L, cast({bit} % 64 AS int)))").alias(f"s{i}") for i in range(_WORDS)]
+
+
+def _may_match(p: NearDupParams) -> Column:
+    """Of rows x and y with m and a sketch: whether the sets may be as similar as asked for; never false where they are."""
+    m, n = F.col("x.m"), F.col("y.m")
+    # Sets of sizes m and n have a similarity of at most min / max, and similar ones differ in at most (m + n) (1 - s) / (1 + s) elements.
+    fits = F.least(m, n) >= p.similarity * F.greatest(m, n) - 1e-9
+    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(_WORDS)), F.lit(0))
+    return (F.col("x.rep") < F.col("y.rep")) & fits & (apart <= (m + n) * ((1 - p.similarity) / (1 + p.similarity)) + 1e-6)
 
 
 def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
@@ -200,22 +225,38 @@ def candidates(sets: DataFrame, p: NearDupParams) -> DataFrame:
     hot = seen.where(F.col("c") >= max(8, p.bucket_limit // 16, -(-rows // _HOT))).select("bucket").persist()
     in_bucket = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     met = written(each.join(F.broadcast(hot), "bucket", "left_anti").withColumn("size", in_bucket).where(F.col("size") > 1), "buckets")
-    # Sets of sizes m and n have a similarity of at most min / max.
-    fits = lambda m, n: (F.least(m, n) >= p.similarity * F.greatest(m, n) - 1e-9)
-    small = met.where(F.col("size") <= p.bucket_limit).select("bucket", "rep", "m")
-    x, y = small.alias("x"), small.alias("y")
-    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.m"), F.col("y.m")))
-    near = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-    crowded = met.where(F.col("size") > p.bucket_limit).select("rep").unionByName(each.join(F.broadcast(hot), "bucket", "left_semi").select("rep")).distinct()
+    apart = each.join(F.broadcast(hot), "bucket", "left_semi").select("rep")
+    sketches = sets.select("rep", *sketch("hs"))
+    pair = F.col("x.rep").alias("a"), F.col("y.rep").alias("b")
+
+    def within(met: DataFrame) -> DataFrame:
+        """Pairs of members of one bucket; members of a large one are compared block by block."""
+        rows = met.join(sketches, "rep")
+        blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+        x = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).alias("x")
+        y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+        return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & _may_match(p)).select(*pair)
+
+    small, crowded = met.where(F.col("size") <= p.bucket_limit), met.where(F.col("size") > p.bucket_limit)
+    if hot.isEmpty() and crowded.isEmpty():
+        return within(small).distinct()
     # Any two sets at the similarity share one of their first m - ceil(s m) + 1 elements in a common order.
     head = F.size("hs") - F.ceil(p.similarity * F.size("hs") - 1e-9) + 1
     rarest = F.sort_array(F.arrays_zip(F.col("idfs").alias("i"), F.col("hs").alias("h")), asc=False)
-    ordered = sets.join(crowded, "rep", "left_semi").select("rep", "k", F.size("hs").alias("m"), F.explode(F.slice(rarest, F.lit(1), head.cast("int"))).alias("e"))
-    ordered = ordered.select("rep", "k", "m", F.col("e.h").alias("h"))
-    x, y = ordered.alias("x"), ordered.alias("y")
-    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.rep") < F.col("y.rep")) & fits(F.col("x.m"), F.col("y.m")))
-    return near.unionByName(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).distinct()
+    heads = sets.join(crowded.select("rep").unionByName(apart).distinct(), "rep", "left_semi")
+    heads = heads.select("rep", "k", F.size("hs").alias("m"), *sketch("hs"), F.explode(F.slice(rarest, F.lit(1), head.cast("int"))).alias("e"))
+    heads = written(heads.withColumn("h", F.col("e.h")).drop("e"), "heads")
+    # A crowded bucket goes to the prefix filter where its members meet fewer others by their first elements than in all their crowded buckets.
+    named = heads.select("rep", F.xxhash64("k", "h").alias("e"))
+    by_heads = lookup_join(named, named.groupBy("e").agg(F.count(F.lit(1)).alias("n")), "e", "n", p.head_limit).groupBy("rep").agg(F.sum("n").alias("by_heads"))
+    by_buckets = crowded.groupBy("rep").agg(F.sum("size").alias("by_buckets"))
+    weighed = crowded.select("bucket", "rep").join(by_buckets.join(by_heads, "rep"), "rep")
+    dear = written(weighed.groupBy("bucket").agg(F.sum("by_heads").alias("h"), F.sum("by_buckets").alias("b")).where("b > h").select("bucket"), "dear-buckets")
+    near = within(small.unionByName(crowded.join(dear, "bucket", "left_anti").select(*small.columns)))
+    filtered = heads.join(crowded.join(dear, "bucket", "left_semi").select("rep").unionByName(apart).distinct(), "rep", "left_semi")
+    x, y = filtered.alias("x"), filtered.alias("y")
+    rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.h") == F.col("y.h")) & _may_match(p)).select(*pair)
+    return near.unionByName(rest).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:

@@ -133,3 +133,30 @@ def test_one_text_in_a_third_of_all_rows(spark):
     df = spark.createDataFrame(rows, "id long, text string, writer string")
     out = D.near_duplicates(df, SETS, key=writer_key()).groups(head_limit=2).collect()
     assert len(out) == 120 and {(r["class"], r.copies, r.links) for r in out if r.id < 100} == {(1, 40, 39)}
+
+
+@pytest.mark.parametrize("limit", [4, 256])
+def test_chance_meetings_are_no_candidates(spark, limit, monkeypatch):
+    monkeypatch.setattr(D, "_BLOCK", 16, raising=False)
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(5000)]
+    rows = [(i, " ".join([*WORDS[:12], *rng.sample(words, 14)]), "ann") for i in range(1, 301)]
+    rows += [(1000 + i, " ".join([*t.split()[:-2], f"n{i}"]), "ann") for i, t, _ in rows[:20]]
+    want = truth(rows, 0.7, 18)
+    p = D.NearDupParams(similarity=0.7, shingle=1, least_terms=18, bucket_limit=limit)
+    shingles = D.shingled(spark.createDataFrame(rows, "id long, text string, writer string"), p, key=writer_key()).persist()
+    pairs = {(r.a, r.b) for r in D.candidates(D.weighted_sets(shingles, D.classes(shingles, p), p).persist(), p).collect()}
+    assert len(want) == 20 and want <= pairs and len(pairs) < 200
+
+
+def test_sketches_differ_no_more_than_the_sets(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in (1, 5, 40, 400):
+        for _ in range(25):
+            both = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+            rows.append((both + [rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(n))], both))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    for r in df.select("a", "b", F.array(*D.sketch("a")).alias("x"), F.array(*D.sketch("b")).alias("y")).collect():
+        bits = sum(bin((u ^ v) & (1 << 64) - 1).count("1") for u, v in zip(r.x, r.y, strict=True))
+        assert bits <= len(r.a) - len(r.b) and bits % 2 == (len(r.a) - len(r.b)) % 2
