@@ -56,6 +56,21 @@ def test_streams(spark, tmp_path):
     same(last, whole)
 
 
+def test_stateful_groups(spark, tmp_path):
+    """Many edges share a row of the state store, and so a call of Python: repeated and late rows, edges that come back, new ones."""
+    rng = random.Random(7)
+    rows = [(i + 1, rng.randint(0, 40), rng.randint(0, 40), rng.randint(0, 30)) for i in range(3000)]
+    for k in range(3):
+        part = rows[k * 1000 : k * 1000 + 1000]
+        spark.createDataFrame(part + part[:50], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = S.stateful_fold(source, HALF, groups=8).writeStream.outputMode("update").format("memory").queryName("grouped").option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 8
+    last = spark.sql("SELECT a, b, max_by(weight, events) AS weight, max_by(last_tick, events) AS last_tick, max(events) AS events FROM grouped GROUP BY a, b")
+    same(last, E.fold(spark.createDataFrame(rows, EVENTS), HALF))
+
+
 def test_pair_stream(spark):
     df = spark.createDataFrame([(1, 5, [3, 1, 3, 0, 2]), (2, 6, [4]), (3, 6, None)], "seq long, tick long, nodes array<long>")
     assert {(r.a, r.b) for r in S.pair_stream(df).collect()} == {(1, 2), (1, 3), (2, 3)}
