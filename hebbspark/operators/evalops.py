@@ -127,6 +127,21 @@ def drawn(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def _drawn_means(rows: DataFrame, cluster: str, values: Sequence[str], draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The sums and counts of the clusters, and of each draw of as many clusters as there are the mean m0, m1, ... of each value."""
+    sound = F.col(cluster).isNotNull()
+    for value in values:
+        sound = sound & F.col(value).isNotNull()
+    sums = [F.sum(value).alias(f"s{i}") for i, value in enumerate(values)]
+    per = rows.where(sound).groupBy(F.col(cluster).alias("_k")).agg(*sums, F.count(F.lit(1)).alias("n"))
+    placed = written(numbered(per, ["_k"], "_j").drop("_k").withColumn("_j", F.col("_j") - 1), "clusters")
+    many = placed.count()
+    picks = placed.select("_j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("draw", F.pmod(drawn(seed, F.col("draw"), F.col("_j")), F.lit(max(many, 1))).alias("_j"))
+    counted = picks.groupBy("draw", "_j").agg(F.count(F.lit(1)).alias("c"))
+    means = [(F.sum(F.col("c") * F.col(f"s{i}")) / F.sum(F.col("c") * F.col("n"))).alias(f"m{i}") for i in range(len(values))]
+    return placed, counted.join(placed, "_j").groupBy("draw").agg(*means)
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 3000, seed: int = 7) -> DataFrame:
     """(mean, low, high): 95 % interval of the mean of the rows, as many clusters drawn with replacement as there are.
 
@@ -135,17 +150,22 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 30
     place, and picks of one cluster are counted before they meet its sums.
     Rows without a cluster or value do not count; no rows give nulls.
     """
-    per = rows.where(F.col(value).isNotNull() & F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("_k")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
-    placed = written(numbered(per, ["_k"], "_j").select((F.col("_j") - 1).alias("_j"), "s", "n"), "clusters")
-    many = placed.count()
-    picks = placed.select("_j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("draw", F.pmod(drawn(seed, F.col("draw"), F.col("_j")), F.lit(max(many, 1))).alias("_j"))
-    counted = picks.groupBy("draw", "_j").agg(F.count(F.lit(1)).alias("c"))
-    means = counted.join(placed, "_j").groupBy("draw").agg((F.sum(F.col("c") * F.col("s")) / F.sum(F.col("c") * F.col("n"))).alias("m"))
-    q = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    mean = placed.agg((F.sum("s") / F.sum("n")).alias("mean"))
+    placed, means = _drawn_means(rows, cluster, [value], draws, seed)
+    q = means.agg(F.percentile("m0", F.lit(0.025)).alias("low"), F.percentile("m0", F.lit(0.975)).alias("high"))
+    mean = placed.agg((F.sum("s0") / F.sum("n")).alias("mean"))
     return q.withColumn("mean", mean.scalar()).select("mean", "low", "high")
 
 
+def cluster_intervals(rows: DataFrame, cluster: str, values: Sequence[str], draws: int = 3000, seed: int = 7) -> DataFrame:
+    """One row with <value>_low and <value>_high of each value: the intervals of ``cluster_bootstrap``, from draws that are made once.
+
+    Rows that lack any of the values do not count.
+    """
+    _, means = _drawn_means(rows, cluster, values, draws, seed)
+    ends = ((f"{value}_{end}", i, at) for i, value in enumerate(values) for end, at in (("low", 0.025), ("high", 0.975)))
+    return means.agg(*(F.percentile(f"m{i}", F.lit(at)).alias(name) for name, i, at in ends))
+
+
 # Words that answers are compared without, and the punctuation marks that are deleted from them.
 ARTICLES = ("a", "an", "the", "and")
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""

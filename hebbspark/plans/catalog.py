@@ -818,18 +818,17 @@ def _curve(spark, folder, sweeps: int = SWEEPS, checkpoints: tuple[int, ...] = C
     c = R.components(q, docs, _graph(spark, folder), SEARCH, SCOPE)
     still = written(R.fused_arms(q, docs, c, SEARCH, {"adjacency": SEARCH.graph_weight, "lexical": 0.0}, SCOPE).select("arm", "query_id", "corpus", "id"), "control")
     edges = E.fold(_policy(spark, folder, "star"), EDGES, SCOPE)
-    out = None
-    for sweep, hits, _ in P.replay(q, docs, edges, sweeps, NOW, SEARCH, EDGES, SCOPE):
-        if sweep not in checkpoints:
-            continue
-        arms = still.unionByName(hits.select(F.lit("graph").alias("arm"), "query_id", "corpus", "id"))
-        wide = B.paired(_measured(spark, folder, arms, ["graph", "adjacency", "lexical"]).where("recall IS NOT NULL"), ["query_id", "corpus"], "arm", ["graph", "adjacency", "lexical"], "recall", strict=False)
-        wide = written(wide, "checkpoint")
-        means = wide.agg(*(F.avg(a).alias(a) for a in ("graph", "adjacency", "lexical")))
-        interval = B.cluster_bootstrap(wide.withColumn("delta", F.col("graph") - F.col("adjacency")), "corpus", "delta").select("low", "high").first()
-        part = means.select(F.lit(sweep).alias("session"), "graph", "adjacency", "lexical", F.lit(interval.low).cast("double").alias("low"), F.lit(interval.high).cast("double").alias("high"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    at = sorted(c for c in checkpoints if c <= sweeps)
+    graph = {sweep: f"graph{sweep}" for sweep in at}
+    hits = P.replay_at(q, docs, edges, at, NOW, SEARCH, EDGES, SCOPE)
+    arms = still.unionByName(hits.select(F.concat(F.lit("graph"), F.col("sweep").cast("string")).alias("arm"), "query_id", "corpus", "id"))
+    names = [*graph.values(), "adjacency", "lexical"]
+    wide = written(B.paired(_measured(spark, folder, arms, names).where("recall IS NOT NULL"), ["query_id", "corpus"], "arm", names, "recall", strict=False), "checkpoints")
+    deltas = wide.select("corpus", *((F.col(name) - F.col("adjacency")).alias(name) for name in graph.values()))
+    between = B.cluster_intervals(deltas, "corpus", list(graph.values()))
+    means = written(wide.agg(*(F.avg(name).alias(name) for name in names)).crossJoin(between), "means")
+    parts = [F.struct(F.lit(sweep).alias("session"), F.col(name).alias("graph"), "adjacency", "lexical", F.col(f"{name}_low").alias("low"), F.col(f"{name}_high").alias("high")) for sweep, name in graph.items()]
+    return means.select(F.inline(F.array(*parts)))
 
 
 @query

@@ -1,5 +1,9 @@
 """Replay: sweeps are the same as one fold over all their events, and diagnosis places every gold record."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from hebbspark.operators import edges as E
 from hebbspark.operators import lexical as L
 from hebbspark.operators import replay as P
@@ -24,6 +28,33 @@ def test_replay_learns_from_its_results(spark):
     assert P.changed_packets(runs[0][1], runs[0][1], SCOPE).count() == 0
 
 
+def test_all_sweeps_of_a_scope_in_one_task(spark):
+    """The same hits as sweep by sweep, with late edges, an edge at no record, an empty scope, a large one, and no more jobs for more sweeps."""
+    rng = random.Random(3)
+    words = "amber blue coral dune ember fox green hill iris jade".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))
+    docs = [(c, i * 3, text()) for c in ("x", "y", "z") for i in range(1, {"x": 30, "y": 12, "z": 22}[c])]
+    docs = L.documents(spark.createDataFrame(docs, "corpus string, id long, content string"), SCOPE).persist()
+    q = spark.createDataFrame([(k, "xyw"[k % 3] if k < 9 else "z", text()) for k in range(1, 13)], "query_id long, corpus string, query string")
+    pairs = [(k, rng.choice("xyv"), rng.randint(1, 30) * 3, rng.randint(1, 30) * 3, rng.randint(0, 60)) for k in range(80)]
+    edges = E.fold(spark.createDataFrame(pairs, "seq long, corpus string, a long, b long, tick long"), EdgeParams(lam=0.1), SCOPE)
+    p, e, at = SearchParams(budget=4, seeds=3, cutoff=0.01), EdgeParams(lam=0.1, floor=0.05), (0, 1, 3, 5)
+    rows = lambda df: {(r.query_id, r.corpus, r.id, r["rank"]) for r in df.collect()}
+    want = {s: rows(hits) for s, hits, _ in P.replay(q, docs, edges, 5, 8, p, e, SCOPE) if s in at}
+    for large in (P.LARGE_SCOPE, 120):
+        got = P.replay_at(q, docs, edges, at, 8, p, e, SCOPE, large=large).persist()
+        assert {s: rows(got.where(F.col("sweep") == s)) for s in at} == want and all(want.values())
+        assert got.count() == sum(map(len, want.values()))
+
+    def jobs(last: int) -> int:
+        spark.sparkContext.setJobGroup(f"sweeps to {last}", "")
+        P.replay_at(q, docs, edges, (last,), 8, p, e, SCOPE).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweeps to {last}"))
+
+    assert jobs(9) <= jobs(1) + 3
+
+
 def test_diagnosis(spark):
     key = "query_id long, corpus string, id long"
     gold = spark.createDataFrame([(1, "c", 1), (1, "c", 2), (1, "c", 2), (1, "c", 9)], key)
