@@ -1,5 +1,7 @@
 """Edge algebra against hand-computed values and a sequential replay."""
 
+import collections
+import itertools
 import random
 
 import pytest
@@ -150,3 +152,16 @@ def test_provenance(spark):
     e = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (1, 2, "x")], "a long, b long, origin string")
     assert E.provenance(e).first().origins == ["x", "y"]
     assert E.canonical(e).select(F.max("b")).first()[0] == 2
+
+
+def test_clique_counts_in_tiles(spark):
+    """Pairs are counted without being listed: repeated members, ids that are no node, groups cut in parts, blocks of few nodes."""
+    rng = random.Random(5)
+    rows = [(rng.randint(-3, 40), rng.choice([None, 0, *range(1, 30), 1 << 40])) for _ in range(1500)] + [(None, 3), (None, 4)]
+    want = collections.Counter()
+    for k in {k for k, _ in rows if k is not None}:
+        want.update(itertools.combinations(sorted({x for g, x in rows if g == k and x}), 2))
+    df = spark.createDataFrame(rows, "bucket long, node long")
+    for kind in ({}, {"listed": 0}, {"listed": 0, "tile": 7}, {"listed": 0, "tile": 7, "most": 50}):
+        got = E.clique_counts(df, "bucket", **kind)
+        assert {(r.a, r.b): r.n for r in got.collect()} == want and got.count() == len(want)
