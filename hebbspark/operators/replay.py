@@ -80,7 +80,8 @@ def _sweeps(pdf: pd.DataFrame, scope: Sequence[str], at: Sequence[int], start: i
     kind, code = pdf["_kind"].to_numpy(), pdf.groupby(list(scope), sort=True).ngroup().to_numpy()
     edge = kind == 2
     if edge.all():
-        return pd.DataFrame({c: [] for c in ("sweep", "query_id", *scope, "id", "rank")})
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"sweep": none, "query_id": none, **{c: pdf[c].to_numpy()[:0] for c in scope}, "id": none, "rank": none})
     own = pd.DataFrame({"s": np.r_[code, code[edge]], "n": np.r_[pdf["_y"].to_numpy(), pdf["_x"].to_numpy()[edge]]})
     # Numbers of nodes rise by scope and id.
     node = own.groupby(["s", "n"], sort=True).ngroup().to_numpy()

@@ -55,6 +55,16 @@ def test_all_sweeps_of_a_scope_in_one_task(spark):
     assert jobs(9) <= jobs(1) + 3
 
 
+def test_scopes_without_questions(spark):
+    """Tasks whose scopes have edges only give no hits."""
+    docs = L.documents(spark.createDataFrame([("x", 1, "fox"), ("x", 2, "fox dog")], "corpus string, id long, content string"), SCOPE)
+    q = spark.createDataFrame([(1, "x", "fox")], "query_id long, corpus string, query string")
+    events = [(i, f"v{i}", 1, 2, 0) for i in range(12)] + [(20, "x", 1, 2, 0)]
+    edges = E.fold(spark.createDataFrame(events, "seq long, corpus string, a long, b long, tick long"), EdgeParams(), SCOPE)
+    got = P.replay_at(q, docs, edges, (0, 2), 5, SearchParams(budget=2), EdgeParams(), SCOPE).collect()
+    assert sorted((r.sweep, r.corpus, r.id) for r in got) == [(0, "x", 1), (0, "x", 2), (2, "x", 1), (2, "x", 2)]
+
+
 def test_diagnosis(spark):
     key = "query_id long, corpus string, id long"
     gold = spark.createDataFrame([(1, "c", 1), (1, "c", 2), (1, "c", 2), (1, "c", 9)], key)
